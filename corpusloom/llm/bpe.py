@@ -17,7 +17,7 @@ from .common import blocks, texts
 #: Characters of text taken at a time, so that a block's words make a batch worth a query.
 BLOCK_BYTES = 4_000_000
 #: Distinct words kept in a worker with their tokens; beyond it they are encoded anew.
-KEPT_WORDS = 250_000
+KEPT_WORDS = 600_000
 #: Bytes of the words of one recursive query.
 QUERY_BYTES = 1_500_000
 #: From this length on, a word contracts all places of a safe pair in one step.
