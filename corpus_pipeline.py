@@ -1,12 +1,59 @@
-"""Documents through the stages, in order; each stage works on what its predecessor kept."""
+"""Documents to token ids: toxic and poor texts go, near copies go, sources are mixed, the rest is encoded.
+
+Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and returns a
+DataFrame that is written as Parquet and read again as the next one's docs. All stages but the last
+return the columns of documents. No SQL can express the classifiers or the recursive encoding, so
+ORACLE_SQL is None and tests compare run() with a brute-force version.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from corpusloom.llm import bpe, mixing, quality, simhash, toxicity
+from corpusloom.llm.common import Scratch, read
+
+#: The mix keeps this many thousandths of its input's tokens and takes no text twice.
+MIX_BUDGET, MIX_EPOCHS = 800, 1
 ORACLE_SQL = None
 
 
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.without_toxic(docs, read(spark, sf_dir, "labels"))
+
+
+def reject_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.without_poor(docs, read(spark, sf_dir, "labels"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.without_near_copies(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix(docs, budget=MIX_BUDGET, epochs=MIX_EPOCHS).select(*docs.columns)
+
+
+def encode_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe.encode_with_digests(docs)
+
+
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("quality classifier", reject_poor),
+    ("SimHash near-dedup", drop_near_copies),
+    ("mixing sources to target weights", mix_sources),
+    ("byte-level BPE encoding and decoding", encode_bytes),
+]
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """doc_id, ids, n_tokens, ids_sha256, decoded_sha256 of the documents that every stage kept."""
+    scratch, docs, last = Scratch(spark, "pipeline"), read(spark, sf_dir, "documents"), None
+    for i, (name, stage) in enumerate(STAGES):
+        at = scratch.path(name.split()[0].lower())
+        docs = scratch.keep(stage(spark, docs, sf_dir), name, at)
+        if last:
+            scratch.drop(last)
+        last = at
+    return docs

@@ -209,10 +209,18 @@ def encode_digests(docs: DataFrame, vocab: Vocabulary | None = None) -> DataFram
     return _encoded(docs, vocab, _digests, {"n_tokens": ("long", pa.int64()), "ids_sha256": ("string", pa.string()), "decoded_sha256": ("string", pa.string())})
 
 
+def _ids(words: list[tuple[str, bytes, int]]) -> np.ndarray:
+    return np.array(",".join(ids for ids, _, _ in words).split(","), np.int32) if words else np.zeros(0, np.int32)
+
+
 def encode(docs: DataFrame, vocab: Vocabulary | None = None) -> DataFrame:
     """doc_id, ids array<int>: the token ids themselves, with the rules of encode_digests."""
-    make = lambda words: ([int(x) for ids, _, _ in words for x in ids.split(",")],)
-    return _encoded(docs, vocab, make, {"ids": ("array<int>", pa.list_(pa.int32()))})
+    return _encoded(docs, vocab, lambda words: (_ids(words),), {"ids": ("array<int>", pa.list_(pa.int32()))})
+
+
+def encode_with_digests(docs: DataFrame, vocab: Vocabulary | None = None) -> DataFrame:
+    """encode_digests with the ids beside the digests."""
+    return _encoded(docs, vocab, lambda words: (_ids(words), *_digests(words)), {"ids": ("array<int>", pa.list_(pa.int32())), "n_tokens": ("long", pa.int64()), "ids_sha256": ("string", pa.string()), "decoded_sha256": ("string", pa.string())})
 
 
 def decode(encoded: DataFrame, vocab: Vocabulary | None = None) -> DataFrame:

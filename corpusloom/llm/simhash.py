@@ -6,11 +6,11 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import Scratch, release, texts
 from .components import components, forest
@@ -111,25 +111,11 @@ def _collide(radius: int):
     return run
 
 
-def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, parts: int = PARTS) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable by links).
-
-    Every distinct fingerprint emits all values within radius // 2 bits (radius must be even); the
-    values are shuffled packed, and two fingerprints that meet in one value differ in at most
-    radius bits, which is checked. Two fingerprints within radius always meet in some value, so no
-    link is missed. Each group gives a spanning forest of its links, not all pairs, so a large
-    group of copies stays linear. The values are dealt in `parts` shares, one after the other, so
-    that the shuffle on disk stays about as large as the texts.
-
-    Null text counts as empty; empty texts have fingerprint zero and link like any other. Rows with
-    one doc_id several times come back as often; a row without doc_id comes back too and names
-    no component (null only if no other id is in it). An empty table gives no rows. Other columns
-    of docs are not read.
-    """
+def _groups(docs: DataFrame, scratch: Scratch, shingle: int, radius: int, parts: int) -> tuple[DataFrame, DataFrame]:
+    """rows(doc_id, fp), and for each fingerprint its group and the group's smallest doc_id: fp, c, component_id."""
     if radius % 2:
         raise ValueError("radius must be even")
     spark = docs.sparkSession
-    scratch = Scratch(spark, "simhash")
     rows = scratch.keep(fingerprints(docs, shingle), "rows")
     distinct = scratch.keep(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     n = distinct.count()
@@ -144,6 +130,48 @@ def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS
     labels = components(links, scratch)
     of = distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("c"))
     least = of.groupBy("c").agg(F.min("least").alias("component_id"))
-    named = scratch.keep(of.join(least, "c").select("fp", "component_id"), "named")
+    return rows, scratch.keep(of.join(least, "c").select("fp", "c", "component_id"), "named")
+
+
+def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, parts: int = PARTS) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable by links).
+
+    Every distinct fingerprint emits all values within radius // 2 bits (radius must be even); the
+    values are shuffled packed, and two fingerprints that meet in one value differ in at most
+    radius bits, which is checked. Two fingerprints within radius always meet in some value, so no
+    link is missed. Each group gives a spanning forest of its links, not all pairs, so a large
+    group of copies stays linear. The values are dealt in `parts` shares, one after the other, so
+    that the shuffle on disk stays about as large as the texts.
+
+    Null text counts as empty; empty texts have fingerprint zero and link like any other. Rows with
+    one doc_id several times come back as often; a row without doc_id comes back too and names
+    no component (null only if no other id is in it). An empty table gives no rows. Other columns
+    of docs are not read.
+    """
+    rows, named = _groups(docs, Scratch(docs.sparkSession, "simhash"), shingle, radius, parts)
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
-    return rows.join(named, "fp").select("doc_id", digits, F.col("component_id").cast(T.LongType()))
+    return rows.join(named.drop("c"), "fp").select("doc_id", digits, "component_id")
+
+
+def without_near_copies(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, parts: int = PARTS) -> DataFrame:
+    """One row of docs, all columns, of each group that simhash_groups finds: the one with the smallest doc_id.
+
+    Of rows with one doc_id the least (by all columns that have an order) stays; a group without
+    any doc_id keeps its least row. Texts move once, to where their id is decided.
+    """
+    rows, named = _groups(docs, Scratch(docs.sparkSession, "simhash"), shingle, radius, parts)
+    stay = rows.join(named, "fp").where("doc_id = component_id").select("doc_id").distinct()
+    names = docs.columns
+    order = F.struct(*(F.col(f.name) for f in docs.schema if "map<" not in f.dataType.simpleString()))
+    whole = F.struct(*names).alias("row")
+    one = docs.where("doc_id is not null").join(stay, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(whole, order).alias("row")).select("row.*")
+    seen = docs.where("doc_id is null").withColumn("_fp", _fingerprint_of("text", shingle)).join(named.where("component_id is null").select(F.col("fp").alias("_fp"), "c"), "_fp")
+    return one.unionByName(seen.groupBy("c").agg(F.min_by(whole, order).alias("row")).select("row.*"))
+
+
+def _fingerprint_of(column: str, shingle: int) -> Column:
+    @F.pandas_udf("long")
+    def of(some: pd.Series) -> pd.Series:
+        return pd.Series(np.array([fingerprint(x, shingle) for x in some], np.uint64).view(np.int64))
+
+    return of(column)
