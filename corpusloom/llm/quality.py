@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -64,6 +64,18 @@ def passages(some: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.c_[np.sqrt(grams / length), kinds, more].astype(np.float32), count
 
 
+def in_parts(some: list[str], most: int = 500_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """passages() of some texts at a time, of about `most` characters together or one text."""
+    at = 0
+    while at < len(some):
+        to, n = at, 0
+        while to < len(some) and (to == at or n + len(some[to]) <= most):
+            n += len(some[to])
+            to += 1
+        yield passages(some[at:to])
+        at = to
+
+
 @dataclass(frozen=True)
 class QualityModel:
     """Weights of the encoder, of the two gates of the attention, and of the classifier."""
@@ -74,18 +86,8 @@ class QualityModel:
 
     def scorer(self) -> Callable[[list[str]], np.ndarray]:
         def score(some: list[str]) -> np.ndarray:
-            if not some:
-                return np.zeros(0)
-            out, at = [], 0
-            while at < len(some):  # a bounded number of bytes at a time
-                to, n = at, 0
-                while to < len(some) and (to == at or n + len(some[to]) <= 500_000):
-                    n += len(some[to])
-                    to += 1
-                x, count = passages(some[at:to])
-                out.append(_forward(self.weights, (x - self.mean) / self.dev, count)[0])
-                at = to
-            return np.concatenate(out).astype(float)
+            made = [_forward(self.weights, (x - self.mean) / self.dev, count)[0] for x, count in in_parts(some)]
+            return np.concatenate([np.zeros(0), *made])
 
         return score
 
@@ -135,7 +137,7 @@ def fit(rows: pd.DataFrame, seed: int = 11) -> QualityModel:
         w["judge"][:] = 0
         w["judge0"][:] = np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
         return QualityModel(np.zeros(WIDTH, np.float32), np.ones(WIDTH, np.float32), w)
-    x, count = passages(list(rows["text"]))
+    x, count = (np.concatenate(z) for z in zip(*in_parts(list(rows["text"]))))
     mean, dev = x.mean(0), x.std(0) + 1e-2
     x = (x - mean) / dev
     start = np.cumsum(count) - count
