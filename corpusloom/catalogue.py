@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from corpusloom import registry
+from corpusloom.plans import evaluate, ingest, operate, retrieve  # noqa: F401  registers their queries
 
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
 FLAGSHIP = "hybrid_search"
 
 
-def queries() -> dict[str, Query]:
-    return {}
+def queries() -> dict[str, registry.Query]:
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(registry.ORACLES)
