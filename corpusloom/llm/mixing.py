@@ -13,7 +13,8 @@ LEVELS = ("domain", "lang", "source")
 #: The budget as a share of the corpus' tokens, in thousandths, and how often a text may be taken at most.
 BUDGET, EPOCHS = 500, 3
 SEED = "mix-1"
-_BUCKETS = 16**3
+#: Rows of a leaf meet its plan in so many places, so that a large leaf is no single task.
+SALTS = 64
 
 
 def tokens(text: Column) -> Column:
@@ -92,14 +93,17 @@ def mix(docs: DataFrame, weights: dict[str, dict[str, int]] = WEIGHTS, budget: i
     supply = rows.groupBy(*leaf).agg(F.sum("tokens").alias("supply")).toDF(*LEVELS, "supply")
     plan = budgets(supply, weights, budget, epochs).withColumn("whole", F.when(F.col("supply") > 0, F.expr("share div supply")).otherwise(F.lit(0)))
     plan = plan.select(*(F.col(c).alias(f"_{c}") for c in LEVELS), F.col("whole").cast("int").alias("_whole"), (F.col("share") - F.col("whole") * F.col("supply")).alias("_rest"))
+    plan = plan.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    met = [*leaf, "_salt"]
     key = F.md5(F.concat_ws(":", F.lit(seed), F.col("_whole").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     bucket = F.substring(key, 1, 3)
-    light = rows.select(*leaf, "doc_id", "tokens").join(plan, leaf).withColumn("_bucket", bucket)
+    light = rows.select(*met, "doc_id", "tokens").join(plan, met).withColumn("_bucket", bucket)
     sums = light.groupBy(*leaf, "_rest", "_bucket").agg(F.sum("tokens").alias("n"))
     upto = F.sum("n").over(Window.partitionBy(*leaf).orderBy("_bucket"))
     ends = sums.withColumn("upto", upto).where("upto > _rest").groupBy(*leaf).agg(F.min(F.struct("_bucket", (F.col("upto") - F.col("n")).alias("base"))).alias("_end"))
     ended = plan.join(ends, leaf, "left")
-    placed = rows.join(ended, leaf).withColumn("_key", key).withColumn("_bucket", F.substring("_key", 1, 3))
+    placed = rows.join(ended, met).withColumn("_key", key).withColumn("_bucket", F.substring("_key", 1, 3))
     inside = F.col("_end").isNull() | (F.col("_bucket") < F.col("_end._bucket"))
     edge = placed.where(F.col("_bucket") == F.col("_end._bucket"))
     run = F.sum("tokens").over(Window.partitionBy(*leaf).orderBy("_key", "doc_id", "tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow))
