@@ -109,8 +109,8 @@ def replay(outcomes: DataFrame, run_threshold: float, thresholds: tuple[float, .
 def recommend(outcomes: DataFrame, current: float) -> DataFrame:
     """threshold, lowest, highest: the middle between the lowest answered score and the highest unanswerable one below it."""
     low = outcomes.where("answerable and answered and top is not null").agg(F.min("top").alias("lowest"))
-    high = outcomes.where("not answerable").crossJoin(F.broadcast(low)).where("top < lowest").agg(F.max("top").alias("highest"))  # one row
-    both = low.crossJoin(high)
+    high = outcomes.where(~F.col("answerable") & (F.col("top") < low.scalar())).agg(F.max("top"))
+    both = low.withColumn("highest", high.scalar())
     return both.select(F.when(F.col("lowest").isNull(), F.lit(None).cast("double")).when(F.col("highest").isNull(), F.least(F.lit(current), F.bround(F.col("lowest") / 2, 2))).otherwise(F.bround((F.col("highest") + F.col("lowest")) / 2, 2)).alias("threshold"), "lowest", "highest")
 
 
