@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from corpusloom import plugins
 from corpusloom.functions import text as X
-from corpusloom.operators import answers, chunking, context, dialog, evaluation, search, structure
+from corpusloom.operators import answering, answers, chunking, context, dialog, evaluation, search, structure
 
 
 def one(spark, column):
@@ -188,3 +188,29 @@ def test_empty_tables(spark):
     e = spark.createDataFrame([], "doc_id string, ordinal int, kind string, text string, page int, depth int, rows array<array<string>>")
     assert structure.build_sections(e).count() == 0 and structure.repeated_lines(e).count() == 0 and structure.slide_sections(e).count() == 0
     assert isinstance(structure.list_blocks(e).toPandas(), pd.DataFrame)
+
+
+class Refuser:
+    """Refuses unless there are at most three sources."""
+
+    def generate(self, messages):
+        n = messages[-1]["content"].count("\n\n[")
+        return "It is so [1][9]." if n <= 3 else answers.NOT_FOUND
+
+
+def test_answers_gate_retry_and_citations(spark):
+    q = spark.createDataFrame([("a", "what?"), ("b", "compare x and y"), ("c", "none?"), ("d", "low?")], "qid string, question string")
+    units = spark.createDataFrame([(i, n, "T", "any", "1", 1, 1, f"text {n}") for i, k in (("a", 2), ("b", 5), ("d", 1)) for n in range(1, k + 1)], "qid string, n int, title string, release string, section string, page_start int, page_end int, text string")
+    cand = spark.createDataFrame([("a", 1, None), ("b", 1, 0.5), ("d", 1, 0.01)], "qid string, rank int, rerank_score double")
+    got = {r.qid: r for r in answering.answer(q, units, cand, Refuser).collect()}
+    assert (got["a"].status, got["a"].text, got["a"].cited, got["a"].retried) == ("answered", "It is so [1].", [1], False)
+    assert got["b"].retried and got["b"].status == "answered" and got["b"].route.kind == "compare"
+    assert got["c"].refused_by == "gate" and got["c"].reason == answering.NO_CONTEXT and "0.010" in got["d"].reason
+    off = {r.qid: r for r in answering.answer(q, units, cand, Refuser, retry=False).collect()}
+    assert off["b"].refused_by == "llm" and off["b"].text == answers.NOT_FOUND
+
+
+def test_cache_lookup(spark):
+    q = spark.createDataFrame([("a", "what?", "k1"), ("b", "else?", "k2")], "qid string, question string, key string")
+    hit, miss = answering.from_cache(q, spark.createDataFrame([("k1", "so")], "key string, answer string"))
+    assert [r.qid for r in hit.collect()] == ["a"] and [r.qid for r in miss.collect()] == ["b"]
