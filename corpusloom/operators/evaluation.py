@@ -134,3 +134,18 @@ def golden_problems(golden: DataFrame) -> DataFrame:
         F.when(F.exists("must_include", lambda m: ~X.holds(F.col("expected_answer"), m)), "a fact is not in the expected answer"),
     )
     return golden.select("qid", F.explode(F.array_compact(one)).alias("problem"))
+
+
+def leaks(results: DataFrame, documents: DataFrame, groups: Column, release: Column | None = None) -> DataFrame:
+    """Result rows (with doc_id) that these groups must not see, or outside the release: must be empty."""
+    from corpusloom.operators.search import may_see
+
+    wrong = ~may_see(F.col("allowed_groups"), groups)
+    if release is not None:
+        wrong = wrong | ~release.between(F.col("release_min"), F.col("release_max"))
+    return results.join(documents.where(wrong).select("doc_id"), "doc_id", "left_semi")
+
+
+def every_group(documents: DataFrame) -> DataFrame:
+    """One row: all groups there are, and 'all'."""
+    return documents.select(F.explode("allowed_groups").alias("g")).distinct().agg(F.array_sort(F.array_union(F.collect_set("g"), F.array(F.lit("all")))).alias("groups"))

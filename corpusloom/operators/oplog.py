@@ -91,3 +91,54 @@ def without_traces(entries: DataFrame, traces: DataFrame) -> DataFrame:
 
 def last_per_key(rows: DataFrame, key: list[str], order: str) -> DataFrame:
     return rows.withColumn("_i", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc(order)))).where("_i = 1").drop("_i")
+
+
+def messages(turns: DataFrame, traces: DataFrame, feedback: DataFrame, user: str) -> DataFrame:
+    """turns(session_id, turn, role, content, trace_id) with the trace's route and sources and this user's rating."""
+    mine = feedback.where(F.col("user_id") == user).select("trace_id", "rating", "reason")
+    return turns.join(traces.select("trace_id", "route", "sources"), "trace_id", "left").join(mine, "trace_id", "left")
+
+
+def owned(sessions: DataFrame, user: str) -> DataFrame:
+    return sessions.where(F.col("user_id") == user)
+
+
+def schema_problems(table: DataFrame, wanted: str) -> list[str]:
+    """What a table's columns lack of a DDL schema: missing ones and other types."""
+    from pyspark.sql.types import _parse_datatype_string
+
+    have = {f.name: f.dataType.simpleString() for f in table.schema}
+    return [f"{f.name}: " + (f"{have[f.name]} instead of {f.dataType.simpleString()}" if f.name in have else "missing") for f in _parse_datatype_string(wanted).fields if have.get(f.name) != f.dataType.simpleString()]
+
+
+def latest_parse(parsed: DataFrame, version: int) -> DataFrame:
+    """Each document's last parse by the current version of the parser."""
+    return parsed.where(F.col("parser_version") == version).groupBy("doc_id").agg(F.max("path").alias("path"))
+
+
+class Tracer:
+    """Stages of one run with their durations, also of one that raises, to be appended to the stage table."""
+
+    def __init__(self, trace_id: str):
+        self.trace_id = trace_id
+        self.rows: list[tuple] = []
+
+    def stage(self, name: str):
+        from contextlib import contextmanager
+        from time import perf_counter
+
+        @contextmanager
+        def timed():
+            began, error = perf_counter(), None
+            try:
+                yield
+            except Exception as e:
+                error = f"{type(e).__name__}: {e}"
+                raise
+            finally:
+                self.rows.append((self.trace_id, len(self.rows), name, (perf_counter() - began) * 1000, error))
+
+        return timed()
+
+    def frame(self, spark) -> DataFrame:
+        return spark.createDataFrame(self.rows, "trace_id string, seq int, stage string, duration_ms double, error string")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.operators import oplog
+from corpusloom.operators import dialog, evaluation, oplog
 from corpusloom.plans import derived as D
 from corpusloom.registry import query, table
 
@@ -101,3 +101,39 @@ def revenue_by_nation(spark, d):
     per = l.groupBy("l_orderkey").agg(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("r"))  # before the join: one row an order
     j = o.join(per, F.col("o_orderkey") == F.col("l_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
     return j.groupBy("n_name").agg(F.count("*").alias("orders"), F.round(F.sum("r"), 2).cast("double").alias("revenue"))
+
+
+@query(f"WITH {D.MANIFEST} SELECT m.doc_id, item_id FROM manifest m JOIN benchmark b ON b.item_id = m.doc_id WHERE m.doc_id % 9 <> 0 AND list_has_any(allowed_groups, ['partners', 'all'])")
+def visible_sections(spark, d):
+    docs = D.manifest(spark, d).withColumn("is_latest", F.col("doc_id") % 9 != 0)
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), "item_id")
+    return dialog.visible(items, docs, F.array(F.lit("partners")))
+
+
+@query(f"WITH {D.MANIFEST} SELECT doc_id FROM manifest WHERE NOT list_has_any(allowed_groups, ['all']) OR 2024 NOT BETWEEN release_min AND release_max")
+def leak_check(spark, d):
+    m = D.manifest(spark, d)
+    return evaluation.leaks(m.select("doc_id"), m, F.array(F.lit("public")), F.lit(2024)).select("doc_id")
+
+
+@query("SELECT 0 AS leaked")
+def leak_check_of_search(spark, d):
+    """What hybrid search returns to the public holds nothing the public may not see."""
+    from corpusloom.plans.retrieve import hybrid_search
+
+    public = D.requests(spark, d).where(F.array_contains("groups", "public")).select("qid")
+    found = hybrid_search(spark, d).join(public, "qid", "left_semi")
+    return evaluation.leaks(found, D.manifest(spark, d), F.array(F.lit("public"))).agg(F.count("*").cast("int").alias("leaked"))
+
+
+@query(f"WITH {D.MANIFEST} SELECT list_sort(list_distinct(list_append(flatten(list(allowed_groups)), 'all'))) AS groups FROM manifest")
+def every_group(spark, d):
+    return evaluation.every_group(D.manifest(spark, d))
+
+
+@query(f"WITH {D.TURNS} SELECT session_id, turn, l.quality AS rating, d.lang AS route FROM turns LEFT JOIN documents d ON d.doc_id = session_id * 10 + turn LEFT JOIN labels l ON l.doc_id = session_id * 10 + turn AND l.toxic = 0")
+def message_list(spark, d):
+    t = D.turns(spark, d).withColumn("trace_id", F.col("session_id") * 10 + F.col("turn"))
+    traces = table(spark, d, "documents").select(F.col("doc_id").alias("trace_id"), F.col("lang").alias("route"), F.col("source").alias("sources"))
+    feedback = table(spark, d, "labels").select(F.col("doc_id").alias("trace_id"), F.when(F.col("toxic") == 0, "me").otherwise("you").alias("user_id"), F.col("quality").alias("rating"), F.lit(None).cast("string").alias("reason"))
+    return oplog.messages(t, traces, feedback, "me").select("session_id", "turn", "rating", "route")

@@ -214,3 +214,19 @@ def test_cache_lookup(spark):
     q = spark.createDataFrame([("a", "what?", "k1"), ("b", "else?", "k2")], "qid string, question string, key string")
     hit, miss = answering.from_cache(q, spark.createDataFrame([("k1", "so")], "key string, answer string"))
     assert [r.qid for r in hit.collect()] == ["a"] and [r.qid for r in miss.collect()] == ["b"]
+
+
+def test_tracer_schema_and_owned_rows(spark):
+    from corpusloom.operators import oplog
+
+    t = oplog.Tracer("t1")
+    with t.stage("search"):
+        pass
+    with pytest.raises(ValueError), t.stage("generate"):
+        raise ValueError("no")
+    rows = t.frame(spark).orderBy("seq").collect()
+    assert [(r.stage, r.error) for r in rows] == [("search", None), ("generate", "ValueError: no")]
+    assert oplog.schema_problems(t.frame(spark), "trace_id string, seq long, other int") == ["seq: int instead of bigint", "other: missing"]
+    assert oplog.owned(spark.createDataFrame([("s", "a"), ("t", "b")], "session_id string, user_id string"), "a").count() == 1
+    p = spark.createDataFrame([("a", "p1", 2), ("a", "p2", 2), ("a", "p3", 1)], "doc_id string, path string, parser_version int")
+    assert [r.path for r in oplog.latest_parse(p, 2).collect()] == ["p2"]
