@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from contextlib import closing
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,14 +13,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, texts
+from .common import blocks, bounded_batches, texts
 
 #: Characters of text taken at a time, so that a block's words make a batch worth a query.
 BLOCK_BYTES = 4_000_000
-#: Distinct words kept in a worker with their tokens; beyond it they are encoded anew.
-KEPT_WORDS = 600_000
-#: Bytes of the words of one recursive query.
-QUERY_BYTES = 1_500_000
+#: Distinct words a task keeps with their tokens; beyond it they are encoded anew.
+KEPT_WORDS = 400_000
+#: Characters of the words of one recursive query.
+QUERY_BYTES = 400_000
 #: From this length on, a word contracts all places of a safe pair in one step.
 LONG = 128
 
@@ -60,19 +61,21 @@ def vocabulary(spark: SparkSession | None = None, path: str | None = None, patte
         return Vocabulary.of(f.read().splitlines(), pattern or public.PATTERN)
 
 
-#: One contraction a round in each word: of the leftmost of its lowest-ranked pairs.
+#: One contraction a round in each word: of the leftmost of its lowest-ranked pairs. A row is a token of n bytes at
+#: position p of word w, and the token after it. A pair's rank, its position and its first token's length are one
+#: number, whose minimum picks the pair; the row at the end of its first token goes. Words without a pair are done.
 _ENCODE = """
-WITH RECURSIVE enc(w, p, id, nx, live) AS (
-  SELECT w, p, id, lead(id) OVER (PARTITION BY w ORDER BY p), true FROM start
+WITH RECURSIVE enc(w, p, n, id, nx, live) AS (
+  SELECT w, p, 1, id, lead(id) OVER (PARTITION BY w ORDER BY p), true FROM start
   UNION ALL
-  (WITH met AS (SELECT e.w, e.p, e.id, m.c FROM enc e LEFT JOIN merges m ON m.a = e.id AND m.b = e.nx WHERE e.live),
-        best AS (SELECT w, min(c::BIGINT * 4294967296 + p) AS k FROM met WHERE c IS NOT NULL GROUP BY w),
-        step AS (SELECT met.w, met.p, met.id, best.k IS NOT NULL AS live,
-                        (best.k % 4294967296)::INT AS place, (best.k // 4294967296)::INT AS c
-                 FROM met LEFT JOIN best USING (w)),
-        made AS (SELECT w, p, CASE WHEN p = place THEN c ELSE id END AS id, live,
-                        coalesce(lag(p) OVER (PARTITION BY w ORDER BY p) = place, false) AS gone FROM step)
-   SELECT w, p, id, lead(id) OVER (PARTITION BY w ORDER BY p), live FROM made WHERE NOT gone))
+  (WITH met AS (SELECT e.w, e.p, e.n, e.id, e.nx, m.c FROM enc e LEFT JOIN merges m ON m.a = e.id AND m.b = e.nx WHERE e.live),
+        best AS (SELECT w, min((c::BIGINT << 40) + (p::BIGINT << 16) + n) AS k FROM met WHERE c IS NOT NULL GROUP BY w),
+        done AS (SELECT met.w, met.p, met.n, met.id, met.nx, false AS live FROM met ANTI JOIN best USING (w)),
+        step AS (SELECT met.w, met.p, met.n, met.id, ((best.k >> 16) & 16777215)::INT AS place, (best.k & 65535)::INT AS first, (best.k >> 40)::INT AS c
+                 FROM met JOIN best USING (w)),
+        made AS (SELECT w, p, n, CASE WHEN p = place THEN c ELSE id END AS id FROM step WHERE p <> place + first)
+   SELECT w, p, (coalesce(lead(p) OVER x, p + n) - p)::INT, id, lead(id) OVER x, true FROM made WINDOW x AS (PARTITION BY w ORDER BY p)
+   UNION ALL SELECT * FROM done))
 """
 #: The same for long words, but all places of a safe pair go in one round: in a run of places that touch, every second one.
 _ENCODE_LONG = """
@@ -117,6 +120,10 @@ class Merger:
         self._table("tokens", {"id": np.arange(n, dtype=np.int32), "hex": [t.hex() for t in vocabulary.tokens]})
         self._table("safe", {"id": np.arange(n, dtype=np.int32), "safe": vocabulary.safe})
 
+    def close(self) -> None:
+        self.db.close()
+        self.kept.clear()
+
     def _table(self, name: str, columns: dict) -> None:
         self.db.register("given", pa.table(columns))
         self.db.execute(f"CREATE OR REPLACE TEMP TABLE {name} AS SELECT * FROM given")
@@ -151,7 +158,7 @@ class Merger:
         for word in {w for words in split for w in words if w not in self.kept}:
             new.append(word)
             size += len(word)
-            if size >= QUERY_BYTES // 2:
+            if size >= QUERY_BYTES:
                 self._encode(new)
                 new, size = [], 0
         if new:
@@ -161,23 +168,12 @@ class Merger:
             yield list(map(get, words))
 
 
-_MERGERS: dict[str, Merger] = {}
-
-
-def _merger(vocabulary: Vocabulary) -> Merger:
-    """One for each worker process: later tasks find its words."""
-    if vocabulary.key not in _MERGERS:
-        _MERGERS.clear()
-        _MERGERS[vocabulary.key] = Merger(vocabulary)
-    return _MERGERS[vocabulary.key]
-
-
 def _run(shared, make, names: list[str], kinds: list[pa.DataType]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merger = _merger(shared.value)
-        for b in blocks(batches, "text", BLOCK_BYTES):
-            made = [make(words) for words in merger.encode(texts(b))]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns - 1)), *(pa.array(x, kind) for x, kind in zip(zip(*made), kinds))], names)
+        with closing(Merger(shared.value)) as merger:  # nothing of it outlives the task
+            for b in blocks(batches, "text", BLOCK_BYTES):
+                made = [make(words) for words in merger.encode(texts(b))]
+                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns - 1)), *(pa.array(x, kind) for x, kind in zip(zip(*made), kinds))], names)
 
     return run
 
@@ -186,6 +182,7 @@ def _encoded(docs: DataFrame, vocab: Vocabulary | None, make, columns: dict[str,
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(vocab or vocabulary())  # a vocabulary: its size does not depend on the data
     schema = ", ".join([_declared(docs), *(f"{name} {kind}" for name, (kind, _) in columns.items())])
+    bounded_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(_run(shared, make, ["doc_id", *columns], [x for _, x in columns.values()]), schema)
 
 
@@ -231,16 +228,16 @@ def decode(encoded: DataFrame, vocab: Vocabulary | None = None) -> DataFrame:
     shared = encoded.sparkSession.sparkContext.broadcast(vocab or vocabulary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merger = _merger(shared.value)
         known = len(shared.value.tokens)
-        for b in blocks(batches, "ids", BLOCK_BYTES):
-            ids = b.column("ids")
-            size = np.array([len(x) if x is not None else 0 for x in ids.to_pylist()], np.int64)
-            flat = ids.flatten().to_numpy(zero_copy_only=False)
-            if len(flat) and (flat.min() < 0 or flat.max() >= known):
-                raise ValueError("an id is not in the vocabulary")
-            merger._table("ids", {"w": np.repeat(np.arange(len(size)), size).astype(np.int32), "p": np.arange(len(flat), dtype=np.int32), "id": flat.astype(np.int32)})
-            got = {w: bytes.fromhex(x) for w, _, _, x in merger.db.execute(_DECODE).fetchall()}
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([got.get(i, b"") for i in range(len(size))], pa.binary())], ["doc_id", "decoded"])
+        with closing(Merger(shared.value)) as merger:
+            for b in blocks(batches, "ids", BLOCK_BYTES):
+                ids = b.column("ids")
+                size = np.array([len(x) if x is not None else 0 for x in ids.to_pylist()], np.int64)
+                flat = ids.flatten().to_numpy(zero_copy_only=False)
+                if len(flat) and (flat.min() < 0 or flat.max() >= known):
+                    raise ValueError("an id is not in the vocabulary")
+                merger._table("ids", {"w": np.repeat(np.arange(len(size)), size).astype(np.int32), "p": np.arange(len(flat), dtype=np.int32), "id": flat.astype(np.int32)})
+                got = {w: bytes.fromhex(x) for w, _, _, x in merger.db.execute(_DECODE).fetchall()}
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([got.get(i, b"") for i in range(len(size))], pa.binary())], ["doc_id", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, f"{_declared(encoded)}, decoded binary")

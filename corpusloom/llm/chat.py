@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 #: turn := "<s>[" NAME LEVEL "] " body " [/" NAME "]</s>\n"; LEVEL is empty or "+1" or "+2".
 NAMES = {"user": "INST", "assistant": "ASST", "system": "SYS"}
 CONTROL = ("<s>", "</s>", "[INST", "[/INST]", "[ASST", "[/ASST]", "[SYS", "[/SYS]", "[ROLE=", "[/ROLE=")
@@ -122,6 +124,7 @@ def formatted_digests(conversations: DataFrame) -> DataFrame:
     turns with one number are taken by role, then text; a null turn comes first; rows without a
     conversation are one conversation with a null id. An empty table gives no rows; other columns are not read.
     """
+    bounded_batches(conversations.sparkSession)
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
     kind = conversations.schema["conv_id"].dataType.simpleString()
 
@@ -133,7 +136,6 @@ def formatted_digests(conversations: DataFrame) -> DataFrame:
 
         def close() -> tuple:
             return now, c.n, c.turns.hexdigest(), c.loss_chars, c.loss.hexdigest(), c.chars
-
         now, c, done, kind_of = None, None, [], []
         for b in batches:
             kind_of = kind_of or [b.column("conv_id").type]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -60,10 +61,20 @@ class Scratch:
             pass
 
 
+#: Bytes of an Arrow batch that goes to Python. Spark's own bound is a number of rows, which says nothing about texts.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bounds the session's batches by bytes, unless it has a bound of its own."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, None)
+    if now is None or not 0 < int("".join(c for c in now if c.isdigit() or c == "-") or 0) < 2**31 - 1:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def release(spark: SparkSession) -> None:
     """Let the cleaner delete the shuffle files of finished jobs now, not when the driver's heap fills up."""
-    import gc
-
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, held_out, texts
+from .common import blocks, bounded_batches, held_out, texts
 
 #: Characters of the longest text that may be in a sample; it bounds what the driver holds.
 LONGEST_SAMPLE = 20_000
@@ -44,6 +44,7 @@ def scored(docs: DataFrame, scorer: Callable[[], Callable[[list[str]], np.ndarra
             p = np.clip(np.asarray(score(texts(b)), float), 0.0, 1.0)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(p), pa.array((p >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
+    bounded_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
 
@@ -57,6 +58,7 @@ def kept(docs: DataFrame, scorer: Callable[[], Callable[[list[str]], np.ndarray]
         for b in blocks(batches, "text", block_bytes):
             yield b.filter(pa.array((np.asarray(score(texts(b))) >= threshold).astype(int) == keep))
 
+    bounded_batches(docs.sparkSession)
     return docs.select(*names).mapInArrow(run, docs.schema)
 
 

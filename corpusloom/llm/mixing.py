@@ -66,7 +66,8 @@ def budgets(leaves: DataFrame, weights: dict[str, dict[str, int]] = WEIGHTS, bud
     the parent's siblings take it.
     """
     capped = leaves.withColumn("cap", F.col("supply") * epochs)
-    top = capped.groupBy("domain").agg(F.sum("cap").alias("supply")).crossJoin(leaves.agg((F.coalesce(F.sum("supply"), F.lit(0)) * budget).alias("given"))).withColumn("given", F.expr("given div 1000"))  # one row
+    given = leaves.agg((F.coalesce(F.sum("supply"), F.lit(0)) * budget).alias("g")).select(F.expr("g div 1000")).scalar()
+    top = capped.groupBy("domain").agg(F.sum("cap").alias("supply")).withColumn("given", given)
     first = _fill(top, [], "domain", weights).withColumnRenamed("share", "given")
     second = _fill(capped.groupBy("domain", "lang").agg(F.sum("cap").alias("supply")).join(first, "domain"), ["domain"], "lang", weights).withColumnRenamed("share", "given")
     third = _fill(capped.select("domain", "lang", "source", F.col("cap").alias("supply")).join(second, ["domain", "lang"]), ["domain", "lang"], "source", weights)

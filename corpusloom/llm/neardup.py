@@ -76,7 +76,7 @@ class MultiIndex:
         rows = np.arange(len(x))
         to = a[rows, cell // self.words] + b[rows, cell % self.words]
         b = np.sort(b, 1)
-        return np.array([np.searchsorted(b[r], to[r] - a[r], "left").sum() for r in rows])
+        return np.array([np.searchsorted(b[r], to[r] - a[r] - 1e-9, "left").sum() for r in rows])
 
     def reach(self, probes: np.ndarray, cosine: float, recall: float, seed: int = 9) -> int:
         """The number of cells to visit so that either of two vectors at this cosine meets the other with this frequency.

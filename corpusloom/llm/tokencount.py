@@ -9,10 +9,10 @@ from math import log
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import blocks, texts
+from .common import blocks, bounded_batches, texts
 
 BLOCK_BYTES = 8_000_000
-#: Distinct pre-tokens a worker keeps with their counts; beyond it they are scored anew.
+#: Distinct pre-tokens a task keeps with their counts; beyond it they are scored anew.
 KEPT_WORDS = 600_000
 #: What stands before every pre-token, as in the vocabulary's pieces.
 MARK = "▁"
@@ -82,10 +82,6 @@ def trie_counts(words: Iterable[str], model: Unigram) -> dict[str, int]:
     return found
 
 
-_KEPT: dict[str, int] = {}
-_KEPT_FOR: list = [None]
-
-
 def token_counts(docs: DataFrame, model: Unigram | None = None) -> DataFrame:
     """doc_id, n_pretokens, n_tokens of every whole text; pre-tokens are what Unicode white space separates.
 
@@ -96,14 +92,13 @@ def token_counts(docs: DataFrame, model: Unigram | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = shared.value
-        if _KEPT_FOR[0] is not of:
-            _KEPT.clear()
-            _KEPT_FOR[0] = of
+        kept: dict[str, int] = {}
         for b in blocks(batches, "text", BLOCK_BYTES):
-            if len(_KEPT) > KEPT_WORDS:
-                _KEPT.clear()
+            if len(kept) > KEPT_WORDS:
+                kept.clear()
             split = [x.split() for x in texts(b)]
-            _KEPT.update(trie_counts({w for words in split for w in words if w not in _KEPT}, of))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(w) for w in split], pa.int64()), pa.array([sum(map(_KEPT.__getitem__, w)) for w in split], pa.int64())], ["doc_id", "n_pretokens", "n_tokens"])
+            kept.update(trie_counts({w for words in split for w in words if w not in kept}, of))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(w) for w in split], pa.int64()), pa.array([sum(map(kept.__getitem__, w)) for w in split], pa.int64())], ["doc_id", "n_pretokens", "n_tokens"])
 
+    bounded_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_pretokens long, n_tokens long")
