@@ -18,9 +18,9 @@ from .common import blocks, bounded_batches, texts
 #: Characters of text taken at a time, so that a block's words make a batch worth a query.
 BLOCK_BYTES = 4_000_000
 #: Distinct words a task keeps with their tokens; beyond it they are encoded anew.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 500_000
 #: Characters of the words of one recursive query.
-QUERY_BYTES = 400_000
+QUERY_BYTES = 800_000
 #: From this length on, a word contracts all places of a safe pair in one step.
 LONG = 128
 
@@ -96,7 +96,7 @@ WITH RECURSIVE enc(w, p, id, nx, live) AS (
 """
 _IDS = "SELECT w, p, id FROM enc WHERE NOT live"
 #: Decoding: each token's bytes, put together in the order of their positions.
-_DECODE = "SELECT w, string_agg(id::VARCHAR, ',' ORDER BY p) AS ids, count(*) AS n, string_agg(hex, '' ORDER BY p) AS decoded FROM ids JOIN tokens USING (id) GROUP BY w"
+_DECODE = "SELECT w, string_agg(text, ',' ORDER BY p) AS ids, count(*) AS n, string_agg(hex, '' ORDER BY p) AS decoded FROM ids JOIN tokens USING (id) GROUP BY w"
 
 
 class Merger:
@@ -117,7 +117,7 @@ class Merger:
         self.db.execute(f"SET memory_limit = '{memory}'")
         self._table("merges", {"a": vocabulary.merges[:, 0], "b": vocabulary.merges[:, 1], "c": vocabulary.merges[:, 2]})
         n = len(vocabulary.tokens)
-        self._table("tokens", {"id": np.arange(n, dtype=np.int32), "hex": [t.hex() for t in vocabulary.tokens]})
+        self._table("tokens", {"id": np.arange(n, dtype=np.int32), "text": [str(i) for i in range(n)], "hex": [t.hex() for t in vocabulary.tokens]})
         self._table("safe", {"id": np.arange(n, dtype=np.int32), "safe": vocabulary.safe})
 
     def close(self) -> None:
@@ -155,7 +155,7 @@ class Merger:
             self.kept.clear()
         split = [self.split(x) for x in some]
         new, size = [], 0
-        for word in {w for words in split for w in words if w not in self.kept}:
+        for word in set().union(*split).difference(self.kept):
             new.append(word)
             size += len(word)
             if size >= QUERY_BYTES:
