@@ -32,6 +32,10 @@ def gated(questions: DataFrame, units: DataFrame, candidates: DataFrame, thresho
 def prompts(questions: DataFrame, units: DataFrame, system: str) -> DataFrame:
     """qid, system, user: the numbered sources, the question, and how to answer it."""
     closing = F.concat(F.lit("\n\nAnswer from the sources above, citing them as [n]. If none of them addresses the question, reply exactly: "), F.lit(answers.NOT_FOUND))
+    if "sides" in questions.columns:  # names of what a comparison compares; none for other questions
+        items = F.array_join(F.transform("sides", lambda s, i: F.concat(F.lit("("), F.char(F.lit(65) + i), F.lit(") "), s)), "; ")
+        each = F.concat(F.lit("\n\nThe question compares: "), items, F.lit(". Describe each item from the sources found for it, citing them as [n], then say what differs. If no source covers an item, say so and answer for the others. If none addresses any item, reply exactly: "), F.lit(answers.NOT_FOUND))
+        closing = F.when(F.size("sides") > 0, each).otherwise(closing)
     c = answers.format_context(units)
     return questions.join(c, "qid").select("qid", F.lit(system).alias("system"), F.concat(F.lit("Sources:\n\n"), "context", F.lit("\n\nQuestion: "), "question", closing).alias("user"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusloom.functions import text as X
+from corpusloom.operators.answers import META_TALK
 
 # Fixed values.
 THRESHOLDS = (0.0, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)
@@ -52,6 +53,18 @@ def retrieval_summary(hits: DataFrame, by: list[str]) -> DataFrame:
     return hits.groupBy(*by).agg(F.count("*").alias("n"), at(1).alias("recall_1"), at(5).alias("recall_5"), at(10).alias("recall_10"), F.avg(F.coalesce(1.0 / F.col("first_hit"), F.lit(0.0))).alias("mrr"))
 
 
+def retrieval_details(hits: DataFrame, by: list[str]) -> DataFrame:
+    """context_recall, all_docs_5 (of comparisons), and the top scores of right answers and of unanswerable questions.
+
+    hits(qtype, answerable, first_hit, context_hit, all_docs, top_score).
+    """
+    ask, right = F.col("answerable"), F.col("answerable") & (F.col("first_hit") == 1)
+    return hits.groupBy(*by).agg(
+        F.coalesce(F.avg(F.when(ask, F.col("context_hit").cast("double"))), F.lit(0.0)).alias("context_recall"), F.coalesce(F.avg(F.when(ask & (F.col("qtype") == "compare"), F.col("all_docs").cast("double"))), F.lit(0.0)).alias("all_docs_5"),
+        F.min(F.when(right, F.col("top_score"))).alias("right_min"), F.median(F.when(right, F.col("top_score"))).alias("right_median"), F.max(F.when(~ask, F.col("top_score"))).alias("unanswerable_max"),
+    )
+
+
 def coverage(golden: DataFrame, sources: DataFrame, chunks: DataFrame) -> DataFrame:
     """qid, missing (strings that the chunks on the cited pages lack), n_chunks.
 
@@ -64,10 +77,10 @@ def coverage(golden: DataFrame, sources: DataFrame, chunks: DataFrame) -> DataFr
 
 
 def score_answers(answers: DataFrame) -> DataFrame:
-    """answers(qid, qtype, answerable, answered, text, must, n_cited, n_correct) with must_found, must_total, status_ok, no_markers."""
+    """answers(qid, qtype, answerable, answered, text, must, n_cited, n_correct) with must_found, must_total, status_ok, no_markers, meta_talk."""
     must = F.when(F.col("answerable"), F.col("must")).otherwise(F.array().cast("array<string>"))
     text = F.when(F.col("answered"), F.col("text")).otherwise("")
-    return answers.select("*", F.size(must).alias("must_total"), F.size(F.filter(must, lambda m: X.holds(text, m))).alias("must_found"), (F.col("answered") == F.col("answerable")).alias("status_ok"), (F.col("answered") & ~text.rlike(r"\[\d+\]")).alias("no_markers"))
+    return answers.select("*", F.size(must).alias("must_total"), F.size(F.filter(must, lambda m: X.holds(text, m))).alias("must_found"), (F.col("answered") == F.col("answerable")).alias("status_ok"), (F.col("answered") & ~text.rlike(r"\[\d+\]")).alias("no_markers"), text.rlike(META_TALK).alias("meta_talk"))
 
 
 def answer_summary(scored: DataFrame, by: list[str]) -> DataFrame:

@@ -129,3 +129,10 @@ def page_coverage(spark, d):
 def overall_and_by_kind(spark, d):
     o = D.outcomes(spark, d)
     return o.rollup("answerable").agg(F.count("*").alias("n"), F.avg(F.col("answered").cast("double")).alias("answered"), F.grouping("answerable").alias("_g")).select(F.when(F.col("_g") == 1, "all").when(F.col("answerable"), "answerable").otherwise("unanswerable").alias("kind"), "n", "answered")
+
+
+@query("SELECT qid % 3 AS config, avg(CASE WHEN quality = 1 THEN (toxic = 0)::INT END)::DOUBLE context_recall, avg(CASE WHEN quality = 1 AND qid % 2 = 0 THEN (qid % 5 > 0)::INT END)::DOUBLE all_docs_5, min(CASE WHEN quality = 1 AND qid % 4 = 0 THEN score END) right_min, median(CASE WHEN quality = 1 AND qid % 4 = 0 THEN score END) right_median, max(CASE WHEN quality = 0 THEN score END) unanswerable_max FROM (SELECT doc_id qid, quality, toxic, " + D.SCORE + " score FROM labels) GROUP BY ALL")
+def retrieval_details(spark, d):
+    i = F.col("doc_id")
+    h = table(spark, d, "labels").select((i % 3).alias("config"), F.when(i % 2 == 0, "compare").otherwise("lookup").alias("qtype"), (F.col("quality") == 1).alias("answerable"), (1 + i % 4).alias("first_hit"), (F.col("toxic") == 0).alias("context_hit"), (i % 5 > 0).alias("all_docs"), ((i * 7919 % 1000).cast("double") / 1000).alias("top_score"))
+    return evaluation.retrieval_details(h, ["config"])

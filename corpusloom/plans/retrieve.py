@@ -208,7 +208,7 @@ def search_groups(spark, d):
     return D.requests(spark, d).select("qid", F.array_sort(F.array_union("groups", F.array(F.lit("all")))).alias("groups"))
 
 
-_A = r"""('a', 'Use it [1, 3]. Then [9].[1]', 3), ('b', 'I could not find the answer in the available documents. [1]', 2), ('c', 'Do this [2]. [2]', 2), ('d', 'Step one. I could not find the answer in the available documents.', 1)"""
+_A = r"""('a', 'Use it [1, 3]. Then [9].[1]', 3), ('b', 'I could not find the answer to this question in the available documents. [1]', 2), ('c', 'Do this [2]. [2]', 2), ('d', 'Step one. I could not find the answer to this question in the available documents.', 1)"""
 
 
 @query("SELECT * FROM (VALUES ('a', [1, 3], [9]), ('b', [1], []::INT[]), ('c', [2], []::INT[]), ('d', []::INT[], []::INT[])) t(qid, cited, invalid)")
@@ -217,15 +217,15 @@ def citations_extract(spark, d):
     return values(spark, _A, "qid, text, n").select("qid", answers.cited(F.col("text"), n).alias("cited"), answers.invalid(F.col("text"), n).alias("invalid"))
 
 
-@query("SELECT * FROM (VALUES ('a', 'Use it [1][3]. Then.[1]', false, false), ('b', 'I could not find the answer in the available documents.', true, false), ('c', 'Do this [2].', false, false), ('d', 'Step one.', false, true)) t(qid, text, refused, dropped)")
+@query("SELECT * FROM (VALUES ('a', 'Use it [1][3]. Then.[1]', false, false), ('b', 'I could not find the answer to this question in the available documents.', true, false), ('c', 'Do this [2].', false, false), ('d', 'Step one.', false, true)) t(qid, text, refused, dropped)")
 def citations_checked(spark, d):
     return values(spark, _A, "qid, text, n").select("qid", answers.check_citations("text", "n").alias("c")).select("qid", "c.text", "c.refused", "c.dropped")
 
 
 @query("SELECT * FROM (VALUES ('q', 1, '- KB0012345 [1]'), ('q', 2, '- https://x.example/a [1]'), ('q', 3, '- KB999999 [2]')) t(qid, pos, line)")
 def missing_references(spark, d):
-    units = values(spark, "('q', 1, 'See KB0012345 and https://x.example/a.'), ('q', 2, 'KB0012345, KB999999 and KB7777')", "qid, n, text")
-    return answers.missing_references(values(spark, "('q', 'as in KB7777')", "qid, text"), units).select("qid", F.col("pos").cast("int").alias("pos"), "line")
+    units = values(spark, "('q', 1, 'See KB0012345 and https://x.example/a.'), ('q', 2, 'KB0012345, KB999999, KB7777 and KB777777')", "qid, n, text")
+    return answers.missing_references(values(spark, "('q', 'as in KB777777')", "qid, text"), units).select("qid", F.col("pos").cast("int").alias("pos"), "line")
 
 
 _CODE = "Run `octree depth 6` or:\n```\nMQL> tidy vault;\nls\nexport A=1\n```\nand `ab`"
@@ -250,7 +250,7 @@ def judged_claims(spark, d):
     return answers.verdicts(rows).select("qid", "pos", "supported", "by_values")
 
 
-@query(f"WITH {_CAND}, f AS (SELECT qid, rank, '[' || rank || '] ' || 'Doc ' || doc_id || ' (' || 'all releases' || '), Section ' || (doc_id % 4) || ', ' || CASE WHEN doc_id % 3 = 0 THEN 'p. 1' ELSE 'pp. 1-' || (1 + doc_id % 3) END || chr(10) || doc_id AS t FROM cand) SELECT qid, string_agg(t, chr(10) || chr(10) ORDER BY rank) AS context FROM f GROUP BY qid")
+@query(f"WITH {_CAND}, f AS (SELECT qid, rank, '[' || rank || '] ' || 'Doc ' || doc_id || ' (applies to all releases) | Section ' || (doc_id % 4) || ' | ' || CASE WHEN doc_id % 3 = 0 THEN 'p. 1' ELSE 'pp. 1-' || (1 + doc_id % 3) END || chr(10) || doc_id AS t FROM cand) SELECT qid, string_agg(t, chr(10) || chr(10) ORDER BY rank) AS context FROM f GROUP BY qid")
 def formatted_context(spark, d):
     i = F.col("doc_id")
     units = _candidates(spark, d).select("qid", F.col("rank").alias("n"), F.concat(F.lit("Doc "), i.cast("string")).alias("title"), F.lit("any").alias("release"), (i % 4).cast("string").alias("section"), F.lit(1).alias("page_start"), (1 + i % 3).cast("int").alias("page_end"), i.cast("string").alias("text"))

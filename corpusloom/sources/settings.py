@@ -14,13 +14,18 @@ class SettingsError(ValueError):
         self.problems = problems
 
 
+# The patterns that hold where an organisation brings none.
+BOILERPLATE = (r"^©", r"^copyright\b", r"^confidential information\b", r"^all rights reserved\b", r"^this document is provided for information purpose", r"^without prior written authori[sz]ation")
+REFERENCES = (r"\bKB\d{6,}\b",)
+
+
 @dataclass(frozen=True)
 class Domain:
     """Patterns an organisation brings: boilerplate lines, commands, article ids."""
 
-    boilerplate: tuple[str, ...] = ()
+    boilerplate: tuple[str, ...] = BOILERPLATE
     commands: tuple[str, ...] = ()
-    references: tuple[str, ...] = (r"\bKB\d{4,}\b",)
+    references: tuple[str, ...] = REFERENCES
 
 
 def domain(given: dict) -> Domain:

@@ -230,3 +230,11 @@ def test_tracer_schema_and_owned_rows(spark):
     assert oplog.owned(spark.createDataFrame([("s", "a"), ("t", "b")], "session_id string, user_id string"), "a").count() == 1
     p = spark.createDataFrame([("a", "p1", 2), ("a", "p2", 2), ("a", "p3", 1)], "doc_id string, path string, parser_version int")
     assert [r.path for r in oplog.latest_parse(p, 2).collect()] == ["p2"]
+
+
+def test_comparison_prompts_name_the_sides(spark):
+    q = spark.createDataFrame([("a", "x or y?", ["x", "y"]), ("b", "z?", [])], "qid string, question string, sides array<string>")
+    u = spark.createDataFrame([(i, 1, "T", "", "1 A", 2, 3, " text ", "x" if i == "a" else "") for i in "ab"], "qid string, n int, title string, release string, section string, page_start int, page_end int, text string, side string")
+    got = {r.qid: r.user for r in answering.prompts(q, u, "s").collect()}
+    assert "[1] T (applies to all releases) | Section 1 A | pp. 2-3 | found for: x\ntext" in got["a"] and "compares: (A) x; (B) y." in got["a"]
+    assert "compares" not in got["b"] and answers.NOT_FOUND in got["b"]
