@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusloom.functions import text as X
+from corpusloom.functions.joins import salted_join
 
 # The manifest's header, its older form, and the file types that are read.
 LEGACY_COLUMNS = ("doc_id", "path", "title", "family", "version", "release_min", "release_max", "allowed_groups", "external_ok", "category")
@@ -66,9 +67,13 @@ def validate(rows: DataFrame, files: DataFrame | None = None) -> DataFrame:
 
 
 def duplicates(rows: DataFrame, key: str) -> DataFrame:
-    """Every row but the first (by line) of its key, with first_line. The firsts are a partial aggregate, not a sort of each key's rows."""
-    first = rows.groupBy(key).agg(F.min("line").alias("first_line"))
-    return rows.join(first, key).where(F.col("line") > F.col("first_line"))
+    """Every row but the first (by line) of its key, with first_line.
+
+    The firsts are a partial aggregate, not a sort of each key's rows; only keys with several rows
+    are joined back, and a large one in several places.
+    """
+    first = rows.groupBy(key).agg(F.min("line").alias("first_line"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    return salted_join(rows, first, [key]).where(F.col("line") > F.col("first_line"))
 
 
 def listing(valid: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -86,7 +91,7 @@ def with_latest(listed: DataFrame) -> DataFrame:
     """listed with is_latest: the version is its family's highest, compared number by number."""
     key = X.version_key(F.col("version"))
     top = listed.groupBy("family").agg(F.max(key).alias("_top"))
-    return listed.join(top, "family").withColumn("is_latest", key == F.col("_top")).drop("_top")
+    return salted_join(listed, top, ["family"]).withColumn("is_latest", key == F.col("_top")).drop("_top")
 
 
 def version_clashes(listed: DataFrame) -> DataFrame:
