@@ -37,23 +37,25 @@ def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> Dat
     """node, component (smallest node reachable) for every node of edges(a, b).
 
     Both stars move neighbours towards the smallest node in sight, so the rounds grow with the
-    logarithm of the longest path. The smallest neighbour is a partial aggregate and the join back
-    is one that Spark splits by size, so a node with very many links is no single task. Each round
-    is written to the shared folder. Nulls and loops join nothing; an empty table gives no rows.
+    logarithm of the longest path. The smallest neighbours are partial aggregates, written down
+    before they are joined back: a join of two plain shuffles is one that Spark splits at a node
+    with very many links. Each round is written to the shared folder, and the one before deleted.
+    Nulls and loops join nothing; an empty table gives no rows.
     """
     now = edges.select("a", "b").where("a is not null and b is not null and a <> b").distinct()
-    seen, at = None, None
+    seen, old = None, []
     for _ in range(most_rounds):
+        at = [scratch.path(name) for name in ("least", "large", "down", "stars")]
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select("b", "a"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = scratch.keep(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least", at[0])
+        large = scratch.keep(both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct(), "large", at[1])
+        down = scratch.keep(large.groupBy("a").agg(F.min("b").alias("m")), "down", at[2])
         small = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(down.select("a", F.col("m").alias("b"))).distinct()
-        before, at = at, scratch.path("stars")
-        now = scratch.keep(small, "stars", at)
+        now = scratch.keep(small, "stars", at[3])
+        for path in (*old, *at[:3]):
+            scratch.drop(path)
+        old = at[3:]
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if before:
-            scratch.drop(before)
         if mark == seen:
             roots = now.select(F.col("b").alias("node")).distinct()
             return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots.select("node", F.col("node").alias("component")))

@@ -130,7 +130,8 @@ def _groups(docs: DataFrame, scratch: Scratch, shingle: int, radius: int, parts:
     links = spark.read.schema(schema).parquet(found)
     labels = components(links, scratch)
     of = distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("c"))
-    least = of.groupBy("c").agg(F.min("least").alias("component_id"))
+    of = scratch.keep(of, "of")
+    least = scratch.keep(of.groupBy("c").agg(F.min("least").alias("component_id")), "least")  # written down, so that a large group's join can be split
     return rows, scratch.keep(of.join(least, "c").select("fp", "c", "component_id"), "named")
 
 
