@@ -13,14 +13,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, bounded_batches, texts
+from .common import blocks, bounded_batches, frugal, texts
 
 #: Characters of text taken at a time, so that a block's words make a batch worth a query.
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 3_000_000
 #: Distinct words a task keeps with their tokens; beyond it they are encoded anew.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 400_000
 #: Characters of the words of one recursive query.
-QUERY_BYTES = 800_000
+QUERY_BYTES = 500_000
 #: From this length on, a word contracts all places of a safe pair in one step.
 LONG = 128
 
@@ -169,6 +169,7 @@ class Merger:
 
 
 def _run(shared, make, names: list[str], kinds: list[pa.DataType]):
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with closing(Merger(shared.value)) as merger:  # nothing of it outlives the task
             for b in blocks(batches, "text", BLOCK_BYTES):
@@ -227,6 +228,7 @@ def decode(encoded: DataFrame, vocab: Vocabulary | None = None) -> DataFrame:
     """
     shared = encoded.sparkSession.sparkContext.broadcast(vocab or vocabulary())
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = len(shared.value.tokens)
         with closing(Merger(shared.value)) as merger:

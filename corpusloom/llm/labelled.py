@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, bounded_batches, held_out, texts
+from .common import blocks, bounded_batches, frugal, held_out, texts
 
 #: Characters of the longest text that may be in a sample; it bounds what the driver holds.
 LONGEST_SAMPLE = 20_000
@@ -38,6 +38,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: dict[i
 def scored(docs: DataFrame, scorer: Callable[[], Callable[[list[str]], np.ndarray]], threshold: float, block_bytes: int = 2_000_000) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of docs; scorer() is made once a task."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = scorer()
         for b in blocks(batches, "text", block_bytes):
@@ -53,6 +54,7 @@ def kept(docs: DataFrame, scorer: Callable[[], Callable[[list[str]], np.ndarray]
     """The rows of docs, all columns, whose prediction is `keep`; the texts move no further than this task."""
     names = docs.columns
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = scorer()
         for b in blocks(batches, "text", block_bytes):

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, frugal
 from .components import components, forest
 from .vectors import by_id, finite, matrix
 
@@ -96,6 +96,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def _place(shared, width: int, reach: int):
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         for whole in batches:
@@ -109,6 +110,7 @@ def _place(shared, width: int, reach: int):
 
 
 def _tally(cells: int):
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         homes, visits = np.zeros(cells, np.int64), np.zeros(cells, np.int64)
         for b in batches:
@@ -149,6 +151,7 @@ class Chunks:
 def _deal(shared):
     """A row for each chunk and share a vector goes to: as a candidate (side 0) or as a visitor (side 1)."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks = shared.value
         for whole in batches:

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, bounded_batches, release, texts
+from .common import Scratch, bounded_batches, frugal, give_back, release, texts
 from .components import components, forest
 
 SEED = 42
@@ -53,6 +53,7 @@ def ball(radius: int) -> np.ndarray:
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fp (the 64 bits as a signed long), a row for each row of docs."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(x, shingle) for x in texts(b)], np.uint64).view(np.int64)
@@ -65,6 +66,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 def _emit(part: int, parts: int, groups: int, radius: int):
     masks = ball(radius // 2)
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = b.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
@@ -96,6 +98,8 @@ def _collide(radius: int):
         some = np.sort(variant)
         twice = np.unique(some[1:][some[1:] == some[:-1]])
         if not len(twice):
+            del variant, which, some
+            give_back()
             return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
         slot = np.minimum(np.searchsorted(twice, variant), len(twice) - 1)
         hit = twice[slot] == variant
@@ -107,6 +111,8 @@ def _collide(radius: int):
         pair = np.unique(np.stack([head, fp], 1)[head != fp], axis=0)
         pair = pair[np.bitwise_count(pair[:, 0] ^ pair[:, 1]) <= radius]  # two variants of one value are as near as this
         a, b = forest(pair[:, 0].view(np.int64), pair[:, 1].view(np.int64))
+        del variant, which, some, hit, slot, fp, order
+        give_back()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run

@@ -9,7 +9,7 @@ from math import log
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import blocks, bounded_batches, texts
+from .common import blocks, bounded_batches, frugal, texts
 
 BLOCK_BYTES = 8_000_000
 #: Distinct pre-tokens a task keeps with their counts; beyond it they are scored anew.
@@ -90,6 +90,7 @@ def token_counts(docs: DataFrame, model: Unigram | None = None) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(model or unigram())  # a vocabulary: its size does not depend on the data
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = shared.value
         kept: dict[str, int] = {}
