@@ -28,13 +28,19 @@ SMOOTHING = {"suffix": 20.0, "domain": 10.0, "host": 5.0}
 
 _HIDDEN = re.compile(r"(?is)<!--.*?-->|<(script|style|nav|footer|head)\b.*?</\1\s*>")
 _TAG = re.compile(r"(?s)<[^>]*>")
-_LANG = re.compile(r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?\s*([a-z]{2,3})\b")
+#: What only quotes markup, or an html tag that names its language.
+_LANG = re.compile(r"(?is)<(?:!--.*?-->|(?:script\b.*?</script|style\b.*?</style)\s*>|html\b[^>]*?\blang\s*=\s*[\"']?\s*([a-z]{2,3})\b)")
 
 
 def visible(page: str) -> str:
     return html.unescape(_TAG.sub(" ", _HIDDEN.sub(" ", page)))
 
 
+def declared_language(page: str) -> str | None:
+    """The language of the first html tag that names one, however far into the page; comments, scripts and styles are passed over."""
+    return next((m[1].lower() for m in _LANG.finditer(page) if m[1]), None)
+
+
 def grams(text: str) -> np.ndarray:
     """Hashed trigrams of the lower-cased text's bytes, white space as one blank."""
     raw = np.frombuffer((" " + " ".join(text.lower().split()) + " ").encode("utf-8", "surrogatepass"), np.uint8).astype(np.int64)
@@ -67,8 +73,7 @@ def text_evidence(pages: DataFrame, model: np.ndarray, languages: tuple[str, ...
             declared, rows = [], []
             for page in b.column("html").to_pylist():
                 page = page or ""
-                m = _LANG.search(page[:4096])
-                declared.append(m[1].lower() if m else None)
+                declared.append(declared_language(page))
                 g = grams(visible(page))
                 e = table[:, g].sum(1) * min(1.0, MOST_GRAMS / max(1, len(g)))
                 rows.append(e - e.max())

@@ -210,3 +210,10 @@ class TestLanguages:
     def test_empty_table(self, spark, small):
         e = spark.createDataFrame([], "page_id long, url string, html string")
         assert langid.languages_of(e, spark.read.parquet(f"{small}/documents.parquet")).count() == 0
+
+    def test_a_late_html_tag_declares(self, spark, small):
+        late = {1: "<!-- " + "licence " * 1_000 + "-->", 2: "<?xml version='1.0'?>" + " \n" * 3_000, 3: "plain words " * 500, 4: "<!-- <html lang='de'> -->" * 300, 5: "<script>x = \"<html lang='de'>\"</script>" * 300}
+        rows = [(i, f"https://h{i}.example.org/", lead + "<html class='a' lang='fr'><p>1 2 3</p></html>") for i, lead in late.items()]
+        rows += [(6, "https://h6.example.org/", "<html><p>1 2 3</p></html><!-- <html lang='de'> -->")]
+        got = {r.page_id: r for r in langid.languages_of(spark.createDataFrame(rows, "page_id long, url string, html string"), spark.read.parquet(f"{small}/documents.parquet")).collect()}
+        assert {i: r.declared for i, r in got.items()} == {**{i: "fr" for i in late}, 6: None}
