@@ -164,17 +164,23 @@ def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS
 def without_near_copies(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, parts: int = PARTS) -> DataFrame:
     """One row of docs, all columns, of each group that simhash_groups finds: the one with the smallest doc_id.
 
-    Of rows with one doc_id the least (by all columns that have an order) stays; a group without
-    any doc_id keeps its least row. Texts move once, to where their id is decided.
+    Of a group's rows with that doc_id the least (by all columns that have an order) stays; a group
+    without any doc_id keeps its least row. An id whose texts are in several groups can stay once in
+    each. Texts move once, to where their id is decided; only those of ids in several groups, and of
+    rows without an id, are fingerprinted again.
     """
-    rows, named = _groups(docs, Scratch(docs.sparkSession, "simhash"), shingle, radius, parts)
-    stay = rows.join(named, "fp").where("doc_id = component_id").select("doc_id").distinct()
+    scratch = Scratch(docs.sparkSession, "simhash")
+    rows, named = _groups(docs, scratch, shingle, radius, parts)
+    ids = rows.where("doc_id is not null").join(named, "fp").groupBy("doc_id").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.bool_or(F.col("doc_id") == F.col("component_id")).alias("stays"))
+    ids = scratch.keep(ids.where("stays").select("doc_id", (F.col("lo") != F.col("hi")).alias("mixed")), "ids")
+    mixed = scratch.keep(ids.where("mixed").select("doc_id"), "mixed")  # written down, so that its size is known and the texts need not move for it
     names = docs.columns
     order = F.struct(*(F.col(f.name) for f in docs.schema if "map<" not in f.dataType.simpleString()))
     whole = F.struct(*names).alias("row")
-    one = docs.where("doc_id is not null").join(stay, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(whole, order).alias("row")).select("row.*")
-    seen = docs.where("doc_id is null").withColumn("_fp", _fingerprint_of("text", shingle)).join(named.where("component_id is null").select(F.col("fp").alias("_fp"), "c"), "_fp")
-    return one.unionByName(seen.groupBy("c").agg(F.min_by(whole, order).alias("row")).select("row.*"))
+    one = docs.where("doc_id is not null").join(ids.where("not mixed").select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(whole, order).alias("row")).select("row.*")
+    several = docs.where("doc_id is null").unionByName(docs.where("doc_id is not null").join(mixed, "doc_id", "left_semi").select(*names))
+    several = several.withColumn("_fp", _fingerprint_of("text", shingle)).join(named.select(F.col("fp").alias("_fp"), F.col("c").alias("_c"), F.col("component_id").alias("_least")), "_fp")
+    return one.unionByName(several.where(F.col("doc_id").eqNullSafe(F.col("_least"))).groupBy("doc_id", "_c").agg(F.min_by(whole, order).alias("row")).select("row.*"))
 
 
 def _fingerprint_of(column: str, shingle: int) -> Column:

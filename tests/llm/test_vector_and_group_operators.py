@@ -82,6 +82,14 @@ class TestSimHash:
         with pytest.raises(ValueError):
             simhash.simhash_groups(d, radius=3)
 
+    def test_one_id_with_texts_of_several_groups(self, spark):
+        a, b, c = ("alpha one two three four five", "beta six seven eight nine ten", "gamma red green blue white black")
+        rows = [(3, a), (7, a), (7, b), (9, b), (9, b), (8, a), (8, c), (None, c), (5, c), (4, a)]
+        d = spark.createDataFrame(rows, "doc_id long, text string")
+        assert sorted(map(tuple, simhash.without_near_copies(d).collect())) == [(3, a), (5, c), (7, b)]
+        alone = spark.createDataFrame([(7, a), (7, b), (7, b)], "doc_id long, text string")
+        assert sorted(map(tuple, simhash.without_near_copies(alone).collect())) == [(7, a), (7, b)]
+
     def test_a_large_group_of_near_copies_is_one(self, spark):
         base = [f"w{i}" for i in range(400)]
         texts = [" ".join([*base[:i], f"x{i}", *base[i + 1 :]]) for i in range(300)] + [" ".join(base)] * 300
