@@ -21,6 +21,8 @@ SAMPLE = {1: 2_000, 0: 4_000}
 WINDOW = 12
 LONGEST_WORD = 40
 TOXIC_DICT, ORDINARY_DICT = 4_096, 32_768
+#: The ordinary dictionary is trained on at most so many words, a seeded choice from all ordinary texts of the sample.
+ORDINARY_WORDS = 60_000
 #: Length of the byte strings whose document frequencies say which words of toxic texts are typical.
 GRAM = 6
 MIN_MATCH = 6
@@ -138,8 +140,11 @@ def summary(gains: np.ndarray) -> list[float]:
     return [top[0], top[:2].sum() if n > 1 else top[0] - 3, top.sum(), over.sum() / n**0.5, over.mean(), np.log(n), np.log1p(over.sum()), (gains >= 3).mean()]
 
 
-def fit(rows: pd.DataFrame, seed: int = 7) -> ToxicityModel:
-    """rows: text, y (1 toxic). Without both kinds every text gets the share of toxic rows as its score."""
+def fit(rows: pd.DataFrame, seed: int = 7, ordinary_words: int = ORDINARY_WORDS) -> ToxicityModel:
+    """rows: text, y (1 toxic). Without both kinds every text gets the share of toxic rows as its score.
+
+    The ordinary dictionary's words are a seeded choice of at most `ordinary_words` from all ordinary rows.
+    """
     y = rows["y"].to_numpy(float)
     toxic, ordinary = (list(dict.fromkeys(rows["text"][y == k])) for k in (1, 0))  # copies count once
     if not toxic or not ordinary:
@@ -156,9 +161,17 @@ def fit(rows: pd.DataFrame, seed: int = 7) -> ToxicityModel:
         return word[min(at[0], max(0, to - SHORTEST_SAMPLE)) : to]
 
     ours = [p for x in toxic for w in words(x) if (p := passage(b" %b " % w))] or [b" %b " % w for x in toxic for w in words(x)]
-    chosen = np.random.default_rng(seed)
-    theirs = [w for x in ordinary[:2_000] for w in sorted({b" %b " % w for w in words(x)}) if not passage(w)] or [b" "]
-    theirs = [theirs[i] for i in np.sort(chosen.choice(len(theirs), min(len(theirs), 60_000), replace=False))]
+    chosen, seen = np.random.default_rng(seed), {}
+
+    def plain(word: bytes) -> bytes:
+        """The padded word, one object however often it comes; nothing where a part of it is typical."""
+        if (p := seen.get(word)) is None:
+            p = b" %b " % word
+            p = seen[word] = b"" if passage(p) else p
+        return p
+
+    theirs = [p for x in ordinary for w in sorted(set(words(x))) if (p := plain(w))] or [b" "]
+    theirs = [theirs[i] for i in np.sort(chosen.choice(len(theirs), min(len(theirs), ordinary_words), replace=False))]
     a, b = _train(TOXIC_DICT, ours), _train(ORDINARY_DICT, theirs)
     gains = _gains(a, b)
     x = np.array([summary(gains(t)) for t in rows["text"]])

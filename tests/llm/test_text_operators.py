@@ -189,6 +189,15 @@ class TestClassifiers:
             texts = ["one text", "another *** text", "x" * 3_000]
             assert np.allclose(score(texts), [score([t])[0] for t in texts])
 
+    def test_all_ordinary_texts_can_be_in_the_dictionary(self, monkeypatch):
+        seen = []
+        monkeypatch.setattr(toxicity, "_train", lambda size, samples: seen.append(samples) or b" " * 8)
+        rows = pd.DataFrame([(f"common early{i % 7} n{i}", 0) for i in range(2_000)] + [(f"common later{i % 7} n{i}", 0) for i in range(2_000, 4_000)] + [(f"vilewords{i}", 1) for i in range(40)], columns=["text", "y"])
+        toxicity.fit(rows)
+        toxicity.fit(rows, ordinary_words=600)
+        assert len(seen[1]) == 12_000 and sum(b"later" in w for w in seen[1]) == 2_000
+        assert len(seen[3]) == 600 and 50 < sum(b"later" in w for w in seen[3]) < 150
+
 
 class TestLanguages:
     def test_query(self, spark):
