@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, frugal
 from .components import components, forest
-from .vectors import by_id, finite, matrix
+from .vectors import distinct, finite, matrix
 
 COSINE = 0.9
 #: Share of pairs at exactly the threshold that the traversal shall meet; nearer pairs are met more often.
@@ -242,28 +242,30 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, recall: float =
     is below the threshold. Each comparison gives counts and a spanning forest, never all pairs.
 
     Vectors that are null, empty, zero, or hold null or non-finite components link with nothing
-    and come back alone. An id that repeats counts once, with its least usable vector; a shorter
-    vector ends in zeros; rows without an id are left out. An empty table gives no rows.
+    and come back alone. Equal rows count once; different vectors of one id are rows of their own,
+    and come back as such. A shorter vector ends in zeros; rows without an id are left out. An empty
+    table gives no rows.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "neardup")
     zero = F.forall("embedding", lambda x: x == 0)
-    rows = scratch.keep(by_id(vectors, finite(F.col("embedding")) & ~F.coalesce(zero, F.lit(True))), "rows")
+    rows = scratch.keep(distinct(vectors, finite(F.col("embedding")) & ~F.coalesce(zero, F.lit(True))), "rows")
     fine = rows.where("v is not null")
-    classes = scratch.keep(fine.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m")).select("rep", "m", "v"), "classes")
+    # an id can be the smallest of several classes, so classes are told apart by a number
+    classes = scratch.keep(fine.groupBy("v").agg(F.min("vec_id").alias("least"), F.count("*").alias("m")).select(F.monotonically_increasing_id().alias("rep"), "least", "m", "v"), "classes")
     n, width = classes.agg(F.count("*"), F.max(F.size("v"))).first()
     alone = rows.where("v is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     if not n:
         return alone
     width = max(2, width)
-    picked = classes.orderBy(F.xxhash64("rep"), "rep").select("v").limit(SAMPLE).toArrow()  # bounded by SAMPLE
+    picked = classes.orderBy(F.xxhash64("least"), "least", "v").select("v").limit(SAMPLE).toArrow()  # bounded by SAMPLE
     sample = _unit(matrix(picked["v"], width))
     words = int(2 ** np.clip(np.round(np.log2(max(1.0, (n / PER_CELL) ** 0.5))), np.log2(LEAST_WORDS), np.log2(MOST_WORDS)))
     index = MultiIndex(sample, words)
     reach = index.reach(sample[:PROBES], cosine, recall)
     shared = spark.sparkContext.broadcast(index)  # two codebooks of at most MOST_WORDS rows
     tasks = max(spark.sparkContext.defaultParallelism, -(-n // 20_000))
-    placed = scratch.keep(classes.repartition(tasks).mapInArrow(_place(shared, width, reach), _PLACED), "placed")
+    placed = scratch.keep(classes.select("rep", "m", "v").repartition(tasks).mapInArrow(_place(shared, width, reach), _PLACED), "placed")
     cells = words * words
     tally = placed.select("home", "cells").mapInArrow(_tally(cells), "cell int, homes long, visits long").groupBy("cell").agg(F.sum("homes"), F.sum("visits")).collect()  # at most MOST_WORDS squared rows
     homes, visits = np.zeros(cells, np.int64), np.zeros(cells, np.int64)
@@ -274,5 +276,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, recall: float =
     found = scratch.keep(dealt.groupBy("chunk", "part").applyInArrow(_compare(width, cosine), "a long, b long, n long"), "found")
     links = found.where("n > 0").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     labels = components(found.where("n = 0"), scratch).withColumnsRenamed({"node": "rep", "component": "c"})
-    named = scratch.keep(classes.join(links, "rep", "left").join(labels, "rep", "left").select("v", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("c", "rep").alias("component_id")), "named")
+    counted = classes.join(links, "rep", "left").join(labels, "rep", "left")
+    counted = scratch.keep(counted.select("v", "least", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("c", "rep").alias("c")), "counted")
+    ids = scratch.keep(counted.groupBy("c").agg(F.min("least").alias("component_id")), "ids")  # written down, so that a large component's join can be split
+    named = scratch.keep(counted.join(ids, "c").select("v", "n_links", "component_id"), "named")
     return fine.join(named, "v").select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept")).unionByName(alone)

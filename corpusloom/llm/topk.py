@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .common import Scratch
-from .vectors import by_id, finite, matrix
+from .vectors import distinct, finite, matrix
 
 K = 10
 SCALE = 1024
@@ -126,25 +126,27 @@ def topk(vectors: DataFrame, k: int = K, scale: int = SCALE, every: int = QUERY_
     and a bounded number of queries, however many there are.
 
     Vectors that are null, empty, or hold null or non-finite components take no part, nor do rows
-    without an id. An id that repeats counts once, with its least vector; a shorter vector ends in
-    zeros. Fewer candidates than k give fewer rows; an empty table gives none. Scores beyond a long are an error.
+    without an id. Equal rows count once. Different vectors of one id are candidates each, so an id
+    can be in a list several times; a query id has one list, the best of all its vectors. A shorter
+    vector ends in zeros. Fewer candidates than k give fewer rows; an empty table gives none. Scores beyond a long are an error.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "topk")
     whole = F.transform("v", lambda x: F.floor(x * scale).cast("long"))
-    rows = scratch.keep(by_id(vectors, finite(F.col("embedding"))).where("v is not null").select("vec_id", whole.alias("v")), "rows")
+    rows = scratch.keep(distinct(vectors, finite(F.col("embedding"))).where("v is not null").select("vec_id", whole.alias("v")), "rows")
     total = rows.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("w"), F.count_if(F.col("vec_id") % every == 0).alias("q")).first()
     schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("rank", T.IntegerType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.LongType())])
     if not total.n or not total.q:
         return spark.createDataFrame([], schema)
     n, width = -(-total.n // shard), total.w
     groups = -(-total.q // (BLOCK * BLOCKS))
-    dealt = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int")
-    trees = scratch.keep(rows.withColumn("shard", dealt("vec_id", n)).groupBy("shard").applyInArrow(_plant(width), _TREE), "trees")
-    queries = rows.where(F.col("vec_id") % every == 0).withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(groups)).cast("int"))
+    dealt = lambda m, *c: F.pmod(F.xxhash64(*c), F.lit(m)).cast("int")
+    trees = scratch.keep(rows.withColumn("shard", dealt(n, "vec_id", "v")).groupBy("shard").applyInArrow(_plant(width), _TREE), "trees")
+    queries = rows.where(F.col("vec_id") % every == 0).withColumn("part", dealt(groups, "vec_id", "v", F.lit(1)))
     forest = trees.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    pilot = queries.withColumn("shard", dealt("part", n)).groupBy("shard", "part")
+    pilot = queries.withColumn("shard", dealt(n, "part")).groupBy("shard", "part")
     first = forest.groupBy("shard", "part").cogroup(pilot).applyInArrow(_visit(width, k), _HITS)
+    # of all vectors of a query id: k hits of theirs are as high, so none below can be among its k best
     known = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score").cast("double")).otherwise(F.lit(float("-inf"))).alias("kth"))
     started = scratch.keep(queries.join(known.withColumnRenamed("query_id", "vec_id"), "vec_id", "left").withColumn("kth", F.coalesce("kth", F.lit(float("-inf")))), "queries")
     spread = started.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))

@@ -1,4 +1,4 @@
-"""What the vector operators share: which vectors take part, and one of each id."""
+"""What the vector operators share: which vectors take part, and each of an id's vectors once."""
 
 from __future__ import annotations
 
@@ -14,13 +14,13 @@ def finite(vector: Column) -> Column:
     return F.coalesce(fine & (F.size(vector) > 0), F.lit(False))
 
 
-def by_id(vectors: DataFrame, usable: Column) -> DataFrame:
-    """vec_id, v (array<double>): one row for each id, null where none of its vectors is usable.
+def distinct(vectors: DataFrame, usable: Column) -> DataFrame:
+    """vec_id, v (array<double>, null where not usable): one row for each id and vector.
 
-    An id that repeats counts once, with the least of its usable vectors. Rows without an id are left out.
+    Equal rows count once; different vectors of one id are rows of their own. Rows without an id are left out.
     """
-    v = F.when(usable, F.col("embedding").cast("array<double>"))
-    return vectors.where("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
+    named = vectors.where("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    return named.distinct().select("vec_id", F.when(usable, F.col("embedding")).alias("v"))
 
 
 def matrix(column: pa.Array | pa.ChunkedArray, width: int, kind: type = np.float64) -> np.ndarray:

@@ -162,6 +162,11 @@ class TestNearDuplicates:
         assert got == {1: (2, 1), 2: (2, 1), 9: (2, 1), **{i: (0, i) for i in (3, 4, 5, 6, 7, 8)}}
         assert neardup.near_duplicates(spark.createDataFrame([], VEC)).count() == 0
 
+    def test_one_id_with_different_vectors(self, spark):
+        rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (1, [0.0, 1.0], 0), (2, [0.0, 3.0], 0), (3, [5.0, 0.0], 0), (3, [-1.0, -1.0], 0), (4, [-2.0, -2.0], 0), (4, None, 0)]
+        got = sorted(tuple(r) for r in neardup.near_duplicates(spark.createDataFrame(rows, VEC), recall=1.0).collect())
+        assert got == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (3, 1, 3, True), (4, 0, 4, True), (4, 1, 3, False)]
+
     def test_query(self, spark, small):
         assert queries.op6_embedding_near_dedup(spark, small).count() == spark.read.parquet(f"{small}/embeddings.parquet").count()
 
@@ -184,6 +189,16 @@ class TestTopK:
             want |= {(q, r + 1, int(i), int(s[i])) for r, i in enumerate(best)}
         assert {tuple(r) for r in got.collect()} == want
 
+    def test_ids_with_different_vectors_equal_the_sql(self, spark):
+        import duckdb
+
+        x = np.random.default_rng(8).integers(-9, 10, (900, 5)) / 1024
+        rows = spark.createDataFrame([(i % 350, v.tolist(), 0) for i, v in enumerate(x)], VEC).distinct()
+        con = duckdb.connect()
+        con.register("embeddings", rows.toArrow())
+        for shard in (60, 8_192):
+            oracle.same(topk.topk(rows, shard=shard), con, topk.ORACLE_SQL)
+
     def test_boxes_are_tight_and_leaves_small(self):
         x = np.random.default_rng(6).integers(-99, 99, (1_000, 4))
         ids, y, cut, low, high = topk.build(np.arange(1_000), x, 64)
