@@ -37,20 +37,24 @@ def coverage(spark, d):
 def fact_documents(spark, d):
     """Which documents hold which benchmark passage, whole.
 
-    A passage is looked up by its rarest word: documents that hold that word are few, and only they
-    are searched for the passage.
+    A passage is looked up by its rarest inner word: documents that hold that word are few, and only
+    they are searched for the passage. A passage of fewer than three words has no inner word, so all
+    documents are searched for it.
     """
     cut = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     docs = table(spark, d, "documents").select("doc_id", "text")
     words = docs.select("doc_id", F.explode(F.array_distinct(cut(F.col("text")))).alias("word"))
     facts = table(spark, d, "benchmark").select("item_id", F.col("text").alias("fact"))
-    inner = F.expr("slice(_w, 2, greatest(size(_w) - 2, 1))")  # words at the ends may go on in a document
-    asked = facts.withColumn("_w", cut(F.col("fact"))).select("item_id", "fact", F.explode(F.array_distinct(inner)).alias("word"))
+    inner = F.expr("slice(_w, 2, size(_w) - 2)")  # words at the ends may go on in a document
+    facts = facts.withColumn("_w", cut(F.col("fact")))
+    short = facts.where("size(_w) < 3").select("item_id", "fact")
+    asked = facts.where("size(_w) >= 3").select("item_id", "fact", F.explode(F.array_distinct(inner)).alias("word"))
     known = asked.select("word").distinct()
     often = words.join(known, "word", "left_semi").groupBy("word").agg(F.count("*").alias("n"))
     rarest = asked.join(often, "word", "left").groupBy("item_id", "fact").agg(F.min_by("word", F.struct(F.coalesce("n", F.lit(0)), F.col("word"))).alias("word"))
     near = words.join(rarest, "word").select("item_id", "doc_id", "fact").distinct()
-    return near.join(docs, "doc_id").where(F.contains(F.lower("text"), F.lower("fact"))).select("item_id", "doc_id").distinct()
+    holds = F.contains(F.lower("text"), F.lower("fact"))
+    return near.join(docs, "doc_id").where(holds).select("item_id", "doc_id").unionByName(docs.join(short, holds).select("item_id", "doc_id")).distinct()
 
 
 _SCORED = "scored AS (SELECT l.doc_id qid, CASE WHEN l.doc_id % 3 = 0 THEN 'lookup' WHEN l.doc_id % 3 = 1 THEN 'howto' ELSE 'compare' END qtype, quality = 1 answerable, toxic = 0 answered, d.text, l.doc_id % 5 n_cited, l.doc_id % 5 - l.doc_id % 2 * (l.doc_id % 5 > 0)::INT n_correct, (contains(lower(replace(replace(replace(d.text, '`', ''), '*', ''), '_', '')), 'the') )::INT + (contains(lower(d.text), 'zzz'))::INT found FROM labels l JOIN documents d USING (doc_id))"

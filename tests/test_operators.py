@@ -238,3 +238,21 @@ def test_comparison_prompts_name_the_sides(spark):
     got = {r.qid: r.user for r in answering.prompts(q, u, "s").collect()}
     assert "[1] T (applies to all releases) | Section 1 A | pp. 2-3 | found for: x\ntext" in got["a"] and "compares: (A) x; (B) y." in got["a"]
     assert "compares" not in got["b"] and answers.NOT_FOUND in got["b"]
+
+
+def test_short_passages_equal_the_sql(spark, tmp_path):
+    import duckdb
+
+    from corpusloom.plans import evaluate
+    from corpusloom.registry import ORACLES
+    from tests import oracle
+
+    facts = ["foo bar", "Foo", "oo", "...", "", " bar", "bar baz qux", "absent", "bazinga now", None]
+    texts = ["foo barbaz", "a foo bar", "xfoo, bar baz quxx", "nothing ...", "BAZINGA now", "", None]
+    spark.createDataFrame(list(enumerate(facts)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    for t in ("benchmark", "documents"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    for q in (evaluate.fact_documents, evaluate.coverage):
+        oracle.same(q(spark, str(tmp_path)), con, ORACLES[q.__name__])
