@@ -256,3 +256,15 @@ def test_short_passages_equal_the_sql(spark, tmp_path):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
     for q in (evaluate.fact_documents, evaluate.coverage):
         oracle.same(q(spark, str(tmp_path)), con, ORACLES[q.__name__])
+
+
+def test_a_chain_is_followed_to_its_local_end(spark):
+    models = [(f"m{i}", f"m{i + 1}", True, True) for i in range(6)] + [("m6", None, False, True), ("alone", None, True, True), ("keyless", None, True, False)]
+    asked = [("open", "m0"), ("closed", "m0"), ("alone", "alone"), ("shut", "alone"), ("keyless", "keyless")]
+    m = spark.createDataFrame(models, "name string, fallback string, external boolean, ready boolean")
+    r = spark.createDataFrame(asked, "qid string, model string")
+    c = spark.createDataFrame([("open", True), ("closed", True), ("closed", False), ("shut", False)], "qid string, external_ok boolean")
+    want = [("open", i, f"m{i}") for i in range(7)] + [("closed", 6, "m6"), ("alone", 0, "alone"), ("alone", 1, "m6"), ("shut", 1, "m6"), ("keyless", 1, "m6")]
+    assert sorted(map(tuple, answers.fallback_chain(m, r, c).collect())) == sorted(want)
+    named = spark.createDataFrame([*models, ("home", None, False, False)], m.schema)
+    assert [tuple(x) for x in answers.fallback_chain(named, r.where("qid = 'shut'"), c, local="home").collect()] == [("shut", 1, "home")]
