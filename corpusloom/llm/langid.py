@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, blocks, bounded_batches, frugal
@@ -26,19 +26,62 @@ SUFFIXES = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "e
 #: A level's counts weigh against so many pages that look like the level above.
 SMOOTHING = {"suffix": 20.0, "domain": 10.0, "host": 5.0}
 
-_HIDDEN = re.compile(r"(?is)<!--.*?-->|<(script|style|nav|footer|head)\b.*?</\1\s*>")
-_TAG = re.compile(r"(?s)<[^>]*>")
-#: What only quotes markup, or an html tag that names its language.
-_LANG = re.compile(r"(?is)<(?:!--.*?-->|(?:script\b.*?</script|style\b.*?</style)\s*>|html\b[^>]*?\blang\s*=\s*[\"']?\s*([a-z]{2,3})\b)")
+#: Second-level labels under a country's suffix below which names are registered (example.co.uk).
+REGISTRIES = ("ac", "co", "com", "edu", "gov", "gob", "net", "or", "org")
+#: Elements whose content is no running text, and those whose content only quotes markup.
+HIDDEN, QUOTING = ("script", "style", "nav", "footer", "head"), ("script", "style")
+
+_NAME = re.compile(r"[A-Za-z][A-Za-z0-9]*")
+_LANG = re.compile(r"(?i)\blang\s*=\s*(?:[\"']\s*)?([a-z]{2,3})\b")
+
+
+def scan(page: str, skipped: tuple[str, ...]) -> Iterator[tuple[str, str, str]]:
+    """(text before, name in lower case, whole tag) of each tag, and what follows the last one as ("text", "", "").
+
+    One pass from left to right: comments and the elements in `skipped` are passed over with all
+    they hold. What never ends is found to be so once: then `<!--` and the element's opener are
+    plain tags, and a `<` is plain text.
+    """
+    closers = {name: re.compile(rf"(?i)</{name}\s*>") for name in skipped}
+    endless: set[str] = set()
+    at = done = 0
+    while (at := page.find("<", at)) >= 0:
+        if "-->" not in endless and page.startswith("<!--", at):
+            to = page.find("-->", at + 4)
+            if to >= 0:
+                yield page[done:at], "!--", ""
+                at = done = to + 3
+                continue
+            endless.add("-->")
+        name = (m[0].lower() if (m := _NAME.match(page, at + 1)) else "")
+        to = -1 if ">" in endless else page.find(">", at + 1)
+        if to < 0:
+            if name == "html":  # cut off within the tag that may name the language
+                yield page[done:at], name, page[at:]
+                done = at
+                break
+            endless.add(">")
+            at += 1
+            continue
+        if name in closers and name not in endless:
+            if end := closers[name].search(page, to):
+                yield page[done:at], name, ""
+                at = done = end.end()
+                continue
+            endless.add(name)
+        yield page[done:at], name, page[at : to + 1]
+        at = done = to + 1
+    yield page[done:], "", ""
 
 
 def visible(page: str) -> str:
-    return html.unescape(_TAG.sub(" ", _HIDDEN.sub(" ", page)))
+    """What stands outside of tags, comments and hidden elements; a blank in place of each."""
+    return html.unescape(" ".join(text for text, _, _ in scan(page, HIDDEN)))
 
 
 def declared_language(page: str) -> str | None:
     """The language of the first html tag that names one, however far into the page; comments, scripts and styles are passed over."""
-    return next((m[1].lower() for m in _LANG.finditer(page) if m[1]), None)
+    return next((m[1].lower() for _, name, tag in scan(page, QUOTING) if name == "html" and (m := _LANG.search(tag))), None)
 
 
 def grams(text: str) -> np.ndarray:
@@ -85,65 +128,69 @@ def text_evidence(pages: DataFrame, model: np.ndarray, languages: tuple[str, ...
     return pages.select("page_id", "url", "html").mapInArrow(run, f"page_id {kind}, url string, declared string, " + ", ".join(f"e_{i} double" for i in range(len(languages))))
 
 
+def registered_domain(host: Column) -> Column:
+    """The part of a host's name that one owner registers: its last two labels, or three below a country's registry."""
+    labels = F.split(host, r"\.")
+    n = F.size(labels)
+    deep = (n > 2) & (F.length(F.element_at(labels, -1)) == 2) & F.get(labels, n - 2).isin(*REGISTRIES)
+    return F.array_join(F.slice(labels, F.greatest(F.lit(1), n - F.when(deep, 2).otherwise(1)), F.lit(3)), ".")
+
+
 def languages_of(pages: DataFrame, docs: DataFrame, languages: tuple[str, ...] = LANGUAGES, sample: int = SAMPLE) -> DataFrame:
     """page_id, lang, posterior, text_lang, declared, host, n_host for each page.
 
     Text, declared language and suffix give each page a first posterior. Their sums by host, domain
-    and suffix are grouped aggregates; each level's shares are smoothed towards the level above, down
-    to the host, and a page's own part is taken out of its host's sums. The posterior is the product
-    of that prior and the page's own evidence. Hosts join by a shuffle that splits a large host.
-
-    A null or empty html has no text evidence and declares nothing; a null or odd url belongs to the
-    host ''. Repeated rows are pages of their own. Other columns are not read; an empty table gives no rows.
+    and suffix and over all are grouped aggregates. A page's prior is smoothed from all pages down to
+    its host, and the page's own part is taken out of the sums of every level, so that no evidence
+    counts twice. The posterior is the product of that prior and the page's own evidence. Hosts join
+    by a shuffle that splits a large host.
+
+    The text model is fitted on at most `sample` documents of each language, of up to LONGEST_SAMPLE
+    characters, those with the lowest hash of their id; pages are read whole. A null or empty html has no
+    text evidence and declares nothing; a null or odd url belongs to the host ''. Languages with equal
+    posteriors go by their order in `languages`. Repeated rows are pages of their own. Other columns
+    are not read; an empty table gives no rows.
     """
     n = len(languages)
+    each = range(n)
     scratch = Scratch(pages.sparkSession, "langid")
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1))
     rows = text_evidence(pages, text_model(docs, languages, sample), languages)
-    rows = rows.withColumn("host", host).withColumn("suffix", F.regexp_extract("host", r"([^.]*)$", 1)).withColumn("domain", F.regexp_extract("host", r"([^.]*\.[^.]*\.?[^.]*)$", 1))
+    rows = rows.withColumn("host", host).withColumn("suffix", F.regexp_extract("host", r"([^.]*)$", 1)).withColumn("domain", registered_domain(F.col("host")))
     points = F.create_map(*(F.lit(x) for pair in SUFFIXES.items() for x in pair))[F.col("suffix")]
 
-    def told(named, i: int, sure: float):
+    def told(named: Column, i: int, sure: float) -> Column:
         other = (1 - sure) / max(1, n - 1)
         return F.when(~F.coalesce(named.isin(*languages), F.lit(False)), 0.0).when(named == languages[i], float(np.log(sure))).otherwise(float(np.log(other)))
 
-    rows = rows.withColumns({f"l_{i}": F.col(f"e_{i}") + told(F.col("declared"), i, DECLARED) + told(points, i, SUFFIX) for i in range(n)})
-    top = F.greatest(*(F.col(f"l_{i}") for i in range(n)))
+    rows = rows.withColumns({f"l_{i}": F.col(f"e_{i}") + told(F.col("declared"), i, DECLARED) + told(points, i, SUFFIX) for i in each})
+    top = F.greatest(*(F.col(f"l_{i}") for i in each))
     total = sum((F.exp(F.col(f"l_{i}") - top) for i in range(1, n)), F.exp(F.col("l_0") - top))
-    rows = scratch.keep(rows.withColumns({f"p_{i}": F.exp(F.col(f"l_{i}") - top) / total for i in range(n)}), "pages")
-
-    hosts = rows.groupBy("host", "domain", "suffix").agg(F.count("*").alias("n_host"), *(F.sum(f"p_{i}").alias(f"h_{i}") for i in range(n)))
-
-    def up(key: str, letter: str) -> DataFrame:
-        return hosts.groupBy(key).agg(*(F.sum(f"h_{i}").alias(f"{letter}_{i}") for i in range(n)))
-
-    everything = hosts.agg(F.struct(*(F.sum(f"h_{i}").alias(f"g_{i}") for i in range(n)))).scalar()
-    tree = hosts.join(up("domain", "d"), "domain").join(up("suffix", "s"), "suffix").withColumn("_g", everything).select("*", "_g.*").drop("_g")
-
-    def smooth(letter: str, level: str, above):
-        size = sum((F.col(f"{letter}_{j}") for j in range(1, n)), F.col(f"{letter}_0"))
-        k = SMOOTHING[level]
-        return [(F.col(f"{letter}_{i}") + k * above[i]) / (size + k) for i in range(n)]
-
-    every = sum((F.col(f"g_{j}") for j in range(1, n)), F.col("g_0"))
-    prior = [(F.col(f"g_{i}") + 1.0) / (every + n) for i in range(n)]
-    for letter, level in (("s", "suffix"), ("d", "domain")):
-        names = [f"{level}_{i}" for i in range(n)]
-        tree = tree.withColumns(dict(zip(names, smooth(letter, level, prior))))
-        prior = [F.col(x) for x in names]
-    tree = tree.select("host", "n_host", *(f"h_{i}" for i in range(n)), *(f"domain_{i}" for i in range(n)))
-    k = SMOOTHING["host"]
-    joined = rows.join(tree, "host")
-    size = F.col("n_host") - 1
-    joined = joined.withColumns({f"q_{i}": F.log((F.greatest(F.col(f"h_{i}") - F.col(f"p_{i}"), F.lit(0.0)) + k * F.col(f"domain_{i}")) / (size + k)) + F.col(f"l_{i}") for i in range(n)})
-    best = F.greatest(*(F.col(f"q_{i}") for i in range(n)))
+    rows = scratch.keep(rows.withColumns({f"p_{i}": F.exp(F.col(f"l_{i}") - top) / total for i in each}), "pages")
+
+    def summed(table: DataFrame, *keys: str, of: str, to: str) -> DataFrame:
+        return table.groupBy(*keys).agg(F.sum(f"{of}n").alias(f"{to}n"), *(F.sum(f"{of}{i}").alias(f"{to}{i}") for i in each))
+
+    hosts = summed(rows.withColumn("p_n", F.lit(1)), "host", "domain", "suffix", of="p_", to="host_")
+    everything = hosts.agg(F.struct(F.sum("host_n").alias("all_n"), *(F.sum(f"host_{i}").alias(f"all_{i}") for i in each))).scalar()
+    tree = hosts.join(summed(hosts, "domain", of="host_", to="domain_"), "domain").join(summed(hosts, "suffix", of="host_", to="suffix_"), "suffix")
+    tree = tree.drop("domain", "suffix").withColumn("_all", everything).select("*", "_all.*").drop("_all")
+    joined = rows.drop("domain", "suffix").join(tree, "host")
+
+    prior = [F.lit(1.0 / n)] * n
+    for level, k in (("all", float(n)), *SMOOTHING.items()):
+        others = [F.greatest(F.col(f"{level}_{i}") - F.col(f"p_{i}"), F.lit(0.0)) for i in each]
+        joined = joined.withColumns({f"_{level}_{i}": (others[i] + k * prior[i]) / (F.col(f"{level}_n") - 1 + k) for i in each})
+        prior = [F.col(f"_{level}_{i}") for i in each]
+    joined = joined.withColumns({f"q_{i}": F.log(prior[i]) + F.col(f"l_{i}") for i in each})
+    best = F.greatest(*(F.col(f"q_{i}") for i in each))
     whole = sum((F.exp(F.col(f"q_{i}") - best) for i in range(1, n)), F.exp(F.col("q_0") - best))
 
-    def first(letter: str, most):
+    def first(letter: str, most: Column) -> Column:
         made = F.lit(languages[-1])
-        for i in reversed(range(n)):
+        for i in reversed(each):
             made = F.when(F.col(f"{letter}_{i}") == most, languages[i]).otherwise(made)
         return made
 
-    text_best = F.greatest(*(F.col(f"e_{i}") for i in range(n)))
-    return joined.select("page_id", first("q", best).alias("lang"), F.round(1 / whole, 6).alias("posterior"), first("e", text_best).alias("text_lang"), "declared", "host", "n_host")
+    text_best = F.greatest(*(F.col(f"e_{i}") for i in each))
+    return joined.select("page_id", first("q", best).alias("lang"), F.round(1 / whole, 6).alias("posterior"), first("e", text_best).alias("text_lang"), "declared", "host", F.col("host_n").alias("n_host"))
