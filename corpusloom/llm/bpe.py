@@ -21,8 +21,8 @@ BLOCK_BYTES = 3_000_000
 KEPT_WORDS = 500_000
 #: Characters of the words of one recursive query.
 QUERY_BYTES = 500_000
-#: From this length on, a word contracts all places of a safe pair in one step.
-LONG = 128
+#: From this length on, a word is contracted in overlapping pieces, which meet where they hold the same token.
+LONG, PIECE, STRIDE = 128, 48, 32
 
 
 @dataclass(frozen=True)
@@ -77,7 +77,8 @@ WITH RECURSIVE enc(w, p, n, id, nx, live) AS (
    SELECT w, p, (coalesce(lead(p) OVER x, p + n) - p)::INT, id, lead(id) OVER x, true FROM made WINDOW x AS (PARTITION BY w ORDER BY p)
    UNION ALL SELECT * FROM done))
 """
-#: The same for long words, but all places of a safe pair go in one round: in a run of places that touch, every second one.
+#: The same for what several pieces were joined to, but all places of a safe pair go in one round: in a run of places
+#: that touch, every second one.
 _ENCODE_LONG = """
 WITH RECURSIVE enc(w, p, id, nx, live) AS (
   SELECT w, p, id, lead(id) OVER (PARTITION BY w ORDER BY p), true FROM start
@@ -94,7 +95,6 @@ WITH RECURSIVE enc(w, p, id, nx, live) AS (
                         coalesce(lag(yes) OVER (PARTITION BY w ORDER BY p), false) AS gone FROM pick)
    SELECT w, p, id, lead(id) OVER (PARTITION BY w ORDER BY p), live FROM made WHERE NOT gone))
 """
-_IDS = "SELECT w, p, id FROM enc WHERE NOT live"
 #: Decoding: each token's bytes, put together in the order of their positions.
 _DECODE = "SELECT w, string_agg(text, ',' ORDER BY p) AS ids, count(*) AS n, string_agg(hex, '' ORDER BY p) AS decoded FROM ids JOIN tokens USING (id) GROUP BY w"
 
@@ -102,7 +102,7 @@ _DECODE = "SELECT w, string_agg(text, ',' ORDER BY p) AS ids, count(*) AS n, str
 class Merger:
     """DuckDB, in the memory of one worker, over the tables of one vocabulary."""
 
-    def __init__(self, vocabulary: Vocabulary, memory: str = "200MB"):
+    def __init__(self, vocabulary: Vocabulary, memory: str = "400MB"):
         import duckdb
         import regex
 
@@ -115,6 +115,7 @@ class Merger:
         self.db = duckdb.connect()
         self.db.execute("SET threads = 1")
         self.db.execute(f"SET memory_limit = '{memory}'")
+        self.db.execute("SET temp_directory = ''")  # no files: a query's size is bounded instead
         self._table("merges", {"a": vocabulary.merges[:, 0], "b": vocabulary.merges[:, 1], "c": vocabulary.merges[:, 2]})
         n = len(vocabulary.tokens)
         self._table("tokens", {"id": np.arange(n, dtype=np.int32), "text": [str(i) for i in range(n)], "hex": [t.hex() for t in vocabulary.tokens]})
@@ -129,24 +130,77 @@ class Merger:
         self.db.execute(f"CREATE OR REPLACE TEMP TABLE {name} AS SELECT * FROM given")
         self.db.unregister("given")
 
+    def _contract(self, flat: np.ndarray, size: np.ndarray, sql: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Number, position and id of each token of some byte strings, which stand in flat one after the other, in order."""
+        first = np.cumsum(size) - size
+        self._table("start", {"w": np.repeat(np.arange(len(size)), size).astype(np.int32), "p": (np.arange(len(flat)) - np.repeat(first, size)).astype(np.int32), "id": self.bytes[flat]})
+        made = self.db.execute(f"{sql} SELECT w, p, id FROM enc WHERE NOT live ORDER BY w, p").fetchnumpy()
+        return made["w"].astype(np.int64), made["p"].astype(np.int64), made["id"].astype(np.int64)
+
+    def _contract_long(self, flat: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """_contract for long strings, in work that grows with their length and not with its square.
+
+        Tokens are an encoding if and only if each two neighbours are the encoding of their own bytes:
+        contraction never crosses a border that it leaves in the end, and what it does on either side of
+        one neither side sees. So encodings of two overlapping pieces that hold one token in common, in
+        one place, are an encoding of both if the second takes over after it. Pieces without such a token
+        are joined to one and contracted anew, until all meet or one piece is the whole string.
+        """
+        first = np.cumsum(size) - size
+        count = np.maximum(1, -(-(size - PIECE) // STRIDE) + 1)
+        word = np.repeat(np.arange(len(size)), count)
+        start = first[word] + STRIDE * (np.arange(len(word)) - np.repeat(np.cumsum(count) - count, count))
+        end = np.minimum(start + PIECE, (first + size)[word])
+        todo, sql = np.arange(len(word)), _ENCODE
+        piece, at, ids = (np.zeros(0, np.int64),) * 3
+        while True:
+            got = [(piece, at, ids)]
+            ends = np.cumsum((end - start)[todo])
+            for cut in np.split(todo, np.searchsorted(ends, np.arange(QUERY_BYTES, ends[-1], QUERY_BYTES), "right")):
+                if len(cut):
+                    n = (end - start)[cut]
+                    w, p, i = self._contract(np.concatenate([flat[a:b] for a, b in zip(start[cut], end[cut])]), n, sql)
+                    got.append((cut[w], start[cut][w] + p, i))
+            piece, at, ids = (np.concatenate(x) for x in zip(*got))
+            order = np.lexsort((at, piece))
+            piece, at, ids = piece[order], at[order], ids[order]
+            more = np.flatnonzero(word[1:] == word[:-1])  # more[k]: a piece that another of its word follows
+            begins, stops = np.full(len(word), np.iinfo(np.int64).max), np.full(len(word), -1)
+            begins[more], stops[more + 1] = start[more + 1], end[more]
+            key = at << 20 | ids
+            both = np.intersect1d(key[at >= begins[piece]], key[at < stops[piece]]) >> 20
+            meet = np.searchsorted(both, start[more + 1])
+            where = both[np.minimum(meet, len(both) - 1)] if len(both) else np.zeros(len(more), np.int64)
+            met = (meet < len(both)) & (where < end[more])
+            if met.all():
+                last, since = np.full(len(word), np.iinfo(np.int64).max), np.full(len(word), -1)
+                last[more], since[more + 1] = where, where
+                mine = (at <= last[piece]) & (at > since[piece])
+                return word[piece[mine]], (at - first[word[piece]])[mine], ids[mine]
+            joined = np.zeros(len(word), bool)  # to the piece before
+            joined[more[~met] + 1] = True
+            now = np.cumsum(~joined) - 1
+            heads = np.flatnonzero(~joined)
+            tails = np.append(heads[1:], len(word)) - 1
+            kept = (heads == tails)[now[piece]]
+            todo, sql = np.flatnonzero(heads != tails), _ENCODE_LONG
+            word, start, end = word[heads], start[heads], end[tails]
+            piece, at, ids = now[piece[kept]], at[kept], ids[kept]
+
     def _encode(self, words: list[str]) -> None:
         """Puts the words' ids, as text, and what the ids decode to into kept."""
         raw = [w.encode("utf-8", "surrogatepass") for w in words]
         size = np.fromiter(map(len, raw), np.int64, len(raw))
         whole = np.fromiter((self.rank.get(r, -1) for r in raw), np.int32, len(raw))
-        found = []
-        for sql, some in ((_ENCODE, np.flatnonzero((whole < 0) & (size < LONG))), (_ENCODE_LONG, np.flatnonzero((whole < 0) & (size >= LONG)))):
+        one = np.flatnonzero(whole >= 0)  # a word that is a token is that token
+        w, p, ids = [one], [np.zeros(len(one), np.int64)], [whole[one]]
+        for some, contract in ((np.flatnonzero((whole < 0) & (size < LONG)), lambda *x: self._contract(*x, _ENCODE)), (np.flatnonzero((whole < 0) & (size >= LONG)), self._contract_long)):
             if len(some):
-                flat = np.frombuffer(b"".join(raw[i] for i in some), np.uint8)
-                first = np.cumsum(size[some]) - size[some]
-                self._table("start", {"w": np.repeat(some, size[some]).astype(np.int32), "p": (np.arange(len(flat)) - np.repeat(first, size[some])).astype(np.int32), "id": self.bytes[flat]})
-                found.append(f"ids{len(found)}")
-                self.db.execute(f"CREATE OR REPLACE TEMP TABLE {found[-1]} AS {sql}{_IDS}")
-        if len(one := np.flatnonzero(whole >= 0)):  # a word that is a token is that token
-            self._table("whole", {"w": one.astype(np.int32), "p": np.zeros(len(one), np.int32), "id": whole[one]})
-            found.append("whole")
-        ids = " UNION ALL ".join(f"SELECT * FROM {x}" for x in found)
-        for w, text, n, decoded in self.db.execute(f"WITH ids AS ({ids}) {_DECODE}").fetchall():
+                found = contract(np.frombuffer(b"".join(raw[i] for i in some), np.uint8), size[some])
+                for all_, x in zip((w, p, ids), (some[found[0]], *found[1:])):
+                    all_.append(x)
+        self._table("ids", {"w": np.concatenate(w).astype(np.int32), "p": np.concatenate(p).astype(np.int32), "id": np.concatenate(ids).astype(np.int32)})
+        for w, text, n, decoded in self.db.execute(_DECODE).fetchall():
             self.kept[words[w]] = (text, bytes.fromhex(decoded), n)
 
     def encode(self, some: list[str]) -> Iterator[list[tuple[str, bytes, int]]]:
