@@ -17,6 +17,8 @@ THRESHOLD = 0.3
 SAMPLE = {1: 3_000, 0: 1_500}
 #: Bytes of a passage; the last one of a text takes what remains.
 PASSAGE = 512
+#: Bytes whose passages are counted at once, whole passages.
+SLICE = 512 * PASSAGE
 TRIGRAMS = 256
 DISTINCT = 2_048
 HIDDEN, ATTENTION = 24, 12
@@ -42,14 +44,33 @@ def passages(some: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
     A row holds the roots of the shares of hashed byte trigrams, the shares of byte classes, how
     many different trigrams there are, the mean length of words, how far zlib shortens the whole
-    text, and the text's and the passage's length. It does not depend on the other texts.
+    text, and the text's and the passage's length. It does not depend on the other texts. Passages
+    are counted a slice at a time, so that a long text takes little more than its rows.
     """
     raw = [x.encode("utf-8", "surrogatepass") for x in some]
     count = np.array([max(1, -(-len(r) // PASSAGE)) for r in raw], np.int64)
-    flat = np.frombuffer(b"".join(r + b"\0\0" for r in raw) + b"\0\0", np.uint8).astype(np.int64)
-    size = np.array([len(r) for r in raw], np.int64)
+    whole = np.array([(len(zlib.compress(r, 1)) / (len(r) + 16), np.log1p(len(r)) / 10) for r in raw], np.float32).reshape(-1, 2)
+    made, now, held = [], [], 0
+    for r in raw:
+        for a in range(0, max(1, len(r)), SLICE):
+            now.append((r[a : a + SLICE + 2], min(SLICE, len(r) - a)))  # trigrams of a slice's end look ahead
+            held += now[-1][1]
+            if held >= SLICE:
+                made.append(_counts(now))
+                now, held = [], 0
+    if now:
+        made.append(_counts(now))
+    rows = np.concatenate(made) if made else np.zeros((0, WIDTH - 2), np.float32)
+    return np.c_[rows[:, :-1], np.repeat(whole, count, axis=0), rows[:, -1:]], count
+
+
+def _counts(slices: list[tuple[bytes, int]]) -> np.ndarray:
+    """The rows of some slices (their bytes with what follows, and how many are their own), without what a whole text tells."""
+    size = np.array([n for _, n in slices], np.int64)
+    count = np.maximum(1, -(-size // PASSAGE))
+    flat = np.frombuffer(b"".join(r + b"\0\0"[: max(0, n + 2 - len(r))] for r, n in slices) + b"\0\0", np.uint8).astype(np.int64)
     first = np.cumsum(size + 2) - size - 2
-    owner = np.repeat(np.arange(len(raw)), size)
+    owner = np.repeat(np.arange(len(slices)), size)
     inside = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
     at = inside + first[owner]
     piece = (np.cumsum(count) - count)[owner] + inside // PASSAGE
@@ -59,9 +80,7 @@ def passages(some: list[str]) -> tuple[np.ndarray, np.ndarray]:
     grams = np.bincount(piece * TRIGRAMS + (mixed >> 24), minlength=n * TRIGRAMS).reshape(n, TRIGRAMS)
     kinds = np.bincount(piece * _KINDS + _OF[flat[at]], minlength=n * _KINDS).reshape(n, _KINDS) / length
     seen = (np.bincount(piece * DISTINCT + (mixed >> 20) % DISTINCT, minlength=n * DISTINCT).reshape(n, DISTINCT) > 0).sum(1, keepdims=True) / np.minimum(length, DISTINCT)
-    shorter = np.array([len(zlib.compress(r, 1)) / (len(r) + 16) for r in raw])
-    more = np.c_[seen, 1 / (kinds[:, [4]] + 0.02) / 10, np.repeat(np.c_[shorter, np.log1p(size) / 10], count, axis=0), np.log(length) / 10]
-    return np.c_[np.sqrt(grams / length), kinds, more].astype(np.float32), count
+    return np.c_[np.sqrt(grams / length), kinds, seen, 1 / (kinds[:, [4]] + 0.02) / 10, np.log(length) / 10].astype(np.float32)
 
 
 def in_parts(some: list[str], most: int = 500_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -166,12 +185,17 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
     """doc_id, held_out, score (0 to 1, higher: good), predicted (score >= threshold) for every whole text.
 
     Learnt from at most `sample` labelled rows, never from held-out ones; scored where the texts
-    are, without a shuffle. Null text counts as empty: one passage without bytes. Repeated rows are
-    scored as often; a null doc_id is not held out; other columns are not read.
+    are, without a shuffle, long ones a slice at a time. Null text counts as empty: one passage without
+    bytes. Repeated rows are scored as often; a score that equals the threshold is predicted 1; a null
+    doc_id is not held out; other columns are not read; an empty table gives no rows.
     """
     return scored(docs, train(docs, labels, sample).scorer, threshold)
 
 
 def without_poor(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: dict[int, int] = SAMPLE) -> DataFrame:
-    """The rows of docs, all columns, that quality_scores calls good."""
+    """The rows of docs, all columns as they are, that quality_scores calls good.
+
+    Nulls, empty and very long texts are scored as there; repeated rows stay or go together; a score
+    that equals the threshold stays; columns of any name pass through; an empty table gives no rows.
+    """
     return kept(docs, train(docs, labels, sample).scorer, threshold, keep=1)
