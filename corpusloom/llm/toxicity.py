@@ -32,6 +32,8 @@ LEAST_DOCS = 4
 #: Every window begins with this and both dictionaries end with it: the first match's fixed cost is then the same.
 CARRIER = bytes(range(1, 25))
 KEPT_WINDOWS = 200_000
+#: The sample's texts are in so many folds: a text's gains are weighed under dictionaries that its fold did not train.
+FOLDS = 2
 FEATURES = 8
 
 
@@ -140,16 +142,11 @@ def summary(gains: np.ndarray) -> list[float]:
     return [top[0], top[:2].sum() if n > 1 else top[0] - 3, top.sum(), over.sum() / n**0.5, over.mean(), np.log(n), np.log1p(over.sum()), (gains >= 3).mean()]
 
 
-def fit(rows: pd.DataFrame, seed: int = 7, ordinary_words: int = ORDINARY_WORDS) -> ToxicityModel:
-    """rows: text, y (1 toxic). Without both kinds every text gets the share of toxic rows as its score.
+def dictionaries(toxic: list[str], ordinary: list[str], chosen: np.random.Generator, ordinary_words: int = ORDINARY_WORDS) -> tuple[bytes, bytes]:
+    """One trained on the parts of toxic texts that are typical of them, one on words of the ordinary texts.
 
-    The ordinary dictionary's words are a seeded choice of at most `ordinary_words` from all ordinary rows.
+    The ordinary dictionary's words are a seeded choice of at most `ordinary_words` from all ordinary texts.
     """
-    y = rows["y"].to_numpy(float)
-    toxic, ordinary = (list(dict.fromkeys(rows["text"][y == k])) for k in (1, 0))  # copies count once
-    if not toxic or not ordinary:
-        share = np.log((y.sum() + 0.5) / (len(y) - y.sum() + 99.5))
-        return ToxicityModel(b" " * 8, b" " * 8, np.zeros(FEATURES), np.ones(FEATURES), np.r_[np.zeros(FEATURES), share])
     typical = _typical(toxic, ordinary)
 
     def passage(word: bytes) -> bytes:
@@ -161,7 +158,7 @@ def fit(rows: pd.DataFrame, seed: int = 7, ordinary_words: int = ORDINARY_WORDS)
         return word[min(at[0], max(0, to - SHORTEST_SAMPLE)) : to]
 
     ours = [p for x in toxic for w in words(x) if (p := passage(b" %b " % w))] or [b" %b " % w for x in toxic for w in words(x)]
-    chosen, seen = np.random.default_rng(seed), {}
+    seen: dict[bytes, bytes] = {}
 
     def plain(word: bytes) -> bytes:
         """The padded word, one object however often it comes; nothing where a part of it is typical."""
@@ -172,10 +169,32 @@ def fit(rows: pd.DataFrame, seed: int = 7, ordinary_words: int = ORDINARY_WORDS)
 
     theirs = [p for x in ordinary for w in sorted(set(words(x))) if (p := plain(w))] or [b" "]
     theirs = [theirs[i] for i in np.sort(chosen.choice(len(theirs), min(len(theirs), ordinary_words), replace=False))]
-    a, b = _train(TOXIC_DICT, ours), _train(ORDINARY_DICT, theirs)
-    gains = _gains(a, b)
-    x = np.array([summary(gains(t)) for t in rows["text"]])
-    return ToxicityModel(a, b, *calibrate(x, y))
+    return _train(TOXIC_DICT, ours), _train(ORDINARY_DICT, theirs)
+
+
+def fit(rows: pd.DataFrame, seed: int = 7, ordinary_words: int = ORDINARY_WORDS) -> ToxicityModel:
+    """rows: text, y (1 toxic). Without both kinds every text gets the share of toxic rows as its score.
+
+    How gains turn into a score is fitted on each text's gains under dictionaries trained on the other
+    folds, which training did not raise; the model's dictionaries are trained on all texts.
+    """
+    y = rows["y"].to_numpy(float)
+    chosen = np.random.default_rng(seed)
+    toxic, ordinary = (list(dict.fromkeys(rows["text"][y == k])) for k in (1, 0))  # copies count once
+    if not toxic or not ordinary:
+        share = np.log((y.sum() + 0.5) / (len(y) - y.sum() + 99.5))
+        return ToxicityModel(b" " * 8, b" " * 8, np.zeros(FEATURES), np.ones(FEATURES), np.r_[np.zeros(FEATURES), share])
+    made = dictionaries(toxic, ordinary, chosen, ordinary_words)
+    apart = [[x[i] for i in chosen.permutation(len(x))] for x in (toxic, ordinary)]
+    found, of = [], []
+    for fold in range(FOLDS if min(map(len, apart)) >= FOLDS else 1):
+        train = [[t for i, t in enumerate(x) if i % FOLDS != fold] or x for x in apart]
+        gains = _gains(*dictionaries(*train, chosen, ordinary_words))
+        for kind, x in zip((1.0, 0.0), apart):
+            mine = [t for i, t in enumerate(x) if i % FOLDS == fold] if len(x) >= FOLDS else x
+            found += [summary(gains(t)) for t in mine]
+            of += [kind] * len(mine)
+    return ToxicityModel(*made, *calibrate(np.array(found), np.array(of)))
 
 
 def calibrate(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -207,6 +226,10 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRES
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: dict[int, int] = SAMPLE) -> DataFrame:
-    """The rows of docs, all columns, that toxicity_scores does not call toxic."""
+    """The rows of docs, all columns as they are, that toxicity_scores does not call toxic.
+
+    Nulls, empty and very long texts are scored as there; repeated rows stay or go together; a score
+    that equals the threshold goes; columns of any name pass through; an empty table gives no rows.
+    """
     model = train(docs, labels, sample)
     return kept(docs, model.scorer, threshold, keep=0)
