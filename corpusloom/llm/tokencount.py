@@ -86,7 +86,12 @@ def token_counts(docs: DataFrame, model: Unigram | None = None) -> DataFrame:
     """doc_id, n_pretokens, n_tokens of every whole text; pre-tokens are what Unicode white space separates.
 
     A block's distinct pre-tokens go through the trie together; nothing is shuffled. Null text
-    counts as empty (0 and 0). Repeated rows and null ids come back as they are; other columns are not read.
+    counts as empty (0 and 0). Ties between segmentations go to fewer tokens. Repeated rows and null
+    ids come back as they are; other columns are not read; an empty table gives no rows.
+
+    Without a model given, the pieces are the public file's and their probabilities are made up by
+    Zipf's law over their ranks: that file is a BPE model and has none, and tokenizers are not
+    trained here. The counts are those of this unigram model and of no published tokenizer.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model or unigram())  # a vocabulary: its size does not depend on the data
 
