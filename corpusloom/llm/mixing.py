@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import Scratch
+
 #: Weights among siblings; a node that is not named weighs DEFAULT.
 WEIGHTS = {"domain": {"d0": 40, "d1": 30, "d2": 20, "d3": 10}, "lang": {"en": 50, "de": 20, "fr": 20, "es": 10}, "source": {}}
 DEFAULT = 10
@@ -74,44 +76,82 @@ def budgets(leaves: DataFrame, weights: dict[str, dict[str, int]] = WEIGHTS, bud
     return third.join(leaves, list(LEVELS))
 
 
-def mix(docs: DataFrame, weights: dict[str, dict[str, int]] = WEIGHTS, budget: int = BUDGET, epochs: int = EPOCHS, seed: str = SEED) -> DataFrame:
-    """The rows of docs that are taken, with domain, tokens and copies (how many epochs take the row) added.
+def source_tree(docs: DataFrame) -> dict[str, Column]:
+    """The tree's levels for documents with lang and source: the source's domain, its language, the source."""
+    source = F.coalesce("source", F.lit(""))
+    return {"domain": domain(source), "lang": F.coalesce("lang", F.lit("")), "source": source}
 
-    A leaf's share is met by whole epochs and a prefix of one more: its texts in the order of
-    md5(seed:epoch:doc_id), as long as their tokens fit. The order is never sorted as a whole: the
-    first three hex digits are buckets whose tokens are summed, which tells for each leaf the bucket
-    where its share ends, and only that bucket's rows are ordered. Leaves are joined by size, and a
-    large leaf's rows stay spread.
 
-    Null lang or source counts as an empty name; null text has no tokens; texts without tokens
-    cost nothing and are taken where the order reaches them. Rows with one doc_id stand together in
-    the order. Clashing columns (domain, tokens, copies) of docs are replaced. An empty table gives no rows.
+def _mark(levels: dict[str, Column]) -> Column:
+    """Tells rows of one id apart: by leaf and text."""
+    return F.xxhash64(*(levels[c] for c in LEVELS), F.col("text"))
+
+
+def decide(docs: DataFrame, scratch: Scratch, weights: dict[str, dict[str, int]] = WEIGHTS, budget: int = BUDGET, epochs: int = EPOCHS, seed: str = SEED, tree: dict[str, Column] | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """id, mark, domain, lang, source (the leaf), tokens, copies, and `carried` (a struct of the columns to carry) of the rows taken.
+
+    The texts are read once: ids, leaves and token counts are written to the shared folder, and all
+    that follows works on that narrow table. A leaf's share is met by whole epochs and a prefix of
+    one more: its rows in the order of md5(seed:epoch:doc_id), as long as their tokens fit. The order
+    is never sorted as a whole: tokens are summed by the key's first three hex digits, then, in the
+    bucket where the share ends, by the next three; what is then ordered row by row is one in 16
+    million of a leaf. Rows of a leaf stay spread over SALTS places. Rows with the same id, leaf and
+    number of tokens are taken or left together.
     """
-    own = [c for c in docs.columns if c not in ("domain", "tokens", "copies")]
-    rows = docs.select(*own, F.coalesce("lang", F.lit("")).alias("_lang"), F.coalesce("source", F.lit("")).alias("_source"), tokens(F.col("text")).alias("tokens"))
-    rows = rows.withColumn("_domain", domain(F.col("_source")))
-    leaf = ["_domain", "_lang", "_source"]
-    supply = rows.groupBy(*leaf).agg(F.sum("tokens").alias("supply")).toDF(*LEVELS, "supply")
+    levels = tree or source_tree(docs)
+    leaf = list(LEVELS)
+    carried = [F.struct(*(F.col(f"`{c}`") for c in carry)).alias("carried")] if carry else []
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int").alias("salt")
+    rows = scratch.keep(docs.select(F.col("doc_id").alias("id"), _mark(levels).alias("mark"), *(levels[c].alias(c) for c in LEVELS), tokens(F.col("text")).alias("tokens"), salt, *carried), "rows")
+    supply = rows.groupBy(*leaf).agg(F.sum("tokens").alias("supply"))
     plan = budgets(supply, weights, budget, epochs).withColumn("whole", F.when(F.col("supply") > 0, F.expr("share div supply")).otherwise(F.lit(0)))
-    plan = plan.select(*(F.col(c).alias(f"_{c}") for c in LEVELS), F.col("whole").cast("int").alias("_whole"), (F.col("share") - F.col("whole") * F.col("supply")).alias("_rest"))
-    plan = plan.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    met = [*leaf, "_salt"]
-    key = F.md5(F.concat_ws(":", F.lit(seed), F.col("_whole").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    bucket = F.substring(key, 1, 3)
-    light = rows.select(*met, "doc_id", "tokens").join(plan, met).withColumn("_bucket", bucket)
-    sums = light.groupBy(*leaf, "_rest", "_bucket").agg(F.sum("tokens").alias("n"))
-    upto = F.sum("n").over(Window.partitionBy(*leaf).orderBy("_bucket"))
-    ends = sums.withColumn("upto", upto).where("upto > _rest").groupBy(*leaf).agg(F.min(F.struct("_bucket", (F.col("upto") - F.col("n")).alias("base"))).alias("_end"))
-    ended = plan.join(ends, leaf, "left")
-    placed = rows.join(ended, met).withColumn("_key", key).withColumn("_bucket", F.substring("_key", 1, 3))
-    inside = F.col("_end").isNull() | (F.col("_bucket") < F.col("_end._bucket"))
-    edge = placed.where(F.col("_bucket") == F.col("_end._bucket"))
-    run = F.sum("tokens").over(Window.partitionBy(*leaf).orderBy("_key", "doc_id", "tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    edge = edge.withColumn("_extra", (F.col("_end.base") + run <= F.col("_rest")).cast("int"))
-    rest = placed.where(F.coalesce(F.col("_bucket") != F.col("_end._bucket"), F.lit(True))).withColumn("_extra", inside.cast("int"))
-    both = rest.unionByName(edge).withColumn("copies", F.col("_whole") + F.col("_extra")).where("copies > 0")
-    return both.select(*own, F.col("_domain").alias("domain"), "tokens", "copies")
+    plan = scratch.keep(plan.select(*leaf, F.col("whole").cast("int").alias("whole"), (F.col("share") - F.col("whole") * F.col("supply")).alias("rest")), "plan")
+
+    def meet(left: DataFrame, small: DataFrame, how: str = "inner") -> DataFrame:
+        return left.join(small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*leaf, "salt"], how)
+
+    def end(part: DataFrame, digits: Column, name: str) -> DataFrame:
+        """For each leaf the bucket of the key's digits in which its rest is used up, and the tokens before it."""
+        sums = part.groupBy(*leaf, "rest", "base", digits.alias("b")).agg(F.sum("tokens").alias("n"))
+        upto = F.col("base") + F.sum("n").over(Window.partitionBy(*leaf).orderBy("b"))
+        found = sums.withColumn("upto", upto).where("upto > rest").groupBy(*leaf).agg(F.min(F.struct("b", (F.col("upto") - F.col("n")).alias("base"))).alias("e"))
+        return scratch.keep(found.select(*leaf, F.col("e.b").alias("end"), F.col("e.base").alias("base")), name)
+
+    key = F.md5(F.concat_ws(":", F.lit(seed), F.col("whole").cast("string"), F.coalesce(F.col("id").cast("string"), F.lit(""))))
+    rows = meet(rows, plan).withColumn("key", key)
+    one, two = F.substring("key", 1, 3), F.substring("key", 4, 3)
+    edge = meet(rows, end(rows.withColumn("base", F.lit(0).cast("long")), one, "ends")).where(one == F.col("end")).drop("end")
+    edge = meet(edge.drop("base"), end(edge, two, "closer")).where(two == F.col("end"))
+    sums = edge.groupBy(*leaf, "rest", "base", "key", "id", "tokens").agg(F.sum("tokens").alias("n"))
+    upto = F.col("base") + F.sum("n").over(Window.partitionBy(*leaf).orderBy("key", "id", "tokens"))
+    stops = scratch.keep(sums.withColumn("upto", upto).where("upto > rest").groupBy(*leaf).agg(F.min(F.struct("key", "id", "tokens")).alias("stop")), "stops")
+    # a struct is less than another by its first different field, a null first: the order of the window above
+    fits = F.coalesce(F.struct("key", "id", "tokens") < F.col("stop"), F.lit(True))
+    taken = meet(rows, stops, "left").withColumn("copies", F.col("whole") + fits.cast("int")).where("copies > 0")
+    return taken.select("id", "mark", *leaf, "tokens", "copies", *(["carried"] if carry else []))
+
+
+def mix(docs: DataFrame, weights: dict[str, dict[str, int]] = WEIGHTS, budget: int = BUDGET, epochs: int = EPOCHS, seed: str = SEED, tree: dict[str, Column] | None = None) -> DataFrame:
+    """row (a struct of all columns of docs, as they are), domain, lang, source (the leaf), tokens, copies of each row taken.
+
+    Which rows, `decide` says, on a narrow table; copies is how many epochs take the row. tree names
+    the levels, from the top, where they are not those of documents: expressions for domain, lang and
+    source. Texts meet the decisions by id and move for that once at most, not at all while the
+    decisions are small enough for Spark to send to all tasks.
+
+    Null lang or source counts as an empty name; null text has no tokens; texts without tokens
+    cost nothing and are taken where the order reaches them. Equal keys go by id, then tokens;
+    repeated rows are taken or left together; a null id is an id like others. Columns of any name
+    stay as they are, inside `row`. An empty table gives no rows.
+    """
+    scratch = Scratch(docs.sparkSession, "mixing")
+    levels = tree or source_tree(docs)
+    taken = decide(docs, scratch, weights, budget, epochs, seed, levels).select("id", "mark", "tokens", "copies").distinct()
+    taken = scratch.keep(taken, "taken")  # written down, so that its size is known
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    wide = docs.select(whole, F.col("doc_id").alias("id_"), _mark(levels).alias("mark_"), *(levels[c].alias(c) for c in LEVELS))
+    met = wide.join(taken, F.col("id_").eqNullSafe(F.col("id")) & (F.col("mark_") == F.col("mark")))
+    return met.select("row", *LEVELS, "tokens", "copies")
 
 
 def _sql_weight(level: str) -> str:
@@ -141,7 +181,7 @@ WITH toks AS (SELECT *, coalesce(lang, '') l_, coalesce(source, '') s_, coalesce
   {_sql_fill("low", f"SELECT leaves.domain, leaves.lang, leaves.source, (epoch * {epochs})::BIGINT supply, mid.share given, epoch FROM leaves JOIN mid USING (domain, lang)", "domain, lang", "source")},
   plan AS (SELECT domain, lang, source, CASE WHEN epoch > 0 THEN share // epoch ELSE 0 END AS whole, share - CASE WHEN epoch > 0 THEN share // epoch ELSE 0 END * epoch rest FROM low),
   keyed AS (SELECT t.*, p.whole, p.rest, md5('{seed}:' || p.whole::VARCHAR || ':' || coalesce(t.doc_id::VARCHAR, '')) k FROM toks t JOIN plan p ON t.d_ = p.domain AND t.l_ = p.lang AND t.s_ = p.source),
-  placed AS (SELECT *, sum(tokens) OVER (PARTITION BY d_, l_, s_ ORDER BY k, doc_id, tokens ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) <= rest extra FROM keyed),
+  placed AS (SELECT *, sum(tokens) OVER (PARTITION BY d_, l_, s_ ORDER BY k, doc_id NULLS FIRST, tokens) <= rest extra FROM keyed),
   mixed AS (SELECT * EXCLUDE (k, rest, extra, whole), d_ AS domain, (whole + extra::INT)::INT copies FROM placed WHERE whole + extra::INT > 0)
 SELECT {columns} FROM mixed
 """

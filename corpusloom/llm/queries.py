@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import bpe, chat, langid, mixing, neardup, quality, simhash, tokencount, topk, toxicity
-from .common import read
+from .common import Scratch, read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,7 +26,8 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "lang", "source", "domain", "tokens", "copies")
+    taken = mixing.decide(read(spark, sf_dir, "documents"), Scratch(spark, "mixing"), carry=("lang", "source"))
+    return taken.select(F.col("id").alias("doc_id"), "carried.*", "domain", "tokens", "copies")
 
 
 def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
