@@ -18,7 +18,7 @@ from .components import components, forest
 SEED = 42
 SHINGLE = 4
 RADIUS = 4
-#: Parts of the variant space, one after the other: each part's shuffle is a small multiple of the fingerprints.
+#: Classes of the variant space (a power of two), one after the other: each one's shuffle is a small multiple of the fingerprints.
 PARTS = 8
 #: Variants that one group sorts at once, in the mean.
 GROUP_VARIANTS = 1_500_000
@@ -63,28 +63,44 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
+def _classes(masks: np.ndarray, parts: int) -> np.ndarray:
+    """A class below `parts` (a power of two) for each value, such that the class of a ^ b is that of a ^ that of b.
+
+    A bit of the class is the parity of about half the value's bits. So every fingerprint has about
+    as many variants in each class, and its masks for a class are known without making the others.
+    """
+    draw = np.random.default_rng(SEED)
+    made = np.zeros(len(masks), np.int64)
+    for bit in range(parts.bit_length() - 1):
+        made |= (np.bitwise_count(masks & draw.integers(0, 2**64, dtype=np.uint64)) & 1).astype(np.int64) << bit
+    return made
+
+
 def _emit(part: int, parts: int, groups: int, radius: int):
+    """The variants of class `part` of each fingerprint, packed by group: a mask's class is the fingerprint's ^ part."""
     masks = ball(radius // 2)
+    of = _classes(masks, parts)
 
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = b.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
-            for at in range(0, len(fps), 512):
-                variant = (fps[at : at + 512, None] ^ masks[None, :]).ravel()
-                mixed = (variant * _MIX) >> np.uint64(32)
-                mine = np.flatnonzero(mixed % np.uint64(parts) == part)
-                group = ((mixed[mine] // np.uint64(parts)) % np.uint64(groups)).astype(np.int32)
-                order = np.argsort(group, kind="stable")
-                mine, group = mine[order], group[order]
-                ends = np.flatnonzero(np.diff(group, append=-1)) + 1
-                starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
-                which = (mine % len(masks)).astype("<u2")
-                values = variant[mine]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(group[starts]), pa.array([values[s:e].tobytes() for s, e in zip(starts, ends)], pa.binary()), pa.array([which[s:e].tobytes() for s, e in zip(starts, ends)], pa.binary())],
-                    ["g", "variant", "mask"],
-                )
+            mine = _classes(fps, parts) ^ part
+            for c in range(parts):
+                which = np.flatnonzero(of == c).astype("<u2")
+                some = fps[mine == c]
+                for at in range(0, len(some), 4096):
+                    values = (some[at : at + 4096, None] ^ masks[which][None, :]).ravel()
+                    told = np.tile(which, len(values) // max(1, len(which)))
+                    group = (((values * _MIX) >> np.uint64(32)) % np.uint64(groups)).astype(np.int32)
+                    order = np.argsort(group, kind="stable")
+                    values, told, group = values[order], told[order], group[order]
+                    ends = np.flatnonzero(np.diff(group, append=-1)) + 1
+                    starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(group[starts]), pa.array([values[s:e].tobytes() for s, e in zip(starts, ends)], pa.binary()), pa.array([told[s:e].tobytes() for s, e in zip(starts, ends)], pa.binary())],
+                        ["g", "variant", "mask"],
+                    )
 
     return run
 
@@ -120,8 +136,8 @@ def _collide(radius: int):
 
 def _groups(docs: DataFrame, scratch: Scratch, shingle: int, radius: int, parts: int) -> tuple[DataFrame, DataFrame]:
     """rows(doc_id, fp), and for each fingerprint its group and the group's smallest doc_id: fp, c, component_id."""
-    if radius % 2:
-        raise ValueError("radius must be even")
+    if radius % 2 or parts & (parts - 1):
+        raise ValueError("radius must be even and parts a power of two")
     spark = docs.sparkSession
     rows = scratch.keep(fingerprints(docs, shingle), "rows")
     distinct = scratch.keep(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
@@ -167,20 +183,22 @@ def without_near_copies(docs: DataFrame, shingle: int = SHINGLE, radius: int = R
     Of a group's rows with that doc_id the least (by all columns that have an order) stays; a group
     without any doc_id keeps its least row. An id whose texts are in several groups can stay once in
     each. Texts move once, to where their id is decided; only those of ids in several groups, and of
-    rows without an id, are fingerprinted again.
+    rows without an id, are fingerprinted again. Null, empty and very long texts are as in
+    simhash_groups; columns of any name pass through as they are; an empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     rows, named = _groups(docs, scratch, shingle, radius, parts)
     ids = rows.where("doc_id is not null").join(named, "fp").groupBy("doc_id").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.bool_or(F.col("doc_id") == F.col("component_id")).alias("stays"))
     ids = scratch.keep(ids.where("stays").select("doc_id", (F.col("lo") != F.col("hi")).alias("mixed")), "ids")
     mixed = scratch.keep(ids.where("mixed").select("doc_id"), "mixed")  # written down, so that its size is known and the texts need not move for it
-    names = docs.columns
-    order = F.struct(*(F.col(f.name) for f in docs.schema if "map<" not in f.dataType.simpleString()))
-    whole = F.struct(*names).alias("row")
-    one = docs.where("doc_id is not null").join(ids.where("not mixed").select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(whole, order).alias("row")).select("row.*")
-    several = docs.where("doc_id is null").unionByName(docs.where("doc_id is not null").join(mixed, "doc_id", "left_semi").select(*names))
-    several = several.withColumn("_fp", _fingerprint_of("text", shingle)).join(named.select(F.col("fp").alias("_fp"), F.col("c").alias("_c"), F.col("component_id").alias("_least")), "_fp")
-    return one.unionByName(several.where(F.col("doc_id").eqNullSafe(F.col("_least"))).groupBy("doc_id", "_c").agg(F.min_by(whole, order).alias("row")).select("row.*"))
+    order = F.struct(*(F.col(f"row.`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()))
+    # the caller's columns are one struct, so that none meets a name used here
+    whole = docs.select(F.col("doc_id").cast("long").alias("id"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    some = whole.where("id is not null")
+    clear = some.join(ids.where("not mixed").select(F.col("doc_id").alias("id")), "id", "left_semi").groupBy("id").agg(F.min_by("row", order).alias("row"))
+    several = whole.where("id is null").unionByName(some.join(mixed.withColumnRenamed("doc_id", "id"), "id", "left_semi"))
+    several = several.withColumn("fp", _fingerprint_of("row.text", shingle)).join(named, "fp").where(F.col("id").eqNullSafe(F.col("component_id")))
+    return clear.select("row.*").unionByName(several.groupBy("id", "c").agg(F.min_by("row", order).alias("row")).select("row.*"))
 
 
 def _fingerprint_of(column: str, shingle: int) -> Column:
