@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Scratch, frugal
 from .components import components, forest
@@ -18,11 +19,12 @@ COSINE = 0.9
 RECALL = 0.97
 #: The codebooks and the length of the traversal are fitted on at most so many vectors; every vector is indexed.
 SAMPLE, PROBES = 16_384, 1_500
-PER_CELL, LEAST_WORDS, MOST_WORDS = 48, 4, 512
+PER_CELL, LEAST_WORDS, MOST_WORDS = 48, 4, 1_024
 #: Candidates and visitors that a task compares at once.
 CHUNK, VISITORS = 4_096, 20_000
-_PLACED = "rep long, m long, v array<double>, home int, cells binary"
-_DEALT = "chunk int, part int, side int, rep long, m long, v array<double>, home int, cells binary"
+#: Vectors travel as bytes of the kind their components came in: nothing is lost, and floats take half of what doubles do.
+_PLACED = "rep long, m long, v binary, home int, cells binary"
+_DEALT = "chunk int, part int, side int, rep long, m long, v binary, home int, cells binary"
 
 
 def codebook(x: np.ndarray, words: int, seed: int, rounds: int = 12) -> np.ndarray:
@@ -95,16 +97,17 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 
-def _place(shared, width: int, reach: int):
+def _place(shared, width: int, reach: int, kind: type):
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 b = whole.slice(at, 1024)
-                x = _unit(matrix(b.column("v"), width))
-                cells = index.visits(x, reach)
-                yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("m"), b.column("v"), pa.array(cells[:, 0], pa.int32()), pa.array([c.tobytes() for c in cells], pa.binary())], ["rep", "m", "v", "home", "cells"])
+                x = matrix(b.column("v"), width)
+                cells = index.visits(_unit(x), reach)
+                raw = pa.array([r.tobytes() for r in x.astype(kind)], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("m"), raw, pa.array(cells[:, 0], pa.int32()), pa.array([c.tobytes() for c in cells], pa.binary())], ["rep", "m", "v", "home", "cells"])
 
     return run
 
@@ -177,7 +180,7 @@ def _deal(shared):
     return run
 
 
-def _compare(width: int, cosine: float):
+def _compare(width: int, cosine: float, kind: type):
     """What one chunk's candidates and one share of its visitors link: numbers of links, and a forest of them.
 
     A pair is met when either visits the other's cell. The visitor counts it for itself; for the
@@ -186,7 +189,7 @@ def _compare(width: int, cosine: float):
 
     def run(table: pa.Table) -> pa.Table:
         side = table["side"].to_numpy()
-        x = matrix(table["v"], width)
+        x = np.frombuffer(b"".join(table["v"].to_pylist()), kind).reshape(-1, width).astype(float)
         unit, norm = _unit(x), np.linalg.norm(x, axis=1)
         rep, m, home = (table[c].to_numpy() for c in ("rep", "m", "home"))
         cells = [np.frombuffer(c, np.int32) for c in table["cells"].to_pylist()]
@@ -258,6 +261,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, recall: float =
     if not n:
         return alone
     width = max(2, width)
+    kind = np.float32 if isinstance(vectors.schema["embedding"].dataType.elementType, T.FloatType) else np.float64
     picked = classes.orderBy(F.xxhash64("least"), "least", "v").select("v").limit(SAMPLE).toArrow()  # bounded by SAMPLE
     sample = _unit(matrix(picked["v"], width))
     words = int(2 ** np.clip(np.round(np.log2(max(1.0, (n / PER_CELL) ** 0.5))), np.log2(LEAST_WORDS), np.log2(MOST_WORDS)))
@@ -265,7 +269,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, recall: float =
     reach = index.reach(sample[:PROBES], cosine, recall)
     shared = spark.sparkContext.broadcast(index)  # two codebooks of at most MOST_WORDS rows
     tasks = max(spark.sparkContext.defaultParallelism, -(-n // 20_000))
-    placed = scratch.keep(classes.select("rep", "m", "v").repartition(tasks).mapInArrow(_place(shared, width, reach), _PLACED), "placed")
+    placed = scratch.keep(classes.select("rep", "m", "v").repartition(tasks).mapInArrow(_place(shared, width, reach, kind), _PLACED), "placed")
     cells = words * words
     tally = placed.select("home", "cells").mapInArrow(_tally(cells), "cell int, homes long, visits long").groupBy("cell").agg(F.sum("homes"), F.sum("visits")).collect()  # at most MOST_WORDS squared rows
     homes, visits = np.zeros(cells, np.int64), np.zeros(cells, np.int64)
@@ -273,7 +277,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, recall: float =
         homes[cell], visits[cell] = h, v
     chunks = spark.sparkContext.broadcast(Chunks(homes, visits))
     dealt = placed.mapInArrow(_deal(chunks), _DEALT)
-    found = scratch.keep(dealt.groupBy("chunk", "part").applyInArrow(_compare(width, cosine), "a long, b long, n long"), "found")
+    found = scratch.keep(dealt.groupBy("chunk", "part").applyInArrow(_compare(width, cosine, kind), "a long, b long, n long"), "found")
     links = found.where("n > 0").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     labels = components(found.where("n = 0"), scratch).withColumnsRenamed({"node": "rep", "component": "c"})
     counted = classes.join(links, "rep", "left").join(labels, "rep", "left")
