@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, bounded_batches, frugal, held_out, texts
+from .common import Scratch, blocks, bounded_batches, frugal, held_out, texts
 
 #: Characters of the longest text that may be in a sample; it bounds what the driver holds.
 LONGEST_SAMPLE = 20_000
@@ -25,14 +25,17 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: dict[i
     """
     known = labels.where(F.col(label).isin(*most) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     sizes = docs.where(F.col("text").isNotNull() & (F.length("text") <= longest)).select(F.col("doc_id")).distinct()
-    ids = known.join(sizes, "doc_id").select("doc_id", "y", F.xxhash64("doc_id").alias("h"))
+    scratch = Scratch(docs.sparkSession, "labelled")
+    ids = scratch.keep(known.join(sizes, "doc_id").select("doc_id", "y", F.xxhash64("doc_id").alias("h")), "ids")  # one pass over the texts, for both labels
     picked = [r for y, n in most.items() for r in ids.where(F.col("y") == y).orderBy("h", "doc_id").limit(n).collect()]
     if not picked:
         return pd.DataFrame({"text": pd.Series([], dtype=str), "y": pd.Series([], dtype=int)})
     # bounded by `most`: at most a few thousand ids
     few = docs.sparkSession.createDataFrame([(r.doc_id, r.y) for r in picked], "doc_id long, y int")
     rows = docs.where(F.length("text") <= longest).select("doc_id", "text").join(F.broadcast(few), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y"))
-    return rows.toPandas().sort_values("doc_id")[["text", "y"]].reset_index(drop=True)
+    sample = rows.toPandas().sort_values("doc_id")[["text", "y"]].reset_index(drop=True)
+    scratch.drop()
+    return sample
 
 
 def scored(docs: DataFrame, scorer: Callable[[], Callable[[list[str]], np.ndarray]], threshold: float, block_bytes: int = 2_000_000) -> DataFrame:
