@@ -3,6 +3,10 @@
 import base64
 import hashlib
 import math
+import random
+import re
+import resource
+import time
 import zlib
 
 import numpy as np
@@ -45,14 +49,33 @@ class TestBpe:
         assert {r.doc_id: r.ids for r in coded.collect()} == {i: reference.encode_ordinary(t or "") for i, t in enumerate(ODD)}
         assert {r.doc_id: bytes(r.decoded) for r in bpe.decode(coded).collect()} == {i: (t or "").encode() for i, t in enumerate(ODD)}
 
-    def test_both_recursive_queries_agree(self, reference):
+    LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+    def same(self, merger, reference, word):
+        (got,) = merger.encode([word])
+        assert [int(i) for ids, _, _ in got for i in ids.split(",")] == reference.encode_ordinary(word)
+        assert b"".join(raw for _, raw, _ in got) == word.encode()
+
+    def test_long_words_equal_the_library(self, reference):
+        draw = random.Random(3)
+        merger = bpe.Merger(bpe.vocabulary())
+        for _ in range(150):
+            parts = (draw.choice(self.LETTERS) * draw.randint(1, 90), "ab" * draw.randint(1, 40), "ing" * draw.randint(1, 30), "".join(draw.choices("aeionst", k=draw.randint(1, 60))))
+            self.same(merger, reference, "".join(draw.choice(parts) for _ in range(draw.randint(3, 20))))
+        for run in ("a", "abc", "the", "xyzzy", "日本", "=", "ha"):
+            self.same(merger, reference, run * (30_000 // len(run.encode())))
+
+    @pytest.mark.parametrize("size", [100_000, 1_000_000])
+    def test_words_of_a_megabyte_take_seconds(self, reference, size):
+        draw = random.Random(size)
         merger = bpe.Merger(bpe.vocabulary())
-        words = ["thethethe" * 3, "aaaaaaa", "ononon", "zzzqqq" * 9, "réeuxréeux", "internationalization"]
-        for w in words:
-            merger._encode([w, w * (bpe.LONG // len(w.encode()) + 1)])
-        for w, (ids, raw, n) in merger.kept.items():
-            want = reference._core_bpe.encode_ordinary(w) if hasattr(reference, "_core_bpe") else reference.encode_ordinary(w)
-            assert (ids, raw, n) == (",".join(map(str, want)), w.encode(), len(want))
+        began = time.time()
+        self.same(merger, reference, "".join(draw.choices(self.LETTERS, k=size)))
+        self.same(merger, reference, "ab" * (size // 2))
+        assert time.time() - began < 90 * size / 1_000_000 + 10
+
+    def test_no_files_are_written(self):
+        assert bpe.Merger(bpe.vocabulary()).db.execute("SELECT current_setting('temp_directory')").fetchone() == ("",)
 
     def test_empty_table_null_ids_and_unknown_ids(self, spark):
         e = docs(spark, []).withColumn("ids", F.lit("clash"))
@@ -94,6 +117,8 @@ class TestTokenCounts:
 
     def test_odd_tables(self, spark):
         assert tokencount.token_counts(docs(spark, [])).count() == 0
+        long = docs(spark, ["many words here " * 320_000, "w" * 1_000_000])
+        assert [r.n_pretokens for r in tokencount.token_counts(long).orderBy("doc_id").collect()] == [960_000, 1]
         rows = {r.doc_id: (r.n_pretokens, r.n_tokens) for r in tokencount.token_counts(docs(spark, ODD).withColumn("n_tokens", F.lit(1))).collect()}
         assert rows[0] == rows[1] == rows[2] == (0, 0) and rows[13] == rows[14] and len(rows) == len(ODD)
 
@@ -189,6 +214,32 @@ class TestClassifiers:
             texts = ["one text", "another *** text", "x" * 3_000]
             assert np.allclose(score(texts), [score([t])[0] for t in texts])
 
+    def test_a_long_text_is_scored_a_slice_at_a_time(self, monkeypatch):
+        texts = ["fine words and émore " * 30_000, "short", "", "x" * quality.SLICE, "y" * (quality.SLICE + 1), "z" * 700]
+        sliced = quality.passages(texts)
+        monkeypatch.setattr(quality, "SLICE", 1 << 40)
+        at_once = quality.passages(texts)
+        assert (sliced[0] == at_once[0]).all() and (sliced[1] == at_once[1]).all()
+
+    @pytest.mark.parametrize("module", [quality, toxicity])
+    def test_texts_of_twenty_megabytes(self, module):
+        rows = pd.DataFrame({"text": ["fine words and more " * 60, "*** ### $$$ " * 90] * 20, "y": [1, 0] * 20})
+        score = module.fit(rows).scorer()
+        before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+        began = time.time()
+        (p,) = score(["fine words and more " * 1_000_000])
+        assert 0 <= p <= 1 and time.time() - began < 60 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 1 << 20  # kB
+
+    @pytest.mark.parametrize("module", [quality, toxicity])
+    def test_a_score_at_the_threshold(self, spark, module):
+        none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+        d = docs(spark, ["one text", "another", "another"])
+        score = module.quality_scores if module is quality else module.toxicity_scores
+        at = score(d, none).first().score
+        assert [r.predicted for r in score(d, none, threshold=at).collect()] == [1, 1, 1]
+        kept = module.without_poor(d, none, threshold=at) if module is quality else module.without_toxic(d, none, threshold=at)
+        assert kept.count() == (3 if module is quality else 0)
+
     def test_all_ordinary_texts_can_be_in_the_dictionary(self, monkeypatch):
         seen = []
         monkeypatch.setattr(toxicity, "_train", lambda size, samples: seen.append(samples) or b" " * 8)
@@ -196,7 +247,7 @@ class TestClassifiers:
         toxicity.fit(rows)
         toxicity.fit(rows, ordinary_words=600)
         assert len(seen[1]) == 12_000 and sum(b"later" in w for w in seen[1]) == 2_000
-        assert len(seen[3]) == 600 and 50 < sum(b"later" in w for w in seen[3]) < 150
+        assert len(seen[7]) == 600 and 50 < sum(b"later" in w for w in seen[7]) < 150  # each fit trains on all texts, then without either fold
 
 
 class TestLanguages:
@@ -220,6 +271,63 @@ class TestLanguages:
         e = spark.createDataFrame([], "page_id long, url string, html string")
         assert langid.languages_of(e, spark.read.parquet(f"{small}/documents.parquet")).count() == 0
 
+    def brute(self, rows, model, languages=langid.LANGUAGES):
+        """page -> posterior of each language, by sums over all other pages for each page and level."""
+        n, pages = len(languages), []
+        for page, url, text in rows:
+            host = (re.match(r"[a-z]+://([^/]+)", url or "") or [None, ""])[1]
+            parts = host.split(".")
+            domain = ".".join(parts[-3:] if len(parts) > 2 and len(parts[-1]) == 2 and parts[-2] in langid.REGISTRIES else parts[-2:])
+            g = langid.grams(langid.visible(text or ""))
+            e = model[:, g].sum(1) * min(1.0, langid.MOST_GRAMS / max(1, len(g)))
+            for named, sure in ((langid.declared_language(text or ""), langid.DECLARED), (langid.SUFFIXES.get(parts[-1]), langid.SUFFIX)):
+                if named in languages:
+                    e = e + np.log([sure if x == named else (1 - sure) / (n - 1) for x in languages])
+            p = np.exp(e - e.max())
+            pages.append((page, {"all": 0, "suffix": parts[-1], "domain": domain, "host": host}, e - e.max(), p / p.sum()))
+        found = {}
+        for page, at, e, p in pages:
+            prior = np.full(n, 1 / n)
+            for level, k in (("all", float(n)), *langid.SMOOTHING.items()):
+                mine = [q for _, other, _, q in pages if other[level] == at[level]]
+                prior = (np.sum(mine, 0) - p + k * prior) / (len(mine) - 1 + k)
+            q = np.log(prior) + e
+            q = np.exp(q - q.max())
+            found[page] = q / q.sum()
+        return found
+
+    def test_priors_equal_brute_force(self, spark, small):
+        d = spark.read.parquet(f"{small}/documents.parquet")
+        rows = [(r.page_id, r.url, r.html) for r in spark.read.parquet(f"{small}/pages.parquet").collect()]
+        rows += [(10_000 + i, f"https://{h}/x", None) for i, h in enumerate(["www.one.org", "blog.one.org", "one.org", "a.two.co.uk", "b.two.co.uk", "c.three.co.uk", "single.de", "localhost"])]
+        rows += [(10_100, "https://www.one.org/", "<html lang='es'>uno dos tres"), (10_101, "https://www.one.org/", "<html lang='es'>uno dos tres")]
+        want = self.brute(rows, langid.text_model(d))
+        got = {r.page_id: r for r in langid.languages_of(spark.createDataFrame(rows, "page_id long, url string, html string"), d).collect()}
+        assert len(got) == len(rows)
+        for page, q in want.items():
+            assert got[page].lang == langid.LANGUAGES[int(q.argmax())] and abs(got[page].posterior - q.max()) < 2e-6
+
+    @pytest.mark.parametrize("host,domain", [("www.example.com", "example.com"), ("a.b.example.co.uk", "example.co.uk"), ("example.co.uk", "example.co.uk"), ("co.uk", "co.uk"), ("localhost", "localhost"), ("", ""), ("x.net.de", "x.net.de"), ("a.b.net.com", "net.com")])
+    def test_registered_domain(self, spark, host, domain):
+        assert spark.createDataFrame([(host,)], "h string").select(langid.registered_domain(F.col("h")).alias("d")).first().d == domain
+
+    @pytest.mark.parametrize("page", ["<nav>", "<", "<!--", "<html ", "<script>", "a <b> ", "</nav  ", "<html lang=  ", "<style><!-- "])
+    def test_unclosed_markup_takes_linear_time(self, page):
+        began = time.time()
+        langid.visible(page * (5_000_000 // len(page)))
+        langid.declared_language(page * (5_000_000 // len(page)))
+        assert time.time() - began < 30
+
+    def test_what_is_visible(self):
+        assert langid.visible("a<!-- x -->b<nav>z <p></nav >c &amp; <p x>d<nav>e < f").split() == ["a", "b", "c", "&", "d", "e", "<", "f"]
+        assert langid.visible("<!-- never closed <p>a") .split() == ["a"]
+        assert langid.declared_language("a < b <html lang='fr'") == "fr" and langid.declared_language("<html lang = \"DE-at\">") == "de"
+
+    def test_ties_go_by_the_order_of_languages_and_repeated_rows_count(self, spark, small):
+        rows = [(1, None, None), (1, None, None), (2, None, "")]
+        got = langid.languages_of(spark.createDataFrame(rows, "page_id long, url string, html string"), spark.read.parquet(f"{small}/documents.parquet")).collect()
+        assert [(r.lang, r.posterior, r.n_host) for r in got] == [(langid.LANGUAGES[0], 0.25, 3)] * 3
+
     def test_a_late_html_tag_declares(self, spark, small):
         late = {1: "<!-- " + "licence " * 1_000 + "-->", 2: "<?xml version='1.0'?>" + " \n" * 3_000, 3: "plain words " * 500, 4: "<!-- <html lang='de'> -->" * 300, 5: "<script>x = \"<html lang='de'>\"</script>" * 300}
         rows = [(i, f"https://h{i}.example.org/", lead + "<html class='a' lang='fr'><p>1 2 3</p></html>") for i, lead in late.items()]

@@ -71,6 +71,23 @@ class TestSimHash:
         assert len({x for pair in met(np.concatenate([base, near])) for x in pair}) == 80
         assert met(np.concatenate([base, far])) == []
 
+    def test_each_variant_is_in_one_class_and_classes_are_alike(self):
+        import pyarrow as pa
+
+        fps = np.unique(np.random.default_rng(2).integers(0, 2**64, 50, dtype=np.uint64) & np.uint64(0xFFFF))  # near copies of each other
+        batch = pa.RecordBatch.from_arrays([pa.array(fps.view(np.int64))], ["fp"])
+        got = [np.concatenate([np.frombuffer(x, "<u8") for b in simhash._emit(part, 8, 5, 4)(iter([batch])) for x in b.column("variant").to_pylist()]) for part in range(8)]
+        assert (np.sort(np.concatenate(got)) == np.sort((fps[:, None] ^ simhash.ball(2)[None, :]).ravel())).all()
+        assert max(map(len, got)) < 1.2 * min(map(len, got))
+
+    def test_columns_of_any_name_stay(self, spark):
+        d = spark.createDataFrame([(i, f"alpha beta gamma delta {i // 2}") for i in range(6)], "doc_id long, text string")
+        for c in ("c", "id", "row", "fp", "lo", "mixed", "component_id", "_fp"):
+            d = d.withColumn(c, F.concat(F.lit(c), "doc_id"))
+        got = simhash.without_near_copies(d.withColumn("x.y", F.lit(1)))
+        assert got.columns == [*d.columns, "x.y"] and sorted(r.doc_id for r in got.collect()) == [0, 2, 4]
+        assert all(r.c == f"c{r.doc_id}" and r.id == f"id{r.doc_id}" for r in got.collect())
+
     def test_odd_tables(self, spark):
         rows = [(3, ""), (5, None), (2, " \n"), (7, "a b c d e f"), (7, "a b c d e f"), (None, "a b c d e f"), (None, "only here and nowhere else at all")]
         d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("fp", F.lit("clash"))
@@ -79,8 +96,9 @@ class TestSimHash:
         kept = simhash.without_near_copies(d)
         assert kept.columns == d.columns and sorted((r.doc_id or -1) for r in kept.collect()) == [-1, 2, 7]
         assert simhash.simhash_groups(d.limit(0)).count() == 0 and simhash.without_near_copies(d.limit(0)).count() == 0
-        with pytest.raises(ValueError):
-            simhash.simhash_groups(d, radius=3)
+        for wrong in ({"radius": 3}, {"parts": 6}):
+            with pytest.raises(ValueError):
+                simhash.simhash_groups(d, **wrong)
 
     def test_one_id_with_texts_of_several_groups(self, spark):
         a, b, c = ("alpha one two three four five", "beta six seven eight nine ten", "gamma red green blue white black")
@@ -130,12 +148,13 @@ class TestNearDuplicates:
         assert np.mean([got[i].component_id == root[i] for i in range(len(x))]) > 0.95
         assert all(r.kept == (r.vec_id == r.component_id) for r in got.values())
 
-    def test_visiting_all_cells_is_exact(self, spark):
+    def test_visiting_all_cells_is_exact(self, spark, monkeypatch):
+        monkeypatch.setattr(neardup.MultiIndex, "reach", lambda self, *_: self.words**2)
         x = self.planted(1)
         n, root = self.brute(x.astype(float))
         rows = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], VEC)
-        got = {r.vec_id: (r.n_links, r.component_id) for r in neardup.near_duplicates(rows, recall=1.0).collect()}
-        assert np.mean([got[i] == (n[i], root[i]) for i in range(len(x))]) > 0.99
+        got = {r.vec_id: (r.n_links, r.component_id) for r in neardup.near_duplicates(rows).collect()}
+        assert got == {i: (n[i], root[i]) for i in range(len(x))}
 
     def test_small_chunks_give_the_same(self, spark, monkeypatch):
         x = self.planted(2)
@@ -167,8 +186,21 @@ class TestNearDuplicates:
         got = sorted(tuple(r) for r in neardup.near_duplicates(spark.createDataFrame(rows, VEC), recall=1.0).collect())
         assert got == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (3, 1, 3, True), (4, 0, 4, True), (4, 1, 3, False)]
 
-    def test_query(self, spark, small):
-        assert queries.op6_embedding_near_dedup(spark, small).count() == spark.read.parquet(f"{small}/embeddings.parquet").count()
+    def test_doubles_that_no_float_holds_are_compared_as_doubles(self, spark):
+        kind = "vec_id long, embedding array<double>, label int"
+        just = [0.9, (1 - 0.81) ** 0.5 - 1e-12]  # a cosine above 0.9 by less than a float can tell
+        below = [0.9, (1 - 0.81) ** 0.5 + 1e-12]
+        rows = [(1, [1.0, 0.0], 0), (2, just, 0), (3, [-1.0, 0.0], 0), (4, [-below[0], below[1]], 0)]
+        got = {r.vec_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, kind), recall=1.0).collect()}
+        assert got == {1: 1, 2: 1, 3: 3, 4: 4}
+
+    def test_query_equals_brute_force(self, spark, small):
+        rows = spark.read.parquet(f"{small}/embeddings.parquet").orderBy("vec_id").collect()
+        n, root = self.brute(np.array([r.embedding for r in rows], float))
+        got = {r.vec_id: r for r in queries.op6_embedding_near_dedup(spark, small).collect()}
+        assert set(got) == {r.vec_id for r in rows}
+        assert sum(got[r.vec_id].n_links for r in rows) >= 0.95 * n.sum() and all(got[r.vec_id].n_links <= k for r, k in zip(rows, n))
+        assert np.mean([got[r.vec_id].component_id == rows[root[i]].vec_id for i, r in enumerate(rows)]) > 0.98
 
 
 class TestTopK:
@@ -201,10 +233,35 @@ class TestTopK:
 
     def test_boxes_are_tight_and_leaves_small(self):
         x = np.random.default_rng(6).integers(-99, 99, (1_000, 4))
-        ids, y, cut, low, high = topk.build(np.arange(1_000), x, 64)
-        assert (np.diff(cut) <= 64).all() and (np.diff(cut) > 0).all() and sorted(ids) == list(range(1_000)) and (x[ids] == y).all()
-        for i, (a, b) in enumerate(zip(cut, cut[1:])):
-            assert (y[a:b].min(0) == low[i]).all() and (y[a:b].max(0) == high[i]).all()
+        t = topk.build(np.arange(1_000), x, 64)
+        assert sorted(t.ids) == list(range(1_000)) and (x[t.ids] == t.x).all()
+        for i, (a, b) in enumerate(zip(t.begin, t.end)):
+            assert (t.x[a:b].min(0) == t.low[i]).all() and (t.x[a:b].max(0) == t.high[i]).all()
+            if t.left[i] < 0:
+                assert 0 < b - a <= 64
+            else:
+                assert (t.begin[t.left[i]], t.end[t.left[i]], t.begin[t.right[i]], t.end[t.right[i]]) == (a, t.begin[t.right[i]], t.end[t.left[i]], b)
+
+    def test_search_skips_boxes_below_the_kth_score(self, monkeypatch):
+        draw = np.random.default_rng(7)
+        centres = draw.integers(-900, 900, (40, 8))
+        x = centres[draw.integers(0, 40, 4_000)] + draw.integers(-20, 20, (4_000, 8))
+        t, q = topk.build(np.arange(4_000), x, 32), x[:60]
+        seen = []
+        bounds = topk._bounds
+        monkeypatch.setattr(topk, "_bounds", lambda *z: seen.append(len(z[0])) or bounds(*z))
+        at, to, score = topk.search(t, np.arange(60), q, 5)
+        s = (q @ x.T).astype(float)
+        s[np.arange(60), np.arange(60)] = -np.inf
+        for i in range(60):
+            assert to[at == i].tolist() == np.lexsort((np.arange(4_000), -s[i]))[:5].tolist()
+        assert sum(seen) < 0.5 * 60 * len(t.begin)
+
+    def test_cells_are_medians_of_the_sample(self):
+        x = np.random.default_rng(8).integers(-99, 99, (4_096, 3))
+        n = np.bincount(topk.Space.of(x, 16).cell(x), minlength=16)
+        assert len(n) == 16 and n.min() > 200 and n.max() < 320
+        assert set(topk.Space.of(x[:0], 4).cell(x)) <= set(range(4)) and (topk.Space.of(x, 1).cell(x) == 0).all()
 
     def test_odd_vectors(self, spark):
         rows = [(0, [1.0, 0.5], 0), (100, None, 0), (200, [float("nan"), 1.0], 0), (300, [], 0), (1, [1.0], 0), (2, [-1.0, 3.0], 0), (2, [-1.0, 3.0], 0), (None, [9.0, 9.0], 0)]
@@ -235,15 +292,42 @@ class TestMixing:
         total = sum(1 + i % 7 for i in range(600))
         used = got.agg(F.sum(F.col("tokens") * F.col("copies"))).first()[0]
         assert 1.5 * total - 40 <= used <= 1.5 * total and got.agg(F.max("copies")).first()[0] == 2
-        assert sorted(map(tuple, mixing.mix(d.repartition(5), budget=1_500, epochs=2).collect())) == sorted(map(tuple, got.collect()))
+        assert sorted(map(repr, mixing.mix(d.repartition(5), budget=1_500, epochs=2).collect())) == sorted(map(repr, got.collect()))
+
+    KIND = "doc_id long, text string, lang string, source string, n_chars long"
 
     def test_odd_tables(self, spark):
-        kind = "doc_id long, text string, lang string, source string, n_chars long"
         rows = [(1, None, None, None, None), (2, "", "en", "x", 0), (None, "a b", "en", "src2", 3), (3, "a b", "xx", "src99999999999", 1), (3, "a b", "xx", "src99999999999", 1)]
-        d = spark.createDataFrame(rows, kind).withColumn("tokens", F.lit("clash"))
+        d = spark.createDataFrame(rows, self.KIND).withColumn("tokens", F.lit("clash"))
         assert mixing.mix(d, budget=1_000, epochs=1).count() == 5
         assert mixing.mix(d.limit(0)).count() == 0
 
+    def test_columns_of_any_name_stay(self, spark):
+        d = spark.createDataFrame([(i, "a b", "en", "src1", 0) for i in range(20)], self.KIND)
+        for c in ("_lang", "_key", "domain", "tokens", "copies", "id", "mark", "row", "salt", "key", "whole", "rest", "stop", "base"):
+            d = d.withColumn(c, F.concat(F.lit(c), "doc_id"))
+        got = mixing.mix(d, budget=500, epochs=1).select("row.*")
+        assert got.columns == d.columns and got.count() == 10 and all(r.tokens == f"tokens{r.doc_id}" and r["_key"] == f"_key{r.doc_id}" for r in got.collect())
+
+    def test_repeated_rows_and_ids_equal_the_sql(self, spark):
+        import duckdb
+
+        draw = np.random.default_rng(4)
+        rows = [(None if i % 11 == 0 else i % 60, None if i % 13 == 0 else "w " * int(draw.integers(0, 30)), ["en", "de", None][i % 3], f"src{i % 2}", 0) for i in range(400)]
+        rows += rows[:70] + [(7, "w " * 2_000_000, "en", "src0", 0)]
+        d = spark.createDataFrame(rows, self.KIND)
+        con = duckdb.connect()
+        con.register("documents", d.toArrow())
+        for budget, epochs in ((300, 1), (900, 1), (1_700, 2)):
+            got = mixing.decide(d, Scratch(spark, "test"), budget=budget, epochs=epochs, carry=("lang", "source")).select(F.col("id").alias("doc_id"), "carried.*", "domain", "tokens", "copies")
+            oracle.same(got, con, mixing.oracle_sql(budget=budget, epochs=epochs))
+
+    def test_a_tree_of_other_columns(self, spark):
+        d = spark.createDataFrame([(i, "a b c", ["x", "y"][i % 2], "k") for i in range(40)], "doc_id long, text string, kind string, shelf string")
+        tree = {"domain": F.col("shelf"), "lang": F.lit("-"), "source": F.col("kind")}
+        got = mixing.mix(d, {"source": {"x": 3, "y": 1}}, budget=400, epochs=1, tree=tree)
+        assert {r.source: r.n for r in got.groupBy("source").agg(F.sum("tokens").alias("n")).collect()} == {"x": 36, "y": 12}
+
 
 class TestPipeline:
     def test_stages_equal_brute_force(self, spark, small):
@@ -275,3 +359,26 @@ class TestPipeline:
         for _, stage in corpus_pipeline.STAGES[:-1]:
             assert stage(spark, docs, small).columns == docs.columns
             assert stage(spark, docs.limit(0), small).columns == docs.columns
+
+    def test_stages_on_odd_tables(self, spark, small):
+        """Nulls, empty and long texts, ties, repeated rows and columns with clashing names go through every stage and come out as they went in."""
+        docs = spark.read.parquet(f"{small}/documents.parquet").limit(40)
+        kind = docs.schema
+        base = docs.collect()
+        odd = [(None, None, None, None, None), (-1, "", "en", "src1", 0), (-2, None, None, "src1", 0), (-3, " \n", "en", None, 3), (None, base[0].text, "en", "src2", 9), (-4, "w" * 300_000, "en", "src1", 300_000), (-5, "long words here " * 300_000, "de", "src3", 4_800_000)]
+        d = spark.createDataFrame([tuple(r) for r in base] + odd + odd, kind)
+        clash = {c: F.concat(F.lit(c), F.coalesce(F.col("doc_id"), F.lit(0))) for c in ("_lang", "_key", "c", "domain", "tokens", "copies", "score", "predicted", "held_out", "id", "row", "mark", "fp", "ids", "h", "y")}
+        d = d.withColumns(clash)
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            got = stage(spark, d, small)
+            assert got.columns == d.columns
+            rows = got.collect()
+            assert rows and all(r[c] == f"{c}{r.doc_id or 0}" for r in rows for c in clash)
+            assert stage(spark, d.limit(0), small).count() == 0
+        last = corpus_pipeline.STAGES[-1][1]
+        assert last(spark, d, small).count() == d.count() and last(spark, d.limit(0), small).count() == 0
+
+    def test_run_on_an_empty_table(self, spark, small, tmp_path):
+        for t in ("documents", "labels"):
+            spark.read.parquet(f"{small}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
+        assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
