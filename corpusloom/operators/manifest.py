@@ -164,21 +164,38 @@ def resolve_families(drafts: DataFrame, listed: DataFrame) -> DataFrame:
     return d.select("path", "doc_id", "family", own.alias("own_family"), F.when(newest, F.concat((F.col("_major") + 1).cast("string"), F.lit(".0"))).otherwise(F.col("version")).alias("version"), note.alias("note"))
 
 
-def unique_ids(drafts: DataFrame, taken: DataFrame) -> DataFrame:
+def unique_ids(drafts: DataFrame, taken: DataFrame, rounds: int = 20) -> DataFrame:
     """path, doc_id with ids unique among themselves and `taken`.
 
     The first of each wanted id (by path) keeps it if it is free; the others are prefixed by their
-    folder, and what is still shared gets numbers. Each step is a window over rows of one id.
+    folder. Whoever then still wants an id that is taken, assigned or another's, numbers it from 2 on;
+    those whose numbered id is free keep it, and the others go on with the next numbers, until none is left: a
+    window over the rows that want one id and an anti-join with all ids assigned, a few rounds in practice.
     """
-    free = drafts.join(taken.select(F.col("doc_id").alias("_t")).distinct(), F.col("doc_id") == F.col("_t"), "left")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("path"))
-    free = free.withColumn("_keep", F.col("_t").isNull() & (first == 1))
+    used = taken.select(F.col("doc_id").alias("want")).where("want is not null").distinct()
+
+    def settled(asked: DataFrame, used: DataFrame) -> DataFrame:
+        """asked(path, base, want, n) with `ok`: the first row of each wanted id that is free."""
+        first = F.row_number().over(Window.partitionBy("want").orderBy("path")) == 1
+        return asked.join(used.withColumn("_used", F.lit(True)), "want", "left").withColumn("ok", F.col("_used").isNull() & first).drop("_used")
+
     parent = F.regexp_replace(F.regexp_replace(F.lower(F.regexp_extract("path", r"([^/]*)/[^/]*$", 1)), "[^a-z0-9]+", "-"), "^-+|-+$", "")
-    wanted = F.when(F.col("_keep"), F.col("doc_id")).when(parent != "", F.regexp_replace(F.substring(F.concat_ws("-", parent, "doc_id"), 1, 60), "-+$", "")).otherwise(F.col("doc_id"))
-    again = free.select("path", wanted.alias("w"), "_keep")
-    all_taken = taken.select(F.col("doc_id").alias("w")).distinct().withColumn("_there", F.lit(1))
-    n = F.row_number().over(Window.partitionBy("w").orderBy(F.desc("_keep"), "path")) + F.coalesce("_there", F.lit(0))
-    return again.join(all_taken, "w", "left").withColumn("_n", n).select("path", F.when((F.col("_n") == 1) | F.col("_keep"), F.col("w")).otherwise(F.concat(F.substring("w", 1, 56), F.lit("-"), F.col("_n").cast("string"))).alias("doc_id"))
+    prefixed = F.when(parent != "", F.regexp_replace(F.substring(F.concat_ws("-", parent, "base"), 1, 60), "-+$", "")).otherwise(F.col("base"))
+    asked = drafts.select("path", F.col("doc_id").alias("base"), F.col("doc_id").alias("want"))
+    now = settled(asked, used)
+    done = now.where("ok").select("path", F.col("want").alias("doc_id"))
+    left = now.where("not ok").select("path", prefixed.alias("base")).withColumn("want", F.col("base")).withColumn("n", F.lit(1))
+    for _ in range(rounds):
+        now = settled(left, used.union(done.select("doc_id"))).persist()
+        done = done.union(now.where("ok").select("path", F.col("want").alias("doc_id")))
+        left = now.where("not ok")
+        if left.isEmpty():
+            return done
+        place = F.row_number().over(Window.partitionBy("base").orderBy("path"))
+        # all that want one base take different numbers, beyond those tried
+        tried = F.max("n").over(Window.partitionBy("base"))
+        left = left.select("path", "base", (tried + place).cast("int").alias("n")).withColumn("want", F.concat(F.substring("base", 1, 56), F.lit("-"), F.col("n").cast("string")))
+    raise RuntimeError(f"ids still clash after {rounds} rounds")
 
 
 def backfill(rows: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,29 +57,63 @@ def family_version_clash(spark, d):
     return manifest.version_clashes(D.manifest(spark, d).withColumn("line", F.col("doc_id")).select("line", "family", "version"))
 
 
-_NAMES = "('CCM 21x guide', array(2021)), ('R2017xFP1705', array(2017)), ('10x faster, 1.15x more', cast(array() as array<int>)), ('from V6 to R15xGA', array(2015)), ('V6R2021x and 2024x', array(2021, 2024)), ('R2021x R2021x', array(2021))"
+#: A file's name for each document, by its number: with a release written one way or another, or with none.
+_NAMED = """named AS (SELECT doc_id, doc_id % 23 + 2013 y, CASE doc_id % 6 WHEN 0 THEN 'CCM ' || (doc_id % 23 + 13) || 'x guide ' || doc_id WHEN 1 THEN 'R' || (doc_id % 23 + 2013) || 'xFP17 ' || lang
+  WHEN 2 THEN (doc_id % 23 + 13) || '0x faster, 1.' || (doc_id % 23 + 13) || 'x more' WHEN 3 THEN 'from V6 to R' || (doc_id % 23 + 13) || 'xGA' WHEN 4 THEN 'V6R' || (doc_id % 23 + 2013) || 'x and 2024x' ELSE source || '_' || lang END AS name FROM documents)"""
+
+
+def _named(spark, d):
+    i, text = F.col("doc_id"), lambda *x: F.concat(*(F.lit(y) if isinstance(y, str) else y.cast("string") for y in x))
+    y, long = i % 23 + 13, i % 23 + 2013
+    kinds = (text("CCM ", y, "x guide ", i), text("R", long, "xFP17 ", F.col("lang")), text(y, "0x faster, 1.", y, "x more"), text("from V6 to R", y, "xGA"), text("V6R", long, "x and 2024x"))
+    name = text(F.col("source"), "_", F.col("lang"))
+    for k, kind in enumerate(kinds):
+        name = F.when(i % 6 == k, kind).otherwise(name)
+    return table(spark, d, "documents").select("doc_id", name.alias("name"))
 
 
-@query("SELECT * FROM (VALUES ('CCM 21x guide', [2021]), ('R2017xFP1705', [2017]), ('10x faster, 1.15x more', []::INT[]), ('from V6 to R15xGA', [2015]), ('V6R2021x and 2024x', [2021, 2024]), ('R2021x R2021x', [2021])) t(name, years)")
+
+@query(f"WITH {_NAMED} SELECT doc_id, name, CASE WHEN doc_id % 6 IN (0, 1, 3) THEN [y::INT] WHEN doc_id % 6 = 4 THEN list_sort(list_distinct([y::INT, 2024])) ELSE []::INT[] END AS years FROM named")
 def release_tokens(spark, d):
-    return values(spark, _NAMES, "name, expected").select("name", X.releases_named(F.col("name")).alias("years"))
+    return _named(spark, d).select("doc_id", "name", F.array_sort(X.releases_named(F.col("name"))).alias("years"))
+
 
+_DAYS = """days AS (SELECT doc_id, doc_id % 3 form, 1990 + doc_id % 50 y, 1 + (doc_id * 7) % 14 m, 1 + (doc_id * 5) % 33 n FROM documents),
+  dates AS (SELECT *, CASE form WHEN 0 THEN y || '-' || m || '-' || n WHEN 1 THEN m || '/' || n || '/' || y ELSE n || '.' || m || '.' || y END AS t FROM days)"""
 
-@query("SELECT t, CASE WHEN regexp_matches(t, '^[0-9]{4}-') THEN t WHEN t IN ('13/13/2026', '1/2', '2026-02-30') THEN NULL ELSE '2026-10-08' END AS iso FROM (VALUES ('2026-10-08'), ('10/8/2026'), ('8.10.2026'), ('13/13/2026'), ('1/2')) v(t) UNION ALL SELECT '2026-02-30', NULL UNION ALL SELECT '', ''")
+
+@query(f"WITH {_DAYS} SELECT doc_id, t, strftime(try_cast(y || '-' || m || '-' || n AS DATE), '%Y-%m-%d') AS iso FROM dates")
 def normalise_dates(spark, d):
-    return values(spark, "('2026-10-08'), ('10/8/2026'), ('8.10.2026'), ('13/13/2026'), ('1/2'), ('2026-02-30'), ('')", "t").select("t", X.iso_date(F.col("t")).alias("iso"))
+    i = F.col("doc_id")
+    y, m, n = ((1990 + i % 50).cast("string"), (1 + (i * 7) % 14).cast("string"), (1 + (i * 5) % 33).cast("string"))
+    t = F.when(i % 3 == 0, F.concat_ws("-", y, m, n)).when(i % 3 == 1, F.concat_ws("/", m, n, y)).otherwise(F.concat_ws(".", n, m, y))
+    return table(spark, d, "documents").select("doc_id", t.alias("t")).withColumn("iso", X.iso_date(F.col("t")))
+
+
+_STEMS = """stems AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN source || '_V' || doc_id % 7 || '.' || doc_id % 3 WHEN 1 THEN 'Set-up ' || lang || ' v' || doc_id % 9 WHEN 2 THEN 'ENOVIA V' || doc_id % 9
+  WHEN 3 THEN 'Notes ' || source || ' (Rev ' || doc_id % 4 || ') Internal' ELSE 'Über ' || source || ' & ' || lang END AS stem,
+  CASE doc_id % 5 WHEN 0 THEN source WHEN 1 THEN 'Set-up ' || lang WHEN 3 THEN 'Notes ' || source END AS cut,
+  CASE doc_id % 5 WHEN 0 THEN doc_id % 7 || '.' || doc_id % 3 WHEN 1 THEN doc_id % 9 || '.0' WHEN 3 THEN doc_id % 4 || '.0' END AS version FROM documents)"""
 
 
-@query("SELECT * FROM (VALUES ('Guide_V2.0', 'Guide', '2.0', 'guide'), ('Guide v1', 'Guide', '1.0', 'guide'), ('ENOVIA V6', 'ENOVIA V6', NULL, 'enovia-v6'), ('Set-up (Rev 3)', 'Set-up', '3.0', 'set-up'), ('Notes V3.1 Internal', 'Notes', '3.1', 'notes'), ('Über uns', 'Über uns', NULL, 'ber-uns')) t(stem, base, version, slug)")
+@query(f"WITH {_STEMS} SELECT doc_id, coalesce(cut, stem) AS base, version, trim(regexp_replace(lower(coalesce(cut, stem)), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM stems")
 def name_versions_slugs(spark, d):
-    rows = values(spark, "('Guide_V2.0'), ('Guide v1'), ('ENOVIA V6'), ('Set-up (Rev 3)'), ('Notes V3.1 Internal'), ('Über uns')", "stem")
-    return rows.select("stem", X.name_base(F.col("stem")).alias("base"), X.name_version(F.col("stem")).alias("version"), X.slug(X.name_base(F.col("stem"))).alias("slug"))
+    i = F.col("doc_id")
+    text = lambda *x: F.concat(*(F.lit(y) if isinstance(y, str) else y.cast("string") for y in x))
+    stem = F.when(i % 5 == 0, text(F.col("source"), "_V", i % 7, ".", i % 3)).when(i % 5 == 1, text("Set-up ", F.col("lang"), " v", i % 9)).when(i % 5 == 2, text("ENOVIA V", i % 9)).when(i % 5 == 3, text("Notes ", F.col("source"), " (Rev ", i % 4, ") Internal")).otherwise(text("Über ", F.col("source"), " & ", F.col("lang")))
+    rows = table(spark, d, "documents").select("doc_id", stem.alias("stem"))
+    base = X.name_base(F.col("stem"))
+    return rows.select("doc_id", base.alias("base"), X.name_version(F.col("stem")).alias("version"), X.slug(base).alias("slug"))
+
 
+_PATHS = "('Install_Guide', 'installation'), ('ssl/ADFS sso', 'installation'), ('Migration-notes', 'upgrade'), ('LDAP', 'authentication'), ('tuning/checklist', 'performance'), ('nothing', 'administration'), ('role overview', 'functional'), ('cloud-security', 'infrastructure'), ('Troubleshoot install', 'troubleshooting')"
 
-@query("SELECT * FROM (VALUES ('Install_Guide.pdf', 'installation'), ('ssl/ADFS sso.pdf', 'installation'), ('Migration-notes.docx', 'upgrade'), ('LDAP.pdf', 'authentication'), ('tuning/checklist.pdf', 'performance'), ('other.pdf', 'administration'), ('role overview.pptx', 'functional')) t(path, category)")
+
+@query(f"WITH kinds AS (SELECT *, row_number() OVER () - 1 k FROM (VALUES {_PATHS}) t(part, category)) SELECT doc_id, lang || '/' || part || '_' || doc_id || '.pdf' AS path, category FROM documents JOIN kinds ON k = doc_id % 9")
 def guess_category(spark, d):
-    rows = values(spark, "('Install_Guide.pdf'), ('ssl/ADFS sso.pdf'), ('Migration-notes.docx'), ('LDAP.pdf'), ('tuning/checklist.pdf'), ('other.pdf'), ('role overview.pptx')", "path")
-    return rows.select("path", X.guess_category(F.col("path")).alias("category"))
+    parts = F.array(*(F.lit(p) for p in re.findall(r"\('([^']*)',", _PATHS)))
+    path = F.concat(F.col("lang"), F.lit("/"), F.get(parts, (F.col("doc_id") % 9).cast("int")), F.lit("_"), F.col("doc_id").cast("string"), F.lit(".pdf"))
+    return table(spark, d, "documents").select("doc_id", path.alias("path"), X.guess_category(path).alias("category"))
 
 
 _FILES = "('new/Guide_V2.0.pdf', ''), ('new/Guide.pdf', 'for R2023x'), ('b/Guide.pdf', ''), ('new/Tool R2021x R2022x.pptx', ''), ('x/Listed.docx', 'R2020x or R2021x')"
@@ -94,10 +130,18 @@ def manifest_families(spark, d):
     return manifest.resolve_families(manifest.draft(values(spark, _FILES, "path, cover")), listed).select("path", "family", "version", "own_family")
 
 
-@query("SELECT * FROM (VALUES ('a/x.pdf', 'a-x'), ('b/x.pdf', 'b-x'), ('b/y.pdf', 'y'), ('b/sub/x.pdf', 'sub-x')) t(path, doc_id)")
+_DRAFTS = "drafts AS (SELECT lang || '/' || source || '/' || doc_id || '.pdf' AS path, 'g-' || (doc_id % 60) want FROM documents), taken AS (SELECT DISTINCT unnest(['g-' || (doc_id % 60) || '-2', 'g-' || (doc_id % 20)]) id FROM documents WHERE doc_id % 3 = 0)"
+
+
+@query(f"WITH {_DRAFTS} SELECT count(*) AS n, count(*) AS different, 0::BIGINT AS taken_again, (SELECT count(DISTINCT want) FROM drafts WHERE want NOT IN (SELECT id FROM taken)) AS as_wanted FROM drafts")
 def manifest_ids(spark, d):
-    drafts = values(spark, "('a/x.pdf', 'x'), ('b/x.pdf', 'x'), ('b/y.pdf', 'y'), ('b/sub/x.pdf', 'x')", "path, doc_id")
-    return manifest.unique_ids(drafts, values(spark, "('x'), ('z')", "doc_id"))
+    """Every draft gets an id, no two the same and none that is taken; one draft of each free id keeps what it wants."""
+    docs, n = table(spark, d, "documents"), lambda k: F.concat(F.lit("g-"), (F.col("doc_id") % k).cast("string"))
+    drafts = docs.select(F.concat_ws("/", "lang", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".pdf"))).alias("path"), n(60).alias("doc_id"))
+    taken = docs.where("doc_id % 3 = 0").select(F.explode(F.array(F.concat(n(60), F.lit("-2")), n(20))).alias("doc_id")).distinct()
+    made = manifest.unique_ids(drafts, taken)
+    checked = made.join(taken.withColumn("again", F.lit(1)), "doc_id", "left").join(drafts.withColumnRenamed("doc_id", "want"), "path")
+    return checked.agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("different"), F.count("again").alias("taken_again"), F.count_if(F.col("doc_id") == F.col("want")).alias("as_wanted"))
 
 
 @query("SELECT * FROM (VALUES ('a', '2026-01-02', 'R2021x', ['added = 2026-01-02', 'release R2021x+ (from the name)']), ('b', '2025-05-05', 'R2022x', []::VARCHAR[]), ('c', '2025-05-05', 'R2023x', ['release R2023x+ (from the first pages)'])) t(doc_id, added, release_min, changes)")
@@ -233,20 +277,29 @@ def chunk_pack(spark, d):
     return document_chunks(spark, d).select("chunk_id", "content_type", "page_start", "page_end", "token_count", F.length("text").alias("n_chars"))
 
 
-_UNITS = "WITH RECURSIVE u AS (SELECT * FROM (VALUES (1, 3), (2, 4), (3, 2), (4, 9), (5, 1), (6, 1)) t(i, n)), p AS (SELECT 1 i, 3 n, 0 g UNION ALL SELECT u.i, CASE WHEN p.n + u.n > 7 THEN u.n ELSE p.n + u.n END, CASE WHEN p.n + u.n > 7 THEN p.g + 1 ELSE p.g END FROM p JOIN u ON u.i = p.i + 1) SELECT g AS piece, count(*)::INT units FROM p GROUP BY g"
+
+
+_UNITS = """WITH RECURSIVE units AS (SELECT doc_id, i::INT i, n FROM (SELECT doc_id, unnest(range(len(u))) i, unnest(u) n FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: len(list_filter(string_split_regex(x, '[\\s]+'), lambda w: w <> ''))), lambda n: n > 0) u FROM documents))),
+  p AS (SELECT doc_id, 0 i, n, 0 g FROM units WHERE i = 0 UNION ALL SELECT u.doc_id, u.i, CASE WHEN p.n + u.n > 50 THEN u.n ELSE p.n + u.n END, CASE WHEN p.n + u.n > 50 THEN p.g + 1 ELSE p.g END FROM p JOIN units u ON u.doc_id = p.doc_id AND u.i = p.i + 1)
+SELECT doc_id, g AS piece, sum(units.n)::INT AS words FROM p JOIN units USING (doc_id, i) GROUP BY ALL"""
 
 
 @query(_UNITS)
 def pack_units(spark, d):
-    rows = spark.sql("SELECT array('a a a', 'b b b b', 'c c', 'd d d d d d d d d', 'e', 'f') u")
-    pieces = rows.select(F.posexplode(chunking.pack(F.col("u"), "|", limit=7)).alias("piece", "t"))
-    return pieces.select("piece", F.size(F.split("t", r"\|")).alias("units"))
+    lines = F.filter(F.split("text", "\n"), lambda x: X.count_words(x) > 0)
+    pieces = table(spark, d, "documents").select("doc_id", F.posexplode(chunking.pack(lines, "\n", limit=50)).alias("piece", "t"))
+    return pieces.select("doc_id", "piece", X.count_words(F.col("t")).alias("words"))
 
 
-@query("SELECT * FROM (VALUES ('3.1 Ports', 'Guide [R2026x] > '), ('Slides 2-4: Ports', 'Guide [R2015x+] > '), ('Ports', 'Guide > ')) t(label, prefix)")
+@query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'Slide' || CASE WHEN doc_id % 4 = 0 THEN ' 2' ELSE 's 2-' || (2 + doc_id % 4) END || ': ' || source WHEN doc_id % 5 = 0 THEN source ELSE (doc_id % 5) || '.1 ' || source END AS label,
+  lang || CASE WHEN lo = 0 AND hi = 9999 THEN '' WHEN hi = 9999 THEN ' [R' || lo || 'x+]' WHEN lo = hi THEN ' [R' || lo || 'x]' WHEN lo = 0 THEN ' [up to R' || hi || 'x]' ELSE ' [R' || lo || 'x-R' || hi || 'x]' END || ' > ' AS prefix
+FROM (SELECT *, CASE WHEN doc_id % 7 < 2 THEN 0 ELSE 2015 + doc_id % 5 END lo, CASE WHEN doc_id % 2 = 0 OR doc_id % 7 < 2 THEN 9999 WHEN doc_id % 7 = 2 THEN 2015 + doc_id % 5 ELSE 2022 END hi FROM documents)""")
 def section_labels(spark, d):
-    rows = values(spark, "('3.1', 'pdf', 2026, 2026), ('2', 'pptx', 2015, 9999), ('0', 'pdf', 0, 9999)", "number, doc_type, low, high")
-    return rows.select(chunking.section_label(F.col("number"), F.lit("Ports"), F.lit(2), F.lit(4), F.col("doc_type")).alias("label"), chunking.header_prefix(F.lit("Guide"), F.col("low"), F.col("high")).alias("prefix"))
+    i = F.col("doc_id")
+    rows = table(spark, d, "documents").withColumn("lo", F.when(i % 7 < 2, 0).otherwise((2015 + i % 5).cast("int"))).withColumn("hi", F.when((i % 2 == 0) | (i % 7 < 2), 9999).when(i % 7 == 2, (2015 + i % 5).cast("int")).otherwise(2022))
+    number = F.when(i % 5 == 0, "0").otherwise(F.concat((i % 5).cast("string"), F.lit(".1")))
+    label = chunking.section_label(number, F.col("source"), F.lit(2), (2 + i % 4).cast("int"), F.when(i % 3 == 0, "pptx").otherwise("pdf"))
+    return rows.select("doc_id", label.alias("label"), chunking.header_prefix(F.col("lang"), F.col("lo"), F.col("hi")).alias("prefix"))
 
 
 @query("SELECT doc_id, doc_id % 4 < 2 AND doc_id % 3 <> 0 AND doc_id % 5 <> 0 AS fresh FROM documents")

@@ -104,10 +104,11 @@ def section_prefix_budget(spark, d):
     return context.section_prefix(_line_chunks(spark, d), 100).select("section_id", "chunk_index", "upto")
 
 
-@query("SELECT * FROM (VALUES (8192, 1500, 6, 3000, 3, 4000), (200000, 8000, 16, 12000, 8, 16000), (32000, 2000, 15, 7500, 8, 10000)) t(ctx, output, max_units, max_tokens, per_side, compare_tokens)")
+@query("""SELECT doc_id, least(16, round_even(t::DOUBLE / 3000 * 6, 0))::INT max_units, t AS max_tokens, least(8, round_even(t::DOUBLE / 3000 * 3, 0))::INT per_side, round_even(t::DOUBLE / 3000 * 4000, 0)::INT compare_tokens
+FROM (SELECT doc_id, least(12000, greatest(3000, (2000 + length(text) * 20 - (doc_id % 8) * 1000) // 4))::INT t FROM documents)""")
 def context_budgets(spark, d):
-    rows = values(spark, "(8192, 1500), (200000, 8000), (32000, 2000)", "ctx, output")
-    return rows.select("ctx", "output", context.budget(F.col("ctx"), F.col("output")).alias("b")).select("ctx", "output", "b.*")
+    rows = table(spark, d, "documents").select("doc_id", context.budget(2000 + F.length("text") * 20, ((F.col("doc_id") % 8) * 1000).cast("int")).alias("b"))
+    return rows.select("doc_id", "b.*")
 
 
 @query()
@@ -126,10 +127,18 @@ def merge_sides(spark, d):
     return context.merge_sides(rows).select("qid", "n", "side", "section_id", "tokens")
 
 
-@query("SELECT * FROM (VALUES (1), (3), (4)) t(n)")
+_FIT = """WITH RECURSIVE units AS (SELECT session_id, turn, (len(list_filter(string_split_regex(content, '\\s+'), lambda w: w <> '')))::INT n, row_number() OVER (PARTITION BY session_id ORDER BY turn) i FROM turns),
+  f AS (SELECT session_id, i, CASE WHEN n <= 60 THEN 1 ELSE 0 END k, CASE WHEN n <= 60 THEN n ELSE 0 END used, n <= 60 AS fits, turn FROM units WHERE i = 1
+        UNION ALL SELECT u.session_id, u.i, f.k + (f.k < 3 AND f.used + u.n <= 60)::INT, f.used + CASE WHEN f.k < 3 AND f.used + u.n <= 60 THEN u.n ELSE 0 END, f.k < 3 AND f.used + u.n <= 60, u.turn FROM f JOIN units u ON u.session_id = f.session_id AND u.i = f.i + 1)
+SELECT session_id, turn FROM f WHERE fits"""
+
+
+@query(_FIT.replace("WITH RECURSIVE", f"WITH RECURSIVE {D.TURNS},", 1))
 def fit_context(spark, d):
-    rows = spark.sql("SELECT array(named_struct('n', 1, 'tokens', 1000), named_struct('n', 2, 'tokens', 2500), named_struct('n', 3, 'tokens', 1500), named_struct('n', 4, 'tokens', 500), named_struct('n', 5, 'tokens', 10)) u")
-    return rows.select(F.explode(context.fit(F.col("u"), 3, 3000)).alias("x")).select("x.n")
+    """Of each conversation's messages, as context units, those that fit."""
+    units = D.turns(spark, d).select("session_id", F.struct("turn", X.count_words(F.col("content")).alias("tokens")).alias("u"))
+    whole = units.groupBy("session_id").agg(F.array_sort(F.collect_list("u")).alias("u"))
+    return whole.select("session_id", F.explode(context.fit(F.col("u"), 3, 60)).alias("x")).select("session_id", "x.turn")
 
 
 @query(f"WITH {_CAND}, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rank) i FROM cand) SELECT qid, doc_id FROM r WHERE i <= 3")
@@ -137,20 +146,26 @@ def retry_units(spark, d):
     return context.retry_units(_candidates(spark, d).withColumnRenamed("rank", "n")).select("qid", "doc_id")
 
 
-_QUESTIONS = "('How do guides differ?'), ('Compare X with Y'), ('Is R2024x like R2026x?'), ('Should I use A or B?'), ('What do the Apache and the F5 load balancing guides say?'), ('What are the different components?'), ('How do I install it on R2025x?'), ('both Launcher documents'), ('X, while the single-port guide uses Y')"
+#: Each message with a remark by its place: one names releases, one compares, one chooses, one clears the filter.
+_REMARKS = (" on R2025x", " R2024x or R2026x?", " for all releases", " Compare them.", " what about both of the guides?", "", "")
+_SAID = f"said AS (SELECT session_id, turn, (session_id + turn) % 7 k, content || [{', '.join(repr(x) for x in _REMARKS)}][((session_id + turn) % 7 + 1)::INT] AS content FROM turns)"
 
 
-@query("SELECT * FROM (VALUES ('How do guides differ?', 'compare', 'comparison wording: differ'), ('Compare X with Y', 'compare', 'comparison wording: compare'), ('Is R2024x like R2026x?', 'compare', 'two releases: R2024x, R2026x'), ('Should I use A or B?', 'compare', 'choice between options'), ('What do the Apache and the F5 load balancing guides say?', 'compare', 'two documents named'), ('What are the different components?', 'answer', 'no comparison wording'), ('How do I install it on R2025x?', 'answer', 'no comparison wording'), ('both Launcher documents', 'compare', 'two documents named'), ('X, while the single-port guide uses Y', 'compare', 'two documents named')) t(q, kind, reason)")
-def route_questions(spark, d):
-    return values(spark, _QUESTIONS, "q").select("q", dialog.route(F.col("q")).alias("r")).select("q", "r.kind", "r.reason")
+def _said(spark, d):
+    remark = F.get(F.array(*map(F.lit, _REMARKS)), ((F.col("session_id") + F.col("turn")) % 7).cast("int"))
+    return D.turns(spark, d).withColumn("content", F.concat("content", remark))
 
 
-_TALK = "('s', 1, 'Install on R2025x'), ('s', 2, 'and the ports?'), ('s', 3, 'R2024x or R2026x?'), ('s', 4, 'more'), ('s', 5, 'for all releases'), ('s', 6, 'again'), ('t', 1, 'hello')"
+@query(f"""WITH {D.TURNS}, {_SAID} SELECT session_id, turn, CASE WHEN k IN (1, 3, 4) THEN 'compare' ELSE 'answer' END AS kind,
+  CASE k WHEN 1 THEN 'two releases: R2024x, R2026x' WHEN 3 THEN 'comparison wording: compare' WHEN 4 THEN 'two documents named' ELSE 'no comparison wording' END AS reason FROM said""")
+def route_questions(spark, d):
+    return _said(spark, d).select("session_id", "turn", dialog.route(F.col("content")).alias("r")).select("session_id", "turn", "r.kind", "r.reason")
 
 
-@query("SELECT * FROM (VALUES ('s', 1, 2025, 'R2025x'), ('s', 2, 2025, 'R2025x'), ('s', 3, NULL, 'R2025x'), ('s', 4, 2025, 'R2025x'), ('s', 5, NULL, NULL), ('s', 6, NULL, NULL), ('t', 1, NULL, NULL)) t(session_id, turn, release, sticky)")
+@query(f"""WITH {D.TURNS}, {_SAID}, s AS (SELECT *, nullif(last_value(CASE k WHEN 0 THEN '2025' WHEN 2 THEN '' END IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '') y FROM said)
+SELECT session_id, turn, CASE WHEN k NOT IN (1, 2) THEN y::INT END AS release, 'R' || y || 'x' AS sticky FROM s""")
 def sticky_release(spark, d):
-    return dialog.sticky_release(values(spark, _TALK, "session_id, turn, content")).select("session_id", "turn", "release", "sticky")
+    return dialog.sticky_release(_said(spark, d)).select("session_id", "turn", "release", "sticky")
 
 
 @query(f"WITH {D.TURNS}, h AS (SELECT *, count(*) OVER (PARTITION BY session_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) before, len(list_filter(string_split_regex(content, '\\s+'), lambda w: w <> '')) n FROM turns) SELECT session_id, turn, before > 0 AND (n <= 6 OR regexp_matches(content, '(?i)^\\s*(and|also|then|so|but|or|what about|how about|same for|what if|and what|and how|and on|and for|and in|is it|is that|does it|does that|can it|can i also)\\b') OR (n <= 15 AND regexp_matches(content, '(?i)\\b(it|its|this|that|these|those|they|them|there|the same|above|previous|earlier|former|latter|other|another|else|instead|alternatives?|different|again)\\b'))) AS follow_up FROM h")
@@ -179,10 +194,13 @@ def comparison_sides(spark, d):
     return s.select("reply", F.size("s").alias("n"), F.get("s", F.lit(0))["query"].alias("first_query"))
 
 
-@query("SELECT * FROM (VALUES ('R2024x or R2026x?', 'on R2026x', 2026), ('R2024x or R2026x?', 'R2024x and R2026x', 7), ('R2026x?', 'on R2026x', 7)) t(question, side, release)")
+@query(f"""WITH {D.TURNS}, {_SAID}, q AS (SELECT session_id, count_if(k = 0) > 0 a, count_if(k = 1) > 0 b FROM said GROUP BY ALL)
+SELECT session_id, turn, CASE WHEN k = 0 AND b THEN 2025 ELSE 7 END AS release FROM said JOIN q USING (session_id)""")
 def side_releases(spark, d):
-    rows = values(spark, "('R2024x or R2026x?', 'on R2026x'), ('R2024x or R2026x?', 'R2024x and R2026x'), ('R2026x?', 'on R2026x')", "question, side")
-    return rows.select("question", "side", dialog.side_release(F.col("question"), F.col("side"), F.lit(7)).alias("release"))
+    """Each message as a side of the question that its whole conversation asks."""
+    said = _said(spark, d)
+    asked = said.groupBy("session_id").agg(F.array_join(F.array_sort(F.collect_list("content")), " ").alias("question"))
+    return said.join(asked, "session_id").select("session_id", "turn", dialog.side_release(F.col("question"), F.col("content"), F.lit(7)).alias("release"))
 
 
 @query("SELECT * FROM (VALUES ('Rewritten question: \"How do I install it?\"', 'How do I install it?'), ('I could not find it', NULL), ('', NULL)) t(reply, rewrite)")
@@ -208,18 +226,26 @@ def search_groups(spark, d):
     return D.requests(spark, d).select("qid", F.array_sort(F.array_union("groups", F.array(F.lit("all")))).alias("groups"))
 
 
-_A = r"""('a', 'Use it [1, 3]. Then [9].[1]', 3), ('b', 'I could not find the answer to this question in the available documents. [1]', 2), ('c', 'Do this [2]. [2]', 2), ('d', 'Step one. I could not find the answer to this question in the available documents.', 1)"""
+#: Answers over each document's number of sources, and which of their markers are valid.
+_ANSWERS = "answers AS (SELECT doc_id qid, (doc_id % 5)::INT n, 'Use ' || lang || ' [1, ' || (1 + doc_id % 7) || ']. Then [9; 2].[1]' || CASE WHEN doc_id % 3 = 0 THEN '[1]' ELSE '' END AS text FROM documents)"
+
+
+def _answers(spark, d):
+    i = F.col("doc_id")
+    text = F.concat(F.lit("Use "), F.col("lang"), F.lit(" [1, "), (1 + i % 7).cast("string"), F.lit("]. Then [9; 2].[1]"), F.when(i % 3 == 0, "[1]").otherwise(""))
+    return table(spark, d, "documents").select(i.alias("qid"), (i % 5).cast("int").alias("n"), text.alias("text"))
 
 
-@query("SELECT * FROM (VALUES ('a', [1, 3], [9]), ('b', [1], []::INT[]), ('c', [2], []::INT[]), ('d', []::INT[], []::INT[])) t(qid, cited, invalid)")
+@query(f"WITH {_ANSWERS}, numbers AS (SELECT qid, n, list_transform(regexp_extract_all(text, '[0-9]+'), lambda x: x::INT) m FROM answers) SELECT qid, list_filter(m, lambda x, i: x <= n AND list_position(m, x) = i) AS cited, list_filter(m, lambda x, i: x > n AND list_position(m, x) = i) AS invalid FROM numbers")
 def citations_extract(spark, d):
-    n = F.col("n")
-    return values(spark, _A, "qid, text, n").select("qid", answers.cited(F.col("text"), n).alias("cited"), answers.invalid(F.col("text"), n).alias("invalid"))
+    text, n = F.col("text"), F.col("n")
+    return _answers(spark, d).select("qid", answers.cited(text, n).alias("cited"), answers.invalid(text, n).alias("invalid"))
 
 
-@query("SELECT * FROM (VALUES ('a', 'Use it [1][3]. Then.[1]', false, false), ('b', 'I could not find the answer to this question in the available documents.', true, false), ('c', 'Do this [2].', false, false), ('d', 'Step one.', false, true)) t(qid, text, refused, dropped)")
+@query(f"""WITH {_ANSWERS}, k AS (SELECT qid, n, 1 + qid % 7 x FROM answers), t AS (SELECT qid, n, (SELECT lang FROM documents WHERE doc_id = qid) lang, CASE WHEN n >= 1 THEN '[1]' ELSE '' END one, CASE WHEN x <= n AND x > 1 THEN '[' || x || ']' ELSE '' END other, CASE WHEN n >= 2 THEN '[2]' ELSE '' END two FROM k)
+SELECT qid, rtrim('Use ' || lang || CASE WHEN one || other <> '' THEN ' ' ELSE '' END || one || other || '. Then' || CASE WHEN two <> '' THEN ' ' ELSE '' END || two || '.' || one) AS text, false AS refused, false AS dropped FROM t""")
 def citations_checked(spark, d):
-    return values(spark, _A, "qid, text, n").select("qid", answers.check_citations("text", "n").alias("c")).select("qid", "c.text", "c.refused", "c.dropped")
+    return _answers(spark, d).select("qid", answers.check_citations("text", "n").alias("c")).select("qid", "c.text", "c.refused", "c.dropped")
 
 
 @query("SELECT * FROM (VALUES ('q', 1, '- KB0012345 [1]'), ('q', 2, '- https://x.example/a [1]'), ('q', 3, '- KB999999 [2]')) t(qid, pos, line)")

@@ -144,8 +144,32 @@ def test_mode_is_checked(spark):
 
 
 @pytest.mark.parametrize("query,labels,want", [("How do X differ between MSSQL and Oracle?", ["Oracle"], "How do X differ between MSSQL?"), ("R2019x and R2021x setup", ["R2019x"], "R2021x setup"), ("set up A", ["B"], "set up A")])
-def test_without_labels(query, labels, want):
-    assert dialog.without_labels(query, labels) == want
+def test_without_labels(spark, query, labels, want):
+    row = spark.createDataFrame([(query, labels)], "q string, l array<string>")
+    assert row.select(dialog.without_labels(F.col("q"), F.col("l")).alias("x")).first().x == want
+
+
+def test_ids_are_unique_among_themselves_and_those_taken(spark):
+    drafts = spark.createDataFrame([("a.pdf", "x"), ("b.pdf", "x"), ("c.pdf", "x-3"), ("f/d.pdf", "x"), ("g/d.pdf", "f-x"), ("e.pdf", "y")], "path string, doc_id string")
+    taken = spark.createDataFrame([("x",), ("x-2",), ("f-x",)], "doc_id string")
+    got = {r.path: r.doc_id for r in manifest.unique_ids(drafts, taken).collect()}
+    assert len(got) == len(set(got.values())) == 6 and not set(got.values()) & {"x", "x-2", "f-x"}
+    assert got["c.pdf"] == "x-3" and got["e.pdf"] == "y" and got["g/d.pdf"] == "g-f-x"
+    assert manifest.unique_ids(drafts.limit(0), taken).count() == 0
+
+
+def test_labels_are_no_patterns(spark):
+    rows = [("set up C++ (x86) or the A.B", ["A.B"], "set up C++ (x86)"), ("set up C++ (x86) or AxB", ["A.B", "C++ (x86)"], "set up or AxB"), ("a \\\\E b versus \\\\Q", ["\\\\E"], "a b versus \\\\Q"), ("x and between or the, y vs. and?", [], "x, y.?")]
+    got = spark.createDataFrame([r[:2] for r in rows], "q string, l array<string>").select(dialog.without_labels(F.col("q"), F.col("l")).alias("x")).collect()
+    assert [r.x for r in got][0] == rows[0][2] and [r.x for r in got][3] == rows[3][2]
+
+
+def test_sides_of_replies(spark):
+    two = '{"sides": [{"label": "A", "query": "set up the A and B"}, {"label": "B", "query": "set up B"}]}'
+    rows = [two, None, "", "[]", '{"sides": 3}', '{"sides": [{"label": "A"}, {"label": "B", "query": "x y"}]}', two.replace('"B"', '"a"'), '{"sides": [{"label": "A", "query": "same words"}, {"label": "B", "query": "Same Words"}]}']
+    got = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, reply string").select("i", dialog.parse_sides("reply").alias("s")).orderBy("i").collect()
+    assert [(x.label, x.query) for x in got[0].s] == [("A", "set up the A"), ("B", "set up B")]
+    assert [len(r.s) for r in got[1:]] == [0, 0, 0, 0, 0, 2, 0]
 
 
 def test_split_answer_keeps_code_whole():
@@ -155,9 +179,21 @@ def test_split_answer_keeps_code_whole():
     assert len(parts) > 1 and any(code.strip() in p for p in parts)
 
 
-def test_tidy_citations():
-    assert answers.tidy("a [1][1] b") == "a [1] b"
-    assert answers.tidy("x [1].\n[1]") == "x [1]." and answers.tidy("x [1].\n[2]") == "x [1].\n[2]"
+def test_tidy_citations(spark):
+    want = {"a [1][1] b": "a [1] b", "x [1].\n[1]": "x [1].", "x [1].\n[2]": "x [1].\n[2]", "x [1]. [1]\ny": "x [1].\ny", "x [1]\n[2]\n[1][2]\n": "x [1]\n[2]", "[1]": "[1]", "": ""}
+    rows = spark.createDataFrame([(x,) for x in want], "t string").select("t", answers.tidy(F.col("t")).alias("x")).collect()
+    assert {r.t: r.x for r in rows} == want
+
+
+def test_parts_of_an_answer_lose_nothing_and_stay_short():
+    import random
+
+    draw = random.Random(1)
+    for _ in range(200):
+        text = "\n\n".join("w" * draw.randint(1, 60) for _ in range(draw.randint(1, 30)))
+        parts = answers.split_answer(text, 100)
+        assert "\n\n".join(parts) == text and all(len(p) <= 102 for p in parts)
+        assert all(len(a) + len(b.split("\n\n")[0]) > 100 for a, b in zip(parts, parts[1:]))
 
 
 def test_threshold_counts_missing_scores_as_passed(spark):
