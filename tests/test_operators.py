@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from corpusloom import plugins
 from corpusloom.functions import text as X
-from corpusloom.operators import answering, answers, chunking, context, dialog, evaluation, search, structure
+from corpusloom.operators import answering, answers, chunking, context, dialog, evaluation, manifest, search, structure
 
 
 def one(spark, column):
