@@ -35,6 +35,11 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
+def let(value: Column, then) -> Column:
+    """then(value) with value evaluated once, however often it is used in there."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def words(text: Column) -> Column:
     return F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
 

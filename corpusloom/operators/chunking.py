@@ -33,6 +33,26 @@ def merge_commands(blocks: DataFrame) -> DataFrame:
     return joined.select("section_id", "ordinal", F.when(F.col("_code"), "code").otherwise(F.col("kind")).alias("kind"), F.array_join(F.transform("_t", lambda x: x["text"]), "\n").alias("text"), "page_start", "page_end")
 
 
+def merge_runs(blocks: Column) -> Column:
+    """merge_commands for the array of one section's blocks: where runs of code-like neighbours begin is found first, then each is put together."""
+    code_like = F.transform(blocks, lambda b: F.coalesce((b["kind"] == "code") | ((b["kind"] == "text") & is_command(b["text"])), F.lit(False)))
+
+    def begins(code: Column) -> Column:
+        at = F.when(F.size(code) > 0, F.sequence(F.lit(0), F.size(code) - 1)).otherwise(F.array().cast("array<int>"))
+        return F.filter(at, lambda i: (i == 0) | ~(F.get(code, i) & F.get(code, i - 1)))
+
+    def joined(code: Column, starts: Column) -> Column:
+        def block(i: Column, n: Column) -> Column:
+            end = F.coalesce(F.get(starts, n + 1), F.size(code))
+            text = F.array_join(F.transform(F.slice(blocks, i + 1, end - i), lambda b: b["text"]), "\n")
+            kind = F.when(F.get(code, i), "code").otherwise(F.get(blocks, i)["kind"])
+            return F.struct(kind.alias("kind"), text.alias("text"), F.get(blocks, i)["page_start"].alias("page_start"), F.get(blocks, end - 1)["page_end"].alias("page_end"))
+
+        return F.transform(starts, block)
+
+    return X.let(code_like, lambda code: X.let(begins(code), lambda starts: joined(code, starts)))
+
+
 def pack(units: Column, joiner: str, limit: int = TARGET, prefix: Column | None = None, count: Counter = X.count_words) -> Column:
     """Units put together in order as long as their tokens, with the prefix's, fit the limit; one that is too large stays whole.
 
@@ -95,7 +115,8 @@ def pack_blocks(blocks: Column) -> Column:
 
 
 def chunk_sections(sections: DataFrame, count: Counter = X.count_words) -> DataFrame:
-    """Chunks of sections(section_id, header, blocks array<struct<kind,text,page_start,page_end>>), one row each."""
+    """Chunks of sections(section_id, header, blocks array<struct<kind,text,page_start,page_end>>), one row each; code-like neighbours are one block first."""
+    sections = sections.withColumn("blocks", merge_runs(F.col("blocks")))
     pieces = F.flatten(F.transform("blocks", lambda b: F.transform(split_block(b["kind"], b["text"], count), lambda t: F.struct(b["kind"].alias("kind"), t.alias("text"), b["page_start"].cast("int").alias("page_start"), b["page_end"].cast("int").alias("page_end"), count(t).alias("tokens"), is_lead_in(b["kind"], t, count).alias("lead")))))
     groups = sections.select("section_id", "header", F.posexplode(pack_blocks(pieces)).alias("chunk_index", "g"))
     kinds = F.array_distinct(F.transform("g", lambda b: b["kind"]))

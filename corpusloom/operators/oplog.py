@@ -42,8 +42,13 @@ def prune(table: DataFrame, listed: DataFrame, key: str = "doc_id") -> DataFrame
     return table.join(listed.select(key).distinct(), key, "left_semi")
 
 
+def told_apart(*parts: Column) -> Column:
+    """The parts as one string that no other parts give: each after its length, null as '-'."""
+    return F.concat(*(F.coalesce(F.concat(F.length(p.cast("string")).cast("string"), F.lit(":"), p.cast("string")), F.lit("-")) for p in parts))
+
+
 def metadata_hash(*columns: str) -> Column:
-    return F.substring(F.sha2(F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns)), 256), 1, 16)
+    return F.substring(F.sha2(told_apart(*map(F.col, columns)), 256), 1, 16)
 
 
 def index_action(documents: DataFrame, force: bool = False) -> DataFrame:
@@ -54,7 +59,7 @@ def index_action(documents: DataFrame, force: bool = False) -> DataFrame:
 
 def fingerprint(rows: DataFrame, *columns: str) -> DataFrame:
     """A short hash of a whole table, whatever its order: rows are hashed, a sum of the hashes is combined before it is shuffled, and hashed again."""
-    line = F.sha2(F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns)), 256)
+    line = F.sha2(told_apart(*map(F.col, columns)), 256)
     part = lambda i: F.sum(F.conv(F.substring(line, 1 + 8 * i, 8), 16, 10).cast("decimal(38,0)")).cast("string")
     return rows.agg(F.substring(F.sha2(F.concat_ws("-", F.count("*").cast("string"), *(part(i) for i in range(4))), 256), 1, 16).alias("fingerprint"), F.count("*").alias("n"))
 
@@ -71,9 +76,10 @@ def stage_timings(stages: DataFrame, by: list[str]) -> DataFrame:
     return stages.groupBy(*by).agg(F.round(F.sum(F.col("duration_ms").cast("decimal(24,6)")), 1).cast("double").alias("total_ms"))
 
 
-def cache_key(question: Column, groups: Column, release: Column, corpus: Column, model: Column) -> Column:
-    parts = F.concat_ws("|", X.question_key(question), F.array_join(F.array_sort(F.array_distinct(groups)), ","), F.coalesce(release, F.lit("")), corpus, model)
-    return F.sha2(parts, 256)
+def cache_key(question: Column, groups: Column, release: Column, corpus: Column, model: Column, settings: Column | None = None) -> Column:
+    """What a cached answer depends on. settings: retrieval options, profile and prompts as one string, so that no answer outlives a change of them."""
+    who = F.array_join(F.array_sort(F.array_distinct(groups)), ",")
+    return F.sha2(told_apart(X.question_key(question), who, release, corpus, model, F.lit(None).cast("string") if settings is None else settings), 256)
 
 
 def cache_stats(entries: DataFrame) -> DataFrame:

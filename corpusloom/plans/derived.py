@@ -21,6 +21,11 @@ SCORE = "((doc_id * 7919) % 1000)::DOUBLE / 1000"
 OUTCOMES = f"outcomes AS (SELECT doc_id qid, quality = 1 answerable, CASE WHEN doc_id % 11 = 0 THEN NULL ELSE {SCORE} END top, toxic = 0 AND doc_id % 4 <> 0 answered, CASE WHEN toxic = 0 AND doc_id % 4 <> 0 THEN NULL WHEN doc_id % 8 = 0 THEN 'gate' ELSE 'llm' END refused_by, doc_id % 7 = 0 retried, toxic = 0 AND doc_id % 4 <> 0 AND doc_id % 3 <> 0 good FROM labels)"
 
 
+def marked(x: str) -> str:
+    """SQL of a value as oplog.told_apart writes it."""
+    return f"coalesce(length(({x})::VARCHAR) || ':' || ({x})::VARCHAR, '-')"
+
+
 def manifest(spark: SparkSession, d: str) -> DataFrame:
     i = F.col("doc_id")
     groups = lambda *g: F.array(*map(F.lit, g))

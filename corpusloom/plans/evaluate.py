@@ -10,16 +10,22 @@ from corpusloom.plans.ingest import values
 from corpusloom.registry import query, table
 
 
-@query("SELECT * FROM (VALUES ('q1', 'lookup', 1, true), ('q2', 'compare', 4, false), ('q3', 'howto', NULL, false)) t(qid, qtype, first_hit, all_docs)")
+@query("""WITH c AS (SELECT doc_id // 30 qid, (doc_id % 30 + 1)::INT AS rank, source, doc_id % 10 a, doc_id % 10 + doc_id % 3 b FROM documents), s AS (SELECT DISTINCT doc_id // 30 qid, source, doc_id % 5 x, doc_id % 5 + 1 y FROM documents WHERE doc_id % 7 = 0),
+  h AS (SELECT qid, min(rank) first_hit, count(DISTINCT CASE WHEN rank <= 5 THEN source END) found FROM c JOIN s USING (qid, source) WHERE a <= y AND b >= x GROUP BY qid), n AS (SELECT qid, count(DISTINCT source) cited FROM s GROUP BY qid)
+SELECT qid, CASE WHEN qid % 2 = 0 THEN 'lookup' ELSE 'compare' END AS qtype, first_hit, coalesce(found, 0) = cited AS all_docs FROM n LEFT JOIN h USING (qid)""")
 def first_hits(spark, d):
-    c = values(spark, "('q1', 1, 'a', 3, 4), ('q1', 2, 'b', 1, 1), ('q2', 1, 'a', 1, 1), ('q2', 4, 'b', 9, 10), ('q3', 1, 'c', 1, 1)", "qid, rank, doc_id, page_start, page_end")
-    s = values(spark, "('q1', 'a', 4, 5), ('q2', 'a', 2, 3), ('q2', 'b', 10, 10), ('q3', 'c', 2, 2)", "qid, doc_id, first, last")
-    return evaluation.first_hits(c, s, values(spark, "('q1', 'lookup'), ('q2', 'compare'), ('q3', 'howto')", "qid, qtype"))
+    """Thirty documents as a question's candidates, on pages by their numbers; every seventh is cited."""
+    i = F.col("doc_id")
+    c = table(spark, d, "documents").select(F.floor(i / 30).alias("qid"), (i % 30 + 1).cast("int").alias("rank"), F.col("source").alias("doc_id"), (i % 10).alias("page_start"), (i % 10 + i % 3).alias("page_end"), (i % 5).alias("first"), (i % 7).alias("seventh"))
+    s = c.where("seventh = 0").select("qid", "doc_id", "first", (F.col("first") + 1).alias("last")).distinct()
+    q = c.select("qid", F.when(F.col("qid") % 2 == 0, "lookup").otherwise("compare").alias("qtype")).distinct()
+    return evaluation.first_hits(c.drop("first", "seventh"), s, q)
 
 
-@query("SELECT * FROM (VALUES ('all', 3, 1.0 / 3, 2.0 / 3, 2.0 / 3, 4.0 / 9)) t(config, n, recall_1, recall_5, recall_10, mrr)".replace("1.0 / 3", "1.0::DOUBLE / 3").replace("2.0 / 3", "2.0::DOUBLE / 3").replace("4.0 / 9", "4.0::DOUBLE / 9"))
+@query("SELECT doc_id % 3 AS config, count(*) n, avg(CASE WHEN h <= 1 THEN 1.0::DOUBLE ELSE 0 END) recall_1, avg(CASE WHEN h <= 5 THEN 1.0::DOUBLE ELSE 0 END) recall_5, avg(CASE WHEN h <= 10 THEN 1.0::DOUBLE ELSE 0 END) recall_10, avg(coalesce(1.0::DOUBLE / h, 0)) mrr FROM (SELECT doc_id, CASE WHEN doc_id % 4 > 0 THEN 1 + doc_id % 12 END h FROM labels) GROUP BY ALL")
 def retrieval_summary(spark, d):
-    return evaluation.retrieval_summary(values(spark, "('all', 1), ('all', 3), ('all', null)", "config, first_hit"), ["config"])
+    i = F.col("doc_id")
+    return evaluation.retrieval_summary(table(spark, d, "labels").select((i % 3).alias("config"), F.when(i % 4 > 0, 1 + i % 12).alias("first_hit")), ["config"])
 
 
 _FACTS = "SELECT b.item_id, (count(d.doc_id))::BIGINT found FROM benchmark b LEFT JOIN documents d ON contains(lower(d.text), lower(b.text)) GROUP BY b.item_id"
@@ -78,10 +84,11 @@ def latency_percentiles(spark, d):
     return evaluation.nearest_rank_by(table(spark, d, "events"), ["event_type"], "value", {"p50": 50, "p95": 95})
 
 
-@query("SELECT 3.0::DOUBLE AS p50, 4.0::DOUBLE AS p95, 0.0::DOUBLE AS none")
+@query(f"WITH {D.TURNS}, v AS (SELECT session_id, list_sort(list(length(content)::DOUBLE)) v FROM turns GROUP BY ALL) SELECT session_id, v[round_even((len(v) - 1) * 0.5, 0)::INT + 1] AS p50, v[round_even((len(v) - 1) * 0.95, 0)::INT + 1] AS p95, 0.0::DOUBLE AS none FROM v")
 def nearest_ranks(spark, d):
-    rows = spark.sql("SELECT array(4D, 1D, 3D, 2D) v, cast(array() as array<double>) e")
-    return rows.select(evaluation.nearest_rank(F.col("v"), 50).alias("p50"), evaluation.nearest_rank(F.col("v"), 95).alias("p95"), evaluation.nearest_rank(F.col("e"), 50).alias("none"))
+    """Percentiles of the lengths of each conversation's messages."""
+    rows = D.turns(spark, d).groupBy("session_id").agg(F.collect_list(F.length("content").cast("double")).alias("v"))
+    return rows.select("session_id", evaluation.nearest_rank(F.col("v"), 50).alias("p50"), evaluation.nearest_rank(F.col("v"), 95).alias("p95"), evaluation.nearest_rank(F.array().cast("array<double>"), 50).alias("none"))
 
 
 @query(f"WITH {D.OUTCOMES} SELECT qid, CASE WHEN qid % 10 = 0 THEN 'no_context' WHEN top < 0.1 THEN 'low_score' ELSE 'pass' END AS decision FROM outcomes")
@@ -121,11 +128,14 @@ def golden_problems(spark, d):
     return evaluation.golden_problems(rows)
 
 
-@query("SELECT * FROM (VALUES ('q1', ['beta'], 2), ('q2', []::VARCHAR[], 1)) t(qid, missing, n_chunks)")
+@query(f"""WITH {D.LINES}, m AS (SELECT doc_id, unnest(['The', 'zzz', lang]) must FROM documents), f AS (SELECT m.doc_id, must, coalesce(bool_or(contains(lower(line), lower(must))), false) found, count(line) c FROM m LEFT JOIN lines l ON l.doc_id = m.doc_id AND page = 1 GROUP BY ALL)
+SELECT doc_id AS qid, coalesce(list_sort(list(must) FILTER (NOT found)), []) AS missing, max(c)::INT n_chunks FROM f GROUP BY doc_id""")
 def page_coverage(spark, d):
-    g = values(spark, "('q1', array('Alpha', 'beta')), ('q2', array('gamma'))", "qid, must_include")
-    s = values(spark, "('q1', 'a', 2, 3), ('q2', 'b', 1, 1)", "qid, doc_id, first, last")
-    c = values(spark, "('a', 1, 1, 'beta'), ('a', 1, 2, 'has alpha'), ('a', 3, 4, 'more'), ('b', 1, 9, 'GAMMA rays')", "doc_id, page_start, page_end, text")
+    """Whether the lines of each document's first page hold three words."""
+    docs = table(spark, d, "documents")
+    g = docs.select(F.col("doc_id").alias("qid"), F.array(F.lit("The"), F.lit("zzz"), F.col("lang")).alias("must_include"))
+    s = docs.select(F.col("doc_id").alias("qid"), "doc_id", F.lit(1).alias("first"), F.lit(1).alias("last"))
+    c = D.lines(spark, d).select("doc_id", F.col("page").alias("page_start"), F.col("page").alias("page_end"), F.col("line").alias("text"))
     return evaluation.coverage(g, s, c).withColumn("n_chunks", F.col("n_chunks").cast("int"))
 
 

@@ -187,11 +187,15 @@ def history_windows(spark, d):
     return dialog.with_history(D.turns(spark, d)).select("session_id", "turn", F.size("history").alias("n"), F.md5(F.array_join("history", "\n")).alias("h"))
 
 
-@query("""SELECT * FROM (VALUES ('{"sides": [{"label": "MSSQL", "query": "How is MSSQL set up and Oracle?"}, {"label": "Oracle", "query": "How is Oracle set up?"}]}', 2, 'How is MSSQL set up?'), ('{"sides": [{"label": "A", "query": "one side only"}]}', 0, NULL), ('no json', 0, NULL)) t(reply, n, first_query)""")
+@query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 0 END AS n, CASE WHEN doc_id % 3 = 0 THEN 'How is A' || doc_id || ' set up?' END AS first_query FROM documents""")
 def comparison_sides(spark, d):
-    rows = spark.createDataFrame([('{"sides": [{"label": "MSSQL", "query": "How is MSSQL set up and Oracle?"}, {"label": "Oracle", "query": "How is Oracle set up?"}]}',), ('{"sides": [{"label": "A", "query": "one side only"}]}',), ("no json",)], "reply string")
-    s = rows.select("reply", dialog.parse_sides("reply").alias("s"))
-    return s.select("reply", F.size("s").alias("n"), F.get("s", F.lit(0))["query"].alias("first_query"))
+    """A planner's reply for each document: two sides, one side only, or no JSON."""
+    i = F.col("doc_id").cast("string")
+    a = F.format_string('{"label": "A%s", "query": "How is A%s set up and B%s?"}', i, i, i)
+    b = F.format_string('{"label": "B%s", "query": "How is B%s set up?"}', i, i)
+    reply = F.when(F.col("doc_id") % 3 == 0, F.format_string('{"sides": [%s, %s]}', a, b)).when(F.col("doc_id") % 3 == 1, F.format_string('{"sides": [%s]}', a)).otherwise("no json")
+    s = table(spark, d, "documents").select("doc_id", dialog.parse_sides(reply).alias("s"))
+    return s.select("doc_id", F.size("s").alias("n"), F.get("s", F.lit(0))["query"].alias("first_query"))
 
 
 @query(f"""WITH {D.TURNS}, {_SAID}, q AS (SELECT session_id, count_if(k = 0) > 0 a, count_if(k = 1) > 0 b FROM said GROUP BY ALL)
@@ -203,10 +207,13 @@ def side_releases(spark, d):
     return said.join(asked, "session_id").select("session_id", "turn", dialog.side_release(F.col("question"), F.col("content"), F.lit(7)).alias("release"))
 
 
-@query("SELECT * FROM (VALUES ('Rewritten question: \"How do I install it?\"', 'How do I install it?'), ('I could not find it', NULL), ('', NULL)) t(reply, rewrite)")
+@query(f"""WITH {D.TURNS} SELECT session_id, turn, CASE turn % 3 WHEN 0 THEN 'Step ' || session_id || ' of ' || role || '?' WHEN 2 THEN CASE WHEN session_id % 20 <= 10 THEN trim(repeat('word ', (30 + session_id % 20)::INT)) END END AS rewrite FROM turns""")
 def clean_rewrites(spark, d):
-    rows = spark.createDataFrame([('Rewritten question: "How do I install it?"',), ("I could not find it",), ("",)], "reply string")
-    return rows.select("reply", dialog.clean_rewrite(F.col("reply"), F.lit("and it?")).alias("rewrite"))
+    """A reply to each message: a labelled and quoted question, none, or many words."""
+    t, i = F.col("turn") % 3, F.col("session_id")
+    asked = F.format_string('\n Standalone question: "Step %s of %s?"\nmore', i.cast("string"), F.col("role"))
+    reply = F.when(t == 0, asked).when(t == 1, F.concat(F.lit("I could not find "), "role")).otherwise(F.repeat(F.lit("word "), (30 + i % 20).cast("int")))
+    return D.turns(spark, d).select("session_id", "turn", dialog.clean_rewrite(reply, F.lit("and it?")).alias("rewrite"))
 
 
 @query(f"WITH {D.LINES}, s AS (SELECT doc_id, pos, 1 + pos % 5 AS level, count(*) OVER (PARTITION BY doc_id) n FROM lines), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) i FROM s WHERE n <= 60 OR level <= 3) SELECT doc_id, pos FROM k WHERE i <= 60")
@@ -214,11 +221,15 @@ def outlines(spark, d):
     return dialog.outline(D.lines(spark, d).select("doc_id", "pos", F.col("pos").alias("ordinal"), (1 + F.col("pos") % 5).alias("level"))).select("doc_id", "pos")
 
 
-@query("SELECT * FROM (VALUES ('q', 'A', 's1', 0), ('q', 'A', 's2', 2), ('q', 'B', 's9', 3)) t(qid, side, section_id, pos)")
+@query("SELECT doc_id AS qid, side, section_id, pos FROM documents, (VALUES ('A', 's1', 0), ('A', 's2', 2), ('A', 's3', 4), ('B', 's9', 3)) t(side, section_id, pos) WHERE CASE section_id WHEN 's1' THEN doc_id % 3 <> 0 WHEN 's3' THEN doc_id % 3 = 0 WHEN 's9' THEN doc_id % 2 = 1 ELSE true END")
 def planned_reads(spark, d):
-    reply = '{"read": [{"item": "a", "section": "1."}, {"item": "A", "section": "7"}, {"item": "A", "section": "2"}, {"item": "b", "section": "9"}, {"item": "A", "section": "3"}, {"item": "A", "section": "1"}, {"item": "B", "section": "8"}]}'
-    out = values(spark, "('q', 'A', 'A', '1', 's1'), ('q', 'A', 'A', '2', 's2'), ('q', 'A', 'A', '3', 's3'), ('q', 'B', 'B', '9', 's9'), ('q', 'B', 'B', '8', 's8')", "qid, letter, side, number, section_id")
-    return dialog.parse_reads(spark.createDataFrame([("q", reply)], "qid string, reply string"), out, values(spark, "('q', 's8')", "qid, section_id"))
+    """A reader's reply for each document, of which every third has the first section and every second the only one asked of the other side."""
+    q = table(spark, d, "documents").select(F.col("doc_id").alias("qid"))
+    picks = [("a", "1."), ("A", "7"), ("A", "2"), ("b", "%s"), ("A", "3"), ("A", "1")]
+    reply = '{"read": [' + ", ".join(f'{{"item": "{a}", "section": "{b}"}}' for a, b in picks) + "]}"
+    outline = F.explode(F.array(*(F.struct(F.lit(a).alias("letter"), F.lit(a).alias("side"), F.lit(n).alias("number"), F.lit(f"s{n}").alias("section_id")) for a, n in ("A1", "A2", "A3", "B8", "B9"))))
+    have = q.where("qid % 3 = 0").select("qid", F.lit("s1").alias("section_id")).unionByName(q.where("qid % 2 = 0").select("qid", F.lit("s8").alias("section_id")))
+    return dialog.parse_reads(q.select("qid", F.format_string(reply, (8 + F.col("qid") % 2).cast("string")).alias("reply")), q.select("qid", outline.alias("o")).select("qid", "o.*"), have)
 
 
 @query(f"WITH {D.REQUESTS} SELECT qid, list_sort(list_distinct(list_append(user_groups, 'all'))) AS groups FROM requests")
@@ -248,25 +259,36 @@ def citations_checked(spark, d):
     return _answers(spark, d).select("qid", answers.check_citations("text", "n").alias("c")).select("qid", "c.text", "c.refused", "c.dropped")
 
 
-@query("SELECT * FROM (VALUES ('q', 1, '- KB0012345 [1]'), ('q', 2, '- https://x.example/a [1]'), ('q', 3, '- KB999999 [2]')) t(qid, pos, line)")
+@query("""WITH u AS (SELECT doc_id // 10 qid, doc_id % 10 + 1 n, unnest([0, 1]) i, unnest(['KB' || (100000 + doc_id % 40), 'https://x.example/' || (doc_id % 7)]) AS ref FROM documents),
+  f AS (SELECT qid, ref, min(n * 10 + i) AS place FROM u WHERE ref <> 'KB' || (100000 + qid % 40) GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY place) AS pos FROM f)
+SELECT qid, pos::INT AS pos, '- ' || ref || ' [' || (place // 10) || ']' AS line FROM k WHERE pos <= 12""")
 def missing_references(spark, d):
-    units = values(spark, "('q', 1, 'See KB0012345 and https://x.example/a.'), ('q', 2, 'KB0012345, KB999999, KB7777 and KB777777')", "qid, n, text")
-    return answers.missing_references(values(spark, "('q', 'as in KB777777')", "qid, text"), units).select("qid", F.col("pos").cast("int").alias("pos"), "line")
+    """Ten documents as the sources of an answer, which names one article."""
+    i, q = F.col("doc_id"), F.floor(F.col("doc_id") / 10)
+    units = table(spark, d, "documents").select(q.alias("qid"), (i % 10 + 1).alias("n"), F.format_string("See KB%s and https://x.example/%s.", (100000 + i % 40).cast("string"), (i % 7).cast("string")).alias("text"))
+    told = units.select("qid").distinct().select("qid", F.format_string("as in KB%s", (100000 + F.col("qid") % 40).cast("string")).alias("text"))
+    return answers.missing_references(told, units).select("qid", F.col("pos").cast("int").alias("pos"), "line")
 
 
-_CODE = "Run `octree depth 6` or:\n```\nMQL> tidy vault;\nls\nexport A=1\n```\nand `ab`"
+def _quoting(i):
+    """An answer that quotes commands by a number: in a block, inline, and some that are too short."""
+    return F.format_string("Run `pump start %s` or:\n```\ndrain tank;\nls\nset B=%s\n```\nand `ab`", (i % 9).cast("string"), (i % 4).cast("string"))
 
 
-@query("SELECT ['MQL> tidy vault;', 'export A=1', 'octree depth 6'] AS commands, ['octree depth 6'] AS unverified")
+
+@query("""SELECT doc_id, ['drain tank;', 'set B=' || (doc_id % 4), 'pump start ' || (doc_id % 9)] AS commands,
+  list_filter(['set B=' || (doc_id % 4), 'pump start ' || (doc_id % 9)], lambda c: c NOT IN ('set B=2', 'pump start 5')) AS unverified FROM documents""")
 def commands_unverified(spark, d):
-    rows = spark.createDataFrame([(_CODE, "mql > TIDY vault; export a = 1; octree depth 5")], "text string, ctx string")
-    return rows.select(answers.commands(F.col("text")).alias("commands"), answers.unverified(F.col("text"), F.col("ctx")).alias("unverified"))
+    rows = table(spark, d, "documents").select("doc_id", _quoting(F.col("doc_id")).alias("text"))
+    return rows.select("doc_id", answers.commands(F.col("text")).alias("commands"), answers.unverified(F.col("text"), F.lit("DRAIN  tank: set b = 2, pump start 5")).alias("unverified"))
 
 
-@query("SELECT * FROM (VALUES ('q', 2)) t(qid, n)")
+@query("SELECT doc_id // 10 AS qid, doc_id % 10 + 1 AS n FROM documents WHERE doc_id % 9 = (doc_id // 10) % 9")
 def inferred_sources(spark, d):
-    a = spark.createDataFrame([("q", _CODE)], "qid string, text string")
-    return answers.infer_sources(a, values(spark, "('q', 1, 'nothing here'), ('q', 2, 'set the OCTREE  depth 6 now')", "qid, n, text"))
+    """Ten documents as the sources of an answer that quotes a command, which some of them hold in another spelling."""
+    i, q = F.col("doc_id"), F.floor(F.col("doc_id") / 10)
+    units = table(spark, d, "documents").select(q.alias("qid"), (i % 10 + 1).alias("n"), F.format_string("Then PUMP  start %s, and wait", (i % 9).cast("string")).alias("text"))
+    return answers.infer_sources(units.select("qid").distinct().select("qid", _quoting(F.col("qid")).alias("text")), units)
 
 
 @query("SELECT * FROM (VALUES ('q', 0, true, false), ('q', 1, true, true), ('q', 2, false, false)) t(qid, pos, supported, by_values)")
@@ -283,10 +305,13 @@ def formatted_context(spark, d):
     return answers.format_context(units)
 
 
-@query("SELECT * FROM (VALUES ('q1', 0, 'big'), ('q1', 1, 'mid'), ('q1', 2, 'local'), ('q2', 2, 'local')) t(qid, step, model)")
+@query("SELECT DISTINCT doc_id AS qid, step, model FROM labels JOIN (VALUES (0, 0, 'big', true), (0, 1, 'mid', true), (0, 2, 'local', false), (1, 0, 'mid', true), (1, 1, 'local', false), (2, 0, 'local', false)) c(k, step, model, leaves) ON k = doc_id % 3 WHERE NOT leaves OR doc_id % 2 = 0")
 def fallback_chain(spark, d):
+    """Each labelled document as a question's source, which may leave or not; three models are asked."""
     models = values(spark, "('big', 'mid', true, true), ('mid', 'local', true, true), ('local', null, false, true), ('keyless', 'local', true, false)", "name, fallback, external, ready")
-    return answers.fallback_chain(models, values(spark, "('q1', 'big'), ('q2', 'big')", "qid, model"), values(spark, "('q1', true), ('q2', true), ('q2', false)", "qid, external_ok"))
+    q, i = table(spark, d, "labels"), F.col("doc_id")
+    asked = F.get(F.array(F.lit("big"), F.lit("mid"), F.lit("local")), (i % 3).cast("int"))
+    return answers.fallback_chain(models, q.select(i.alias("qid"), asked.alias("model")), q.select(i.alias("qid"), (i % 2 == 0).alias("external_ok")))
 
 
 @query(f"WITH {_CAND}, {D.MANIFEST} SELECT qid, bool_and(external_ok) AS may_leave FROM cand JOIN manifest USING (doc_id) GROUP BY qid")
@@ -312,7 +337,10 @@ def normalised_questions(spark, d):
     return D.turns(spark, d).select("session_id", "turn", X.question_key(F.col("content")).alias("key"))
 
 
-@query(f"WITH {D.TURNS} SELECT session_id, turn, sha256(lower(regexp_replace(trim(regexp_replace(content, '\\s+', ' ', 'g')), '[?!. ]+$', '')) || '|all,partners||c1|m1') AS k FROM turns WHERE role = 'user'")
+_KEY = "lower(regexp_replace(trim(regexp_replace(content, '\\s+', ' ', 'g')), '[?!. ]+$', ''))"
+
+
+@query(f"WITH {D.TURNS} SELECT session_id, turn, sha256({D.marked(_KEY)} || '12:all,partners' || '-' || '2:c1' || '2:m1' || '4:top5') AS k FROM turns WHERE role = 'user'")
 def cache_keys(spark, d):
     groups = F.array(F.lit("partners"), F.lit("all"), F.lit("partners"))
-    return D.turns(spark, d).where("role = 'user'").select("session_id", "turn", oplog.cache_key(F.col("content"), groups, F.lit(None).cast("string"), F.lit("c1"), F.lit("m1")).alias("k"))
+    return D.turns(spark, d).where("role = 'user'").select("session_id", "turn", oplog.cache_key(F.col("content"), groups, F.lit(None).cast("string"), F.lit("c1"), F.lit("m1"), F.lit("top5")).alias("k"))

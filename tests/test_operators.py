@@ -304,3 +304,23 @@ def test_a_chain_is_followed_to_its_local_end(spark):
     assert sorted(map(tuple, answers.fallback_chain(m, r, c).collect())) == sorted(want)
     named = spark.createDataFrame([*models, ("home", None, False, False)], m.schema)
     assert [tuple(x) for x in answers.fallback_chain(named, r.where("qid = 'shut'"), c, local="home").collect()] == [("shut", 1, "home")]
+
+
+def test_runs_of_commands_in_a_section_are_merged_as_in_a_table(spark):
+    import random
+
+    rnd, texts = random.Random(3), ["Run this:", "cd /tmp", "export A=1", "Done.", "<config>", "ls", "SELECT 1"]
+    rows = [(f"s{s}", i, rnd.choice(["text", "code", "list"]), rnd.choice(texts), i, i + 1) for s in range(12) for i in range(s)]
+    blocks = spark.createDataFrame(rows, "section_id string, ordinal int, kind string, text string, page_start int, page_end int")
+    want = {(r.section_id, r.kind, r.text, r.page_start, r.page_end) for r in chunking.merge_commands(blocks).collect()}
+    whole = blocks.groupBy("section_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "kind", "text", "page_start", "page_end"))).alias("b"))
+    made = whole.select("section_id", F.explode(chunking.merge_runs(F.col("b"))).alias("x")).select("section_id", "x.*").collect()
+    assert {tuple(r) for r in made} == want and len(made) == chunking.merge_commands(blocks).count()
+    assert spark.range(1).select(chunking.merge_runs(F.array().cast("array<struct<kind:string,text:string,page_start:int,page_end:int>>")).alias("x")).first().x == []
+
+
+def test_hashes_tell_parts_apart(spark):
+    from corpusloom.operators import oplog
+
+    rows = spark.createDataFrame([("a|b", "c"), ("a", "b|c"), ("a", None), ("a", ""), (None, "a"), ("", "a")], "x string, y string")
+    assert rows.select(oplog.metadata_hash("x", "y").alias("h")).distinct().count() == 6
