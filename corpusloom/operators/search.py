@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 # Fixed values.
@@ -14,8 +20,10 @@ CANDIDATES, PREFETCH, RERANK_TOP = 30, 50, 20
 FRONT_MATTER_FACTOR = 0.8
 #: The constant of reciprocal rank fusion, as in the paper that introduced it.
 RRF = 60
-#: Points of a shard and questions of a block in the dense search.
-SHARD, BLOCK = 50_000, 512
+#: Points of a shard (dense, sparse), questions of a block, and questions of one matrix product.
+SHARD, SPARSE_SHARD, BLOCK, AT_ONCE = 50_000, 10_000, 512, 32
+#: What access() reads of a point.
+ACCESS = ["allowed_groups", "is_latest", "release_min", "release_max", "category"]
 
 
 def may_see(allowed: Column, groups: Column) -> Column:
@@ -40,58 +48,140 @@ def top(scored: DataFrame, limit: int, score: str = "score") -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
 
 
+def _hit_schema(points: DataFrame, requests: DataFrame) -> tuple[str, dict]:
+    """The schema of hits, for Spark and for Arrow."""
+    kinds = {c: df.schema[c].dataType for c, df in (("qid", requests), ("chunk_id", points))}
+    return ", ".join(f"{c} {t.simpleString()}" for c, t in kinds.items()) + ", score double", {c: to_arrow_type(t) for c, t in kinds.items()}
+
+
+def _parts(rows: DataFrame, size: int) -> int:
+    return max(1, -(-rows.count() // size))
+
+
+def _shown(points: DataFrame, requests: DataFrame) -> DataFrame:
+    """Points that the groups of at least one request open; the others need not be dealt. The groups of a batch are few."""
+    everyone = requests.agg(F.flatten(F.collect_set("groups"))).scalar()
+    return points.where(F.col("is_latest") & may_see(F.col("allowed_groups"), everyone))
+
+
+def _deal(left: DataFrame, shards: int, right: DataFrame, blocks: int) -> tuple:
+    """Points grouped by (shard, block) and requests by the same: every shard meets every block once."""
+    key = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int")
+    left = left.withColumn("shard", key("chunk_id", shards)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    right = right.withColumn("block", key("qid", blocks)).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    return left.groupBy("shard", "block"), right.groupBy("shard", "block")
+
+
+def _seen_by(points: pd.DataFrame) -> Callable[..., np.ndarray]:
+    """A function of a request's groups, release and category: which of these points access() lets it see."""
+    latest, category = points["is_latest"].to_numpy(bool, na_value=False), points["category"].to_numpy()
+    low, high = (points[c].to_numpy(float, na_value=np.nan) for c in ("release_min", "release_max"))
+
+    @functools.cache
+    def shared(who: frozenset) -> np.ndarray:
+        return latest & np.fromiter((g is not None and not who.isdisjoint(g) for g in points["allowed_groups"]), bool, len(points))
+
+    def seen(groups, release, wanted) -> np.ndarray:
+        if groups is None:
+            return np.zeros(len(points), bool)
+        ok = shared(frozenset({*groups, "all"}))
+        if not pd.isna(release):
+            ok = ok & (low <= release) & (high >= release)
+        return ok if pd.isna(wanted) else ok & (category == wanted)
+
+    return seen
+
+
+def _best(ids: np.ndarray, score: np.ndarray, ok: np.ndarray, limit: int) -> np.ndarray:
+    """Places of the `limit` highest scores where ok, ties to the smaller id; only what reaches the last of them is sorted."""
+    at = np.flatnonzero(ok)
+    if len(at) > limit:
+        at = at[score[at] >= np.partition(score[at], -limit)[-limit]]
+    return at[np.lexsort((ids[at], -score[at]))][:limit]
+
+
+def _hits(kinds: dict, rows: list[tuple]) -> pa.Table:
+    """(qid, ids, scores) of each question as a table of hits."""
+    some = [pa.table({"qid": pa.array([q] * len(ids), kinds["qid"]), "chunk_id": pa.array(ids, kinds["chunk_id"]), "score": pa.array(score, pa.float64())}) for q, ids, score in rows]
+    return pa.concat_tables(some) if some else pa.schema([("qid", kinds["qid"]), ("chunk_id", kinds["chunk_id"]), ("score", pa.float64())]).empty_table()
+
+
 def sparse(postings: DataFrame, points: DataFrame, terms: DataFrame, requests: DataFrame, limit: int = PREFETCH) -> DataFrame:
     """qid, chunk_id, score, rank: sums of weight products over shared tokens, of points the request may see.
 
-    postings(chunk_id, token, weight), terms(qid, token, qweight). A token's postings and questions
-    meet in a join whose large tokens Spark splits; sums are combined before they are shuffled.
+    postings(chunk_id, token, weight), terms(qid, token, qweight); null tokens and weights count as absent. Points are
+    dealt to shards with their postings of asked tokens and questions to blocks, both of bounded size. A task
+    adds up one question's postings at a time, leaves out forbidden points and hands on its `limit` best,
+    so (question, point) pairs are neither built nor shuffled.
     """
-    sums = terms.join(postings, "token").groupBy("qid", "chunk_id").agg(F.sum(F.col("qweight") * F.col("weight")).alias("score"))
-    asked = requests.select("qid", *(F.col(c).alias(f"_r_{c}") for c in ("groups", "release", "category")))
-    return top(sums.join(points, "chunk_id").join(asked, "qid").where(access("", "_r_")).select("qid", "chunk_id", "score"), limit)
+    shards, blocks = _parts(points, SPARSE_SHARD), _parts(requests, BLOCK)
+    terms = terms.where("token is not null and qweight is not null")
+    wanted = postings.where("weight is not null").join(terms.select("token").distinct(), "token", "left_semi")
+    packed = wanted.groupBy("chunk_id").agg(F.collect_list(F.struct("token", "weight")).alias("t")).select("chunk_id", F.col("t.token").alias("tokens"), F.col("t.weight").cast("array<double>").alias("weights"))
+    # merged, as the postings lie by chunk_id already: a broadcast of either side would grow with the corpus
+    held = packed.join(_shown(points, requests).select("chunk_id", *ACCESS).hint("merge"), "chunk_id")
+    asks = terms.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("token", "qweight"))).alias("t")).select("qid", F.col("t.token").alias("tokens"), F.col("t.qweight").cast("array<double>").alias("weights"))
+    left, right = _deal(held, shards, asks.join(requests.select("qid", "groups", "release", "category"), "qid"), blocks)
+    schema, kinds = _hit_schema(points, requests)
+
+    def best(p: pa.Table, r: pa.Table) -> pa.Table:
+        if not len(p) or not len(r):
+            return _hits(kinds, [])
+        ids, seen = p["chunk_id"].to_numpy(), _seen_by(p.select(ACCESS).to_pandas())
+        lists = p["tokens"].combine_chunks()
+        words = lists.flatten().dictionary_encode()
+        of, code = np.repeat(np.arange(len(p)), lists.value_lengths().to_numpy()), words.indices.to_numpy()
+        order = np.argsort(code, kind="stable")
+        of, weight = of[order], p["weights"].combine_chunks().flatten().to_numpy()[order]
+        ends = np.append(0, np.cumsum(np.bincount(code, minlength=len(words.dictionary))))
+        rows = []
+        for q in r.select(["qid", "groups", "release", "category", "tokens", "weights"]).to_pylist():
+            found = pc.index_in(pa.array(q["tokens"], pa.string()), value_set=words.dictionary.cast(pa.string())).to_numpy(zero_copy_only=False)
+            known = ~np.isnan(found.astype(float))
+            word = found[known].astype(int)
+            n = ends[word + 1] - ends[word]
+            at = np.repeat(ends[word] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum()) if len(word) else np.empty(0, int)
+            score = np.bincount(of[at], weight[at] * np.repeat(np.asarray(q["weights"], float)[known], n), len(p))
+            ok = np.zeros(len(p), bool)
+            ok[of[at]] = True
+            pick = _best(ids, score, ok & seen(q["groups"], q["release"], q["category"]), limit)
+            rows.append((q["qid"], ids[pick], score[pick]))
+        return _hits(kinds, rows)
+
+    return top(left.cogroup(right).applyInArrow(best, schema), limit)
 
 
 def dense(points: DataFrame, requests: DataFrame, limit: int = PREFETCH) -> DataFrame:
     """qid, chunk_id, score, rank: highest dot products of unit vectors, of points the request may see.
 
     points(chunk_id, vector, metadata), requests(qid, vector, groups, release, category). Points are
-    dealt to shards and questions to blocks, both of bounded size; every pair of the two is one
-    matrix product in which forbidden points are left out before the best are taken. Points without a
+    dealt to shards and questions to blocks, both of bounded size; a shard meets a few questions of
+    a block in one matrix product, and forbidden points are left out before the best are taken. Points without a
     vector are found by sparse search only.
     """
     points = points.where(F.col("vector").isNotNull())
-    n = points.agg(F.count("*")).first()[0]
-    q = requests.agg(F.count("*")).first()[0]
-    shards, blocks = max(1, -(-n // SHARD)), max(1, -(-q // BLOCK))
-    key = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int")
-    left = points.select("chunk_id", "vector", "allowed_groups", "is_latest", "release_min", "release_max", "category").withColumn("shard", key("chunk_id", shards)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = requests.select("qid", "vector", "groups", "release", "category").withColumn("block", key("qid", blocks)).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    kinds = {f.name: f.dataType.simpleString() for f in [*points.schema, *requests.schema]}
-
-    def best(p: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(p) and len(r):
-            x = np.stack(p["vector"].to_numpy()).astype(float)
-            ids, latest = p["chunk_id"].to_numpy(), p["is_latest"].to_numpy(bool)
-            low, high, category = p["release_min"].to_numpy(), p["release_max"].to_numpy(), p["category"].to_numpy()
-            seen: dict[tuple, np.ndarray] = {}
-            for qid, v, groups, release, wanted in zip(r["qid"], r["vector"], r["groups"], r["release"], r["category"]):
-                who = tuple(sorted({*groups, "all"}))
-                if who not in seen:
-                    seen[who] = latest & np.array([g is not None and any(y in who for y in g) for g in p["allowed_groups"]])
-                ok = seen[who]
-                if release is not None and release == release:
-                    ok = ok & (low <= release) & (high >= release)
-                if wanted is not None:
-                    ok = ok & (category == wanted)
-                at = np.flatnonzero(ok)
-                score = np.round(x[at] @ np.asarray(v, float), 12)
-                pick = np.lexsort((ids[at], -score))[:limit]
-                out.append(pd.DataFrame({"qid": qid, "chunk_id": ids[at][pick], "score": score[pick]}))
-        return pd.concat(out) if out else pd.DataFrame({"qid": [], "chunk_id": [], "score": []})
-
-    hits = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(best, f"qid {kinds['qid']}, chunk_id {kinds['chunk_id']}, score double")
-    return top(hits, limit)
+    shards, blocks = _parts(points, SHARD), _parts(requests, BLOCK)
+    left, right = _deal(_shown(points, requests).select("chunk_id", F.col("vector").cast("array<double>").alias("vector"), *ACCESS), shards, requests.select("qid", F.col("vector").cast("array<double>").alias("vector"), "groups", "release", "category"), blocks)
+    schema, kinds = _hit_schema(points, requests)
+
+    def matrix(vectors: pa.ChunkedArray) -> np.ndarray:
+        flat = vectors.combine_chunks()
+        return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
+
+    def best(p: pa.Table, r: pa.Table) -> pa.Table:
+        if not len(p) or not len(r):
+            return _hits(kinds, [])
+        ids, x, seen = p["chunk_id"].to_numpy(), matrix(p["vector"]), _seen_by(p.select(ACCESS).to_pandas())
+        rows = []
+        for i in range(0, len(r), AT_ONCE):
+            some = r.slice(i, AT_ONCE)
+            scores = np.round(matrix(some["vector"]) @ x.T, 12)
+            for q, score in zip(some.select(["qid", "groups", "release", "category"]).to_pylist(), scores):
+                pick = _best(ids, score, seen(q["groups"], q["release"], q["category"]), limit)
+                rows.append((q["qid"], ids[pick], score[pick]))
+        return _hits(kinds, rows)
+
+    return top(left.cogroup(right).applyInArrow(best, schema), limit)
 
 
 def fuse(dense_hits: DataFrame, sparse_hits: DataFrame, limit: int = CANDIDATES, k: int = RRF) -> DataFrame:

@@ -17,8 +17,10 @@ _SPARSE = f"sums AS (SELECT qid, p.doc_id, user_groups, wanted, sum(qw * p.weigh
 _DENSE = f"pairs AS (SELECT r.qid, m.doc_id, round(list_sum(list_transform(list_zip(r.embedding, e.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)), 12) score FROM requests r JOIN embeddings e ON true JOIN manifest m ON m.doc_id = e.vec_id WHERE {_SEES}), dense AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM pairs)"
 
 
-def _terms(spark: SparkSession, d: str, postings: DataFrame) -> DataFrame:
-    return D.requests(spark, d).select("qid").join(postings.select(F.col("chunk_id").alias("qid"), "token", F.col("weight").alias("qweight")), "qid")
+def _terms(spark: SparkSession, d: str) -> DataFrame:
+    """Words of the questions alone: their documents are picked before any text is cut into words."""
+    asked = table(spark, d, "documents").join(D.requests(spark, d).select(F.col("qid").alias("doc_id")), "doc_id", "left_semi")
+    return search.term_counts(asked).select(F.col("doc_id").alias("qid"), "token", F.col("weight").alias("qweight"))
 
 
 def _postings(spark: SparkSession, d: str) -> DataFrame:
@@ -34,15 +36,13 @@ def _hits(df: DataFrame, digits: int = 9) -> DataFrame:
 
 
 def _sparse(spark: SparkSession, d: str, limit: int) -> DataFrame:
-    p = _postings(spark, d)
-    return search.sparse(p, D.points(spark, d), _terms(spark, d, p), D.requests(spark, d), limit)
+    return search.sparse(_postings(spark, d), D.points(spark, d), _terms(spark, d), D.requests(spark, d), limit)
 
 
 @query(f"WITH {D.MANIFEST}, {D.TERMS}, {D.REQUESTS}, {_ASKED}, {_SPARSE}, {_DENSE}, f AS (SELECT qid, doc_id, coalesce(1.0::DOUBLE / (60 + a.rank), 0) + coalesce(1.0::DOUBLE / (60 + b.rank), 0) score FROM (SELECT * FROM dense WHERE rank <= 50) a FULL JOIN (SELECT * FROM sparse WHERE rank <= 50) b USING (qid, doc_id)), k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM f) SELECT qid, doc_id, round(score, 9) score, rank::INT AS rank FROM k WHERE rank <= 30")
 def hybrid_search(spark, d):
     """Every hundredth vector's document as a question, over all documents it may see."""
-    p = _postings(spark, d)
-    return _hits(search.search("hybrid", _vectors(spark, d), p, _terms(spark, d, p), D.requests(spark, d)))
+    return _hits(search.search("hybrid", _vectors(spark, d), _postings(spark, d), _terms(spark, d), D.requests(spark, d)))
 
 
 @query(f"WITH {D.MANIFEST}, {D.REQUESTS}, {_DENSE} SELECT qid, doc_id, round(score, 9) score, rank::INT AS rank FROM dense WHERE rank <= 30")

@@ -324,3 +324,44 @@ def test_hashes_tell_parts_apart(spark):
 
     rows = spark.createDataFrame([("a|b", "c"), ("a", "b|c"), ("a", None), ("a", ""), (None, "a"), ("", "a")], "x string, y string")
     assert rows.select(oplog.metadata_hash("x", "y").alias("h")).distinct().count() == 6
+
+
+def test_search_equals_every_pair_scored(spark):
+    """Ties, repeated weights, questions without terms or groups, several shards and blocks, against all pairs in Python."""
+    import random
+
+    rng = random.Random(5)
+    groups = [["all"], ["a"], ["b", "a"], [None], None, ["c"]]
+    meta = [(i, [round(rng.uniform(-1, 1), 1) for _ in range(3)] if i % 7 else None, groups[i % 6], i % 5 != 0, 2018 + i % 4, 2020 + i % 3, "xy"[i % 2]) for i in range(120)]
+    post = [(i, t, float(rng.randint(1, 3))) for i in range(120) for t in rng.sample("klmnopq", 3)] + [(1, None, 1.0), (2, "k", None)]
+    asked = [(1, [1.0, 0.0, 0.5], ["a"], None, None), (2, [0.2, 0.2, 0.2], ["none"], 2021, None), (3, [0.0, 1.0, 0.0], [], None, "x"), (4, [1.0, 1.0, 1.0], None, None, None), (5, [0.5, 0.5, 0.0], ["b"], 2019, "y")]
+    terms = [(1, "k", 2.0), (1, "l", 1.0), (2, "zzz", 1.0), (3, "m", 1.0), (3, None, 1.0), (4, "k", 1.0), (5, "q", 0.5), (5, "k", 0.25)]
+    kinds = "allowed_groups array<string>, is_latest boolean, release_min int, release_max int, category string"
+    points = spark.createDataFrame(meta, f"chunk_id long, vector array<double>, {kinds}")
+    requests = spark.createDataFrame(asked, "qid long, vector array<double>, groups array<string>, release int, category string")
+
+    def best(score):
+        out = []
+        for q, v, who, release, wanted in asked:
+            seen = [m for m in meta if who is not None and m[3] and m[2] and {*who, "all"} & {g for g in m[2] if g} and (release is None or m[4] <= release <= m[5]) and wanted in (None, m[6])]
+            ranked = sorted((-s, m[0]) for m in seen if (s := score(q, v, m)) is not None)[:6]
+            out += [(q, i, round(-s, 9), n) for n, (s, i) in enumerate(ranked, 1)]
+        return out
+
+    def words(q, _, m):
+        found = [w * x for p, a, w in post for qq, b, x in terms if qq == q and a is not None and a == b and p == m[0] and w is not None]
+        return sum(found) if found else None
+
+    def dot(_, v, m):
+        return m[1] and round(sum(x * y for x, y in zip(v, m[1])), 12)
+
+    old = search.SHARD, search.SPARSE_SHARD, search.BLOCK
+    try:
+        for search.SHARD, search.SPARSE_SHARD, search.BLOCK in ((50, 40, 2), old):
+            rows = search.sparse(spark.createDataFrame(post, "chunk_id long, token string, weight double"), points.drop("vector"), spark.createDataFrame(terms, "qid long, token string, qweight double"), requests, 6)
+            assert sorted((r.qid, r.chunk_id, round(r.score, 9), r["rank"]) for r in rows.collect()) == sorted(best(words))
+            rows = search.dense(points, requests, 6)
+            assert sorted((r.qid, r.chunk_id, round(r.score, 9), r["rank"]) for r in rows.collect()) == sorted(best(dot))
+        assert search.dense(points.where("false"), requests, 6).count() == 0 == search.sparse(spark.createDataFrame([], "chunk_id long, token string, weight double"), points, spark.createDataFrame(terms, "qid long, token string, qweight double"), requests, 6).count()
+    finally:
+        search.SHARD, search.SPARSE_SHARD, search.BLOCK = old
