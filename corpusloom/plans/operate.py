@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.operators import dialog, evaluation, oplog
+from corpusloom.operators import dialog, evaluation, oplog, payloads
 from corpusloom.plans import derived as D
 from corpusloom.registry import query, table
 
@@ -137,3 +137,28 @@ def message_list(spark, d):
     traces = table(spark, d, "documents").select(F.col("doc_id").alias("trace_id"), F.col("lang").alias("route"), F.col("source").alias("sources"))
     feedback = table(spark, d, "labels").select(F.col("doc_id").alias("trace_id"), F.when(F.col("toxic") == 0, "me").otherwise("you").alias("user_id"), F.col("quality").alias("rating"), F.lit(None).cast("string").alias("reason"))
     return oplog.messages(t, traces, feedback, "me").select("session_id", "turn", "rating", "route")
+
+
+@query("SELECT event_id, round(value * 20, 6) AS seconds FROM events WHERE event_id % 5 <> 0 AND value * 20 > 120 AND value * 20 * ((event_id % 20)::DOUBLE / 100) < 0.1::DOUBLE * (value * 20)")
+def stalled_parses(spark, d):
+    """Events as parses: their values as wall time, a share of it as CPU time, every fifth from the cache."""
+    i, wall = F.col("event_id"), F.col("value") * 20
+    parses = table(spark, d, "events").where(payloads.stalled(i % 5 == 0, wall, wall * ((i % 20).cast("double") / 100)))
+    return parses.select("event_id", F.round(wall, 6).alias("seconds"))
+
+
+@query(f"WITH {D.MANIFEST}, {D.LINES} SELECT l.doc_id || '#0#' || pos AS chunk_id, '0' AS section_number, pos AS chunk_index, md5(line) AS text_md5, page AS page_start, 'c3.words.' || substr(md5(m.text), 1, 12) AS index_version, family, version, release_min, allowed_groups, external_ok, category FROM lines l JOIN manifest m USING (doc_id)")
+def chunk_payloads(spark, d):
+    """Every line of the documents as a chunk, with the payload its point would carry."""
+    chunk = D.lines(spark, d).select("doc_id", F.concat_ws("#", "doc_id", F.lit("0"), "pos").alias("chunk_id"), F.concat_ws("#", "doc_id", F.lit("0")).alias("section_id"), F.col("pos").alias("chunk_index"), F.lit("").alias("header"), F.col("line").alias("text"), F.lit("text").alias("content_type"), F.col("page").alias("page_start"), F.col("page").alias("page_end"), F.lit(1).alias("token_count"))
+    made = payloads.chunk_payload(chunk, D.manifest(spark, d), payloads.index_version(F.md5("text"), 3, "words"))
+    names = ("section_number", "chunk_index", "page_start", "index_version", "family", "version", "release_min", "allowed_groups", "external_ok", "category")
+    return made.select("chunk_id", F.md5("payload.text").alias("text_md5"), *(F.col(f"payload.{c}").alias(c) for c in names))
+
+
+@query("SELECT l.quality rating, l.toxic reason, e.event_type AS query, e.value AS top_rerank_score FROM labels l JOIN events e ON e.event_id = l.doc_id")
+def rated_traces(spark, d):
+    """The documented join of ratings and traces, with labels as ratings of events."""
+    e = table(spark, d, "events").select(F.col("event_id").alias("trace_id"), F.col("event_type").alias("query"), F.col("value").alias("top_rerank_score"), F.lit("pass").alias("gate_decision"))
+    r = table(spark, d, "labels").select(F.col("doc_id").alias("trace_id"), F.col("quality").alias("rating"), F.col("toxic").alias("reason"), F.lit("").alias("comment"))
+    return payloads.inspect(spark, "rated", {"traces": e, "feedback": r}).select("rating", "reason", "query", "top_rerank_score")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
-from corpusloom.operators import answers, context, dialog, evaluation, oplog, search
+from corpusloom.operators import answers, context, dialog, evaluation, oplog, retriever, search
 from corpusloom.plans import derived as D
 from corpusloom.plans.ingest import document_chunks, values
 from corpusloom.registry import query, table
@@ -344,3 +344,37 @@ _KEY = "lower(regexp_replace(trim(regexp_replace(content, '\\s+', ' ', 'g')), '[
 def cache_keys(spark, d):
     groups = F.array(F.lit("partners"), F.lit("all"), F.lit("partners"))
     return D.turns(spark, d).where("role = 'user'").select("session_id", "turn", oplog.cache_key(F.col("content"), groups, F.lit(None).cast("string"), F.lit("c1"), F.lit("m1"), F.lit("top5")).alias("k"))
+
+
+_FUSED = "f AS (SELECT qid, doc_id, coalesce(1.0::DOUBLE / (60 + a.rank), 0) + coalesce(1.0::DOUBLE / (60 + b.rank), 0) score FROM (SELECT * FROM dense WHERE rank <= 50) a FULL JOIN (SELECT * FROM sparse WHERE rank <= 50) b USING (qid, doc_id)), k AS (SELECT * FROM (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM f) WHERE rank <= 30)"
+_RUN = f"""WITH {D.MANIFEST}, {D.TERMS}, {D.REQUESTS}, {_ASKED}, {_SPARSE}, {_DENSE}, {_FUSED},
+cand AS (SELECT 'dense' config, qid, doc_id, rank FROM dense WHERE rank <= 30 UNION ALL SELECT 'sparse', qid, doc_id, rank FROM sparse WHERE rank <= 30 UNION ALL SELECT 'hybrid', qid, doc_id, rank FROM k
+  UNION ALL SELECT 'hybrid+rr10', qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN rank <= 10 THEN {D.SCORE} END DESC NULLS LAST, rank) FROM k)"""
+_CONFIGS = (retriever.Config("dense", "dense"), retriever.Config("sparse", "sparse"), retriever.Config("hybrid"), retriever.Config("hybrid+rr10", rerank_top=10))
+
+
+def _scored(candidates: DataFrame) -> DataFrame:
+    return candidates.withColumn("rerank_score", (F.col("chunk_id") * 7919 % 1000).cast("double") / 1000)
+
+
+def _run(spark: SparkSession, d: str) -> DataFrame:
+    index = retriever.Index(_vectors(spark, d), _postings(spark, d))
+    return retriever.run(_CONFIGS, D.requests(spark, d), _terms(spark, d), index, _scored)
+
+
+@query(f"{_RUN} SELECT config, qid, doc_id, rank::INT AS rank FROM cand")
+def retrieval_run(spark, d):
+    """The candidates of every question under four configurations."""
+    return _run(spark, d).select("config", "qid", F.col("chunk_id").alias("doc_id"), F.col("rank").cast("int").alias("rank"))
+
+
+@query(f"""{_RUN}, hit AS (SELECT config, qid, min(rank) fh FROM cand WHERE doc_id IN (qid, qid + 1) GROUP BY ALL)
+SELECT config, count(*) n, round(avg((coalesce(fh, 99) <= 1)::INT), 9) recall_1, round(avg((coalesce(fh, 99) <= 5)::INT), 9) recall_5, round(avg((coalesce(fh, 99) <= 10)::INT), 9) recall_10, round(avg(coalesce(1.0::DOUBLE / fh, 0)), 9) mrr
+FROM (SELECT unnest(['dense', 'sparse', 'hybrid', 'hybrid+rr10']) config, qid FROM requests) LEFT JOIN hit USING (config, qid) GROUP BY config""")
+def configuration_recall(spark, d):
+    """Each configuration over golden questions whose sources are the question's own document and the next."""
+    found = _run(spark, d).select("config", "qid", "rank", F.col("chunk_id").alias("doc_id"), F.lit(1).alias("page_start"), F.lit(1).alias("page_end"))
+    questions = D.requests(spark, d).select("qid", F.lit("lookup").alias("qtype"))
+    sources = questions.select("qid", F.explode(F.array(F.col("qid"), F.col("qid") + 1)).alias("doc_id"), F.lit(1).alias("first"), F.lit(1).alias("last"))
+    made = retriever.run_eval(_CONFIGS, found, questions, sources)
+    return made.select("config", "n", *(F.round(c, 9).alias(c) for c in ("recall_1", "recall_5", "recall_10", "mrr")))
