@@ -203,16 +203,38 @@ def furniture_removed(spark, d):
     return structure.without_furniture(_line_elements(spark, d), BOILERPLATE).groupBy("doc_id").agg(F.count("*").alias("kept"))
 
 
-@query("SELECT * FROM (VALUES ('a', 2), ('a', 3), ('a', 5)) t(doc_id, page)")
-def toc_run(spark, d):
-    tables = values(spark, "('a', 'toc', 2), ('a', 'toc', 3), ('a', 'toc', 5), ('a', 'toc', 9), ('a', 'table', 4), ('b', 'toc', 30)", "doc_id, kind, page")
-    return structure.toc_run(tables, values(spark, "('a', 40), ('b', 40)", "doc_id, n_pages"))
+_TOC = "toc AS (SELECT doc_id, p AS page, 20 + doc_id % 300 AS n_pages FROM (SELECT doc_id, unnest([doc_id % 40 + 1, doc_id % 40 + 2 + doc_id % 4, doc_id % 40 + 5 + doc_id % 3, doc_id % 40 + 20]) p FROM documents))"
 
 
-@query("SELECT * FROM (VALUES (1, 0, '1', 'Introduction', 'introduction'), (2, 0, '2.1', 'What is the Launcher', 'what is the launcher'), (2, 1, '2.2', 'Installing it', 'installing it'), (3, 0, NULL, 'Appendix', 'appendix')) t(row, part, number, title, key)")
+@query(f"WITH {_TOC}, gaps AS (SELECT *, CASE WHEN page - lag(page) OVER w > 2 THEN 1 ELSE 0 END gap, min(page) OVER (PARTITION BY doc_id) first FROM (SELECT DISTINCT * FROM toc) WINDOW w AS (PARTITION BY doc_id ORDER BY page)), runs AS (SELECT *, sum(gap) OVER (PARTITION BY doc_id ORDER BY page) run FROM gaps) SELECT doc_id, page FROM runs WHERE run = 0 AND first <= greatest(8.0, 0.1 * n_pages)")
+def toc_run(spark, d):
+    """Contents pages of every document, in runs and alone, some too far in to be its contents."""
+    i = F.col("doc_id")
+    docs = table(spark, d, "documents")
+    at = i % 40
+    pages = F.array(at + 1, at + 2 + i % 4, at + 5 + i % 3, at + 20)
+    tables = docs.select("doc_id", F.explode(pages).alias("page")).withColumn("kind", F.lit("toc"))
+    others = docs.select("doc_id", (at + 3).alias("page"), F.lit("table").alias("kind"))
+    return structure.toc_run(tables.unionByName(others), docs.select("doc_id", (20 + i % 300).alias("n_pages")))
+
+
+@query("""WITH parts AS (SELECT doc_id, unnest([0, 1, 2]) "row", source, lang FROM documents),
+segments AS (SELECT doc_id, "row", 0 part, (doc_id % 9 + 1) || CASE WHEN "row" = 0 THEN '' ELSE '.' || "row" END AS number, CASE "row" WHEN 0 THEN 'About ' || source WHEN 1 THEN 'Setting up ' || lang ELSE 'Ports of ' || source END AS title FROM parts
+  UNION ALL SELECT doc_id, "row", 1, (doc_id % 9 + 1) || '.9', 'Notes on ' || lang FROM parts WHERE "row" = 2 UNION ALL SELECT doc_id, 3, 0, NULL, 'Appendix ' || lang FROM parts WHERE "row" = 0)
+SELECT doc_id, "row", part, number, title, trim(regexp_replace(regexp_replace(' ' || regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g') || ' ', '( [0-9]+)+ ', ' ', 'g'), ' +', ' ', 'g')) AS key FROM segments""")
 def toc_entries(spark, d):
-    rows = values(spark, "('a', 1, array('1.', 'Introduction ....... 4', '')), ('a', 2, array('2.1. What is the Launcher ..... 4 2.2. Installing it .... 7')), ('a', 3, array('Appendix', 'Appendix', '12')), ('a', 4, array('Table of Contents', '2'))", "doc_id, row, cells")
-    return structure.toc_entries(rows.select("doc_id", "row", structure.toc_row_text(F.col("cells")).alias("text"))).select("row", "part", "number", "title", "key")
+    """A contents table of each document: cells that repeat, two entries in a row, an unnumbered one, its own heading."""
+    text = lambda *x: F.concat(*(F.lit(y) if isinstance(y, str) else y.cast("string") for y in x))
+    n, source, lang, i = F.col("doc_id") % 9 + 1, F.col("source"), F.col("lang"), F.col("doc_id")
+    cells = F.array(
+        F.array(text(n, "."), text("About ", source, " ....... ", i % 90 + 1), F.lit("")),
+        F.array(text(n, ".1 Setting up ", lang, " ..... ", i % 90 + 2), text(n, ".1 Setting up ", lang, " ..... ", i % 90 + 2)),
+        F.array(text(n, ".2. Ports of ", source, " ..... 7 ", n, ".9. Notes on ", lang, " .... 9")),
+        F.array(text("Appendix ", lang), text("Appendix ", lang), F.lit("12")),
+        F.array(F.lit("Table of Contents"), F.lit("2")),
+    )
+    rows = table(spark, d, "documents").select("doc_id", F.posexplode(cells).alias("row", "cells"))
+    return structure.toc_entries(rows.select("doc_id", "row", structure.toc_row_text(F.col("cells")).alias("text"))).select("doc_id", "row", "part", "number", "title", "key")
 
 
 _SLIDES = f"""WITH {D.ELEMENTS},

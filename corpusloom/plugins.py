@@ -37,13 +37,17 @@ def embed(texts: DataFrame, make: Callable[[], Embedder], column: str = "text")
 
 
 def rerank_scores(pairs: DataFrame, make: Callable[[], Reranker]) -> DataFrame:
-    """pairs(question, passage) with rerank_score."""
+    """pairs(question, passage) with rerank_score; the model gets all passages of a question that an Arrow batch holds at once."""
 
     @F.pandas_udf("double")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         model = make()
         for questions, passages in batches:
-            yield pd.Series([model.score(q, [p])[0] for q, p in zip(questions, passages)])
+            questions, passages = questions.fillna("").reset_index(drop=True), passages.fillna("").reset_index(drop=True)
+            scores = np.empty(len(questions))
+            for question, at in questions.groupby(questions, sort=False).indices.items():
+                scores[at] = model.score(question, list(passages.iloc[at]))
+            yield pd.Series(scores)
 
     return pairs.withColumn("rerank_score", run("question", "passage"))
 

@@ -84,3 +84,15 @@ def test_every_statement_runs_over_its_tables(spark):
     args = {"sections_of": {"doc_id": "it's"}, "stages_of": {"trace_id": "t"}, "recent_traces": {"n": 20}, "recent_answers": {"n": 5}, "cache_hits": {"n": 10}}
     for name in payloads.STATEMENTS:
         assert payloads.inspect(spark, name, tables, **args.get(name, {})).count() == 0
+
+
+def test_a_reranker_gets_a_questions_passages_together(spark):
+    class Counting:
+        def score(self, question, passages):
+            return [len(passages) + len(p) / 100 for p in passages]
+
+    from corpusloom import plugins
+
+    rows = spark.createDataFrame([("a", "x"), ("b", "yy"), ("a", "zzz"), (None, None)], "question string, passage string").coalesce(1)
+    found = {(r.question, r.passage): r.rerank_score for r in plugins.rerank_scores(rows, Counting).collect()}
+    assert found == {("a", "x"): 2.01, ("b", "yy"): 1.02, ("a", "zzz"): 2.03, (None, None): 1.0}
