@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators import evaluation
 from corpusloom.plans import derived as D
-from corpusloom.plans.ingest import values
 from corpusloom.registry import query, table
 
 
@@ -122,9 +121,20 @@ def feedback_summary(spark, d):
     return evaluation.feedback_summary(r, 0.4)
 
 
-@query("SELECT * FROM (VALUES ('b', 'no sources'), ('b', 'a fact is not in the expected answer'), ('c', 'sources of an unanswerable question'), ('d', 'unknown type')) t(qid, problem)")
+_GOLDEN = """golden AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'lookup' WHEN 1 THEN 'howto' WHEN 2 THEN 'compare' WHEN 3 THEN 'unanswerable' ELSE 'other' END kind, doc_id % 3 > 0 cites, doc_id % 2 = 0 held FROM documents)"""
+
+
+@query(f"""WITH {_GOLDEN} SELECT doc_id AS qid, 'unknown type' AS problem FROM golden WHERE kind = 'other' UNION ALL SELECT doc_id, 'no sources' FROM golden WHERE kind IN ('lookup', 'howto', 'compare') AND NOT cites
+UNION ALL SELECT doc_id, 'sources of an unanswerable question' FROM golden WHERE kind = 'unanswerable' AND cites UNION ALL SELECT doc_id, 'a fact is not in the expected answer' FROM golden WHERE NOT held""")
 def golden_problems(spark, d):
-    rows = values(spark, "('a', 'lookup', array('Port 80'), 'It is **port 80**.', array(1)), ('b', 'howto', array('x y'), 'nothing', cast(array() as array<int>)), ('c', 'unanswerable', cast(array() as array<string>), '', array(1)), ('d', 'other', cast(array() as array<string>), '', array(1))", "qid, type, must_include, expected_answer, sources")
+    """Every document as a golden question that asks for its number; some are of no kind, without sources, or without the fact."""
+    i = F.col("doc_id")
+    kind = F.when(i % 5 == 0, "lookup").when(i % 5 == 1, "howto").when(i % 5 == 2, "compare").when(i % 5 == 3, "unanswerable").otherwise("other")
+    fact = F.concat(F.lit("port "), i.cast("string"))
+    rows = table(spark, d, "documents").select(
+        i.alias("qid"), kind.alias("type"), F.array(fact).alias("must_include"), F.when(i % 2 == 0, F.concat(F.lit("It is **Port "), i.cast("string"), F.lit("**."))).otherwise("nothing").alias("expected_answer"),
+        F.when(i % 3 > 0, F.array(F.lit(1))).otherwise(F.array().cast("array<int>")).alias("sources"),
+    )
     return evaluation.golden_problems(rows)
 
 

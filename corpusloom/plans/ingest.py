@@ -294,10 +294,24 @@ def section_tree(spark, d):
     return structure.build_sections(D.elements(spark, d), BOILERPLATE).select("doc_id", "ordinal", "number", "title", "level", "parent", "page_start", "page_end", F.size("blocks").alias("n_blocks"))
 
 
-@query("SELECT * FROM (VALUES ('s', 1, 'text', 'Run this:'), ('s', 2, 'code', 'cd /tmp' || chr(10) || 'export A=1' || chr(10) || 'SELECT 1'), ('s', 5, 'text', 'Done.'), ('s', 6, 'code', '<config>')) t(section_id, ordinal, kind, text)")
+#: Seven blocks of each document; what stands between two commands differs from one document to the next.
+_CODE = """given AS (SELECT doc_id, unnest([0, 1, 2, 3, 4, 5, 6]) i, lang, source FROM documents),
+  blocks AS (SELECT doc_id, i, CASE WHEN i = 2 THEN 'code' WHEN i = 6 THEN 'table' ELSE 'text' END kind,
+    CASE i WHEN 0 THEN 'Run this:' WHEN 1 THEN 'cd /tmp/' || lang WHEN 2 THEN 'plain ' || source WHEN 3 THEN CASE WHEN doc_id % 2 = 0 THEN 'SELECT ' || doc_id ELSE 'Then wait.' END
+      WHEN 4 THEN CASE WHEN doc_id % 3 = 0 THEN 'Done.' ELSE 'export A=' || doc_id || chr(10) || 'set B' END WHEN 5 THEN '<config>' ELSE 'set in a table' END AS text FROM given)"""
+
+
+@query(f"""WITH {_CODE}, told AS (SELECT *, kind = 'code' OR (kind = 'text' AND regexp_matches(text, '^(cd|SELECT|export|<config>)')) AS code FROM blocks),
+runs AS (SELECT *, sum(CASE WHEN code AND before THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) run FROM (SELECT *, coalesce(lag(code) OVER (PARTITION BY doc_id ORDER BY i), false) before FROM told))
+SELECT doc_id AS section_id, min(i) ordinal, CASE WHEN bool_or(code) THEN 'code' ELSE min(kind) END AS kind, string_agg(text, chr(10) ORDER BY i) AS text, 1 + min(i) // 2 AS page_start, 1 + max(i) // 2 AS page_end FROM runs GROUP BY doc_id, run""")
 def merge_code_blocks(spark, d):
-    rows = values(spark, "('s', 1, 'text', 'Run this:', 1, 1), ('s', 2, 'text', 'cd /tmp', 1, 1), ('s', 3, 'code', 'export A=1', 1, 2), ('s', 4, 'text', 'SELECT 1', 2, 2), ('s', 5, 'text', 'Done.', 2, 2), ('s', 6, 'text', '<config>', 3, 3)", "section_id, ordinal, kind, text, page_start, page_end")
-    return chunking.merge_commands(rows).select("section_id", "ordinal", "kind", "text")
+    i, n = F.col("i"), F.col("doc_id")
+    text = lambda *x: F.concat(*(F.lit(y) if isinstance(y, str) else y.cast("string") for y in x))
+    said = (F.lit("Run this:"), text("cd /tmp/", F.col("lang")), text("plain ", F.col("source")), F.when(n % 2 == 0, text("SELECT ", n)).otherwise("Then wait."), F.when(n % 3 == 0, "Done.").otherwise(text("export A=", n, "\nset B")), F.lit("<config>"), F.lit("set in a table"))
+    rows = table(spark, d, "documents").select("doc_id", F.posexplode(F.array(*said)).alias("i", "text"))
+    page = (1 + F.floor(i / 2)).cast("int")
+    blocks = rows.select(n.alias("section_id"), i.alias("ordinal"), F.when(i == 2, "code").when(i == 6, "table").otherwise("text").alias("kind"), "text", page.alias("page_start"), page.alias("page_end"))
+    return chunking.merge_commands(blocks)
 
 
 def document_chunks(spark: SparkSession, d: str) -> DataFrame:
