@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, mixing, neardup, quality, simhash, tokencount, topk, toxicity
+from . import bpe, chat, fim, langid, mixing, neardup, quality, simhash, tokencount, topk, toxicity
 from .common import Scratch, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,9 +55,13 @@ def op10_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(read(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.fim_digests(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": mixing.oracle_sql(), "op5_exact_topk": topk.ORACLE_SQL}
+    return {"op4_mixing": mixing.oracle_sql(), "op5_exact_topk": topk.ORACLE_SQL, "op11_fill_in_middle": fim.ORACLE_SQL}
