@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from corpusloom.llm import fim, queries
+from corpusloom.llm import fim, queries, spelling
 from tests import oracle
 
 ODD = ["", None, "a", "<P>", "x <S> y", "<M", "<<P>", "<P", ">", "a<P<P>b", "é" * 50, "日本語 text" * 300, "😀a😀" * 99, "ab" * 3_000, "\x00\x01" * 30, "same", "same", "a b", "<" * 9 + "S>"]
@@ -79,3 +79,64 @@ class TestFillInMiddle:
             mine = counted[at : at + len(r)]
             at += len(r) + 1
             assert [(mine & bit > 0).sum() for bit in (fim.UNIT, fim.CHARACTER, fim.MARK)] == [len(re.findall("[A-Za-z]+|[^A-Za-z]", text, re.S)), len(text), len(re.findall("<[PSM]>", text))]
+
+
+class TestSpellingVariants:
+    def expected(self, rows, least=5, times=5, drops=199):
+        counts = {}
+        for i, text in rows:
+            for run in re.findall("[A-Za-z\u00C0-\u00FF]+", text or ""):
+                run = re.sub("[A-Z]", lambda m: m[0].lower(), run)
+                h = zlib.crc32(f"{'' if i is None else i}:{run}".encode())
+                if h % drops == 0:
+                    run = run[: h % len(run)] + run[h % len(run) + 1 :]
+                counts[run] = counts.get(run, 0) + 1
+        counts = {w: n for w, n in counts.items() if len(w) >= 6 and n >= least}
+
+        def near(a, b):
+            if len(a) == len(b):
+                return sum(x != y for x, y in zip(a, b)) == 1
+            a, b = sorted((a, b), key=len)
+            return len(b) == len(a) + 1 and any(b[:k] + b[k + 1 :] == a for k in range(len(b)))
+
+        found = {w: [v for v in counts if near(w, v)] for w in counts}
+        form = {}
+        for w, n in counts.items():
+            best = min(found[w], key=lambda v: (-counts[v], v), default=None)
+            form[w] = best if best and counts[best] >= times * n else None
+        out = []
+        for w, n in counts.items():
+            root = w
+            while form[root]:
+                root = form[root]
+            out.append((w, form[w], root, n, len(found[w]), counts.get(form[w])))
+        return sorted(out, key=str)
+
+    def same(self, spark, rows, **how):
+        df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("word", F.lit("clash")).withColumn("n", F.lit(1))
+        got = spelling.spelling_groups(df, **how)
+        assert got.columns == ["word", "form", "root", "n", "n_near", "form_n"]
+        assert sorted(map(tuple, got.collect()), key=str) == self.expected(rows, **how)
+
+    def test_query_equals_its_sql(self, spark, small, con):
+        oracle.same(queries.op12_spelling_variants(spark, small), con, spelling.ORACLE_SQL)
+
+    def test_query_equals_brute_force(self, spark, small):
+        rows = [tuple(r) for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()]
+        assert sorted(map(tuple, queries.op12_spelling_variants(spark, small).collect()), key=str) == self.expected(rows)
+
+    def test_repeated_letters_chains_ties_and_odd_rows(self, spark):
+        draw = random.Random(5)
+        words = ["".join(draw.choices("ab", k=draw.randint(6, 9))) for _ in range(60)] + ["aaaaaa", "aaaaaaa", "bananas", "bananass", "Éclairs", "éclairs", "ÉCLAIRS", "x×y÷zzz"]
+        counts = [(w, 5 ** draw.randint(1, 3) + draw.randint(0, 1)) for w in words]
+        rows = [(i % 3 or None, f"{w} " * n) for i, (w, n) in enumerate(counts)] + [(7, None), (8, ""), (9, "short"), (9, "Same1same same-Same")]
+        self.same(spark, rows + rows[:9], drops=7)
+        self.same(spark, rows, times=2, least=1)
+
+    def test_a_word_of_very_many_letters(self, spark):
+        word = "ab" * 50_000
+        got = {r.n_near for r in spelling.spelling_groups(spark.createDataFrame([(1, f"{word} " * 5 + f"{word}c " * 5)], "doc_id long, text string"), drops=10**12).collect()}
+        assert got == {1}
+
+    def test_no_rows(self, spark):
+        assert spelling.spelling_groups(spark.createDataFrame([], "doc_id long, text string")).collect() == []
