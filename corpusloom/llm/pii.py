@@ -22,9 +22,11 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++){0,3}")
 DIGITS = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 DIALLED = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-#: What a span that the network adds must look like; its path has to be so much better than one outside of spans.
+#: What a span that the network adds must look like (forms that begin in few places and read on once); its path has to be so much better than one outside of spans.
 ADDED = {
-    "email": re.compile(r"[^\W_][\w.%+-]*@[^\W_][\w-]*(?:\.[^\W_][\w-]*)+|[\w.%+-]+ ?[\[(] ?at ?[\])] ?[\w-]+(?: ?(?:[\[(] ?dot ?[\])]|\.) ?[\w-]+)+", re.IGNORECASE),
+    "email": re.compile(
+        r"(?<![\w.%+-])(?:[^\W_][\w.%+-]{0,63}+@[^\W_][\w-]*+(?:\.[^\W_][\w-]*+)+|[\w.%+-]{1,64}+ ?[\[(] ?at ?[\])] ?[\w-]++(?: ?(?:[\[(] ?dot ?[\])]|\.) ?[\w-]++)+)", re.IGNORECASE
+    ),
     "phone": re.compile(r"(?<![0-9+(.-])(?<![0-9][ -])(?:\([0-9]{3}\) ?|[0-9]{3}[-.])[0-9]{3}[-.][0-9]{4}(?![0-9]|[.-][0-9])"),
     "ip": re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:])"),
     "card": re.compile(r"(?<![0-9])(?:[0-9]{16,19}|[0-9]{4}(?:[\x20-][0-9]{4}){3})(?![0-9])"),
@@ -206,27 +208,35 @@ def reconciled(spans: list[tuple[int, int, int, float, bool, bool]]) -> list[tup
     return out[::-1]
 
 
-def settled(text: str, tag: int, start: int, end: int) -> list[Span]:
-    """The spans of the tag's kind, right by its form, that lie where the network saw one: it may miss a span's ends."""
-    kind = KINDS[tag - 1]
+def _word_ends(text: str, start: int, end: int) -> tuple[int, int]:
+    """A span widened to the ends of its words, within bounds: the network may miss a span's ends."""
     while start > 0 and end - start < 10 * WINDOW and not text[start - 1].isspace():
         start -= 1
     while end < len(text) and end - start < 10 * WINDOW and not text[end].isspace():
         end += 1
+    return start, end
+
+
+def settled(text: str, tag: int, start: int, end: int) -> list[Span]:
+    """The spans of the tag's kind, right by its form, that lie where the network saw one."""
+    kind = KINDS[tag - 1]
     return [(kind, *m.span()) for m in ADDED[kind].finditer(text, start, end) if _right(kind, m[0])]
 
 
 def spans_of(some: list[str], model: tagger.Tagger) -> Iterator[list[tuple[str, int, int, bool]]]:
     """For each text its (kind, start, end, plain), by kind and start: the plain ones, and those that the network adds beside them."""
     for text, tagged in zip(some, _tagged(some, model)):
-        base = base_spans(text)
-        taken = sorted((s, e) for _, s, e in base)
-        added = []
+        base, added = base_spans(text), []
+        taken, read = bytearray(len(text) if tagged else 0), dict.fromkeys(KINDS, 0)
+        for _, s, e in base if tagged else ():
+            taken[s:e] = b"\1" * (e - s)
         for tag, s, e, score in tagged:
-            if score >= LEAST_GAIN:
-                for span in settled(text, tag, s, e):
-                    if not any(a < span[2] and span[1] < b for a, b in taken):
-                        taken.append(span[1:])
+            if score >= LEAST_GAIN and e > read[KINDS[tag - 1]]:
+                start, end = _word_ends(text, s, e)
+                read[KINDS[tag - 1]] = end
+                for span in settled(text, tag, start, end):
+                    if 1 not in taken[span[1] : span[2]]:
+                        taken[span[1] : span[2]] = b"\1" * (span[2] - span[1])
                         added.append(span)
         yield sorted([(*s, True) for s in base] + [(*s, False) for s in added], key=lambda s: (KINDS.index(s[0]), s[1]))
 

@@ -61,7 +61,7 @@ class Tagger:
         steps, lanes = codes.shape
         hidden = self.u[0].shape[1]
         live = np.searchsorted(-size, -np.arange(steps), "left")  # windows longer than t, as sizes fall
-        out = np.empty((steps, len(self.b), lanes), np.float32)
+        out = np.zeros((steps, len(self.b), lanes), np.float32)
         for way in (0, 1):
             x, u, w = _halved(self.x[way], hidden), _halved(self.u[way], hidden, bias=False), self.w[:, way * hidden : (way + 1) * hidden]
             h, c = np.zeros((hidden, lanes), np.float32), np.zeros((hidden, lanes), np.float32)
@@ -144,15 +144,17 @@ def untrained(tags: int, hidden: int = HIDDEN, seed: int = 3) -> Tagger:
     return Tagger(tuple(x), tuple(u), draw.normal(0, 0.5, (tags, 2 * hidden)), b, np.eye(tags) * 1.0)
 
 
-def _forward(x: np.ndarray, u: np.ndarray, codes: np.ndarray, order: range) -> dict[str, np.ndarray]:
-    steps, lanes = codes.shape
-    n = u.shape[1]
-    kept = {k: np.zeros((steps, n, lanes)) for k in ("i", "f", "o", "g", "c", "h", "c0", "h0")}
-    h, c = np.zeros((n, lanes)), np.zeros((n, lanes))
-    for t in order:
-        z = x[:, codes[t]] + u @ h
-        i, f, o = (np.clip(z[k * n : (k + 1) * n] / 4 + 0.5, 0, 1) for k in range(3))
-        g = np.clip(z[3 * n :], -1, 1)
+def _forward(x: np.ndarray, u: np.ndarray, codes: np.ndarray) -> dict[str, np.ndarray]:
+    """Gates, cells and states of both directions side by side; codes (2, steps, lanes), the second against the text's order."""
+    _, steps, lanes = codes.shape
+    n = u.shape[2]
+    kept = {k: np.zeros((steps, 2, n, lanes)) for k in ("i", "f", "o", "g", "c", "h", "c0", "h0")}
+    h, c = np.zeros((2, n, lanes)), np.zeros((2, n, lanes))
+    given = np.stack([x[k][:, codes[k]] for k in (0, 1)]).transpose(2, 0, 1, 3)
+    for t in range(steps):
+        z = given[t] + u @ h
+        gates = np.clip(z[:, : 3 * n] / 4 + 0.5, 0, 1)
+        i, f, o, g = gates[:, :n], gates[:, n : 2 * n], gates[:, 2 * n :], np.clip(z[:, 3 * n :], -1, 1)
         kept["c0"][t], kept["h0"][t] = c, h
         c = f * c + i * g
         h = o * np.clip(c, -1, 1)
@@ -161,22 +163,25 @@ def _forward(x: np.ndarray, u: np.ndarray, codes: np.ndarray, order: range) -> d
     return kept
 
 
-def _backward(u: np.ndarray, kept: dict[str, np.ndarray], dout: np.ndarray, codes: np.ndarray, order: range) -> tuple[np.ndarray, np.ndarray]:
-    """Gradients of x and u, given those of the states, against the order of the forward pass."""
-    steps, n, lanes = dout.shape
-    dz = np.zeros((steps, 4 * n, lanes))
-    dh, dc = np.zeros((n, lanes)), np.zeros((n, lanes))
-    for t in order[::-1]:
-        i, f, o, g, c = (kept[k][t] for k in "ifogc")
+def _backward(u: np.ndarray, kept: dict[str, np.ndarray], dout: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradients of x and u of both directions, given those of the states (steps, 2, n, lanes)."""
+    steps, _, n, lanes = dout.shape
+    # what each gate's gradient is multiplied by, for all steps at once
+    bent = np.clip(kept["c"], -1, 1)
+    linear = {k: ((kept[k] > 0) & (kept[k] < 1)) / 4 for k in "ifo"}
+    of_i, of_f, of_o, of_g = kept["g"] * linear["i"], kept["c0"] * linear["f"], bent * linear["o"], kept["i"] * (np.abs(kept["g"]) < 1)
+    through, back = kept["o"] * (np.abs(kept["c"]) < 1), u.transpose(0, 2, 1)
+    dz = np.zeros((steps, 2, 4 * n, lanes))
+    dh, dc = np.zeros((2, n, lanes)), np.zeros((2, n, lanes))
+    for t in range(steps - 1, -1, -1):
         dh = dh + dout[t]
-        dc = dc + dh * o * (np.abs(c) < 1)
-        for k, (gate, d) in enumerate(((i, dc * g), (f, dc * kept["c0"][t]), (o, dh * np.clip(c, -1, 1)))):
-            dz[t, k * n : (k + 1) * n] = d * ((gate > 0) & (gate < 1)) / 4
-        dz[t, 3 * n :] = dc * i * (np.abs(g) < 1)
-        dc = dc * f
-        dh = u.T @ dz[t]
-    one_hot = np.eye(CLASSES)[codes]  # (steps, lanes, classes)
-    return np.einsum("tzb,tbv->zv", dz, one_hot, optimize=True), np.einsum("tzb,thb->zh", dz, kept["h0"], optimize=True)
+        dc = dc + dh * through[t]
+        dz[t, :, :n], dz[t, :, n : 2 * n], dz[t, :, 2 * n : 3 * n], dz[t, :, 3 * n :] = dc * of_i[t], dc * of_f[t], dh * of_o[t], dc * of_g[t]
+        dc = dc * kept["f"][t]
+        dh = back @ dz[t]
+    flat = dz.transpose(1, 2, 0, 3).reshape(2, 4 * n, -1)
+    dx = np.stack([flat[k] @ np.eye(CLASSES)[codes[k].ravel()] for k in (0, 1)])
+    return dx, flat @ kept["h0"].transpose(1, 0, 3, 2).reshape(2, -1, n)
 
 
 def crf(em: np.ndarray, a: np.ndarray, gold: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
@@ -209,18 +214,20 @@ def crf(em: np.ndarray, a: np.ndarray, gold: np.ndarray) -> tuple[float, np.ndar
 
 def loss(model: Tagger, codes: np.ndarray, gold: np.ndarray) -> tuple[float, list[np.ndarray]]:
     """The loss of windows of one length, and its gradients by x, u (of both directions), w, b and a."""
-    steps, n = len(codes), model.u[0].shape[1]
-    orders = (range(steps), range(steps - 1, -1, -1))
-    kept = [_forward(model.x[k], model.u[k], codes, orders[k]) for k in (0, 1)]
-    both = np.concatenate([kept[0]["h"], kept[1]["h"]], 1)
-    em = np.einsum("kh,thb->tkb", model.w, both, optimize=True) + model.b[:, None]
+    u, ways = np.stack(model.u), np.stack([codes, codes[::-1]])
+    kept = _forward(np.stack(model.x), u, ways)
+    both = np.concatenate([kept["h"][:, 0], kept["h"][::-1, 1]], 1)
+    steps, wide, lanes = both.shape
+    flat = both.transpose(1, 0, 2).reshape(wide, -1)
+    em = (model.w @ flat).reshape(-1, steps, lanes).transpose(1, 0, 2) + model.b[:, None]
     value, dem, da = crf(em, model.a, gold)
-    dboth = np.einsum("kh,tkb->thb", model.w, dem, optimize=True)
-    dx, du = zip(*(_backward(model.u[k], kept[k], dboth[:, k * n : (k + 1) * n], codes, orders[k]) for k in (0, 1)))
-    return value, [*dx, *du, np.einsum("tkb,thb->kh", dem, both, optimize=True), dem.sum((0, 2)), da]
+    by_tag = dem.transpose(1, 0, 2).reshape(dem.shape[1], -1)
+    dboth = (model.w.T @ by_tag).reshape(2, wide // 2, steps, lanes).transpose(2, 0, 1, 3)
+    dx, du = _backward(u, kept, np.stack([dboth[:, 0], dboth[::-1, 1]], 1), ways)
+    return value, [*dx, *du, by_tag @ flat.T, dem.sum((0, 2)), da]
 
 
-def fitted(codes: np.ndarray, gold: np.ndarray, tags: int, hidden: int = HIDDEN, rounds: int = 300, batch: int = 64, rate: float = 0.02, seed: int = 3) -> Tagger:
+def fitted(codes: np.ndarray, gold: np.ndarray, tags: int, hidden: int = HIDDEN, rounds: int = 250, batch: int = 64, rate: float = 0.02, seed: int = 3) -> Tagger:
     """Adam over seeded batches of the windows (steps, windows), its rate falling to nothing."""
     draw, model = np.random.default_rng(seed), untrained(tags, hidden, seed)
     weights = [*model.x, *model.u, model.w, model.b, model.a]

@@ -150,6 +150,11 @@ PERSONAL = [
 ]
 
 
+@pytest.fixture(scope="module")
+def model(spark, small):
+    return pii.train(spark.read.parquet(f"{small}/documents.parquet"))
+
+
 class TestPersonalData:
     def expected(self, text):
         text = text or ""
@@ -187,10 +192,6 @@ class TestPersonalData:
             key = [(pii.KINDS.index(k), int(s)) for k, s, _ in (x.split(":") for x in got)]
             assert key == sorted(key)
 
-    @pytest.fixture(scope="class")
-    def model(self, spark, small):
-        return pii.train(spark.read.parquet(f"{small}/documents.parquet"))
-
     def test_network_finds_held_out_spans_and_leaves_prose_alone(self, spark, small, model):
         prose = [r.text for r in spark.read.parquet(f"{small}/documents.parquet").orderBy(F.desc("doc_id")).limit(60).collect()]
         codes, gold = pii.training_windows(prose, count=600, seed=99)
@@ -258,6 +259,12 @@ class TestPersonalData:
                     mine[s:e] = [tag] * (e - s)
             assert tuple(mine) == best
 
+    def test_long_runs_take_time_in_proportion(self, model):
+        began = time.time()
+        for text in ("x" * 300_000, "1" * 300_000, "a@" * 150_000, "a.b@c." * 50_000, "1234 " * 60_000, "+1 (" * 80_000, "a:" * 150_000, "(at)" * 80_000):
+            list(pii.spans_of([text], model))
+        assert time.time() - began < 60
+
     def test_odd_rows(self, spark, model):
         df = docs(spark, [*PERSONAL, "x" * 70_000 + " +1 (743) 555-3824", *PERSONAL]).withColumn("spans", F.lit("clash")).union(spark.createDataFrame([(None, "1.2.3.4", "en", 1, "")], "doc_id long, text string, output string, n long, spans string"))
         rows = pii.personal_data(df, model).collect()
