@@ -111,37 +111,58 @@ def assemble(candidates: DataFrame, sections: DataFrame, chunks: DataFrame, unit
 
 
 def merge_sides(units: DataFrame, per_side: int = SIDE_UNITS, tokens: int = SIDES_TOKENS) -> DataFrame:
-    """One context of each question from units(qid, side, side_index, n, section_id, doc_id, tokens, text), sides in turns."""
+    """One context of each question from units(qid, side, side_index, n, section_id, doc_id, tokens, text[, copies]), sides in turns.
+
+    copies (array of doc_id): documents that hold a unit's text as well. A unit that repeats one
+    already chosen leaves its document and its own copies with that one, each document once and never
+    the chosen one's. A section counts for the side that came first; what is too long is passed over.
+    """
+    given = units if "copies" in units.columns else units.withColumn("copies", F.array().cast(f"array<{units.schema['doc_id'].dataType.simpleString()}>"))
 
     def take(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        made: list[dict] = []
+        made, sections, of_side, spent = [], set(), Counter(), 0
         for u in pdf.sort_values(["n", "side_index"]).to_dict("records"):
-            if sum(m["side"] == u["side"] for m in made) >= per_side or any(m["section_id"] == u["section_id"] for m in made):
+            if of_side[u["side"]] >= per_side or u["section_id"] in sections:
                 continue
             twin = next((m for m in made if near_duplicate(m["text"], u["text"])), None)
-            if twin is not None:
-                if twin["doc_id"] != u["doc_id"] and u["doc_id"] not in twin["copies"]:
-                    twin["copies"].append(u["doc_id"])
-            elif sum(m["tokens"] for m in made) + u["tokens"] <= tokens:
-                made.append({**u, "copies": []})
-        return pd.DataFrame([{"qid": m["qid"], "n": i + 1, "side": m["side"], "section_id": m["section_id"], "tokens": m["tokens"], "copies": m["copies"]} for i, m in enumerate(made)], columns=["qid", "n", "side", "section_id", "tokens", "copies"])
+            if twin is None:
+                if spent + u["tokens"] <= tokens:
+                    made.append({**u, "copies": list(u["copies"] if u["copies"] is not None else [])})
+                    sections.add(u["section_id"])
+                    of_side[u["side"]] += 1
+                    spent += u["tokens"]
+                continue
+            left = [u["doc_id"], *(u["copies"] if u["copies"] is not None else [])]
+            twin["copies"] += [c for c in dict.fromkeys(left) if c != twin["doc_id"] and c not in twin["copies"]]
+        rows = [{**m, "n": i + 1} for i, m in enumerate(made)]
+        return pd.DataFrame(rows, columns=["qid", "n", "side", "section_id", "doc_id", "tokens", "copies", "text"])
 
-    return units.groupBy("qid").applyInPandas(take, "qid string, n int, side string, section_id string, tokens int, copies array<string>")
+    kinds = {c: units.schema[c].dataType.simpleString() for c in ("qid", "section_id", "doc_id", "tokens")}
+    return given.groupBy("qid").applyInPandas(take, f"qid {kinds['qid']}, n int, side string, section_id {kinds['section_id']}, doc_id {kinds['doc_id']}, tokens {kinds['tokens']}, copies array<{kinds['doc_id']}>, text string")
 
 
-def fit(units: Column, most_units: int = UNITS, most_tokens: int = TOKENS) -> Column:
-    """The units (structs with tokens) of an array that fit, in order: what does not fit is passed over."""
-    start = F.struct(F.array().cast("array<int>").alias("kept"), F.lit(0).alias("used"))
+def fit(units: Column, most_units: Column | int = UNITS, most_tokens: Column | int = TOKENS, per_side: Column | int | None = None) -> Column:
+    """The units (structs with tokens) of an array that fit, in order: what does not fit is passed over.
+
+    With per_side, units have a side: each side gets so many at most, and most_units does not count.
+    """
+    start = F.struct(F.array().cast("array<int>").alias("kept"), F.lit(0).cast("long").alias("used"))
 
     def step(s: Column, i: Column) -> Column:
-        n = F.get(units, i)["tokens"]
-        ok = (F.size(s["kept"]) < most_units) & (s["used"] + n <= most_tokens)
-        return F.when(ok, F.struct(F.concat(s["kept"], F.array(i)).alias("kept"), (s["used"] + n).alias("used"))).otherwise(s)
+        u = F.get(units, i)
+        room = F.size(s["kept"]) < most_units if per_side is None else F.size(F.filter(s["kept"], lambda k: F.get(units, k)["side"].eqNullSafe(u["side"]))) < per_side
+        ok = room & (s["used"] + u["tokens"] <= most_tokens)
+        return F.when(ok, F.struct(F.concat(s["kept"], F.array(i)).alias("kept"), (s["used"] + u["tokens"]).cast("long").alias("used"))).otherwise(s)
 
     at = F.when(F.size(units) > 0, F.sequence(F.lit(0), F.size(units) - 1)).otherwise(F.array().cast("array<int>"))
     return F.aggregate(at, start, step, lambda s: F.transform(s["kept"], lambda i: F.get(units, i)))
 
 
+def fit_budget(units: Column, budget: Column, compares: Column) -> Column:
+    """fit() to a model's budget(): the limits of a comparison where a question compares, the plain ones elsewhere."""
+    return F.when(compares, fit(units, 0, budget["compare_tokens"], budget["per_side"])).otherwise(fit(units, budget["max_units"], budget["max_tokens"]))
+
+
 def retry_units(units: DataFrame, sides: bool = False, first: int = 3, per_side: int = 2) -> DataFrame:
     """What a second attempt gets: the first units, or the first of each side."""
     by = ["qid", "side"] if sides else ["qid"]

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from corpusloom.functions import text as X
 from corpusloom.functions.joins import salted_join
+from corpusloom.functions.tables import cut, ranked
 
 # The manifest's header, its older form, and the file types that are read.
 LEGACY_COLUMNS = ("doc_id", "path", "title", "family", "version", "release_min", "release_max", "allowed_groups", "external_ok", "category")
@@ -164,38 +165,64 @@ def resolve_families(drafts: DataFrame, listed: DataFrame) -> DataFrame:
     return d.select("path", "doc_id", "family", own.alias("own_family"), F.when(newest, F.concat((F.col("_major") + 1).cast("string"), F.lit(".0"))).otherwise(F.col("version")).alias("version"), note.alias("note"))
 
 
-def unique_ids(drafts: DataFrame, taken: DataFrame, rounds: int = 20) -> DataFrame:
-    """path, doc_id with ids unique among themselves and `taken`.
+def unique_ids(drafts: DataFrame, taken: DataFrame) -> DataFrame:
+    """path, doc_id: ids as drafts(path, doc_id[, split]) would get them one after the other, those to be split last, by the parts of their paths.
 
-    The first of each wanted id (by path) keeps it if it is free; the others are prefixed by their
-    folder. Whoever then still wants an id that is taken, assigned or another's, numbers it from 2 on;
-    those whose numbered id is free keep it, and the others go on with the next numbers, until none is left: a
-    window over the rows that want one id and an anti-join with all ids assigned, a few rounds in practice.
+    A draft takes the id it wants; if that is taken (in `taken`, or by a draft before it), its folder's
+    name and that; if that is taken too, the id it wants cut to 56 characters and the first free number
+    from 2 on. All drafts ask at once, and of those that ask for one id the first has it; those that
+    lose ask for their next one. Numbers are not tried one by one: the k-th draft that numbers a base
+    has the k-th number that no taken id of the base fills. So a round settles a base whatever its
+    size, and there are about as many rounds as steps in the longest chain of drafts that displace
+    each other. No draft's folder is no second wish; a null id is no wish and the draft is left out.
     """
-    used = taken.select(F.col("doc_id").alias("want")).where("want is not null").distinct()
-
-    def settled(asked: DataFrame, used: DataFrame) -> DataFrame:
-        """asked(path, base, want, n) with `ok`: the first row of each wanted id that is free."""
-        first = F.row_number().over(Window.partitionBy("want").orderBy("path")) == 1
-        return asked.join(used.withColumn("_used", F.lit(True)), "want", "left").withColumn("ok", F.col("_used").isNull() & first).drop("_used")
-
+    split = F.col("split") if "split" in drafts.columns else F.lit(False)
     parent = F.regexp_replace(F.regexp_replace(F.lower(F.regexp_extract("path", r"([^/]*)/[^/]*$", 1)), "[^a-z0-9]+", "-"), "^-+|-+$", "")
-    prefixed = F.when(parent != "", F.regexp_replace(F.substring(F.concat_ws("-", parent, "base"), 1, 60), "-+$", "")).otherwise(F.col("base"))
-    asked = drafts.select("path", F.col("doc_id").alias("base"), F.col("doc_id").alias("want"))
-    now = settled(asked, used)
-    done = now.where("ok").select("path", F.col("want").alias("doc_id"))
-    left = now.where("not ok").select("path", prefixed.alias("base")).withColumn("want", F.col("base")).withColumn("n", F.lit(1))
-    for _ in range(rounds):
-        now = settled(left, used.union(done.select("doc_id"))).persist()
-        done = done.union(now.where("ok").select("path", F.col("want").alias("doc_id")))
-        left = now.where("not ok")
-        if left.isEmpty():
-            return done
-        place = F.row_number().over(Window.partitionBy("base").orderBy("path"))
-        # all that want one base take different numbers, beyond those tried
-        tried = F.max("n").over(Window.partitionBy("base"))
-        left = left.select("path", "base", (tried + place).cast("int").alias("n")).withColumn("want", F.concat(F.substring("base", 1, 56), F.lit("-"), F.col("n").cast("string")))
-    raise RuntimeError(f"ids still clash after {rounds} rounds")
+    second = F.when(parent != "", F.regexp_replace(F.substring(F.concat_ws("-", parent, "doc_id"), 1, 60), "-+$", ""))
+    wishes = drafts.where("doc_id is not null").select("path", F.struct(split.alias("split"), F.split("path", "/").alias("parts")).alias("turn"), F.col("doc_id").alias("w0"), second.alias("w1"), F.substring("doc_id", 1, 56).alias("base"))
+    used = taken.select(F.col("doc_id").alias("id")).where("id is not null").distinct()
+    for w in ("w0", "w1"):
+        wishes = wishes.join(used.select(F.col("id").alias(w), F.lit(True).alias(f"{w}_used")), w, "left")
+    open1 = F.col("w1").isNotNull() & F.col("w1_used").isNull()
+    state = cut(wishes.select("path", "turn", "w0", "w1", "base", open1.alias("open1"), F.when(F.col("w0_used").isNull(), 0).when(open1, 1).otherwise(2).alias("step")))
+    number = F.regexp_extract("id", "^.*-([1-9][0-9]{0,17})$", 1)
+    filled = used.where(number != "").select(F.regexp_extract("id", "^(.*)-[0-9]+$", 1).alias("base"), number.cast("long").alias("n")).where("n >= 2")
+    filled = cut(filled.join(state.select("base").distinct(), "base", "left_semi"))
+    barred = None  # numbers that a draft before holds as one of its wishes
+    while True:
+        tail = _numbered(state.where("step = 2"), filled if barred is None else filled.unionByName(barred.select("base", "n")).distinct())
+        asked = state.where("step < 2").select("path", "turn", F.when(F.col("step") == 0, F.col("w0")).otherwise(F.col("w1")).alias("id"), "step", "base", F.lit(None).cast("long").alias("n"))
+        asked = asked.unionByName(tail.select("path", "turn", F.concat_ws("-", "base", F.col("n").cast("string")).alias("id"), F.lit(2).alias("step"), "base", "n"))
+        first = asked.groupBy("id").agg(F.min(F.struct("turn", "step")).alias("first"))
+        now = cut(salted_join(asked, first, ["id"]).withColumn("won", F.col("turn") == F.col("first.turn")))
+        held = now.where("won and step < 2").select("id", F.col("turn").alias("held_by"))
+        # a number lost to a wish is barred, until a draft before the one that holds it comes to need it
+        lost = now.where("not won and step = 2").select("base", "n")
+        again = (lost if barred is None else barred.select("base", "n").union(lost)).distinct()
+        bars = again.withColumn("id", F.concat_ws("-", "base", F.col("n").cast("string"))).join(held, "id").select("base", "n", "held_by")
+        rows = bars.select("base", "n", "held_by", F.lit(None).cast(state.schema["turn"].dataType).alias("turn")).unionByName(now.where("step = 2").select("base", "n", F.lit(None).cast(state.schema["turn"].dataType).alias("held_by"), "turn"))
+        earliest = F.min("turn").over(Window.partitionBy("base").orderBy(F.desc("n")))  # of the drafts with this number or a higher one
+        kept = cut(rows.withColumn("_e", earliest).where("held_by is not null and (_e is null or _e > held_by)").select("base", "n"))
+        losers = now.where("not won and step < 2").select("path", F.lit(1).alias("_lost"))
+        same = barred is not None and not kept.exceptAll(barred).union(barred.exceptAll(kept)).limit(1).count() or barred is None and kept.isEmpty()
+        if same and now.where("not won").isEmpty():
+            return now.select("path", F.col("id").alias("doc_id"))
+        further = F.when(F.col("_lost").isNull(), F.col("step")).when((F.col("step") == 0) & F.col("open1"), 1).otherwise(2)
+        state, barred = cut(state.join(losers, "path", "left").withColumn("step", further).drop("_lost")), kept
+
+
+def _numbered(drafts: DataFrame, filled: DataFrame) -> DataFrame:
+    """drafts(path, turn, base) with n: the k-th draft of a base, by turn, has the k-th number from 2 on that filled(base, n) lacks.
+
+    Before the j-th filled number f there are f - 1 - j free ones. The numbers filled before the k-th
+    free one are those with fewer than k before them, and where k falls among these tells how many.
+    """
+    mine = ranked(drafts.select("path", "turn", "base"), ["base"], [F.col("turn")], "k")
+    holes = ranked(filled, ["base"], [F.col("n")], "j").select("base", (F.col("n") - 1 - F.col("j")).alias("k"), F.lit(None).cast("string").alias("path"), F.lit(None).cast(drafts.schema["turn"].dataType).alias("turn"), F.lit(1).alias("kind"))
+    both = holes.unionByName(mine.withColumn("kind", F.lit(0)))
+    # a hole with as many free numbers before it as k comes after the k-th draft
+    among = ranked(both, ["base"], [F.col("k"), F.col("kind"), F.col("turn")], "place")
+    return among.where("kind = 0").select("path", "turn", "base", (F.col("place") + 1).alias("n"))
 
 
 def backfill(rows: DataFrame) -> DataFrame:

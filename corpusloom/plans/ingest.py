@@ -133,15 +133,31 @@ def manifest_families(spark, d):
 _DRAFTS = "drafts AS (SELECT lang || '/' || source || '/' || doc_id || '.pdf' AS path, 'g-' || (doc_id % 60) want FROM documents), taken AS (SELECT DISTINCT unnest(['g-' || (doc_id % 60) || '-2', 'g-' || (doc_id % 20)]) id FROM documents WHERE doc_id % 3 = 0)"
 
 
-@query(f"WITH {_DRAFTS} SELECT count(*) AS n, count(*) AS different, 0::BIGINT AS taken_again, (SELECT count(DISTINCT want) FROM drafts WHERE want NOT IN (SELECT id FROM taken)) AS as_wanted FROM drafts")
+#: Wanted ids collide, in several folders, some with numbers of others; many numbers are taken, with gaps.
+IDS = """
+WITH RECURSIVE drafts AS (
+  SELECT *, row_number() OVER (ORDER BY split, string_split(path, '/')) i, regexp_replace(left(regexp_extract(path, '([^/]*)/[^/]*$', 1) || '-' || want, 60), '-+$', '') w1, left(want, 56) base
+  FROM (SELECT lang || '/' || source || '/' || doc_id || '.pdf' path, doc_id % 11 = 0 split, CASE WHEN doc_id % 17 = 0 THEN source || '-g-' || doc_id % 60 WHEN doc_id % 13 = 0 THEN 'g-' || doc_id % 60 || '-' || (2 + doc_id % 9) ELSE 'g-' || doc_id % 60 END want FROM documents)),
+ids AS (SELECT list(id) t FROM (SELECT DISTINCT unnest(['g-' || doc_id % 60 || '-' || (2 + (doc_id // 60) % 7 * 2), 'g-' || doc_id % 20]) id FROM documents WHERE doc_id % 3 = 0)),
+run AS (
+  SELECT 0::BIGINT i, '' path, '' doc_id, t FROM ids
+  UNION ALL
+  SELECT i, path, id, list_append(t, id) FROM (
+    SELECT d.i, d.path, r.t, CASE WHEN NOT list_contains(r.t, d.want) THEN d.want WHEN NOT list_contains(r.t, d.w1) THEN d.w1 ELSE d.base || '-' || list_filter(range(2, len(m) + 3), lambda n: NOT list_contains(m, n))[1] END id
+    FROM (SELECT i, t FROM run) r JOIN drafts d ON d.i = r.i + 1, LATERAL (SELECT list_transform(list_filter(r.t, lambda x: starts_with(x, d.base || '-')), lambda x: try_cast(x[len(d.base) + 2:] AS BIGINT)) m) z))
+SELECT path, doc_id FROM run WHERE i > 0
+"""
+
+
+@query(IDS)
 def manifest_ids(spark, d):
-    """Every draft gets an id, no two the same and none that is taken; one draft of each free id keeps what it wants."""
-    docs, n = table(spark, d, "documents"), lambda k: F.concat(F.lit("g-"), (F.col("doc_id") % k).cast("string"))
-    drafts = docs.select(F.concat_ws("/", "lang", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".pdf"))).alias("path"), n(60).alias("doc_id"))
-    taken = docs.where("doc_id % 3 = 0").select(F.explode(F.array(F.concat(n(60), F.lit("-2")), n(20))).alias("doc_id")).distinct()
-    made = manifest.unique_ids(drafts, taken)
-    checked = made.join(taken.withColumn("again", F.lit(1)), "doc_id", "left").join(drafts.withColumnRenamed("doc_id", "want"), "path")
-    return checked.agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("different"), F.count("again").alias("taken_again"), F.count_if(F.col("doc_id") == F.col("want")).alias("as_wanted"))
+    """The id of each draft, as one after the other would take them."""
+    i, text = F.col("doc_id"), lambda c: c.cast("string")
+    docs, base = table(spark, d, "documents"), F.concat(F.lit("g-"), text(i % 60))
+    want = F.when(i % 17 == 0, F.concat("source", F.lit("-"), base)).when(i % 13 == 0, F.concat(base, F.lit("-"), text(2 + i % 9))).otherwise(base)
+    drafts = docs.select(F.concat_ws("/", "lang", "source", F.concat(text(i), F.lit(".pdf"))).alias("path"), (i % 11 == 0).alias("split"), want.alias("doc_id"))
+    taken = docs.where("doc_id % 3 = 0").select(F.explode(F.array(F.concat(base, F.lit("-"), text(2 + F.floor(i / 60) % 7 * 2)), F.concat(F.lit("g-"), text(i % 20)))).alias("doc_id"))
+    return manifest.unique_ids(drafts, taken)
 
 
 @query("SELECT * FROM (VALUES ('a', '2026-01-02', 'R2021x', ['added = 2026-01-02', 'release R2021x+ (from the name)']), ('b', '2025-05-05', 'R2022x', []::VARCHAR[]), ('c', '2025-05-05', 'R2023x', ['release R2023x+ (from the first pages)'])) t(doc_id, added, release_min, changes)")

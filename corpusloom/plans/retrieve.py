@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import functools
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
-from corpusloom.operators import answers, context, dialog, evaluation, oplog, retriever, search
+from corpusloom.operators import answering, answers, context, dialog, evaluation, oplog, retriever, search
 from corpusloom.plans import derived as D
 from corpusloom.plans.ingest import document_chunks, values
 from corpusloom.registry import query, table
@@ -121,10 +123,29 @@ def assemble_context(spark, d):
     return context.assemble(candidates, sections, chunks).select("qid", "n", "section_id", "kind", "tokens", "lo", "hi", "chunk_ids", "same_text")
 
 
-@query("SELECT * FROM (VALUES ('q', 1, 'A', 'a1', 100), ('q', 2, 'B', 'b1', 200), ('q', 3, 'A', 'a2', 300), ('q', 4, 'A', 'a3', 50)) t(qid, n, side, section_id, tokens)")
+#: Documents in questions of twelve, three sides of four units each; copies of a text are near-identical, and some hold others' copies already.
+_SIDES = """WITH RECURSIVE d AS (SELECT doc_id, doc_id // 12 qid, (doc_id % 12) % 3 side_index, 1 + (doc_id % 12) // 3 n, 'Section ' || (doc_id % 5) || ' of ' || (doc_id // 12) AS text, 100 * (1 + doc_id % 7) tokens,
+   CASE WHEN doc_id % 4 = 0 THEN [doc_id + 1000000, doc_id // 12] ELSE []::BIGINT[] END copies, 's' || (doc_id % 9) section_id FROM documents),
+o AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY n, side_index) i FROM d),
+f AS (SELECT qid, 0::BIGINT i, []::STRUCT(doc_id BIGINT, side BIGINT, section_id VARCHAR, tokens BIGINT, copies BIGINT[], "text" VARCHAR)[] made FROM (SELECT DISTINCT qid FROM d)
+  UNION ALL
+  SELECT qid, i, CASE WHEN len(list_filter(made, lambda m: m.side = side_index)) >= 3 OR list_contains(list_transform(made, lambda m: m.section_id), section_id) THEN made
+    WHEN twin IS NOT NULL THEN list_transform(made, lambda m: CASE WHEN m.doc_id <> twin.doc_id THEN m ELSE struct_pack(doc_id := m.doc_id, side := m.side, section_id := m.section_id, tokens := m.tokens,
+         copies := list_reduce(list_prepend(m.copies, list_transform(list_prepend(doc_id, copies), lambda c: [c])), lambda x, y: CASE WHEN y[1] = m.doc_id OR list_contains(x, y[1]) THEN x ELSE x || y END), "text" := m.text) END)
+    WHEN coalesce(list_sum(list_transform(made, lambda m: m.tokens)), 0) + tokens <= 2500 THEN list_append(made, struct_pack(doc_id := doc_id, side := side_index, section_id := section_id, tokens := tokens, copies := copies, "text" := text)) ELSE made END
+  FROM (SELECT f.qid, o.i, f.made, o.* EXCLUDE (qid, i), list_filter(f.made, lambda m: m.text = o.text)[1] twin FROM f JOIN o ON o.qid = f.qid AND o.i = f.i + 1)),
+e AS (SELECT qid, arg_max(made, i) made FROM f GROUP BY qid)
+SELECT qid, n::INT AS n, m.side::VARCHAR AS side, m.doc_id AS doc_id, m.tokens AS tokens, m.copies AS copies FROM (SELECT qid, unnest(made) m, unnest(range(1, len(made) + 1)) n FROM e)"""
+
+
+@query(_SIDES)
 def merge_sides(spark, d):
-    rows = values(spark, "('q', 'A', 0, 1, 'a1', 'd1', 100, 'one two three'), ('q', 'B', 1, 1, 'b1', 'd2', 200, 'four five six'), ('q', 'A', 0, 2, 'a2', 'd1', 300, 'seven eight'), ('q', 'B', 1, 2, 'b2', 'd3', 9000, 'nine ten'), ('q', 'A', 0, 3, 'a3', 'd1', 50, 'eleven'), ('q', 'B', 1, 3, 'b3', 'd4', 10, 'one two three'), ('q', 'A', 0, 4, 'a4', 'd1', 1, 'twelve')", "qid, side, side_index, n, section_id, doc_id, tokens, text")
-    return context.merge_sides(rows).select("qid", "n", "side", "section_id", "tokens")
+    i = F.col("doc_id")
+    text = lambda c: c.cast("string")
+    one = F.concat(F.lit("Section "), text(i % 5), F.lit(" of "), text(F.floor(i / 12)))
+    units = table(spark, d, "documents").select(i.alias("doc_id"), F.floor(i / 12).alias("qid"), text(i % 12 % 3).alias("side"), (i % 12 % 3).alias("side_index"), (1 + F.floor(i % 12 / 3)).alias("n"), one.alias("text"), (100 * (1 + i % 7)).alias("tokens"),
+        F.when(i % 4 == 0, F.array(i + 1_000_000, F.floor(i / 12))).otherwise(F.array().cast("array<bigint>")).alias("copies"), F.concat(F.lit("s"), text(i % 9)).alias("section_id"))
+    return context.merge_sides(units, per_side=3, tokens=2_500).select("qid", "n", "side", "doc_id", "tokens", "copies")
 
 
 _FIT = """WITH RECURSIVE units AS (SELECT session_id, turn, (len(list_filter(string_split_regex(content, '\\s+'), lambda w: w <> '')))::INT n, row_number() OVER (PARTITION BY session_id ORDER BY turn) i FROM turns),
@@ -320,6 +341,72 @@ def privacy_filter(spark, d):
     return c.groupBy("qid").agg(F.every("external_ok").alias("may_leave"))
 
 
+#: Each conversation's first question over its messages as sources, sized so that budgets bind; models that fail by the question's length.
+_CHAIN = """WITH RECURSIVE msgs AS (SELECT session_id qid, turn, role, coalesce(content, '') AS content FROM turns),
+q AS (SELECT qid, arg_min(content, turn) question FROM msgs WHERE role = 'user' GROUP BY qid),
+u AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY turn) i, 20 * len(list_filter(string_split_regex(content, '\\s+'), lambda w: w <> '')) tokens, CASE WHEN turn % 2 = 0 THEN 'a' ELSE 'b' END side FROM msgs JOIN q USING (qid)),
+m(name, pos, leaves, most, tokens_most, per_side, tokens_sides, fails) AS (VALUES ('large', 0, true, 16, 9000, 8, 12000, 2), ('middle', 1, true, 7, 3500, 4, 4667, 3), ('local', 2, false, 6, 3000, 3, 4000, 7)),
+f AS (SELECT qid, name, 0::BIGINT i, 0 k, 0::BIGINT used, 0 a, 0 b FROM q, m
+      UNION ALL
+      SELECT qid, name, i, k + ok::INT, used + CASE WHEN ok THEN tokens ELSE 0 END, a + (ok AND side = 'a')::INT, b + (ok AND side = 'b')::INT
+      FROM (SELECT f.qid, f.name, u.i, f.k, f.used, f.a, f.b, u.tokens, u.side, CASE WHEN f.qid % 4 = 0 THEN (CASE u.side WHEN 'a' THEN f.a ELSE f.b END) < m.per_side AND f.used + u.tokens <= m.tokens_sides ELSE f.k < m.most AND f.used + u.tokens <= m.tokens_most END ok
+            FROM f JOIN u ON u.qid = f.qid AND u.i = f.i + 1 JOIN m ON m.name = f.name)),
+n AS (SELECT qid, name, arg_max(k, i) n_units, max(i) n_full FROM f GROUP BY ALL),
+c AS (SELECT qid, name, pos, length(question) % fails = 0 AS failed, row_number() OVER (PARTITION BY qid ORDER BY pos) r, count(*) OVER (PARTITION BY qid) s, lead(name) OVER (PARTITION BY qid ORDER BY pos) nxt FROM q, m WHERE pos >= qid % 3 AND (NOT leaves OR qid % 5 <> 0)),
+e AS (SELECT qid, min(r) r FROM c WHERE NOT failed OR r = s GROUP BY qid),
+lost AS (SELECT c.qid, list(c.name || ' failed (RuntimeError: busy); answered with ' || nxt || ' instead.' ORDER BY c.r) said FROM c JOIN e ON e.qid = c.qid AND c.r < e.r GROUP BY c.qid)
+SELECT qid, name AS profile, n_units::INT AS n_units, n_full::INT AS n_full, CASE WHEN NOT failed THEN name || ' read ' || n_units || ' sources [1].' END AS reply, CASE WHEN failed THEN 'RuntimeError: busy' END AS error,
+  coalesce(said, []) || CASE WHEN n_units < n_full THEN [name || ' has a smaller context window: answered from the ' || n_units || ' best of ' || n_full || ' sources.'] ELSE [] END AS notices
+FROM e JOIN c USING (qid, r) JOIN n USING (qid, name) LEFT JOIN lost USING (qid)"""
+
+
+class _Counts:
+    """Stand-in: counts its sources, and fails on questions of certain lengths."""
+
+    def __init__(self, name: str, fails: int):
+        self.name, self.fails = name, fails
+
+    def generate(self, messages: list[dict]) -> str:
+        sources, _, asked = messages[-1]["content"].rpartition("\n\nQuestion: ")
+        question = asked.rpartition("\n\nThe question compares: " if "\n\nThe question compares: " in asked else "\n\nAnswer from the sources above")[0]
+        if len(question) % self.fails == 0:
+            raise RuntimeError("busy")
+        return f"{self.name} read {sources.count(' (applies to all releases) | Section ')} sources [1]."
+
+
+_MODELS = (("large", 40_000, 4_000, 2), ("middle", 16_000, 2_000, 3), ("local", 8_192, 1_500, 7))
+
+
+def _chain_inputs(spark, d):
+    said = D.turns(spark, d).withColumn("content", F.coalesce("content", F.lit(""))).withColumnRenamed("session_id", "qid")
+    q = said.where("role = 'user'").groupBy("qid").agg(F.min_by("content", "turn").alias("question"))
+    q = q.withColumn("sides", F.when(F.col("qid") % 4 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array().cast("array<string>")))
+    place = F.row_number().over(Window.partitionBy("qid").orderBy("turn"))
+    units = said.join(q.select("qid"), "qid", "left_semi").select("qid", place.alias("n"), (20 * X.count_words(F.col("content"))).alias("tokens"), F.col("content").alias("text"), F.when(F.col("turn") % 2 == 0, "a").otherwise("b").alias("side"), F.lit("Message").alias("title"), F.lit("any").alias("release"), F.col("turn").cast("string").alias("section"), F.lit(1).alias("page_start"), F.lit(1).alias("page_end"))
+    models = values(spark, "('large', 'middle', true, true), ('middle', 'local', true, true), ('local', null, false, true)", "name, fallback, external, ready")
+    asked = F.get(F.array(*(F.lit(m[0]) for m in _MODELS)), (F.col("qid") % 3).cast("int"))
+    chain = answers.fallback_chain(models, q.select("qid", asked.alias("model")), q.select("qid", (F.col("qid") % 5 != 0).alias("external_ok")))
+    return q, units, chain, [answering.Model(name, functools.partial(_Counts, name, fails), most, out) for name, most, out, fails in _MODELS]
+
+
+@query(_CHAIN.replace("WITH RECURSIVE", f"WITH RECURSIVE {D.TURNS},", 1))
+def answer_chain(spark, d):
+    """Each conversation's question through a chain of models, some of which fail, each with the context that it can take."""
+    q, units, chain, models = _chain_inputs(spark, d)
+    return answering.generate(q, units, chain, models, "Answer.").select("qid", "profile", "n_units", "n_full", "reply", "error", "notices")
+
+
+@query(f"""WITH {D.MANIFEST}, s AS (SELECT doc_id // 4 qid, list(id ORDER BY id) FILTER (NOT external_ok OR doc_id % 7 = 0) b FROM manifest GROUP BY ALL)
+SELECT qid, CASE WHEN b IS NULL THEN 'keyless has no key (KEY is not set).' WHEN qid % 2 = 0 THEN 'Answered with a local model: ' || array_to_string(b, ', ') || ' may not be sent to an external model such as big (external_ok = false). keyless has no key (KEY is not set).'
+  ELSE 'keyless has no key (KEY is not set).' END AS notice FROM s WHERE b IS NOT NULL OR qid % 2 = 1""")
+def chain_notices(spark, d):
+    """Four documents as each question's sources; every other question asks an external model, the rest one whose key lacks."""
+    models = values(spark, "('big', 'keyless', true, true, null), ('keyless', 'local', false, false, 'KEY'), ('local', null, false, true, null)", "name, fallback, external, ready, key")
+    s = D.manifest(spark, d).select(F.floor(F.col("doc_id") / 4).alias("qid"), F.col("id").alias("doc_id"), (F.col("external_ok") & (F.col("doc_id") % 7 != 0)).alias("external_ok"))
+    asked = F.when(F.col("qid") % 2 == 0, "big").otherwise("keyless")
+    return answers.chain_notices(models, s.select("qid").distinct().select("qid", asked.alias("model")), s)
+
+
 _BY_LABEL = f"WITH {D.MANIFEST}, {D.REQUESTS}, {_DENSE}, j AS (SELECT d.qid, d.rank, d.doc_id, e.label, q.label ql FROM dense d JOIN embeddings e ON e.vec_id = d.doc_id JOIN embeddings q ON q.vec_id = d.qid WHERE d.rank <= 10 AND d.doc_id <> d.qid), h AS (SELECT ql AS label, qid, min(CASE WHEN label = ql THEN rank END) fh FROM j GROUP BY ALL) SELECT label, count(*) n, avg(CASE WHEN fh <= 1 THEN 1.0::DOUBLE ELSE 0 END) recall_1, avg(CASE WHEN fh <= 5 THEN 1.0::DOUBLE ELSE 0 END) recall_5, avg(CASE WHEN fh <= 10 THEN 1.0::DOUBLE ELSE 0 END) recall_10, avg(coalesce(1.0::DOUBLE / fh, 0)) mrr FROM h GROUP BY label"
 
 

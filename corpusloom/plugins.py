@@ -52,21 +52,29 @@ def rerank_scores(pairs: DataFrame, make: Callable[[], Reranker]) -> DataFrame:
     return pairs.withColumn("rerank_score", run("question", "passage"))
 
 
-def generate(prompts: DataFrame, make: Callable[[], Provider]) -> DataFrame:
-    """prompts(qid, system, user) with reply; a call that fails gives a null reply and its error."""
+def generate(prompts: DataFrame, make: Callable[[], Provider] | dict[str, Callable[[], Provider]]) -> DataFrame:
+    """prompts(qid, system, user[, profile]) with reply; a call that fails gives a null reply and its error.
+
+    make: what makes the model, or, for each profile that a prompt may name, what makes its own; a
+    task makes each model that it needs once.
+    """
+    several = isinstance(make, dict)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = make()
+        made: dict[str, Provider] = {}
         for b in batches:
             rows = []
-            for q, s, u in zip(b["qid"], b["system"], b["user"]):
+            for q, s, u, name in zip(b["qid"], b["system"], b["user"], b["profile"] if several else [""] * len(b)):
                 try:
-                    rows.append((q, model.generate([{"role": "system", "content": s}, {"role": "user", "content": u}]), None))
+                    if name not in made:
+                        made[name] = (make[name] if several else make)()
+                    rows.append((q, made[name].generate([{"role": "system", "content": s}, {"role": "user", "content": u}]), None))
                 except Exception as e:  # the batch goes on
                     rows.append((q, None, f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(rows, columns=["qid", "reply", "error"])
 
-    return prompts.select("qid", "system", "user").mapInPandas(run, "qid string, reply string, error string")
+    given = prompts.select("qid", "system", "user", *(["profile"] if several else []))
+    return given.mapInPandas(run, f"qid {prompts.schema['qid'].dataType.simpleString()}, reply string, error string")
 
 
 class HashEmbedder:

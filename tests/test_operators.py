@@ -1,3 +1,6 @@
+import random
+import re
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -149,12 +152,37 @@ def test_without_labels(spark, query, labels, want):
     assert row.select(dialog.without_labels(F.col("q"), F.col("l")).alias("x")).first().x == want
 
 
-def test_ids_are_unique_among_themselves_and_those_taken(spark):
-    drafts = spark.createDataFrame([("a.pdf", "x"), ("b.pdf", "x"), ("c.pdf", "x-3"), ("f/d.pdf", "x"), ("g/d.pdf", "f-x"), ("e.pdf", "y")], "path string, doc_id string")
-    taken = spark.createDataFrame([("x",), ("x-2",), ("f-x",)], "doc_id string")
+def ids_one_by_one(drafts, taken):
+    """drafts (path, want, split) in turn: the wish, the folder and the wish, the first free number."""
+    taken, out = set(taken), {}
+    for path, want, _ in sorted(drafts, key=lambda x: (x[2], x[0].split("/"))):
+        got = want
+        if want in taken:
+            folder = re.sub("[^a-z0-9]+", "-", path.rsplit("/", 2)[-2].lower()).strip("-") if "/" in path else ""
+            got, n = (f"{folder}-{want}"[:60].rstrip("-") if folder else want), 2
+            while got in taken:
+                got, n = f"{want[:56]}-{n}", n + 1
+        taken.add(got)
+        out[path] = got
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_ids_are_those_that_one_after_the_other_would_get(spark, seed):
+    draw = random.Random(seed)
+    words = ["x", "g-x", "x-2", "x-3", "x-2-2", "g-x-2", "h-x", "y", "x" * 58, "x" * 56 + "-3", "x" * 56]
+    drafts = [(f"{draw.choice(['g', 'h', 'a b'])}/{i}.pdf" if i % 5 else f"{i}.pdf", draw.choice(words), draw.random() < 0.3) for i in range(70)]
+    taken = draw.sample([*words, *(f"x-{n}" for n in range(2, 40)), "x-07", "x-1", "x-5-x", "y-"], 18)
+    df = spark.createDataFrame(drafts, "path string, doc_id string, split boolean").withColumn("id", F.lit("clash"))
+    got = manifest.unique_ids(df, spark.createDataFrame([(t,) for t in [*taken, None, taken[0]]], "doc_id string"))
+    assert {r.path: r.doc_id for r in got.collect()} == ids_one_by_one(drafts, taken)
+
+
+def test_ids_with_ten_thousand_numbers_taken(spark):
+    drafts = spark.range(1_000).select(F.format_string("g/%04d.pdf", "id").alias("path"), F.lit("x").alias("doc_id"))
+    taken = spark.range(2, 10_002).where("id % 100 <> 0").select(F.concat(F.lit("x-"), F.col("id").cast("string")).alias("doc_id")).union(spark.sql("SELECT explode(array('x', 'g-x'))"))
     got = {r.path: r.doc_id for r in manifest.unique_ids(drafts, taken).collect()}
-    assert len(got) == len(set(got.values())) == 6 and not set(got.values()) & {"x", "x-2", "f-x"}
-    assert got["c.pdf"] == "x-3" and got["e.pdf"] == "y" and got["g/d.pdf"] == "g-f-x"
+    assert [got[f"g/{i:04d}.pdf"] for i in (0, 98, 99, 100, 999)] == ["x-100", "x-9900", "x-10000", "x-10002", "x-10901"]
     assert manifest.unique_ids(drafts.limit(0), taken).count() == 0
 
 
