@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from corpusloom import registry
-from corpusloom.plans import evaluate, ingest, operate, retrieve  # noqa: F401  registers their queries
+from corpusloom.plans import compose, evaluate, ingest, operate, retrieve  # noqa: F401  registers their queries
 
 FLAGSHIP = "hybrid_search"
 

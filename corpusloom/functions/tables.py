@@ -2,23 +2,46 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df as it is now, in the shared folder that spark.checkpoint.dir names, so that a lost executor costs no more than a read."""
-    sc = df.sparkSession.sparkContext
+def _shared(spark: SparkSession) -> None:
+    """Sets the shared folder to the one that spark.checkpoint.dir names; to a temporary one only where it is unset, as in tests."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
         if not named and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="corpusloom-"))
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df as it is now, in the shared folder, so that a lost executor costs no more than a read."""
+    _shared(df.sparkSession)
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A new folder below the shared one, deleted when the driver ends."""
+    _shared(spark)
+    root = f"{spark.sparkContext.getCheckpointDir()}/{label}-{uuid.uuid4().hex}"
+
+    def drop() -> None:
+        try:
+            path = spark._jvm.org.apache.hadoop.fs.Path(root)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        except Exception:  # the session may have ended
+            pass
+
+    atexit.register(drop)
+    return root
+
+
 def ranked(df: DataFrame, by: list[str], order: list[Column], name: str = "place") -> DataFrame:
     """df with each row's place, from 1, in the order of its group; a group may hold any share of the rows.
 
