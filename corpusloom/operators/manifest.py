@@ -139,30 +139,61 @@ def draft(files: DataFrame) -> DataFrame:
 
 
 def resolve_families(drafts: DataFrame, listed: DataFrame) -> DataFrame:
-    """drafts with families settled so that no listed document stops being the latest: own_family, version, notes.
+    """drafts with families settled so that no listed document stops being the latest: own_family, version, note.
 
     A named version the family has, an unversioned file of a listed family, and a second unversioned
-    one get a family of their own; the first unversioned one beside named versions is the newest.
+    one get a family of their own; the first unversioned one beside named versions is the newest. First
+    is the one in a folder of a named version, then the one whose path comes first. A family whose
+    name goes on where a listed one of 50 characters or more ends is noted. All is told by joins with
+    what families have, one row each, so that a large family stays spread.
     """
-    folder = F.regexp_replace("path", "/?[^/]*$", "")
-    versions = listed.groupBy("family").agg(F.collect_set(X.version_key(F.col("version"))).alias("_have"))
-    d = drafts.withColumn("_folder", folder)
-    named = d.where("named_version").groupBy("family").agg(F.max(F.get(X.version_key(F.col("version")), F.lit(0))).alias("_major"), F.collect_set("_folder").alias("_folders"))
-    d = d.join(versions, "family", "left").join(named, "family", "left")
-    order = Window.partitionBy("family", "named_version").orderBy(F.coalesce(~F.array_contains("_folders", F.col("_folder")), F.lit(True)), "path")
-    d = d.withColumn("_i", F.row_number().over(order))
-    known = F.col("_have").isNotNull()
-    clash = F.col("named_version") & F.coalesce(F.array_contains("_have", X.version_key(F.col("version"))), F.lit(False))
-    plain = ~F.col("named_version")
-    own = clash | (plain & known) | (plain & (F.col("_i") > 1))
-    newest = plain & ~known & (F.col("_i") == 1) & F.col("_major").isNotNull()
+    key = X.version_key(F.col("version"))
+    mark = lambda df, *c: df.select(*c).distinct()
+    d = drafts.withColumn("_folder", F.regexp_replace("path", "/?[^/]*$", "")).withColumn("_key", F.to_json(key))
+    named = d.where("named_version")
+    d = salted_join(d, mark(listed, "family").withColumn("_known", F.lit(True)), ["family"], "left")
+    d = salted_join(d, mark(listed, "family", F.to_json(key).alias("_key")).withColumn("_has", F.lit(True)), ["family", "_key"], "left")
+    d = salted_join(d, mark(named, "family", "_folder").withColumn("_beside", F.lit(True)), ["family", "_folder"], "left")
+    d = salted_join(d, named.groupBy("family").agg(F.max(F.get(key, F.lit(0))).alias("_major")), ["family"], "left")
+    d = d.withColumn("_turn", F.struct(F.col("_beside").isNull().alias("apart"), "path"))
+    d = salted_join(d, d.where("not named_version").groupBy("family").agg(F.min("_turn").alias("_first")), ["family"], "left")
+    starts = d.select("path", "family", F.explode(F.expr("transform(sequence(50, greatest(length(family) - 1, 50)), n -> substring(family, 1, n))")).alias("start")).where("start <> family")
+    longer = starts.join(mark(listed, F.col("family").alias("start")), "start").groupBy("path").agg(F.min("start").alias("_shorter"))
+    d = d.join(longer, "path", "left")
+    plain, known, first = ~F.col("named_version"), F.col("_known").isNotNull(), F.col("_turn") == F.col("_first")
+    clash = F.col("named_version") & F.col("_has").isNotNull()
+    own = clash | (plain & (known | ~first))
+    newest = plain & ~known & first & F.col("_major").isNotNull()
     note = (
         F.when(clash, "the family has this version: own family drafted")
         .when(plain & known, "same name as a listed family: own family drafted")
         .when(newest, "version guessed: newest")
-        .when(plain & (F.col("_i") > 1), "same name as another new file: own family drafted")
+        .when(plain & ~first, "same name as another new file: own family drafted")
     )
-    return d.select("path", "doc_id", "family", own.alias("own_family"), F.when(newest, F.concat((F.col("_major") + 1).cast("string"), F.lit(".0"))).otherwise(F.col("version")).alias("version"), note.alias("note"))
+    revision = F.when(F.col("_shorter").isNotNull(), F.concat(F.lit("may be a revision of family '"), "_shorter", F.lit("'")))
+    notes = F.array_compact(F.array(note, revision))
+    return d.select("path", "doc_id", "family", own.alias("own_family"), F.when(newest, F.concat((F.col("_major") + 1).cast("string"), F.lit(".0"))).otherwise(F.col("version")).alias("version"), F.when(F.size(notes) > 0, F.array_join(notes, "; ")).alias("note"))
+
+
+def scan(files: DataFrame, listed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Drafted rows of the files that the manifest lacks, and the copies (path, copy_of) that get none.
+
+    files(path, content_hash, cover), all there are; listed(path, doc_id, family, version, content_hash),
+    the manifest with the contents of its files. A file whose content is listed, or that an earlier
+    new file has, is a copy. Families are settled among all drafts; then ids are given, first to the
+    drafts that keep their family, so that what is given in one step is taken in the next, and a
+    draft with a family of its own gets its id as the family. Nothing is written.
+    """
+    new = unlisted(files, listed)
+    copies = cut(content_copies(new, listed))
+    drafts = cut(draft(new.join(copies.select("path"), "path", "left_anti")))
+    settled = cut(resolve_families(drafts, listed))
+    ids = unique_ids(settled.select("path", "doc_id", F.col("own_family").alias("split")), listed).withColumnRenamed("doc_id", "_id")
+    kept = drafts.drop("doc_id", "family", "version", "named_version").join(settled.select("path", "family", "own_family", "version", "note"), "path").join(ids, "path")
+    family = F.when(F.col("own_family"), F.col("_id")).otherwise(F.col("family"))
+    review = F.concat_ws("; ", F.nullif("review", F.lit("")), "note")
+    rows = kept.select(F.col("_id").alias("doc_id"), "path", "title", family.alias("family"), "version", "release_min", "release_max", "allowed_groups", "external_ok", "category", review.alias("review"))
+    return rows, copies
 
 
 def unique_ids(drafts: DataFrame, taken: DataFrame) -> DataFrame:

@@ -116,40 +116,71 @@ def guess_category(spark, d):
     return table(spark, d, "documents").select("doc_id", path.alias("path"), X.guess_category(path).alias("category"))
 
 
-_FILES = "('new/Guide_V2.0.pdf', ''), ('new/Guide.pdf', 'for R2023x'), ('b/Guide.pdf', ''), ('new/Tool R2021x R2022x.pptx', ''), ('x/Listed.docx', 'R2020x or R2021x')"
+#: A file for each document: forty names, some with versions, on covers one release, two or none; a few are listed already.
+_FILES = """files AS (SELECT doc_id, lang || '/b' || doc_id // 6 AS folder, lang || '/b' || doc_id // 6 || '/Guide ' || doc_id % 40 || CASE WHEN doc_id % 3 = 0 THEN '_V' || (1 + doc_id % 4) || '.0' ELSE '' END || '.pdf' AS path,
+  'guide-' || doc_id % 40 AS family, CASE WHEN doc_id % 3 = 0 THEN 1 + doc_id % 4 END AS v, CASE WHEN doc_id % 4 = 0 THEN 'R2023x' ELSE '' END AS release_min, md5(text) h FROM documents),
+listed AS (SELECT path, 'guide-' || doc_id % 40 || CASE WHEN doc_id % 2 = 0 THEN '' ELSE '-v2-0' END AS id, family, 1 + doc_id % 4 AS v, h FROM files WHERE doc_id % 45 = 0)"""
+_SETTLED = f"""{_FILES}, new AS (SELECT * FROM files WHERE doc_id % 45 <> 0),
+once AS (SELECT * FROM new WHERE h NOT IN (SELECT h FROM listed) AND path = (SELECT min(path) FROM new n WHERE n.h = new.h)),
+ranks AS (SELECT *, family IN (SELECT family FROM listed) known, (family, v) IN (SELECT family, v FROM listed) has, max(v) OVER (PARTITION BY family) top,
+  row_number() OVER (PARTITION BY family, v IS NULL ORDER BY (family, folder) NOT IN (SELECT family, folder FROM once WHERE v IS NOT NULL), path) i FROM once),
+settled AS (SELECT path, family, family || coalesce('-v' || v || '-0', '') AS want, coalesce(v IS NOT NULL AND has, false) OR (v IS NULL AND (known OR i > 1)) AS own_family, release_min,
+  CASE WHEN v IS NULL AND NOT known AND i = 1 AND top IS NOT NULL THEN (top + 1) || '.0' ELSE coalesce(v || '.0', '1.0') END AS version FROM ranks)"""
+
+
+def _files(spark, d):
+    i, text = F.col("doc_id"), lambda c: c.cast("string")
+    name = F.concat(F.lit("Guide "), text(i % 40), F.when(i % 3 == 0, F.concat(F.lit("_V"), text(1 + i % 4), F.lit(".0"))).otherwise(""), F.lit(".pdf"))
+    cover = F.when(i % 4 == 0, "for R2023x").when(i % 4 == 1, "R2020x or R2021x").otherwise("")
+    return table(spark, d, "documents").select("doc_id", F.concat_ws("/", "lang", F.concat(F.lit("b"), text(F.floor(i / 6))), name).alias("path"), cover.alias("cover"), F.md5("text").alias("content_hash"))
 
 
-@query("SELECT * FROM (VALUES ('new/Guide_V2.0.pdf', 'guide-v2-0', 'guide', '2.0', ''), ('new/Guide.pdf', 'guide', 'guide', '1.0', 'R2023x'), ('b/Guide.pdf', 'guide', 'guide', '1.0', ''), ('new/Tool R2021x R2022x.pptx', 'tool-r2021x-r2022x', 'tool-r2021x-r2022x', '1.0', 'R2021x'), ('x/Listed.docx', 'listed', 'listed', '1.0', '')) t(path, doc_id, family, version, release_min)")
-def manifest_drafts(spark, d):
-    return manifest.draft(values(spark, _FILES, "path, cover")).select("path", "doc_id", "family", "version", "release_min")
+def _listed(spark, d):
+    i, family = F.col("doc_id"), F.concat(F.lit("guide-"), (F.col("doc_id") % 40).cast("string"))
+    return _files(spark, d).where("doc_id % 45 = 0").select("path", F.concat(family, F.when(i % 2 == 0, "").otherwise("-v2-0")).alias("doc_id"), family.alias("family"), F.concat((1 + i % 4).cast("string"), F.lit(".0")).alias("version"), "content_hash")
 
 
-@query("SELECT * FROM (VALUES ('new/Guide_V2.0.pdf', 'guide', '2.0', false), ('new/Guide.pdf', 'guide', '3.0', false), ('b/Guide.pdf', 'guide', '1.0', true), ('new/Tool R2021x R2022x.pptx', 'tool-r2021x-r2022x', '1.0', false), ('x/Listed.docx', 'listed', '1.0', true)) t(path, family, version, own_family)")
-def manifest_families(spark, d):
-    listed = values(spark, "('listed', 'listed', '1.0')", "doc_id, family, version")
-    return manifest.resolve_families(manifest.draft(values(spark, _FILES, "path, cover")), listed).select("path", "family", "version", "own_family")
+@query(f"WITH {_FILES} SELECT path, family || coalesce('-v' || v || '-0', '') AS doc_id, family, coalesce(v || '.0', '1.0') AS version, release_min FROM files")
+def manifest_drafts(spark, d):
+    return manifest.draft(_files(spark, d).drop("doc_id")).select("path", "doc_id", "family", "version", "release_min")
 
 
-_DRAFTS = "drafts AS (SELECT lang || '/' || source || '/' || doc_id || '.pdf' AS path, 'g-' || (doc_id % 60) want FROM documents), taken AS (SELECT DISTINCT unnest(['g-' || (doc_id % 60) || '-2', 'g-' || (doc_id % 20)]) id FROM documents WHERE doc_id % 3 = 0)"
+@query(f"WITH {_SETTLED} SELECT path, family, version, own_family FROM settled")
+def manifest_families(spark, d):
+    """Families of the new files that are no copies."""
+    new = manifest.unlisted(_files(spark, d), _listed(spark, d))
+    copies = manifest.content_copies(new, _listed(spark, d))
+    return manifest.resolve_families(manifest.draft(new.join(copies, "path", "left_anti").drop("doc_id")), _listed(spark, d)).select("path", "family", "version", "own_family")
 
 
-#: Wanted ids collide, in several folders, some with numbers of others; many numbers are taken, with gaps.
-IDS = """
-WITH RECURSIVE drafts AS (
-  SELECT *, row_number() OVER (ORDER BY split, string_split(path, '/')) i, regexp_replace(left(regexp_extract(path, '([^/]*)/[^/]*$', 1) || '-' || want, 60), '-+$', '') w1, left(want, 56) base
-  FROM (SELECT lang || '/' || source || '/' || doc_id || '.pdf' path, doc_id % 11 = 0 split, CASE WHEN doc_id % 17 = 0 THEN source || '-g-' || doc_id % 60 WHEN doc_id % 13 = 0 THEN 'g-' || doc_id % 60 || '-' || (2 + doc_id % 9) ELSE 'g-' || doc_id % 60 END want FROM documents)),
-ids AS (SELECT list(id) t FROM (SELECT DISTINCT unnest(['g-' || doc_id % 60 || '-' || (2 + (doc_id // 60) % 7 * 2), 'g-' || doc_id % 20]) id FROM documents WHERE doc_id % 3 = 0)),
+def _one_by_one(drafts: str, ids: str) -> str:
+    """SQL that gives drafts(path, want, w1, base, i) their ids in turn; ids(t) is the list of those taken."""
+    return f"""drafts AS ({drafts}), ids AS ({ids}),
 run AS (
   SELECT 0::BIGINT i, '' path, '' doc_id, t FROM ids
   UNION ALL
   SELECT i, path, id, list_append(t, id) FROM (
     SELECT d.i, d.path, r.t, CASE WHEN NOT list_contains(r.t, d.want) THEN d.want WHEN NOT list_contains(r.t, d.w1) THEN d.w1 ELSE d.base || '-' || list_filter(range(2, len(m) + 3), lambda n: NOT list_contains(m, n))[1] END id
-    FROM (SELECT i, t FROM run) r JOIN drafts d ON d.i = r.i + 1, LATERAL (SELECT list_transform(list_filter(r.t, lambda x: starts_with(x, d.base || '-')), lambda x: try_cast(x[len(d.base) + 2:] AS BIGINT)) m) z))
-SELECT path, doc_id FROM run WHERE i > 0
-"""
+    FROM (SELECT i, t FROM run) r JOIN drafts d ON d.i = r.i + 1, LATERAL (SELECT list_transform(list_filter(r.t, lambda x: starts_with(x, d.base || '-')), lambda x: try_cast(x[len(d.base) + 2:] AS BIGINT)) m) z))"""
+
+
+_TURNS = "SELECT *, row_number() OVER (ORDER BY split, string_split(path, '/')) i, regexp_replace(left(regexp_extract(path, '([^/]*)/[^/]*$', 1) || '-' || want, 60), '-+$', '') w1, left(want, 56) base FROM ({})"
+
+
+@query(f"""WITH RECURSIVE {_SETTLED}, {_one_by_one(_TURNS.format("SELECT path, want, own_family split FROM settled"), "SELECT list(DISTINCT id) t FROM listed")}
+SELECT path, doc_id, CASE WHEN own_family THEN doc_id ELSE family END AS family, version, release_min FROM run JOIN settled USING (path) WHERE i > 0""")
+def manifest_scan(spark, d):
+    """What a scan drafts: copies get no row, families are settled, ids are given to those that keep their family first."""
+    rows, _ = manifest.scan(_files(spark, d).drop("doc_id"), _listed(spark, d))
+    return rows.select("path", "doc_id", "family", "version", "release_min")
+
+
+#: Wanted ids collide, in several folders, some with numbers of others; many numbers are taken, with gaps.
+_WANTS = "SELECT lang || '/' || source || '/' || doc_id || '.pdf' path, doc_id % 11 = 0 split, CASE WHEN doc_id % 17 = 0 THEN source || '-g-' || doc_id % 60 WHEN doc_id % 13 = 0 THEN 'g-' || doc_id % 60 || '-' || (2 + doc_id % 9) ELSE 'g-' || doc_id % 60 END want FROM documents"
+_TAKEN = "SELECT list(id) t FROM (SELECT DISTINCT unnest(['g-' || doc_id % 60 || '-' || (2 + (doc_id // 60) % 7 * 2), 'g-' || doc_id % 20]) id FROM documents WHERE doc_id % 3 = 0)"
 
 
-@query(IDS)
+@query(f"WITH RECURSIVE {_one_by_one(_TURNS.format(_WANTS), _TAKEN)} SELECT path, doc_id FROM run WHERE i > 0")
 def manifest_ids(spark, d):
     """The id of each draft, as one after the other would take them."""
     i, text = F.col("doc_id"), lambda c: c.cast("string")
