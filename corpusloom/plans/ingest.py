@@ -20,25 +20,40 @@ def values(spark: SparkSession, rows: str, columns: str) -> DataFrame:
     return spark.sql(f"SELECT * FROM VALUES {rows} t({columns})")
 
 
-_ROWS = """(2, 'guide-a', 'a.pdf', 'Guide A', '', '1.10', 'R2024x', '', 'all', 'true', 'installation', '2026-10-08', ''),
-(3, 'Guide B', 'b.txt', '', '', 'one', 'R2026x', 'R2021x', 'All;x', 'maybe', 'nothing', '13/13/2026', ''),
-(4, 'guide-c', '', 'Guide C', 'fam', '2.0', '', 'R20x', '', 'no', 'upgrade', '', 'check'),
-(5, 'guide-d', 'd.docx', 'Guide D', 'guide-a', '1.9', '', '', 'internal; partners', '1', 'performance', '10/8/2026', ''),
-(6, '', '', '', '', '', '', '', '', '', '', '', '')"""
-_COLUMNS = "line, doc_id, path, title, family, version, release_min, release_max, allowed_groups, external_ok, category, added, review"
+#: A manifest's row for each document, with one mistake or several in most of them.
+_BAD = """rows AS (SELECT doc_id AS line, CASE WHEN doc_id % 7 = 0 THEN 'Guide ' || doc_id ELSE 'g' || doc_id END id, CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN doc_id || '.txt' ELSE doc_id || '.pdf' END path, CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'Guide' END title,
+  CASE WHEN doc_id % 4 = 0 THEN 'one' ELSE '1.' || doc_id % 13 END AS version, CASE doc_id % 6 WHEN 0 THEN 'R2026x' WHEN 1 THEN 'R20x' ELSE '' END release_min, CASE doc_id % 6 WHEN 0 THEN 'R2021x' ELSE '' END release_max,
+  CASE doc_id % 8 WHEN 0 THEN '' WHEN 1 THEN 'All;x' ELSE 'all' END groups, CASE WHEN doc_id % 9 = 0 THEN 'maybe' ELSE 'yes' END external_ok, CASE WHEN doc_id % 10 = 0 THEN 'nothing' ELSE 'upgrade' END category, CASE WHEN doc_id % 11 = 0 THEN '13/13/2026' ELSE '10/8/2026' END added FROM documents)"""
 
 
-@query("SELECT * FROM (VALUES (2, 0, ''), (3, 9, 'doc_id ''Guide B'' must be a lowercase slug'), (4, 3, 'path is empty'), (5, 0, '')) t(line, n_errors, first_error)")
+def _bad(spark, d):
+    i = F.col("doc_id")
+    text = lambda *x: F.concat(*(F.lit(y) if isinstance(y, str) else y.cast("string") for y in x))
+    pick = lambda n, otherwise, **cases: F.coalesce(*(F.when(i % n == int(k[1:]), v) for k, v in cases.items()), F.lit(otherwise) if isinstance(otherwise, str) else otherwise)
+    return table(spark, d, "documents").select(
+        i.alias("line"), pick(7, text("g", i), _0=text("Guide ", i)).alias("doc_id"), pick(5, text(i, ".pdf"), _0=F.lit(""), _1=text(i, ".txt")).alias("path"), pick(3, "Guide", _0=F.lit("")).alias("title"), pick(4, text("1.", i % 13), _0=F.lit("one")).alias("version"),
+        pick(6, "", _0=F.lit("R2026x"), _1=F.lit("R20x")).alias("release_min"), pick(6, "", _0=F.lit("R2021x")).alias("release_max"), pick(8, "all", _0=F.lit(""), _1=F.lit("All;x")).alias("allowed_groups"), pick(9, "yes", _0=F.lit("maybe")).alias("external_ok"),
+        pick(10, "upgrade", _0=F.lit("nothing")).alias("category"), pick(11, "10/8/2026", _0=F.lit("13/13/2026")).alias("added"),
+    )
+
+
+@query(f"""WITH {_BAD} SELECT line, list_filter([CASE WHEN id LIKE 'Guide%' THEN 'doc_id ''' || id || ''' must be a lowercase slug' END,
+  CASE WHEN path = '' THEN 'path is empty' WHEN path LIKE '%.txt' THEN 'unsupported file type ''txt''' END, CASE WHEN title = '' THEN 'title is empty' END, CASE WHEN version = 'one' THEN 'version ''one'' must look like 1.0 or 3.2' END,
+  CASE WHEN release_min = 'R20x' THEN 'invalid release ''R20x''' END, CASE WHEN release_max <> '' THEN 'release_min R2026x is after release_max R2021x' END, CASE WHEN groups = '' THEN 'allowed_groups is empty' END,
+  CASE WHEN external_ok = 'maybe' THEN 'external_ok ''maybe'' must be true or false' END, CASE WHEN category = 'nothing' THEN 'category ''nothing'' is not known' END, CASE WHEN added LIKE '13%' THEN 'added ''13/13/2026'' must be a date' END,
+  CASE WHEN groups LIKE 'All%' THEN 'group ''All'' must be lowercase' END], lambda e: e IS NOT NULL) AS errors FROM rows""")
 def manifest_validate(spark, d):
-    rows = manifest.validate(values(spark, _ROWS, _COLUMNS))
-    return rows.select("line", F.size("errors").alias("n_errors"), F.coalesce(F.get("errors", F.lit(0)), F.lit("")).alias("first_error"))
+    return manifest.validate(_bad(spark, d)).select("line", "errors")
 
 
-@query("SELECT line, doc_id, is_latest, release_min FROM (VALUES (2, 'guide-a', true, 2024), (5, 'guide-d', false, 0)) t(line, doc_id, is_latest, release_min)")
+@query("""WITH r AS (SELECT doc_id AS line, 'g' || doc_id % 150 id, doc_id % 170 || '.pdf' path, 'f' || doc_id % 12 family, [1 + doc_id % 5, doc_id % 3] v FROM documents),
+i AS (SELECT * FROM r WHERE line = (SELECT min(line) FROM r x WHERE x.id = r.id)), p AS (SELECT * FROM i WHERE line = (SELECT min(line) FROM i x WHERE x.path = i.path)), t AS (SELECT family, max(v) AS top FROM p GROUP BY family)
+SELECT line, id AS doc_id, v = top AS is_latest FROM p JOIN t USING (family)""")
 def manifest_listing(spark, d):
-    valid = manifest.validate(values(spark, _ROWS, _COLUMNS)).where("size(errors) = 0")
-    listed, _ = manifest.listing(valid)
-    return manifest.with_latest(listed).select("line", "doc_id", "is_latest", "release_min")
+    """Of rows that repeat ids and paths, those that are listed, and which are their family's latest."""
+    i, text = F.col("doc_id"), lambda c: c.cast("string")
+    rows = table(spark, d, "documents").select(i.alias("line"), F.concat(F.lit("g"), text(i % 150)).alias("doc_id"), F.concat(text(i % 170), F.lit(".pdf")).alias("path"), F.concat(F.lit("f"), text(i % 12)).alias("family"), F.concat_ws(".", text(1 + i % 5), text(i % 3)).alias("version"))
+    return manifest.with_latest(manifest.listing(rows)[0]).select("line", "doc_id", "is_latest")
 
 
 @query(f"WITH {D.MANIFEST}, h AS (SELECT doc_id, md5(text) h FROM manifest), f AS (SELECT h, min(doc_id) first_line FROM h GROUP BY h) SELECT doc_id AS line, first_line FROM h JOIN f USING (h) WHERE doc_id > first_line")
@@ -191,9 +206,17 @@ def manifest_ids(spark, d):
     return manifest.unique_ids(drafts, taken)
 
 
-@query("SELECT * FROM (VALUES ('a', '2026-01-02', 'R2021x', ['added = 2026-01-02', 'release R2021x+ (from the name)']), ('b', '2025-05-05', 'R2022x', []::VARCHAR[]), ('c', '2025-05-05', 'R2023x', ['release R2023x+ (from the first pages)'])) t(doc_id, added, release_min, changes)")
+@query("""WITH r AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '' ELSE '2025-05-05' END added, CASE WHEN doc_id % 5 = 0 THEN '' ELSE '2026-01-02' END d, CASE WHEN doc_id % 7 = 0 THEN 'R2022x' ELSE '' END low FROM documents),
+c AS (SELECT *, added = '' AND d <> '' AS dated, CASE WHEN low <> '' THEN '' WHEN doc_id % 3 = 0 THEN 'name' WHEN doc_id % 4 = 0 THEN 'first pages' ELSE '' END AS origin FROM r)
+SELECT doc_id, CASE WHEN dated THEN d ELSE added END AS added, CASE origin WHEN '' THEN low WHEN 'name' THEN 'R2021x' ELSE 'R2023x' END AS release_min,
+  list_filter([CASE WHEN dated THEN 'added = ' || d END, CASE WHEN origin = 'name' THEN 'release R2021x+ (from the name)' END, CASE WHEN origin = 'first pages' THEN 'release R2023x+ (from the first pages)' END], lambda x: x IS NOT NULL) AS changes FROM c""")
 def manifest_backfill(spark, d):
-    rows = values(spark, "('a', 'g/Tool R2021x.pdf', '', '', '', '2026-01-02', ''), ('b', 'Tool.pdf', '2025-05-05', 'R2022x', '', '', ''), ('c', 'Other.pdf', '2025-05-05', '', '', '2026-01-01', 'for R2023x')", "doc_id, path, added, release_min, release_max, file_date, cover")
+    i = F.col("doc_id")
+    path = F.concat(F.lit("g/Tool "), i.cast("string"), F.when(i % 3 == 0, " R2021x").otherwise(""), F.lit(".pdf"))
+    rows = table(spark, d, "documents").select(
+        "doc_id", path.alias("path"), F.when(i % 2 == 0, "").otherwise("2025-05-05").alias("added"), F.when(i % 7 == 0, "R2022x").otherwise("").alias("release_min"), F.lit("").alias("release_max"), F.lit("").alias("review"),
+        F.when(i % 5 == 0, "").otherwise("2026-01-02").alias("file_date"), F.when(i % 4 == 0, "for R2023x").when(i % 4 == 1, "R2020x or R2021x").otherwise("").alias("cover"),
+    )
     return manifest.backfill(rows)
 
 

@@ -312,11 +312,17 @@ def inferred_sources(spark, d):
     return answers.infer_sources(units.select("qid").distinct().select("qid", _quoting(F.col("qid")).alias("text")), units)
 
 
-@query("SELECT * FROM (VALUES ('q', 0, true, false), ('q', 1, true, true), ('q', 2, false, false)) t(qid, pos, supported, by_values)")
+@query("""WITH w AS (SELECT doc_id qid FROM documents WHERE len(list_filter(string_split_regex(text, '\\s+'), lambda w: regexp_full_match(w, '[A-Za-z]{4,}'))) >= 2)
+SELECT qid, pos, supported, by_values FROM w, (VALUES (0, true, false), (1, false, false), (2, true, true)) t(pos, supported, by_values)""")
 def judged_claims(spark, d):
-    reply = '```json\n{"claims": [{"claim": "The port is 8080.", "supported": false, "evidence": "port ... 8080"}, {"claim": "Use `httpd.conf` now", "supported": true, "evidence": "none"}, {"claim": "It is HTTP-Redirect", "supported": true, "evidence": "HTTP-Redirect"}, {"claim": "Do this:", "supported": true, "evidence": ""}]}\n```'
-    rows = spark.createDataFrame([("q", reply, "The port, by default, is 8080. Edit HTTPD.conf; HTTP-POST only.")], "qid string, reply string, sources string")
-    return answers.verdicts(rows).select("qid", "pos", "supported", "by_values")
+    """Claims on each document: one quoted from it, one with neither quote nor value in it, one that names a word of it, and a lead-in."""
+    words = F.filter(F.split("text", r"\s+"), lambda w: w.rlike("^[A-Za-z]{4,}$"))
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("qid"), F.col("text").alias("sources"), words.alias("w")).where("size(w) >= 2")
+    claim = lambda text, evidence: F.struct(text.alias("claim"), F.lit(False).alias("supported"), evidence.alias("evidence"))
+    first, last = F.get("w", F.lit(0)), F.element_at("w", -1)
+    claims = F.array(claim(F.lit("It says so."), F.concat_ws(" ... ", last, first)), claim(F.lit("Use `zq9x.conf` now"), F.lit("zq9x none")), claim(F.concat(F.lit("It is `"), first, F.lit("`")), F.lit("zq9x")), claim(F.lit("Do this:"), first))
+    reply = F.concat(F.lit("```json\n"), F.to_json(F.struct(claims.alias("claims"))), F.lit("\n```"))
+    return answers.verdicts(rows.select("qid", reply.alias("reply"), "sources")).select("qid", "pos", "supported", "by_values")
 
 
 @query(f"WITH {_CAND}, f AS (SELECT qid, rank, '[' || rank || '] ' || 'Doc ' || doc_id || ' (applies to all releases) | Section ' || (doc_id % 4) || ' | ' || CASE WHEN doc_id % 3 = 0 THEN 'p. 1' ELSE 'pp. 1-' || (1 + doc_id % 3) END || chr(10) || doc_id AS t FROM cand) SELECT qid, string_agg(t, chr(10) || chr(10) ORDER BY rank) AS context FROM f GROUP BY qid")
