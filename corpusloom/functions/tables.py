@@ -42,8 +42,8 @@ def shared_folder(spark: SparkSession, label: str) -> str:
     return root
 
 
-def ranked(df: DataFrame, by: list[str], order: list[Column], name: str = "place") -> DataFrame:
-    """df with each row's place, from 1, in the order of its group; a group may hold any share of the rows.
+def ranked(df: DataFrame, by: list[str], order: list[Column], name: str = "place", weight: Column | None = None) -> DataFrame:
+    """df with each row's place, from 1, in the order of its group; with weight, the sum of the weights up to it. A group may hold any share of the rows.
 
     Rows are dealt by ranges of group and order, so a large group lies in many parts. What a group has
     in the parts before is a sum of counts, a row a group and part. Equal rows get different places.
@@ -52,8 +52,30 @@ def ranked(df: DataFrame, by: list[str], order: list[Column], name: str = "place
     at = [f"_o{i}" for i in range(len(order))]
     keyed = df.select(*names, *(o.alias(a) for o, a in zip(order, at)))
     dealt = cut(keyed.repartitionByRange(*by, *at).withColumn("_part", F.spark_partition_id()))
-    own = F.row_number().over(Window.partitionBy("_part", *by).orderBy(*at))
-    counts = dealt.groupBy("_part", *by).agg(F.count("*").alias("_n"))
+    one = F.lit(1) if weight is None else weight
+    own = F.sum(one).over(Window.partitionBy("_part", *by).orderBy(*at).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    counts = dealt.groupBy("_part", *by).agg(F.sum(one).alias("_n"))
     before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     sums = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     return dealt.withColumn("_own", own).join(sums, ["_part", *by]).select(*names, (F.col("_own") + F.col("_before")).alias(name))
+
+
+class Log:
+    """The finished writes of a table that is kept as files under one folder: a row a write, added when all of it is there.
+
+    A reader sees what the last row says, so a write that fails before its row changes nothing that can be
+    seen. There is one writer at a time.
+    """
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.at = spark, f"{root}/log"
+
+    def version(self) -> int:
+        """The last finished write; 0 where there is none."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.at)
+        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+            return 0
+        return self.spark.read.schema("version long").parquet(self.at).agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]
+
+    def add(self, version: int) -> None:
+        self.spark.range(1).select(F.lit(version).cast("long").alias("version")).coalesce(1).write.mode("append").parquet(self.at)

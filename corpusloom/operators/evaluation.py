@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corpusloom.functions import tables
 from corpusloom.functions import text as X
 from corpusloom.operators.answers import META_TALK
+from corpusloom.functions.joins import salted_join
 
 # Fixed values.
 THRESHOLDS = (0.0, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)
@@ -27,13 +29,12 @@ def nearest_rank(values: Column, percent: float) -> Column:
 
 
 def nearest_rank_by(rows: DataFrame, by: list[str], value: str, percents: dict[str, float]) -> DataFrame:
-    """nearest_rank over large groups: equal values are counted first, and ranks are sums over different values."""
+    """nearest_rank over groups of any size: equal values are counted first, and ranks are running sums of counts by parts of the order."""
     counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
-    upto = F.sum("_c").over(Window.partitionBy(*by).orderBy(value))
-    total = F.sum("_c").over(Window.partitionBy(*by))
-    ranked = counts.withColumn("_to", upto).withColumn("_n", total)
+    upto = tables.ranked(counts, by, [F.col(value)], "_to", F.col("_c"))
+    total = upto.groupBy(*by).agg(F.sum("_c").alias("_n"))
     want = {name: F.least(F.col("_n") - 1, F.bround((F.col("_n") - 1) * F.lit(p / 100), 0).cast("long")) for name, p in percents.items()}
-    return ranked.groupBy(*by).agg(*(F.min(F.when(F.col("_to") > w, F.col(value))).alias(name) for name, w in want.items()))
+    return salted_join(upto, total, by).groupBy(*by).agg(*(F.min(F.when(F.col("_to") > w, F.col(value))).alias(name) for name, w in want.items()))
 
 
 def first_hits(candidates: DataFrame, sources: DataFrame, questions: DataFrame) -> DataFrame:

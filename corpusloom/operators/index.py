@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from corpusloom import plugins
 from corpusloom.functions import text as X
+from corpusloom.functions.tables import Log
 from corpusloom.operators import oplog
 
 DOCUMENTS = "doc_id {id}, part long, n_points long, index_version string, metadata_hash string, metadata {meta}"
@@ -31,16 +32,10 @@ class Index:
 
     def __init__(self, spark: SparkSession, root: str, embed: Callable[[], plugins.Embedder], namespace: str):
         self.spark, self.root, self.embed, self.namespace = spark, root.rstrip("/"), embed, namespace
+        self.log = Log(spark, self.root)
 
     def version(self) -> int:
-        """The last finished write; 0 where there is none."""
-        if not self._there("log"):
-            return 0
-        return self.spark.read.schema("version long").parquet(f"{self.root}/log").agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]
-
-    def _there(self, name: str) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+        return self.log.version()
 
     def documents(self, version: int | None = None) -> DataFrame | None:
         n = self.version() if version is None else version
@@ -98,7 +93,7 @@ class Index:
         # what is listed and no longer chunked keeps the points that it has
         stays = old.join(planned.where("action = 'not_chunked'").select("doc_id"), "doc_id", "left_semi")
         kept.unionByName(stays).write.mode("overwrite").parquet(f"{self.root}/documents/{n}")
-        self.spark.range(1).select(F.lit(n).cast("long").alias("version")).coalesce(1).write.mode("append").parquet(f"{self.root}/log")
+        self.log.add(n)
         gone = old.join(asked.select("doc_id"), "doc_id", "left_anti").select("doc_id", F.lit("removed").alias("action"))
         after = self.documents(n).select("doc_id", "n_points")
         return actions.unionByName(gone).join(after, "doc_id", "left").select("doc_id", "action", F.coalesce("n_points", F.lit(0)).alias("n_points"))
@@ -114,4 +109,4 @@ class Index:
             return
         points.drop("metadata").write.mode("overwrite").parquet(f"{self.root}/parts/part={now + 1}")
         docs.withColumn("part", F.lit(now + 1).cast("long")).write.mode("overwrite").parquet(f"{self.root}/documents/{now + 1}")
-        self.spark.range(1).select(F.lit(now + 1).cast("long").alias("version")).coalesce(1).write.mode("append").parquet(f"{self.root}/log")
+        self.log.add(now + 1)

@@ -11,9 +11,9 @@ from pyspark.sql.window import Window
 from corpusloom import plugins
 from corpusloom.functions import tables
 from corpusloom.functions import text as X
-from corpusloom.operators import answers, dialog, index, structure
+from corpusloom.operators import answers, dialog, index, parsing, structure
 from corpusloom.plans import derived as D
-from corpusloom.plans.ingest import NAMESPACE
+from corpusloom.plans.ingest import BOILERPLATE, NAMESPACE
 from corpusloom.registry import query, table
 
 #: Items of a page as a parser gives them: headings hold paragraphs, these what is marked up in them, in a mixed order.
@@ -119,3 +119,51 @@ def judged_in_parts(spark, d):
     """Each document as an answer, line by line, judged in parts against itself; parts of some lengths fail."""
     rows = table(spark, d, "documents").where("text not like '%`%'").select(F.col("doc_id").alias("qid"), F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("answer"), F.col("text").alias("sources"))
     return answers.judge(rows, _PartJudge)
+
+
+_SLIDES = """heads AS (SELECT doc_id, page, min(ordinal) FILTER (WHERE kind = 'heading') head, arg_min(text, ordinal) FILTER (WHERE kind = 'heading') h FROM elements GROUP BY ALL),
+titled AS (SELECT *, regexp_replace(coalesce(h, 'Slide ' || page), '\\s*\\(\\d+\\s*/\\s*\\d+\\)$', '') title FROM heads),
+slides AS (SELECT *, head IS NOT NULL AND lag(title) OVER w = title AND lag(page) OVER w = page - 1 AS goes_on FROM titled WINDOW w AS (PARTITION BY doc_id ORDER BY page)),
+named AS (SELECT doc_id, page, head, last_value(CASE WHEN NOT coalesce(goes_on, false) THEN page END IGNORE NULLS) OVER w number, last_value(CASE WHEN NOT coalesce(goes_on, false) THEN title END IGNORE NULLS) OVER w title FROM slides
+  WINDOW w AS (PARTITION BY doc_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+placed AS (SELECT e.*, n.number, n.title, sum((kind <> 'list')::INT) OVER (PARTITION BY e.doc_id, n.number ORDER BY e.page, ordinal) r FROM elements e JOIN named n ON n.doc_id = e.doc_id AND n.page = e.page AND (head IS NULL OR head <> ordinal)),
+blocks AS (SELECT doc_id, number, title, CASE WHEN kind = 'list' THEN 'list' ELSE 'text' END AS k, r, min(page) page_start, max(page) page_end, min(ordinal) o, bool_or(kind = 'heading') demoted,
+  CASE WHEN bool_or(kind = 'list') THEN string_agg('- ' || text, chr(10) ORDER BY page, ordinal) ELSE min(text) END AS text FROM placed GROUP BY ALL)"""
+
+
+@query(f"WITH {D.ELEMENTS}, {_SLIDES} SELECT doc_id, number::VARCHAR AS number, title, row_number() OVER (PARTITION BY doc_id, number ORDER BY page_start, o) AS n, k AS kind, text, page_start, page_end, demoted FROM blocks")
+def slide_blocks(spark, d):
+    return structure.slide_blocks(D.elements(spark, d))
+
+
+class _TagCounter:
+    """Stand-in: a page's parse is the number of its tags; pages of some lengths can't be parsed."""
+
+    def parse(self, content: str) -> str:
+        if len(content) % 13 == 0:
+            raise ValueError("broken")
+        return str(content.count("<"))
+
+
+@query("""WITH p AS (SELECT page_id, CASE WHEN page_id % 4 = 0 THEN html || ' ' ELSE html END html, page_id % 3 <> 0 AND page_id % 4 <> 0 AND length(html) % 13 <> 0 AS kept FROM pages)
+SELECT page_id AS doc_id, CASE WHEN kept THEN 'cached' WHEN length(html) % 13 = 0 THEN 'failed' ELSE 'parsed' END AS action, CASE WHEN length(html) % 13 <> 0 THEN (length(html) - length(replace(html, '<', '')))::VARCHAR END AS parsed FROM p""")
+def parses_kept(spark, d):
+    """A second run over the pages: some are new to it, some have changed, the rest is taken from the first."""
+    kept = parsing.ParseCache(spark, tables.shared_folder(spark, "parses"))
+    pages = table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), F.md5("html").alias("content_hash"), F.col("html").alias("content"))
+    kept.parse(pages.where("doc_id % 3 <> 0"), _TagCounter, version=2)
+    changed = F.col("doc_id") % 4 == 0
+    now = pages.withColumns({"content_hash": F.when(changed, F.reverse("content_hash")).otherwise(F.col("content_hash")), "content": F.when(changed, F.concat("content", F.lit(" "))).otherwise(F.col("content"))})
+    done = kept.parse(now, _TagCounter, version=2)
+    return done.join(kept.parses().select("doc_id", "parsed"), "doc_id", "left").select("doc_id", "action", "parsed")
+
+
+@query(f"""WITH {D.LINES}, keyed AS (SELECT doc_id, page, line, lower(regexp_replace(regexp_replace(trim(line), '\\d+', '#', 'g'), '\\s+', ' ', 'g')) k FROM lines),
+n AS (SELECT doc_id, max(page) pages FROM lines GROUP BY doc_id), r AS (SELECT doc_id, k FROM keyed JOIN n USING (doc_id) WHERE length(line) <= 200 GROUP BY doc_id, k, pages HAVING count(DISTINCT page) >= greatest(3.0, 0.3 * pages)),
+layer AS (SELECT DISTINCT doc_id, k FROM keyed WHERE page = 1 AND doc_id % 2 = 0 AND length(line) < 60)
+SELECT doc_id, left(trim(line), 80) AS line, count(*) AS n FROM keyed e WHERE (regexp_matches(trim(line), '(?i)^(Released under|Licensed under) the ') OR (doc_id, k) IN (SELECT doc_id, k FROM r) OR ((doc_id, k) IN (SELECT doc_id, k FROM layer) AND length(line) <= 200)) GROUP BY ALL""")
+def furniture_counts(spark, d):
+    """Lines that are removed from each document, and how often: repeated ones, boilerplate, and the furniture layer of every second one."""
+    lines = D.lines(spark, d).select("doc_id", F.col("pos").alias("ordinal"), F.lit("text").alias("kind"), "page", F.col("line").alias("text"))
+    layer = lines.where("page = 1 and doc_id % 2 = 0 and length(text) < 60").select("doc_id", X.line_key(F.col("text")).alias("key"))
+    return structure.furniture_counts(lines, BOILERPLATE, layer=layer)

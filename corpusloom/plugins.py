@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -24,6 +25,30 @@ class Provider(Protocol):
     def generate(self, messages: list[dict]) -> str: ...
 
 
+class Parser(Protocol):
+    def parse(self, content: str) -> str: ...
+
+
+def parse(files: DataFrame, make: Callable[[], Parser], column: str = "content") -> DataFrame:
+    """files with parsed, seconds and error of each; a file that can't be parsed gives its error, and the others go on."""
+
+    @F.pandas_udf("parsed string, seconds double, error string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        parser = make()
+        for b in batches:
+            rows = []
+            for content in b.fillna(""):
+                began = time.perf_counter()
+                try:
+                    made, error = parser.parse(content), None
+                except Exception as e:
+                    made, error = None, f"{type(e).__name__}: {e}"
+                rows.append((made, time.perf_counter() - began, error))
+            yield pd.DataFrame(rows, columns=["parsed", "seconds", "error"])
+
+    return files.withColumn("_p", run(column)).select(*files.columns, "_p.*")
+
+
 def embed(texts: DataFrame, make: Callable[[], Embedder], column: str = "text") -> DataFrame:
     """texts with `vector`; the model is made once a task and gets Arrow batches."""
 
