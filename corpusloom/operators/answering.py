@@ -66,6 +66,7 @@ def generate(questions: DataFrame, units: DataFrame, chain: DataFrame, models: l
     chain count once; a model that is no longer in `models` is passed over.
     """
     compares = F.size("sides") > 0 if "sides" in questions.columns else F.lit(False)
+    units = units if "side" in units.columns else units.withColumn("side", F.lit(None).cast("string"))
     inner = [c for c in units.columns if c not in ("qid", "n")]
     whole = units.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("n", *inner))).alias("units"))
     names = chain.where(F.col("model").isin(*(m.name for m in models))).groupBy("qid", "model").agg(F.min("step").alias("step"))
