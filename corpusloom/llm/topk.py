@@ -7,7 +7,7 @@ from dataclasses import astuple, dataclass, fields
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -231,8 +231,9 @@ def topk(vectors: DataFrame, k: int = K, scale: int = SCALE, every: int = QUERY_
     whose box can reach that score. A task holds one shard's tree and a bounded number of queries, however many there are.
 
     Vectors that are null, empty, or hold null or non-finite components take no part, nor do rows
-    without an id. Equal rows count once. Different vectors of one id are candidates each, so an id
-    can be in a list several times; a query id has one list, the best of all its vectors. A shorter
+    without an id. Every row is a candidate: equal rows are searched once and come back as often as
+    they are there, and different vectors of one id are candidates each, so an id can be in a list
+    several times; a query id has one list, the best of all its different vectors. A shorter
     vector ends in zeros. Fewer candidates than k give fewer rows; an empty table gives none. Scores beyond a long are an error.
     """
     spark = vectors.sparkSession
@@ -272,10 +273,28 @@ def topk(vectors: DataFrame, k: int = K, scale: int = SCALE, every: int = QUERY_
     known = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score").cast("double")).otherwise(F.lit(float("-inf"))).alias("kth"))
     started = queries.join(known.withColumnRenamed("query_id", "vec_id"), "vec_id", "left").select("vec_id", "v", "part", F.coalesce("kth", F.lit(float("-inf"))).alias("kth"))
     hits = searched(started.mapInArrow(_route(shared, width, False), kinds), F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)))
+    hits = _repeated(hits, vectors, rows, whole)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _repeated(hits: DataFrame, vectors: DataFrame, rows: DataFrame, whole: Column) -> DataFrame:
+    """hits with those of repeated rows as often as these are there. Ids without repeats, in most tables all, are not touched."""
+    usable = vectors.where(F.col("vec_id").isNotNull() & finite(F.col("embedding"))).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
+    several = usable.groupBy("vec_id", F.xxhash64("v").alias("h")).agg(F.count("*").alias("n")).where("n > 1")
+    ids = Scratch(vectors.sparkSession, "repeats").keep(several.select("vec_id").distinct(), "ids")
+    if ids.isEmpty():
+        return hits
+    counted = usable.join(ids, "vec_id", "left_semi").groupBy("vec_id", "v").agg(F.count("*").alias("n")).select("vec_id", whole.alias("v"), "n")
+    asked = hits.join(ids, "vec_id", "left_semi").select("query_id", "vec_id").distinct()
+    queries = rows.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    both = asked.join(counted, "vec_id").join(queries, "query_id")
+    products = F.zip_with("q", "v", lambda a, b: F.coalesce(a, F.lit(0)) * F.coalesce(b, F.lit(0)))
+    again = both.select("query_id", "vec_id", F.aggregate(products, F.lit(0).cast("long"), lambda s, x: s + x).alias("score"), "n")
+    again = again.select("query_id", "vec_id", "score", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("_i")).drop("_i")
+    return hits.join(ids, "vec_id", "left_anti").select("query_id", "vec_id", "score").unionByName(again)
+
+
 #: The same rows by brute force.
 ORACLE_SQL = """
 WITH fine AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) v FROM embeddings

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import time
@@ -9,11 +10,12 @@ import zlib
 
 import numpy as np
 import pytest
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from corpusloom.llm import fim, pii, queries, spelling, tagger
+from corpusloom.llm import fim, labelled, pii, quality, queries, spelling, tagger, toxicity
 from tests import oracle
 
 ODD = ["", None, "a", "<P>", "x <S> y", "<M", "<<P>", "<P", ">", "a<P<P>b", "é" * 50, "日本語 text" * 300, "😀a😀" * 99, "ab" * 3_000, "\x00\x01" * 30, "same", "same", "a b", "<" * 9 + "S>"]
@@ -273,3 +275,68 @@ class TestPersonalData:
         for r in rows:
             assert [(s.kind, s.start, s.end) for s in r.spans if s.plain] == self.expected(given[r.doc_id])
         assert pii.pii_digests(df.limit(0)).collect() == []
+
+
+class TestClassifiersByHand:
+    """Scores of whole tables against plain loops with the fitted weights."""
+
+    def test_quality_scores_equal_a_loop_over_passages(self, spark, small):
+        docs_, labels = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
+        model = quality.fit(labelled.labelled_sample(docs_, labels, "quality", quality.SAMPLE))
+        w = model.weights
+        sig = lambda z: 1 / (1 + math.exp(-z))
+
+        def score(text):
+            raw = text.encode("utf-8", "surrogatepass")
+            bags = []
+            for a in range(0, max(1, len(raw)), quality.PASSAGE):
+                piece, grams, seen, kinds = raw[a : a + quality.PASSAGE], [0] * quality.TRIGRAMS, set(), [0] * 8
+                for i, b in enumerate(piece):
+                    nxt = raw[a + i + 1 : a + i + 3] + b"\0\0"
+                    mixed = (b * 961 + nxt[0] * 31 + nxt[1]) * 2654435761 & 0xFFFFFFFF
+                    grams[mixed >> 24] += 1
+                    seen.add((mixed >> 20) % quality.DISTINCT)
+                    kinds[quality._OF[b]] += 1
+                n = max(1, len(piece))
+                x = [math.sqrt(g / n) for g in grams] + [k / n for k in kinds] + [len(seen) / min(n, quality.DISTINCT), 1 / (kinds[4] / n + 0.02) / 10]
+                x += [len(zlib.compress(raw, 1)) / (len(raw) + 16), math.log1p(len(raw)) / 10, math.log(n) / 10]
+                x = [(v - m) / d for v, m, d in zip(x, model.mean, model.dev)]
+                h = [math.tanh(sum(v * w["encode"][i, j] for i, v in enumerate(x)) + w["encode0"][j]) for j in range(quality.HIDDEN)]
+                gate = [math.tanh(sum(h[i] * w["value"][i, j] for i in range(len(h)))) * sig(sum(h[i] * w["gate"][i, j] for i in range(len(h)))) for j in range(quality.ATTENTION)]
+                bags.append((sum(g * w["weigh"][j] for j, g in enumerate(gate)), h))
+            total = sum(math.exp(e) for e, _ in bags)
+            pooled = [sum(math.exp(e) / total * h[j] for e, h in bags) for j in range(quality.HIDDEN)]
+            return sig(sum(p * w["judge"][j] for j, p in enumerate(pooled)) + w["judge0"][0])
+
+        got = {r.doc_id: r for r in queries.op2_quality_classifier(spark, small).collect()}
+        rows = docs_.collect()
+        assert len(got) == len(rows)
+        for r in rows[:40]:
+            assert abs(got[r.doc_id].score - score(r.text or "")) < 1e-4
+            assert got[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+    def test_toxicity_scores_equal_fresh_compressors(self, spark, small):
+        docs_, labels = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
+        model = toxicity.fit(labelled.labelled_sample(docs_, labels, "toxic", toxicity.SAMPLE))
+
+        def length(content, window):
+            held = zstandard.ZstdCompressionDict(content + toxicity.CARRIER, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            how = zstandard.ZstdCompressionParameters.from_level(3, min_match=toxicity.MIN_MATCH, strategy=zstandard.STRATEGY_FAST, write_content_size=False, write_checksum=False, write_dict_id=False, source_size=64, dict_size=len(content) + len(toxicity.CARRIER))
+            return len(zstandard.ZstdCompressor(compression_params=how, dict_data=held).compress(toxicity.CARRIER + window))
+
+        def score(text):
+            windows, now = [], []
+            for word in (text or "").encode().lower().split():
+                for a in range(0, len(word), toxicity.LONGEST_WORD):
+                    now.append(word[a : a + toxicity.LONGEST_WORD])
+                    if sum(len(x) + 1 for x in now) >= toxicity.WINDOW:
+                        windows.append(b" " + b" ".join(now) + b" ")
+                        now = []
+            windows += [b" " + b" ".join(now) + b" "] if now else []
+            gains = np.array([length(model.ordinary, x) - length(model.toxic, x) for x in windows], float)
+            x = (np.array(toxicity.summary(gains)) - model.mean) / model.dev
+            return 1 / (1 + math.exp(-min(30, max(-30, float(np.r_[x, 1.0] @ model.weights)))))
+
+        got = {r.doc_id: r.score for r in queries.op3_toxicity(spark, small).collect()}
+        for r in docs_.where("length(text) < 1500").orderBy("doc_id").limit(25).collect():
+            assert abs(got[r.doc_id] - score(r.text)) < 1e-9

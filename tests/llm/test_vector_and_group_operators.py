@@ -231,6 +231,18 @@ class TestTopK:
         for shard in (60, 8_192):
             oracle.same(topk.topk(rows, shard=shard), con, topk.ORACLE_SQL)
 
+    def test_repeated_rows_equal_the_sql(self, spark):
+        import duckdb
+
+        x = np.random.default_rng(9).integers(-3, 4, (260, 4)) / 1024
+        given = [(i, v.tolist(), 0) for i, v in enumerate(x)]
+        given += [(i, v, 0) for i, v, _ in given if i % 100 and i % 3 == 0] * 2 + [(7, [0.1, 0.2, 0.3, 0.4], 1), (5, None, 0), (5, None, 0)]
+        rows = spark.createDataFrame(given, VEC)
+        con = duckdb.connect()
+        con.register("embeddings", rows.toArrow())
+        for shard in (40, 8_192):
+            oracle.same(topk.topk(rows, shard=shard), con, topk.ORACLE_SQL)
+
     def test_boxes_are_tight_and_leaves_small(self):
         x = np.random.default_rng(6).integers(-99, 99, (1_000, 4))
         t = topk.build(np.arange(1_000), x, 64)
