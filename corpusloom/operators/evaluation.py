@@ -8,8 +8,8 @@ from pyspark.sql.window import Window
 
 from corpusloom.functions import tables
 from corpusloom.functions import text as X
-from corpusloom.operators.answers import META_TALK
 from corpusloom.functions.joins import salted_join
+from corpusloom.operators.answers import META_TALK, commands, unverified
 
 # Fixed values.
 THRESHOLDS = (0.0, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)
@@ -94,6 +94,90 @@ def answer_summary(scored: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
+#: Fixed value: a web address in an expected answer.
+URL = r"https?://[^\s)\]>,;'\"]+"
+#: A source and where it stands: struct<doc_id, page_start, page_end, copies array<struct<doc_id, page_start, page_end>>>.
+
+
+def locations(source: Column) -> Column:
+    """A source's own place and those of its copies."""
+    own = F.struct(source["doc_id"].alias("doc_id"), source["page_start"].alias("page_start"), source["page_end"].alias("page_end"))
+    return F.concat(F.array(own), F.coalesce(source["copies"], F.array().cast("array<struct<doc_id:bigint,page_start:int,page_end:int>>")))
+
+
+def on_golden(source: Column, golden: Column) -> Column:
+    """Whether a source or one of its copies is on a golden document's pages."""
+    meets = lambda p, g: (p["doc_id"] == g["doc_id"]) & on_pages(p["page_start"], p["page_end"], g["first"], g["last"])
+    return F.exists(locations(source), lambda p: F.exists(golden, lambda g: meets(p, g)))
+
+
+def score_in_full(questions: DataFrame, given: DataFrame, article: str) -> DataFrame:
+    """A row of measures for each answer; by expressions over the row alone, so texts do not move but for the join by qid.
+
+    questions(qid, qtype, must, expected, golden array<struct<doc_id, first, last>>), none of which may
+    be answerable without a golden source; given(qid, answered, refused_by, text, sources, context (as
+    locations() takes them, context with text too), n_invalid, dropped, retried, route, top_score,
+    claims array<struct<supported, by_values>>, judge_error, retrieval_ms, generation_ms, judge_ms,
+    total_ms). article: the pattern of article numbers. An answer that is a refusal has no text to
+    score; null arrays count as empty; a question without an answer has no row.
+    """
+    none = lambda c, kind="array<string>": F.coalesce(F.col(c), F.array().cast(kind))
+    j = questions.join(given, "qid").withColumn("golden", none("golden", questions.schema["golden"].dataType.simpleString()))
+    answerable, text = F.size("golden") > 0, F.when(F.col("answered"), F.coalesce("text", F.lit(""))).otherwise("")
+    j = j.withColumns({"answerable": answerable, "said": text, "sources": none("sources", given.schema["sources"].dataType.simpleString()), "context": none("context", given.schema["context"].dataType.simpleString())})
+    only = lambda found: F.when(F.col("answerable"), found).otherwise(F.array().cast("array<string>"))
+    expected = F.coalesce("expected", F.lit(""))
+    refs = only(F.array_distinct(F.regexp_extract_all(expected, F.lit(article), 0)))
+    urls = only(F.array_distinct(F.transform(F.regexp_extract_all(expected, F.lit(URL), 0), lambda u: F.regexp_replace(u, r"\.+$", ""))))
+    must = only(none("must"))
+    inside = lambda all_: F.size(F.filter(all_, lambda x: F.contains(F.col("said"), x)))
+    golden_docs = F.array_distinct(F.transform("golden", lambda g: g["doc_id"]))
+    cited_docs = F.array_distinct(F.transform(F.flatten(F.transform("sources", locations)), lambda p: p["doc_id"]))
+    seen = F.array_join(F.transform("context", lambda u: u["text"]), "\n")
+    claims = none("claims", given.schema["claims"].dataType.simpleString())
+    good = F.size(F.filter(claims, lambda c: c["supported"]))
+    return j.select(
+        "qid", "qtype", "answerable", "answered", "refused_by", (F.col("answered") == F.col("answerable")).alias("status_ok"), F.size(F.filter(must, lambda m: X.holds(F.col("said"), m))).alias("must_found"), F.size(must).alias("must_total"),
+        F.filter(must, lambda m: ~X.holds(F.col("said"), m)).alias("missing"), inside(refs).alias("ref_found"), F.size(refs).alias("ref_total"), inside(urls).alias("urls_found"), F.size(urls).alias("urls_total"), F.size("sources").alias("cited"),
+        F.size(F.filter("sources", lambda s: on_golden(s, F.col("golden")))).alias("cited_correct"), F.size(golden_docs).alias("golden_docs"), F.size(F.array_intersect(golden_docs, cited_docs)).alias("golden_docs_cited"),
+        F.exists("context", lambda u: on_golden(u, F.col("golden"))).alias("context_hit"), (F.col("answered") & ~F.col("said").rlike(r"\[\d+\]")).alias("no_markers"), "dropped", F.col("said").rlike(META_TALK).alias("meta_talk"),
+        F.col("n_invalid").alias("invalid_citations"), "top_score", "retried", "route", F.size(commands(F.col("said"))).alias("commands_total"), F.size(unverified(F.col("said"), seen)).alias("commands_unverified"),
+        F.when(F.size(claims) > 0, good / F.size(claims)).alias("faithfulness"), F.size(F.filter(claims, lambda c: c["by_values"])).alias("claims_by_values"), "judge_error", "retrieval_ms", "generation_ms", "judge_ms", "total_ms",
+    )
+
+
+def summary_in_full(scored: DataFrame, by: list[str]) -> DataFrame:
+    """All measures over the rows of score_in_full, one row a group: quality of what is answerable, style, refusals, latency.
+
+    Shares are null where there is nothing to share; percentiles are by nearest rank, of generation
+    and judging over those that took time. Which questions are exceptions is exceptions()'s to say.
+    """
+    ok, said = F.col("answerable"), F.col("answerable") & F.col("answered")
+    share = lambda of, what: F.avg(F.when(of, what.cast("double")))
+    ratio = lambda a, b: F.try_divide(F.sum(F.when(said, F.col(a))), F.sum(F.when(said, F.col(b))))
+    total = lambda c: F.coalesce(F.sum(F.when(said, F.col(c).cast("long"))), F.lit(0))
+    judged = said & F.col("faithfulness").isNotNull()
+    sums = scored.withColumn("_verified", F.col("commands_total") - F.col("commands_unverified")).groupBy(*by).agg(
+        F.count("*").alias("n"), F.count_if(ok).alias("answerable"), F.count_if(~ok).alias("unanswerable"), share(ok, F.col("answered")).alias("answered"), F.avg(F.when(said, F.try_divide("must_found", "must_total"))).alias("must_include"),
+        share(said, F.col("must_found") == F.col("must_total")).alias("must_include_all"), ratio("ref_found", "ref_total").alias("article_numbers"), ratio("urls_found", "urls_total").alias("urls"), ratio("cited_correct", "cited").alias("citation_precision"),
+        ratio("golden_docs_cited", "golden_docs").alias("citation_doc_recall"), share(ok, F.col("context_hit")).alias("context_hit"), F.avg(F.when(said, F.col("faithfulness"))).alias("faithfulness"), share(judged, F.col("faithfulness") == 1).alias("fully_faithful"),
+        F.count_if(said & F.col("judge_error").isNotNull()).alias("judge_errors"), share(said, F.col("no_markers")).alias("no_markers"), share(said, F.col("dropped")).alias("dropped_not_found"), share(said, F.col("meta_talk")).alias("meta_talk"),
+        total("invalid_citations").alias("invalid_citations"), ratio("_verified", "commands_total").alias("commands_verified"), total("commands_unverified").alias("commands_unverified"), total("claims_by_values").alias("claims_by_values"),
+        share(~ok, ~F.col("answered")).alias("refused"), F.count_if(~ok & (F.col("refused_by") == "gate")).alias("refused_by_gate"), F.count_if(~ok & (F.col("refused_by") == "llm")).alias("refused_by_llm"),
+    )
+    ranks = (("total_ms", {"total_ms_p50": 50, "total_ms_p95": 95}, "true"), ("retrieval_ms", {"retrieval_ms_p50": 50}, "true"), ("generation_ms", {"generation_ms_p50": 50}, "generation_ms > 0"), ("judge_ms", {"judge_ms_p50": 50}, "judge_ms > 0"))
+    for column, percents, where in ranks:
+        sums = sums.join(nearest_rank_by(scored.where(where), by, column, percents), by, "left").na.fill(0.0, list(percents))
+    return sums
+
+
+def exceptions(scored: DataFrame) -> DataFrame:
+    """qid, what: wrong_refusal, wrong_answer, retried; a question may be several."""
+    ok, said = F.col("answerable"), F.col("answered")
+    what = F.array_compact(F.array(F.when(ok & ~said, "wrong_refusal"), F.when(~ok & said, "wrong_answer"), F.when(F.col("retried"), "retried")))
+    return scored.select("qid", F.explode(what).alias("what"))
+
+
 def gate(n_units: Column, top: Column, threshold: Column | float) -> Column:
     """no_context, low_score or pass; a missing score passes."""
     t = threshold if isinstance(threshold, Column) else F.lit(threshold)

@@ -82,6 +82,31 @@ def cache_key(question: Column, groups: Column, release: Column, corpus: Column,
     return F.sha2(told_apart(X.question_key(question), who, release, corpus, model, F.lit(None).cast("string") if settings is None else settings), 256)
 
 
+def cache_put(stored: DataFrame, answered: DataFrame, corpus: Column | str) -> DataFrame:
+    """stored(key, question, corpus, trace_id, answer, hits, created_at, last_hit_at) with new answers (the same but hits and last_hit_at).
+
+    An answer replaces an older one of its key and begins without hits; of several new ones the latest
+    counts. Entries of another corpus than `corpus` go, new ones too.
+    """
+    now = F.lit(corpus) if isinstance(corpus, str) else corpus
+    names = [c for c in stored.columns if c != "key"]
+    fresh = answered.withColumns({"hits": F.lit(0).cast("long"), "last_hit_at": F.lit(None).cast(stored.schema["last_hit_at"].dataType)})
+    both = stored.withColumn("_new", F.lit(0)).unionByName(fresh.withColumn("_new", F.lit(1))).where(F.col("corpus") == now)
+    return both.groupBy("key").agg(F.max_by(F.struct(*names), F.struct("_new", "created_at", "trace_id")).alias("_r")).select("key", "_r.*").select(*stored.columns)
+
+
+def cache_hits(stored: DataFrame, asked: DataFrame) -> DataFrame:
+    """stored with the hits of asked(key, at) counted and the last one's time; keys without an entry are no hits."""
+    counted = asked.groupBy("key").agg(F.count("*").alias("_n"), F.max("at").alias("_at"))
+    both = stored.join(counted, "key", "left")
+    return both.withColumns({"hits": F.col("hits") + F.coalesce("_n", F.lit(0)), "last_hit_at": F.greatest("last_hit_at", "_at")}).select(*stored.columns)
+
+
+def cache_clear(stored: DataFrame, corpus: str | None = None) -> DataFrame:
+    """No entries, or those of this corpus only."""
+    return stored.where(F.lit(False) if corpus is None else F.col("corpus") == corpus)
+
+
 def cache_stats(entries: DataFrame) -> DataFrame:
     return entries.agg(F.count("*").alias("entries"), F.sum("hits").alias("hits"), F.count_if(F.col("hits") > 0).alias("used"), F.max("hits").alias("most"))
 

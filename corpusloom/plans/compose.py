@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from corpusloom import plugins
 from corpusloom.functions import tables
 from corpusloom.functions import text as X
-from corpusloom.operators import answers, dialog, index, parsing, structure
+from corpusloom.operators import answers, dialog, evaluation, index, parsing, structure
 from corpusloom.plans import derived as D
 from corpusloom.plans.ingest import BOILERPLATE, NAMESPACE
 from corpusloom.registry import query, table
@@ -167,3 +167,55 @@ def furniture_counts(spark, d):
     lines = D.lines(spark, d).select("doc_id", F.col("pos").alias("ordinal"), F.lit("text").alias("kind"), "page", F.col("line").alias("text"))
     layer = lines.where("page = 1 and doc_id % 2 = 0 and length(text) < 60").select("doc_id", X.line_key(F.col("text")).alias("key"))
     return structure.furniture_counts(lines, BOILERPLATE, layer=layer)
+
+
+#: Answers to questions on each labelled document, with what is cited, what was found and what a judge said of it.
+_ANSWERED = r"""a AS (SELECT l.doc_id qid, CASE l.doc_id % 3 WHEN 0 THEN 'lookup' WHEN 1 THEN 'howto' ELSE 'compare' END qtype, quality = 1 ok, toxic = 0 said, CASE WHEN toxic = 0 THEN NULL WHEN l.doc_id % 2 = 0 THEN 'gate' ELSE 'llm' END refused_by,
+  CASE WHEN toxic = 0 THEN regexp_replace(text, '\[\d+\]|`', '', 'g') || CASE WHEN l.doc_id % 5 <> 0 THEN ' [1]' ELSE '' END || CASE WHEN l.doc_id % 2 = 0 THEN ' KB0123456' ELSE ' see https://x.org/a' END || CASE WHEN l.doc_id % 4 = 0 THEN ' `run zqx now`' ELSE '' END ELSE '' END t,
+  1 + l.doc_id % 3 p, l.doc_id % 2 + l.doc_id AS cites, l.doc_id % 6 = 0 copy, l.doc_id % 7 = 0 AS none, CASE l.doc_id % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END good, (l.doc_id * 37) % 1000 ms FROM labels l JOIN documents d USING (doc_id)),
+s AS (SELECT qid, qtype, ok, said, refused_by, CASE WHEN ok THEN 2 ELSE 0 END must_total, CASE WHEN ok THEN contains(lower(regexp_replace(regexp_replace(t, '[`*_]', '', 'g'), '\s+', ' ', 'g')), 'the')::INT ELSE 0 END must_found,
+  CASE WHEN ok THEN 1 ELSE 0 END ref_total, CASE WHEN ok AND contains(t, 'KB0123456') THEN 1 ELSE 0 END ref_found, CASE WHEN ok THEN 1 ELSE 0 END urls_total, CASE WHEN ok AND contains(t, 'https://x.org/a') THEN 1 ELSE 0 END urls_found,
+  CASE WHEN none THEN 0 ELSE 1 END cited, CASE WHEN ok AND NOT none AND ((cites = qid AND p <= 2) OR copy) THEN 1 ELSE 0 END cited_correct, CASE WHEN ok THEN 1 ELSE 0 END golden_docs, CASE WHEN ok AND NOT none AND (cites = qid OR copy) THEN 1 ELSE 0 END golden_docs_cited,
+  said AND NOT regexp_matches(t, '\[\d+\]') no_markers, qid % 9 = 0 AS dropped, qid % 3 AS invalid_citations, CASE WHEN said AND qid % 4 = 0 THEN 1 ELSE 0 END commands_total, CASE WHEN said AND qid % 4 = 0 AND qid % 8 <> 0 THEN 1 ELSE 0 END commands_unverified,
+  CASE WHEN good > 0 THEN 1.0::DOUBLE / good END faithfulness, CASE WHEN good = 2 THEN 1 ELSE 0 END by_values, CASE WHEN qid % 10 = 0 THEN 'x' END judge_error, ms, qid % 11 = 0 AS retried FROM a)"""
+
+
+def _answered(spark, d):
+    i, toxic = F.col("doc_id"), F.col("toxic") == 0
+    rows = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    page = (1 + i % 3).cast("int")
+    place = lambda doc, a, b: F.struct(doc.alias("doc_id"), a.cast("int").alias("page_start"), b.cast("int").alias("page_end"))
+    copies = F.when(i % 6 == 0, F.array(place(i, page, page)))
+    source = F.struct((i + i % 2).alias("doc_id"), F.lit(1).alias("page_start"), F.lit(2).alias("page_end"), copies.alias("copies"), F.when(i % 8 == 0, "Then RUN zqx  now.").otherwise("").alias("text"))
+    sources = F.when(i % 7 != 0, F.array(source))
+    claim = lambda good, by_values: F.struct(F.lit(good).alias("supported"), F.lit(by_values).alias("by_values"))
+    claims = F.when(i % 4 == 1, F.array(claim(True, False))).when(i % 4 > 1, F.array(claim(True, True), claim(False, False)))
+    marks = F.concat(F.when(i % 5 != 0, " [1]").otherwise(""), F.when(i % 2 == 0, " KB0123456").otherwise(" see https://x.org/a"), F.when(i % 4 == 0, " `run zqx now`").otherwise(""))
+    ms = ((i * 37) % 1000).cast("double")
+    questions = rows.select(i.alias("qid"), F.when(i % 3 == 0, "lookup").when(i % 3 == 1, "howto").otherwise("compare").alias("qtype"), F.array(F.lit("The"), F.lit("zzz")).alias("must"), F.lit("As KB0123456 (https://x.org/a.) says; KB0123456").alias("expected"), F.when(F.col("quality") == 1, F.array(F.struct(i.alias("doc_id"), page.alias("first"), page.alias("last")))).alias("golden"))
+    given = rows.select(
+        i.alias("qid"), toxic.alias("answered"), F.when(toxic, None).when(i % 2 == 0, "gate").otherwise("llm").alias("refused_by"), F.concat(F.regexp_replace("text", r"\[\d+\]|`", ""), marks).alias("text"), sources.alias("sources"), F.array(source).alias("context"), (i % 3).alias("n_invalid"), (i % 9 == 0).alias("dropped"),
+        (i % 11 == 0).alias("retried"), F.lit("answer").alias("route"), F.lit(0.5).alias("top_score"), claims.alias("claims"), F.when(i % 10 == 0, "x").alias("judge_error"), ms.alias("retrieval_ms"), F.when(i % 2 == 0, ms).otherwise(0.0).alias("generation_ms"), F.when(i % 5 == 0, ms + 1).otherwise(0.0).alias("judge_ms"), (ms * 2).alias("total_ms"),
+    )
+    return evaluation.score_in_full(questions, given, answers.ARTICLE)
+
+
+def _rank(what: str, percent: int, where: str = "true") -> str:
+    v = f"list_sort(list(({what})::DOUBLE) FILTER (WHERE {where}))"
+    return f"coalesce({v}[1 + least(len({v}) - 1, round_even((len({v}) - 1) * {percent / 100}, 0))::INT], 0)"
+
+
+@query(f"""WITH {_ANSWERED} SELECT qtype, count(*) n, count(*) FILTER (WHERE ok) answerable, count(*) FILTER (WHERE NOT ok) unanswerable, avg(CASE WHEN ok THEN said::INT END) answered, avg(CASE WHEN ok AND said THEN must_found / 2.0::DOUBLE END) must_include, avg(CASE WHEN ok AND said THEN (must_found = must_total)::INT END) must_include_all,
+  sum(ref_found) FILTER (WHERE ok AND said)::DOUBLE / sum(ref_total) FILTER (WHERE ok AND said) article_numbers, sum(urls_found) FILTER (WHERE ok AND said)::DOUBLE / sum(urls_total) FILTER (WHERE ok AND said) urls, sum(cited_correct) FILTER (WHERE ok AND said)::DOUBLE / sum(cited) FILTER (WHERE ok AND said) citation_precision,
+  sum(golden_docs_cited) FILTER (WHERE ok AND said)::DOUBLE / sum(golden_docs) FILTER (WHERE ok AND said) citation_doc_recall, avg(CASE WHEN ok AND said THEN faithfulness END) faithfulness, avg(CASE WHEN ok AND said AND faithfulness IS NOT NULL THEN (faithfulness = 1)::INT END) fully_faithful, count(*) FILTER (WHERE ok AND said AND judge_error IS NOT NULL) judge_errors,
+  avg(CASE WHEN ok AND said THEN no_markers::INT END) no_markers, avg(CASE WHEN ok AND said THEN dropped::INT END) dropped_not_found, sum(CASE WHEN ok AND said THEN invalid_citations ELSE 0 END)::BIGINT invalid_citations, sum(CASE WHEN ok AND said THEN commands_total - commands_unverified END)::DOUBLE / nullif(sum(CASE WHEN ok AND said THEN commands_total END), 0) commands_verified,
+  sum(CASE WHEN ok AND said THEN commands_unverified ELSE 0 END)::BIGINT commands_unverified, sum(CASE WHEN ok AND said THEN by_values ELSE 0 END)::BIGINT claims_by_values, avg(CASE WHEN NOT ok THEN (NOT said)::INT END) refused, count(*) FILTER (WHERE NOT ok AND refused_by = 'gate') refused_by_gate, count(*) FILTER (WHERE NOT ok AND refused_by = 'llm') refused_by_llm,
+  {_rank('ms * 2', 50)} total_ms_p50, {_rank('ms * 2', 95)} total_ms_p95, {_rank('ms', 50)} retrieval_ms_p50, {_rank('ms', 50, 'qid % 2 = 0 AND ms > 0')} generation_ms_p50, {_rank('ms + 1', 50, 'qid % 5 = 0')} judge_ms_p50 FROM s GROUP BY qtype""")
+def answer_measures(spark, d):
+    """All measures of answers by kind of question."""
+    return evaluation.summary_in_full(_answered(spark, d), ["qtype"]).drop("context_hit", "meta_talk")
+
+
+@query(f"WITH {_ANSWERED}, e AS (SELECT qid, unnest([CASE WHEN ok AND NOT said THEN 'wrong_refusal' END, CASE WHEN NOT ok AND said THEN 'wrong_answer' END, CASE WHEN retried THEN 'retried' END]) what FROM s) SELECT qid, what FROM e WHERE what IS NOT NULL")
+def answer_exceptions(spark, d):
+    return evaluation.exceptions(_answered(spark, d))
