@@ -44,11 +44,11 @@ def prompts(questions: DataFrame, units: DataFrame, system: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class Model:
-    """A model of a chain: its name, what makes it in a task, and the sizes that its context's budget follows from."""
+    """A model of a chain: its name, what makes it in a task, and the sizes that its context's budget follows from; without them it gets all sources."""
 
     name: str
     provider: Callable[[], plugins.Provider]
-    context_tokens: int = 8_192
+    context_tokens: int | None = 8_192
     max_output_tokens: int = 1_500
 
     def budget(self) -> Column:
@@ -75,8 +75,10 @@ def generate(questions: DataFrame, units: DataFrame, chain: DataFrame, models: l
     rounds: list[DataFrame] = []
     for k in range(len(models)):
         asks = left.where(F.size("names") > k).withColumn("profile", F.get("names", F.lit(k)))
-        budget = F.coalesce(*(F.when(F.col("profile") == m.name, m.budget()) for m in models))  # of a catalogue, which a person writes
-        fitted = asks.withColumn("_b", budget).withColumn("context", context.fit_budget(F.col("units"), F.col("_b"), F.col("compares")))
+        fitted = asks.withColumn("context", F.col("units"))
+        if sized := [F.when(F.col("profile") == m.name, m.budget()) for m in models if m.context_tokens]:  # of a catalogue, which a person writes
+            fits = context.fit_budget(F.col("units"), F.col("_b"), F.col("compares"))
+            fitted = asks.withColumn("_b", F.coalesce(*sized)).withColumn("context", F.when(F.col("_b").isNull(), F.col("units")).otherwise(fits))
         numbered = fitted.select("qid", F.posexplode("context").alias("i", "u")).select("qid", (F.col("i") + 1).alias("n"), *(F.col(f"u.{c}").alias(c) for c in inner))
         asked = prompts(fitted.select(*questions.columns), numbered, system).join(fitted.select("qid", "profile"), "qid")
         said = plugins.generate(asked, {m.name: m.provider for m in models})
@@ -105,7 +107,7 @@ def answer(questions: DataFrame, units: DataFrame, candidates: DataFrame, provid
     where a question compares); what the second try gives is kept if it is no refusal.
     """
     if models is None:
-        models = [Model("model", provider, context_tokens=2**30)]
+        models = [Model("model", provider, context_tokens=None)]
     if chain is None:
         chain = questions.select("qid", F.posexplode(F.array(*(F.lit(m.name) for m in models))).alias("step", "model"))
     g = gated(questions, units, candidates, threshold)
