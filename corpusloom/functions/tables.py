@@ -9,6 +9,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+# Fixed values.
+BATCH_BYTES = 8_000_000
+
 
 def _shared(spark: SparkSession) -> None:
     """Sets the shared folder to the one that spark.checkpoint.dir names; to a temporary one only where it is unset, as in tests."""
@@ -20,6 +23,14 @@ def _shared(spark: SparkSession) -> None:
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="corpusloom-"))
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches by bytes, unless it has a bound of its own: 10,000 long texts may not fit a worker."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, None)
+    if now is None or not 0 < int("".join(c for c in now if c.isdigit() or c == "-") or 0) < 2**31 - 1:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df as it is now, in the shared folder, so that a lost executor costs no more than a read."""
     _shared(df.sparkSession)

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Callable
+import re
+from collections import Counter
+from collections.abc import Callable, Iterator
+from itertools import accumulate, chain
 
 import numpy as np
 import pandas as pd
@@ -14,14 +17,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
+from corpusloom.functions import tables
+
 # Fixed values.
 MODES = ("hybrid", "dense", "sparse")
 CANDIDATES, PREFETCH, RERANK_TOP = 30, 50, 20
 FRONT_MATTER_FACTOR = 0.8
 #: The constant of reciprocal rank fusion, as in the paper that introduced it.
 RRF = 60
-#: Points of a shard (dense, sparse), questions of a block, and questions of one matrix product.
-SHARD, SPARSE_SHARD, BLOCK, AT_ONCE = 50_000, 10_000, 512, 32
+#: Points of a shard (dense, sparse), questions of a block (sparse, dense), and questions of one matrix product.
+SHARD, SPARSE_SHARD, BLOCK, DENSE_BLOCK, AT_ONCE = 50_000, 10_000, 512, 4_096, 32
+#: Sparse search: postings of a shard, points of the first round, asked tokens that are broadcast, bands of norms to a doubling, and what rounding may take from a bound.
+POSTINGS, FIRST, ASKED, BANDS, ROUNDING = 2_000_000, 5_000, 100_000, 4, 1e-9
 #: What access() reads of a point.
 ACCESS = ["allowed_groups", "is_latest", "release_min", "release_max", "category"]
 
@@ -106,22 +113,69 @@ def _hits(kinds: dict, rows: list[tuple]) -> pa.Table:
     return pa.concat_tables(some) if some else pa.schema([("qid", kinds["qid"]), ("chunk_id", kinds["chunk_id"]), ("score", pa.float64())]).empty_table()
 
 
+def _packed(rows: DataFrame, by: str, weight: str) -> DataFrame:
+    """by, tokens, weights and norm of rows(by, token, weight) or rows(by, tokens, weights), a row each.
+
+    The norm bounds a score: no sum of products is above the product of two norms. It is the Euclidean
+    one, or where a token is repeated the sum of the weights, which is never less than that of the merged tokens.
+    """
+    if "tokens" in rows.columns:
+        made = rows.groupBy(by).agg(F.collect_list(F.struct("tokens", F.col("weights").cast("array<double>").alias("w"))).alias("t"))
+        made = made.select(by, F.flatten("t.tokens").alias("tokens"), F.flatten("t.w").alias("weights"))
+    else:
+        made = rows.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("token", F.col(weight).cast("double").alias("w")))).alias("t"))
+        made = made.select(by, F.col("t.token").alias("tokens"), F.col("t.w").alias("weights"))
+    add = lambda f: F.aggregate("weights", F.lit(0.0), lambda s, w: s + f(w))
+    return made.withColumn("norm", F.when(F.size(F.array_distinct("tokens")) == F.size("tokens"), F.sqrt(add(lambda w: w * w))).otherwise(add(F.abs)))
+
+
+def _banded(points: DataFrame, plan: list[tuple]) -> DataFrame:
+    """points in the bands of plan(band, most, shards, blocks), each with its shard, once for every block of questions of its band."""
+    few = points.sparkSession.createDataFrame([(b, s, k) for b, _, s, k in plan], "band int, shards int, blocks int")
+    made = points.join(F.broadcast(few), "band").withColumn("shard", F.pmod(F.xxhash64("chunk_id"), "shards").cast("int"))
+    return made.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("shards", "blocks")
+
+
+def _asking(asks: DataFrame, plan: list[tuple]) -> DataFrame:
+    """asks once for every shard of the bands that may hold one of a question's best: those whose norms reach its `least`."""
+    few = asks.sparkSession.createDataFrame(plan, "band int, most double, shards int, blocks int")
+    made = asks.join(F.broadcast(few), F.col("least").isNull() | (F.col("norm") * F.col("most") * (1 + ROUNDING) >= F.col("least")))
+    made = made.withColumn("block", F.pmod(F.xxhash64("qid"), "blocks").cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
+    return made.drop("most", "shards", "blocks", "norm", "least")
+
+
 def sparse(postings: DataFrame, points: DataFrame, terms: DataFrame, requests: DataFrame, limit: int = PREFETCH) -> DataFrame:
     """qid, chunk_id, score, rank: sums of weight products over shared tokens, of points the request may see.
 
-    postings(chunk_id, token, weight), terms(qid, token, qweight); null tokens and weights count as absent. Points are
-    dealt to shards with their postings of asked tokens and questions to blocks, both of bounded size. A task
-    adds up one question's postings at a time, leaves out forbidden points and hands on its `limit` best,
-    so (question, point) pairs are neither built nor shuffled.
+    postings(chunk_id, token, weight), or term_lists(chunk_id, tokens, weights), in which nothing is null; terms(qid, token,
+    qweight); null tokens and weights count as absent. Points lie
+    in bands of like norms, bands in shards, questions in blocks, shards and blocks of bounded size. All
+    questions first meet the bands of the highest norms; a question's `limit`-th score there is the least that one of
+    its best can have, and it then meets only bands whose norms allow so much. A task adds up one question's postings
+    at a time, leaves out forbidden points and hands on its `limit` best, so (question, point) pairs are
+    neither built nor shuffled. Packed postings and the first round's hits are written down.
     """
-    shards, blocks = _parts(points, SPARSE_SHARD), _parts(requests, BLOCK)
-    terms = terms.where("token is not null and qweight is not null")
-    wanted = postings.where("weight is not null").join(terms.select("token").distinct(), "token", "left_semi")
-    packed = wanted.groupBy("chunk_id").agg(F.collect_list(F.struct("token", "weight")).alias("t")).select("chunk_id", F.col("t.token").alias("tokens"), F.col("t.weight").cast("array<double>").alias("weights"))
+    spark = points.sparkSession
+    terms = tables.cut(terms.where("token is not null and qweight is not null"))
+    held = postings
+    if "token" in postings.columns:
+        tokens = terms.select("token").distinct()
+        held = postings.where("token is not null and weight is not null")
+        if tokens.count() <= ASKED:
+            held = held.join(F.broadcast(tokens), "token", "left_semi")
+    at = tables.shared_folder(spark, "postings")
     # merged, as the postings lie by chunk_id already: a broadcast of either side would grow with the corpus
-    held = packed.join(_shown(points, requests).select("chunk_id", *ACCESS).hint("merge"), "chunk_id")
-    asks = terms.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("token", "qweight"))).alias("t")).select("qid", F.col("t.token").alias("tokens"), F.col("t.qweight").cast("array<double>").alias("weights"))
-    left, right = _deal(held, shards, asks.join(requests.select("qid", "groups", "release", "category"), "qid"), blocks)
+    packed = _packed(held, "chunk_id", "weight").join(points.select("chunk_id", *ACCESS).hint("merge"), "chunk_id")
+    log = F.least(F.greatest(F.log2("norm"), F.lit(-2000.0)), F.lit(2000.0))
+    packed.withColumn("band", F.floor(BANDS * log).cast("int")).write.parquet(at)
+    held = _shown(spark.read.parquet(at), requests)
+    asks = _packed(terms, "qid", "qweight").join(requests.where("groups is not null").select("qid", "groups", "release", "category"), "qid")
+    # a row a band, of which there are as many as the logarithm of the norms
+    bands = held.groupBy("band").agg(F.max("norm"), F.count("*"), F.sum(F.size("tokens"))).orderBy(F.desc("band")).collect()
+    sized = [(b, most, max(1, -(-n // SPARSE_SHARD), -(-size // POSTINGS))) for b, most, n, size in bands]
+    before = [0, *accumulate(r[2] for r in bands)]
+    first = [r for r, n in zip(sized, before) if n < FIRST]
+    blocks = _parts(requests, BLOCK)
     schema, kinds = _hit_schema(points, requests)
 
     def best(p: pa.Table, r: pa.Table) -> pa.Table:
@@ -135,20 +189,33 @@ def sparse(postings: DataFrame, points: DataFrame, terms: DataFrame, requests: D
         of, weight = of[order], p["weights"].combine_chunks().flatten().to_numpy()[order]
         ends = np.append(0, np.cumsum(np.bincount(code, minlength=len(words.dictionary))))
         rows = []
-        for q in r.select(["qid", "groups", "release", "category", "tokens", "weights"]).to_pylist():
-            found = pc.index_in(pa.array(q["tokens"], pa.string()), value_set=words.dictionary.cast(pa.string())).to_numpy(zero_copy_only=False)
-            known = ~np.isnan(found.astype(float))
+        asked = r["tokens"].combine_chunks()  # of all questions at once: the shard's words are hashed for each lookup
+        places = pc.fill_null(pc.index_in(asked.flatten(), value_set=words.dictionary), -1).to_numpy(zero_copy_only=False)
+        given = r["weights"].combine_chunks().flatten().to_numpy()
+        upto = np.cumsum(asked.value_lengths().to_numpy())
+        for q, found, qweight in zip(r.select(["qid", "groups", "release", "category"]).to_pylist(), np.split(places, upto[:-1]), np.split(given, upto[:-1])):
+            known = found >= 0
             word = found[known].astype(int)
             n = ends[word + 1] - ends[word]
             at = np.repeat(ends[word] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum()) if len(word) else np.empty(0, int)
-            score = np.bincount(of[at], weight[at] * np.repeat(np.asarray(q["weights"], float)[known], n), len(p))
+            score = np.bincount(of[at], weight[at] * np.repeat(qweight[known], n), len(p))
             ok = np.zeros(len(p), bool)
             ok[of[at]] = True
             pick = _best(ids, score, ok & seen(q["groups"], q["release"], q["category"]), limit)
             rows.append((q["qid"], ids[pick], score[pick]))
         return _hits(kinds, rows)
 
-    return top(left.cogroup(right).applyInArrow(best, schema), limit)
+    def met(plan: list[tuple], asks: DataFrame) -> DataFrame:
+        key = ["band", "shard", "block"]
+        left = _banded(held.drop("norm"), plan).groupBy(*key)
+        return top(left.cogroup(_asking(asks, plan).groupBy(*key)).applyInArrow(best, schema), limit)
+
+    hits = tables.cut(met([(*r, blocks) for r in first], asks.withColumn("least", F.lit(None).cast("double"))))
+    asks = asks.join(hits.where(F.col("rank") == limit).groupBy("qid").agg(F.max("score").alias("least")), "qid", "left")
+    rest = [(*r, 1) for r in sized[len(first) :]]
+    some = {r.band: r.n for r in _asking(asks.drop("tokens", "weights"), [(b, m, 1, 1) for b, m, _, _ in rest]).groupBy("band").agg(F.count("*").alias("n")).collect()} if rest else {}
+    plan = [(b, m, n, -(-some[b] // BLOCK)) for b, m, n, _ in rest if b in some]
+    return top(hits.drop("rank").unionByName(met(plan, asks).drop("rank")), limit)
 
 
 def dense(points: DataFrame, requests: DataFrame, limit: int = PREFETCH) -> DataFrame:
@@ -160,7 +227,7 @@ def dense(points: DataFrame, requests: DataFrame, limit: int = PREFETCH) -> Data
     vector are found by sparse search only.
     """
     points = points.where(F.col("vector").isNotNull())
-    shards, blocks = _parts(points, SHARD), _parts(requests, BLOCK)
+    shards, blocks = _parts(points, SHARD), _parts(requests, DENSE_BLOCK)
     left, right = _deal(_shown(points, requests).select("chunk_id", F.col("vector").cast("array<double>").alias("vector"), *ACCESS), shards, requests.select("qid", F.col("vector").cast("array<double>").alias("vector"), "groups", "release", "category"), blocks)
     schema, kinds = _hit_schema(points, requests)
 
@@ -207,6 +274,24 @@ def term_counts(docs: DataFrame, id: str = "doc_id") -> DataFrame:
     return docs.select(id, F.explode(found).alias("token")).groupBy(id, "token").agg(F.count("*").cast("double").alias("weight"))
 
 
+def term_lists(docs: DataFrame, id: str = "doc_id") -> DataFrame:
+    """id, tokens, weights: term_counts of each text as one row, counted where the text is read; nothing is shuffled."""
+    kind = docs.schema[id].dataType
+    tables.bounded_batches(docs.sparkSession)
+    arrow = pa.schema([(id, to_arrow_type(kind)), ("tokens", pa.list_(pa.string())), ("weights", pa.list_(pa.float64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = re.compile("[a-z0-9]+").findall
+        for b in batches:
+            counts = [Counter(found(x)) for x in b.column(1).to_pylist()]
+            ends = pa.array(np.append(0, np.cumsum([len(c) for c in counts])), pa.int32())
+            tokens, weights = pa.array(chain.from_iterable(counts), pa.string()), pa.array(chain.from_iterable(c.values() for c in counts), pa.float64())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(ends, tokens), pa.ListArray.from_arrays(ends, weights)], schema=arrow)
+
+    lower = docs.where("text is not null").select(id, F.lower("text").alias("text"))
+    return lower.mapInArrow(run, f"{id} {kind.simpleString()}, tokens array<string>, weights array<double>")
+
+
 def is_front_matter(header: Column) -> Column:
     return F.trim(F.element_at(F.split(header, " > "), -1)).rlike(r"(?i)^(?:0\s+)?executive\s+summary\b")
 

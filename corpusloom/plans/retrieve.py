@@ -26,7 +26,7 @@ def _terms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _postings(spark: SparkSession, d: str) -> DataFrame:
-    return search.term_counts(table(spark, d, "documents")).withColumnRenamed("doc_id", "chunk_id")
+    return search.term_lists(table(spark, d, "documents")).withColumnRenamed("doc_id", "chunk_id")
 
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:

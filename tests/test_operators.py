@@ -393,3 +393,41 @@ def test_search_equals_every_pair_scored(spark):
         assert search.dense(points.where("false"), requests, 6).count() == 0 == search.sparse(spark.createDataFrame([], "chunk_id long, token string, weight double"), points, spark.createDataFrame(terms, "qid long, token string, qweight double"), requests, 6).count()
     finally:
         search.SHARD, search.SPARSE_SHARD, search.BLOCK = old
+
+
+def test_sparse_search_by_bands_equals_every_pair_scored(spark):
+    """A first round of few points, then only bands that can hold a best: repeated tokens, negative and null weights, few hits, rows and lists."""
+    rng = random.Random(9)
+    post = [(i, t, w) for i in range(300) for t in rng.choices("klmnopqrst", k=4) for w in [rng.choice([1.0, 2.0, -3.0, 0.5, 0.0]) * 1.3 ** (i % 20)]]
+    terms = [(q, t, rng.choice([1.0, -1.0, 2.5])) for q in range(12) for t in rng.choices("klmnopqrst", k=q % 5)] + [(20, "zz", 1.0), (21, "k", 1.0)]
+    points = spark.createDataFrame([(i, ["all"] if i % 3 else ["a"], i % 7 != 0, 0, 9999, "c") for i in range(300)], "chunk_id long, allowed_groups array<string>, is_latest boolean, release_min int, release_max int, category string")
+    asked = spark.createDataFrame([(q, ["a"] if q % 2 else ["b"], None, None) for q in range(21)] + [(21, None, None, None)], "qid long, groups array<string>, release int, category string")
+    rows = spark.createDataFrame(post + [(1, None, 1.0), (2, "k", None)], "chunk_id long, token string, weight double")
+    lists = spark.createDataFrame([(i, [t for p, t, _ in post if p == i], [w for p, _, w in post if p == i]) for i in range(300)], "chunk_id long, tokens array<string>, weights array<double>")
+    wanted = []
+    for q in range(21):
+        scored = {}
+        for i, t, w in post:
+            if i % 7 and (i % 3 or q % 2):
+                for _, _, x in (y for y in terms if y[:2] == (q, t)):
+                    scored[i] = scored.get(i, 0.0) + w * x
+        wanted += [(q, i) for i in sorted(scored, key=lambda i: (-round(scored[i], 6), i))[:5]]
+    old = search.FIRST, search.SPARSE_SHARD, search.BLOCK
+    try:
+        for given, search.FIRST, search.SPARSE_SHARD, search.BLOCK in ((rows, 30, 20, 4), (lists, 1, 7, 3), (lists, *old)):
+            found = search.sparse(given, points, spark.createDataFrame(terms, "qid long, token string, qweight double"), asked, 5).collect()
+            assert sorted((r.qid, r["rank"], r.chunk_id) for r in found) == sorted((q, 1 + sum(x[0] == q for x in wanted[:n]), i) for n, (q, i) in enumerate(wanted))
+    finally:
+        search.FIRST, search.SPARSE_SHARD, search.BLOCK = old
+
+
+def test_questions_meet_only_bands_that_may_hold_a_best(spark):
+    asks = spark.createDataFrame([(1, 2.0, 8.0), (2, 2.0, None), (3, 2.0, -1.0), (4, 2.0, 20.0)], "qid long, norm double, least double")
+    met = search._asking(asks, [(3, 9.0, 2, 1), (2, 4.0, 1, 1), (1, 3.9, 1, 1)]).groupBy("qid").agg(F.sort_array(F.collect_list("band")).alias("b"))
+    assert {r.qid: r.b for r in met.collect()} == {1: [2, 3, 3], 2: [1, 2, 3, 3], 3: [1, 2, 3, 3]}
+
+
+def test_term_lists_are_term_counts(spark):
+    docs = spark.createDataFrame([(1, "A b aK İx 7"), (2, None), (3, ""), (1, "b B")], "doc_id long, text string")
+    lists = search.term_lists(docs).select("doc_id", F.explode(F.arrays_zip("tokens", "weights")).alias("x")).groupBy("doc_id", "x.tokens").agg(F.sum("x.weights").alias("n"))
+    assert sorted(map(tuple, lists.collect())) == sorted(map(tuple, search.term_counts(docs).collect()))
