@@ -9,6 +9,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.functions import tables
 from corpusloom.operators import context, evaluation, search
 
 
@@ -21,7 +22,7 @@ class Config(NamedTuple):
 
 
 class Index(NamedTuple):
-    """points(chunk_id, vector, metadata) and postings(chunk_id, token, weight)."""
+    """points(chunk_id, vector, metadata) and postings(chunk_id, token, weight), or those of a point in one row as search.term_lists has them."""
 
     points: DataFrame
     postings: DataFrame
@@ -64,7 +65,7 @@ def retrieve(requests: DataFrame, terms: DataFrame, index: Index, sections: Data
 def run(configs: tuple[Config, ...], requests: DataFrame, terms: DataFrame, index: Index, scorer: Scorer | None = None, candidates: int = search.CANDIDATES) -> DataFrame:
     """config, qid, chunk_id, rank: each question's candidates under each configuration.
 
-    Both searches stand in the plan once for all configurations that need them: a shorter list is the beginning of a longer one.
+    Each search runs once for all configurations that need it, and its hits are written down: a shorter list is the beginning of a longer one.
     """
     depth = max(search.PREFETCH, candidates)
     need = {c.mode for c in configs}
@@ -72,9 +73,9 @@ def run(configs: tuple[Config, ...], requests: DataFrame, terms: DataFrame, inde
         raise ValueError(f"mode must be one of {', '.join(search.MODES)}")
     found = {}
     if need & {"dense", "hybrid"}:
-        found["dense"] = search.dense(index.points, requests, depth)
+        found["dense"] = tables.cut(search.dense(index.points, requests, depth))
     if need & {"sparse", "hybrid"}:
-        found["sparse"] = search.sparse(index.postings, index.points, terms, requests, depth)
+        found["sparse"] = tables.cut(search.sparse(index.postings, index.points, terms, requests, depth))
     if "hybrid" in need:
         found["hybrid"] = search.fuse(*(found[m].where(F.col("rank") <= search.PREFETCH) for m in ("dense", "sparse")), candidates)
     made = (ranked(found[c.mode].where(F.col("rank") <= candidates), scorer if c.rerank_top is not None else None, c.rerank_top or 0).select(F.lit(c.name).alias("config"), "qid", "chunk_id", F.col("order_rank").alias("rank")) for c in configs)

@@ -96,3 +96,15 @@ def test_a_reranker_gets_a_questions_passages_together(spark):
     rows = spark.createDataFrame([("a", "x"), ("b", "yy"), ("a", "zzz"), (None, None)], "question string, passage string").coalesce(1)
     found = {(r.question, r.passage): r.rerank_score for r in plugins.rerank_scores(rows, Counting).collect()}
     assert found == {("a", "x"): 2.01, ("b", "yy"): 1.02, ("a", "zzz"): 2.03, (None, None): 1.0}
+
+
+def test_a_run_searches_once_for_all_configurations(spark, monkeypatch):
+    """Four configurations read hits that were written down: the plan holds no search any more."""
+    hits = spark.range(40).selectExpr("id % 4 AS qid", "id AS chunk_id", "1.0D / (id + 1) AS score", "CAST(id DIV 4 + 1 AS INT) AS rank")
+    made = hits.mapInPandas(lambda batches: batches, hits.schema)
+    monkeypatch.setattr(retriever.search, "dense", lambda *_: made)
+    monkeypatch.setattr(retriever.search, "sparse", lambda *_: made)
+    configs = tuple(retriever.Config(m, m) for m in ("dense", "sparse", "hybrid")) + (retriever.Config("hybrid+rr", rerank_top=3),)
+    found = retriever.run(configs, None, None, retriever.Index(None, None), lambda c: c.withColumn("rerank_score", F.col("score")))
+    assert "MapInPandas" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.groupBy("config").count().where("count = 40").count() == 4
