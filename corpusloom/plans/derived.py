@@ -37,8 +37,8 @@ def manifest(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def lines(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).select("doc_id", "pos", (1 + F.floor(F.col("pos") / 20)).cast("int").alias("page"), "line")
+def lines(spark: SparkSession, d: str, docs: DataFrame | None = None) -> DataFrame:
+    return (table(spark, d, "documents") if docs is None else docs).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).select("doc_id", "pos", (1 + F.floor(F.col("pos") / 20)).cast("int").alias("page"), "line")
 
 
 def requests(spark: SparkSession, d: str) -> DataFrame:

@@ -384,9 +384,9 @@ def merge_code_blocks(spark, d):
     return chunking.merge_commands(blocks)
 
 
-def document_chunks(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks of every document, each line a text block, 20 lines to a page."""
-    blocks = D.lines(spark, d).where("trim(line) <> ''").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "line", "page"))).alias("b"))
+def document_chunks(spark: SparkSession, d: str, docs: DataFrame | None = None) -> DataFrame:
+    """Chunks of every document, or of docs, each line a text block, 20 lines to a page."""
+    blocks = D.lines(spark, d, docs).where("trim(line) <> ''").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "line", "page"))).alias("b"))
     sections = blocks.select(F.concat(F.col("doc_id").cast("string"), F.lit("#0")).alias("section_id"), F.lit("Document").alias("header"), F.transform("b", lambda b: F.struct(F.lit("text").alias("kind"), b["line"].alias("text"), b["page"].alias("page_start"), b["page"].alias("page_end"))).alias("blocks"))
     return chunking.chunk_sections(sections)
 

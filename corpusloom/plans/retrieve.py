@@ -7,6 +7,7 @@ import functools
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusloom.functions import tables
 from corpusloom.functions import text as X
 from corpusloom.operators import answering, answers, context, dialog, evaluation, oplog, retriever, search
 from corpusloom.plans import derived as D
@@ -116,9 +117,11 @@ def context_budgets(spark, d):
 @query()
 def assemble_context(spark, d):
     """Context of each question: the candidates of hybrid search over all documents, their chunks and sections."""
-    chunks = document_chunks(spark, d).withColumn("doc_id", F.split("section_id", "#")[0])
-    sections = table(spark, d, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit("#0")).alias("section_id"), "text", X.count_words(F.col("text")).alias("token_count"), F.lit(1).alias("page_start"), (1 + F.floor((F.size(F.split("text", "\n")) - 1) / 20)).cast("int").alias("page_end"))
-    found = hybrid_search(spark, d).select(F.col("qid").cast("string").alias("qid"), F.col("rank").alias("order_rank"), F.col("doc_id").cast("string").alias("doc_id"), F.lit(None).cast("double").alias("rerank_score"))
+    hits = tables.cut(hybrid_search(spark, d))
+    docs = table(spark, d, "documents").join(hits.select("doc_id").distinct(), "doc_id", "left_semi")  # picked before they are cut
+    chunks = document_chunks(spark, d, docs).withColumn("doc_id", F.split("section_id", "#")[0])
+    sections = docs.select(F.concat(F.col("doc_id").cast("string"), F.lit("#0")).alias("section_id"), "text", X.count_words(F.col("text")).alias("token_count"), F.lit(1).alias("page_start"), (1 + F.floor((F.size(F.split("text", "\n")) - 1) / 20)).cast("int").alias("page_end"))
+    found = hits.select(F.col("qid").cast("string").alias("qid"), F.col("rank").alias("order_rank"), F.col("doc_id").cast("string").alias("doc_id"), F.lit(None).cast("double").alias("rerank_score"))
     candidates = found.withColumns({"section_id": F.concat("doc_id", F.lit("#0")), "chunk_index": F.lit(0)}).withColumn("chunk_id", F.concat("section_id", F.lit("#0")))
     return context.assemble(candidates, sections, chunks).select("qid", "n", "section_id", "kind", "tokens", "lo", "hi", "chunk_ids", "same_text")
 

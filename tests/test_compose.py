@@ -213,3 +213,13 @@ def test_repeated_marks_go(spark, text, want):
 def test_generate_names_an_unknown_profile(spark):
     df = spark.createDataFrame(pd.DataFrame({"qid": [1], "system": ["s"], "user": ["u"], "profile": ["none"]}))
     assert "KeyError" in plugins.generate(df, {"big": lambda: Named("big")}).first().error
+
+
+def test_context_carries_only_chunks_around_hits(spark):
+    chunks = spark.createDataFrame([(f"s#{i}", "s", "d", i, f"t{i}", 10, 1, 1) for i in range(300)], "chunk_id string, section_id string, doc_id string, chunk_index int, text string, token_count int, page_start int, page_end int")
+    sections = spark.createDataFrame([("s", "all of it", 3000, 1, 9)], "section_id string, text string, token_count int, page_start int, page_end int")
+    hits = spark.createDataFrame([("q", 1, "s#50", "s", "d", 50, None), ("q", 2, "s#52", "s", "d", 52, None), ("r", 1, "s#0", "s", "d", 0, None)], "qid string, order_rank int, chunk_id string, section_id string, doc_id string, chunk_index int, rerank_score double")
+    made = context.assemble(hits, sections, chunks)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "_lo" in plan and "_hi" in plan  # chunks are filtered before they are gathered
+    assert {r.qid: (r.lo, r.hi, r.tokens, r.text) for r in made.collect()} == {"q": (49, 53, 50, "\n\n".join(f"t{i}" for i in range(49, 54))), "r": (-1, 1, 20, "t0\n\nt1")}
