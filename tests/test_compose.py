@@ -223,3 +223,13 @@ def test_context_carries_only_chunks_around_hits(spark):
     plan = made._jdf.queryExecution().executedPlan().toString()
     assert "_lo" in plan and "_hi" in plan  # chunks are filtered before they are gathered
     assert {r.qid: (r.lo, r.hi, r.tokens, r.text) for r in made.collect()} == {"q": (49, 53, 50, "\n\n".join(f"t{i}" for i in range(49, 54))), "r": (-1, 1, 20, "t0\n\nt1")}
+
+
+def test_sources_beside_or_apart_give_the_same_verdicts(spark):
+    reply = '{"claims": [{"claim": "A", "supported": true, "evidence": "%s"}]}'
+    rows = [(1, 0, reply % "the port", None), (1, 1, reply % "no such", None), (2, 0, reply % "the pump", None), (2, 1, None, "E: x"), (2, 2, reply % "the pump", None), (3, 0, "no", None)]
+    parts = spark.createDataFrame(rows, "qid int, part int, reply string, error string")
+    sources = spark.createDataFrame([(1, "open the port"), (2, "start the pump"), (3, "x"), (4, "y")], "qid int, sources string")
+    apart = answers.merged_verdicts(parts, sources).collect()
+    assert sorted(apart) == sorted(answers.merged_verdicts(parts.join(sources, "qid")).collect())
+    assert {r.qid: (r.parts, r.claims, r.supported) for r in apart} == {1: (2, 2, 1), 2: (1, 1, 1), 3: (0, 0, 0)}
