@@ -233,3 +233,17 @@ def test_sources_beside_or_apart_give_the_same_verdicts(spark):
     apart = answers.merged_verdicts(parts, sources).collect()
     assert sorted(apart) == sorted(answers.merged_verdicts(parts.join(sources, "qid")).collect())
     assert {r.qid: (r.parts, r.claims, r.supported) for r in apart} == {1: (2, 2, 1), 2: (1, 1, 1), 3: (0, 0, 0)}
+
+
+def test_sections_are_numbered_many_documents_a_batch(spark):
+    """A data frame for each document cost more than its numbering; documents with unknown pages and without headings too."""
+    kinds = "doc_id string, ordinal int, kind string, text string, page int, depth int, rows array<array<string>>"
+    rows = [(f"d{i}", n, "heading" if n % 2 == 0 else "text", f"{1 + n // 2}. Part {n}" if n % 2 == 0 else f"words {i}", None if i == 3 else 1 + n // 4, 0, None) for i in range(40) for n in range(6) if i != 5 or n % 2]
+    found = structure.build_sections(spark.createDataFrame(rows[::-1], kinds))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapCoGroups" not in plan
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.doc_id, []).append((r.ordinal, r.number, r.page_start, r.page_end, len(r.blocks)))
+    assert sorted(got["d0"]) == [(0, "1", 1, 1, 1), (1, "2", 1, 1, 1), (2, "3", 2, 2, 1)] and len(got) == 40
+    assert [(x[2], x[3]) for x in sorted(got["d3"])] == [(None, None)] * 3 and [x[1] for x in got["d5"]] == ["0"]
