@@ -25,10 +25,10 @@ CANDIDATES, PREFETCH, RERANK_TOP = 30, 50, 20
 FRONT_MATTER_FACTOR = 0.8
 #: The constant of reciprocal rank fusion, as in the paper that introduced it.
 RRF = 60
-#: Points of a shard (dense, sparse), questions of a block (sparse, dense), and questions of one matrix product.
-SHARD, SPARSE_SHARD, BLOCK, DENSE_BLOCK, AT_ONCE = 50_000, 10_000, 512, 4_096, 32
-#: Sparse search: postings of a shard, points of the first round, asked tokens that are broadcast, bands of norms to a doubling, and what rounding may take from a bound.
-POSTINGS, FIRST, ASKED, BANDS, ROUNDING = 2_000_000, 5_000, 100_000, 4, 1e-9
+#: Points of a shard (dense, sparse), questions of a block (sparse, dense), questions of one matrix product, and bytes of a shard before its last batch.
+SHARD, SPARSE_SHARD, BLOCK, DENSE_BLOCK, AT_ONCE, SHARD_BYTES = 50_000, 10_000, 4_096, 4_096, 32, 16_000_000
+#: Sparse search: points of the first round, asked tokens that are numbered, bands of norms to a doubling, and what rounding may take from a bound.
+FIRST, ASKED, BANDS, ROUNDING = 5_000, 1_000_000, 4, 1e-9
 #: What access() reads of a point.
 ACCESS = ["allowed_groups", "is_latest", "release_min", "release_max", "category"]
 
@@ -71,12 +71,56 @@ def _shown(points: DataFrame, requests: DataFrame) -> DataFrame:
     return points.where(F.col("is_latest") & may_see(F.col("allowed_groups"), everyone))
 
 
-def _deal(left: DataFrame, shards: int, right: DataFrame, blocks: int) -> tuple:
-    """Points grouped by (shard, block) and requests by the same: every shard meets every block once."""
-    key = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int")
-    left = left.withColumn("shard", key("chunk_id", shards)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = right.withColumn("block", key("qid", blocks)).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    return left.groupBy("shard", "block"), right.groupBy("shard", "block")
+def _sliced(rows: DataFrame, most: int) -> DataFrame:
+    """rows as arrays `p` of at most `most` of them and about SHARD_BYTES, a row each, of one band where they have bands. They are cut where they lie, nothing is shuffled."""
+    tables.bounded_batches(rows.sparkSession)
+    banded = "band" in rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = [], None
+
+        def shard() -> pa.RecordBatch:
+            (all_of,) = pa.Table.from_batches(held).combine_chunks().to_batches()
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(all_of)], pa.int32()), all_of.to_struct_array())], ["p"])
+
+        for b in batches:
+            bands = b["band"].to_numpy() if banded else np.zeros(len(b), int)
+            i = 0
+            while i < len(b):
+                room = most - sum(map(len, held))
+                if held and (bands[i] != last or room <= 0 or sum(x.nbytes for x in held) >= SHARD_BYTES):
+                    yield shard()
+                    room = most
+                last = bands[i]
+                other = np.flatnonzero(bands[i : i + room] != last)
+                held.append(b.slice(i, other[0] if len(other) else room))
+                i += len(held[-1])
+        if held:
+            yield shard()
+
+    return rows.mapInArrow(run, f"p array<{rows.schema.simpleString()}>")
+
+
+def _crossed(points: DataFrame, most: int, asks: DataFrame, size: int, best: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+    """What best(points, asks) finds for each shard of at most `most` points and each block of about `size` asks.
+
+    Every pair of a shard and a block is read where both lie: no point is shuffled, however many blocks there are, and each
+    ask is shuffled once, into its block. Blocks are written down.
+    """
+    blocks = _parts(asks, size)
+    dealt = asks.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks)))
+    packed = tables.cut(dealt.groupBy("block").agg(F.collect_list(F.struct(*asks.columns)).alias("r")).select("r")).coalesce(blocks)
+
+    def rows(lists: pa.Array, i: int) -> pa.Table:
+        return pa.Table.from_batches([pa.RecordBatch.from_struct_array(lists.slice(i, 1).flatten())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(len(b)):
+                yield from best(rows(b["p"], i), rows(b["r"], i)).combine_chunks().to_batches()
+
+    return _sliced(points, most).hint("shuffle_replicate_nl").crossJoin(packed).mapInArrow(run, schema)
 
 
 def _seen_by(points: pd.DataFrame) -> Callable[..., np.ndarray]:
@@ -129,11 +173,26 @@ def _packed(rows: DataFrame, by: str, weight: str) -> DataFrame:
     return made.withColumn("norm", F.when(F.size(F.array_distinct("tokens")) == F.size("tokens"), F.sqrt(add(lambda w: w * w))).otherwise(add(F.abs)))
 
 
-def _banded(points: DataFrame, plan: list[tuple]) -> DataFrame:
-    """points in the bands of plan(band, most, shards, blocks), each with its shard, once for every block of questions of its band."""
-    few = points.sparkSession.createDataFrame([(b, s, k) for b, _, s, k in plan], "band int, shards int, blocks int")
-    made = points.join(F.broadcast(few), "band").withColumn("shard", F.pmod(F.xxhash64("chunk_id"), "shards").cast("int"))
-    return made.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("shards", "blocks")
+def _numbered(rows: DataFrame, words: pa.Array) -> DataFrame:
+    """rows(.., token, ..) or rows(.., tokens, weights) with each token's place in words instead; rows, or items of lists, of other tokens are left out."""
+    if "token" in rows.columns:
+        places = rows.sparkSession.createDataFrame(pa.table({"token": words, "_place": pa.array(np.arange(len(words)), pa.int32())}))
+        return rows.join(F.broadcast(places), "token").withColumn("token", F.col("_place")).select(rows.columns)
+    by = next(c for c in rows.columns if c not in ("tokens", "weights"))
+    kind = rows.schema[by].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            asked = b["tokens"].flatten()
+            place = pc.index_in(asked, value_set=words.cast(asked.type))
+            known = pc.is_valid(place)
+            of = np.repeat(np.arange(len(b)), pc.fill_null(b["tokens"].value_lengths(), 0).to_numpy())
+            ends = pa.array(np.append(0, np.cumsum(np.bincount(of[known.to_numpy(zero_copy_only=False)], minlength=len(b)))), pa.int32())
+            lists = (pa.ListArray.from_arrays(ends, x.filter(known)) for x in (place, b["weights"].flatten()))
+            yield pa.RecordBatch.from_arrays([b[by], *lists], [by, "tokens", "weights"])
+
+    tables.bounded_batches(rows.sparkSession)
+    return rows.select(by, "tokens", F.col("weights").cast("array<double>")).mapInArrow(run, f"{by} {kind.simpleString()}, tokens array<int>, weights array<double>")
 
 
 def _asking(asks: DataFrame, plan: list[tuple]) -> DataFrame:
@@ -148,39 +207,41 @@ def sparse(postings: DataFrame, points: DataFrame, terms: DataFrame, requests: D
     """qid, chunk_id, score, rank: sums of weight products over shared tokens, of points the request may see.
 
     postings(chunk_id, token, weight), or term_lists(chunk_id, tokens, weights), in which nothing is null; terms(qid, token,
-    qweight); null tokens and weights count as absent. Points lie
+    qweight); null tokens and weights count as absent. Tokens that are asked are numbered before anything is shuffled and the
+    others left out; only if more than ASKED are, tokens stay as they are. Points lie
     in bands of like norms, bands in shards, questions in blocks, shards and blocks of bounded size. All
     questions first meet the bands of the highest norms; a question's `limit`-th score there is the least that one of
-    its best can have, and it then meets only bands whose norms allow so much. A task adds up one question's postings
-    at a time, leaves out forbidden points and hands on its `limit` best, so (question, point) pairs are
-    neither built nor shuffled. Packed postings and the first round's hits are written down.
+    its best can have, and it then meets only shards whose norms allow so much. A task adds up one question's postings
+    at a time, leaves out forbidden points and hands on its `limit` best, if they reach that least, so (question, point) pairs are
+    neither built nor shuffled. Packed postings, blocks of questions and the first round's hits are written down.
     """
     spark = points.sparkSession
     terms = tables.cut(terms.where("token is not null and qweight is not null"))
-    held = postings
-    if "token" in postings.columns:
-        tokens = terms.select("token").distinct()
-        held = postings.where("token is not null and weight is not null")
-        if tokens.count() <= ASKED:
-            held = held.join(F.broadcast(tokens), "token", "left_semi")
+    held = postings.where("token is not null and weight is not null") if "token" in postings.columns else postings
+    words = terms.select("token").distinct().limit(ASKED + 1).toArrow()["token"].combine_chunks()
+    if len(words) <= ASKED:
+        words = words.take(pc.sort_indices(words))
+        held, terms = _numbered(held, words), _numbered(terms, words)
     at = tables.shared_folder(spark, "postings")
     # merged, as the postings lie by chunk_id already: a broadcast of either side would grow with the corpus
     packed = _packed(held, "chunk_id", "weight").join(points.select("chunk_id", *ACCESS).hint("merge"), "chunk_id")
     log = F.least(F.greatest(F.log2("norm"), F.lit(-2000.0)), F.lit(2000.0))
-    packed.withColumn("band", F.floor(BANDS * log).cast("int")).write.parquet(at)
-    held = _shown(spark.read.parquet(at), requests)
+    packed = packed.withColumn("band", F.floor(BANDS * log).cast("int"))
+    packed.write.partitionBy("band").parquet(at)
+    held = _shown(spark.read.schema(packed.schema).parquet(at), requests)
     asks = _packed(terms, "qid", "qweight").join(requests.where("groups is not null").select("qid", "groups", "release", "category"), "qid")
     # a row a band, of which there are as many as the logarithm of the norms
-    bands = held.groupBy("band").agg(F.max("norm"), F.count("*"), F.sum(F.size("tokens"))).orderBy(F.desc("band")).collect()
-    sized = [(b, most, max(1, -(-n // SPARSE_SHARD), -(-size // POSTINGS))) for b, most, n, size in bands]
-    before = [0, *accumulate(r[2] for r in bands)]
-    first = [r for r, n in zip(sized, before) if n < FIRST]
-    blocks = _parts(requests, BLOCK)
+    bands = held.groupBy("band").agg(F.max("norm"), F.count("*")).orderBy(F.desc("band")).collect()
+    first = [b for (b, _, _), n in zip(bands, accumulate((r[2] for r in bands), initial=0)) if n < FIRST]
     schema, kinds = _hit_schema(points, requests)
 
     def best(p: pa.Table, r: pa.Table) -> pa.Table:
         if not len(p) or not len(r):
             return _hits(kinds, [])
+        least, most = r["least"].to_numpy(), p["norm"].to_numpy().max()
+        r = r.filter(pa.array(~(r["norm"].to_numpy() * most * (1 + ROUNDING) < least)))
+        if not len(r):
+            return _hits(kinds, [])
         ids, seen = p["chunk_id"].to_numpy(), _seen_by(p.select(ACCESS).to_pandas())
         lists = p["tokens"].combine_chunks()
         words = lists.flatten().dictionary_encode()
@@ -193,7 +254,7 @@ def sparse(postings: DataFrame, points: DataFrame, terms: DataFrame, requests: D
         places = pc.fill_null(pc.index_in(asked.flatten(), value_set=words.dictionary), -1).to_numpy(zero_copy_only=False)
         given = r["weights"].combine_chunks().flatten().to_numpy()
         upto = np.cumsum(asked.value_lengths().to_numpy())
-        for q, found, qweight in zip(r.select(["qid", "groups", "release", "category"]).to_pylist(), np.split(places, upto[:-1]), np.split(given, upto[:-1])):
+        for q, found, qweight in zip(r.select(["qid", "groups", "release", "category", "least"]).to_pylist(), np.split(places, upto[:-1]), np.split(given, upto[:-1])):
             known = found >= 0
             word = found[known].astype(int)
             n = ends[word + 1] - ends[word]
@@ -201,34 +262,34 @@ def sparse(postings: DataFrame, points: DataFrame, terms: DataFrame, requests: D
             score = np.bincount(of[at], weight[at] * np.repeat(qweight[known], n), len(p))
             ok = np.zeros(len(p), bool)
             ok[of[at]] = True
+            if q["least"] is not None:
+                ok &= ~(score < q["least"])
             pick = _best(ids, score, ok & seen(q["groups"], q["release"], q["category"]), limit)
             rows.append((q["qid"], ids[pick], score[pick]))
         return _hits(kinds, rows)
 
-    def met(plan: list[tuple], asks: DataFrame) -> DataFrame:
-        key = ["band", "shard", "block"]
-        left = _banded(held.drop("norm"), plan).groupBy(*key)
-        return top(left.cogroup(_asking(asks, plan).groupBy(*key)).applyInArrow(best, schema), limit)
+    def met(some: list[int], asks: DataFrame) -> DataFrame:
+        near = held.where(F.array_contains(F.array(*map(F.lit, some)).cast("array<int>"), F.col("band")))
+        return top(_crossed(near, SPARSE_SHARD, asks, BLOCK, best, schema), limit)
 
-    hits = tables.cut(met([(*r, blocks) for r in first], asks.withColumn("least", F.lit(None).cast("double"))))
+    hits = tables.cut(met(first, asks.withColumn("least", F.lit(None).cast("double"))))
     asks = asks.join(hits.where(F.col("rank") == limit).groupBy("qid").agg(F.max("score").alias("least")), "qid", "left")
-    rest = [(*r, 1) for r in sized[len(first) :]]
-    some = {r.band: r.n for r in _asking(asks.drop("tokens", "weights"), [(b, m, 1, 1) for b, m, _, _ in rest]).groupBy("band").agg(F.count("*").alias("n")).collect()} if rest else {}
-    plan = [(b, m, n, -(-some[b] // BLOCK)) for b, m, n, _ in rest if b in some]
-    return top(hits.drop("rank").unionByName(met(plan, asks).drop("rank")), limit)
+    rest = [(b, most, 1, 1) for b, most, _ in bands[len(first) :]]
+    reached = [r.band for r in _asking(asks.drop("tokens", "weights"), rest).select("band").distinct().collect()] if rest else []
+    return top(hits.drop("rank").unionByName(met(reached, asks).drop("rank")), limit)
 
 
 def dense(points: DataFrame, requests: DataFrame, limit: int = PREFETCH) -> DataFrame:
     """qid, chunk_id, score, rank: highest dot products of unit vectors, of points the request may see.
 
     points(chunk_id, vector, metadata), requests(qid, vector, groups, release, category). Points are
-    dealt to shards and questions to blocks, both of bounded size; a shard meets a few questions of
+    cut into shards where they lie and questions dealt to blocks, both of bounded size; a shard meets a few questions of
     a block in one matrix product, and forbidden points are left out before the best are taken. Points without a
     vector are found by sparse search only.
     """
     points = points.where(F.col("vector").isNotNull())
-    shards, blocks = _parts(points, SHARD), _parts(requests, DENSE_BLOCK)
-    left, right = _deal(_shown(points, requests).select("chunk_id", F.col("vector").cast("array<double>").alias("vector"), *ACCESS), shards, requests.select("qid", F.col("vector").cast("array<double>").alias("vector"), "groups", "release", "category"), blocks)
+    vector = F.col("vector").cast("array<double>").alias("vector")
+    held, asks = _shown(points, requests).select("chunk_id", vector, *ACCESS), requests.select("qid", vector, "groups", "release", "category")
     schema, kinds = _hit_schema(points, requests)
 
     def matrix(vectors: pa.ChunkedArray) -> np.ndarray:
@@ -248,7 +309,7 @@ def dense(points: DataFrame, requests: DataFrame, limit: int = PREFETCH) -> Data
                 rows.append((q["qid"], ids[pick], score[pick]))
         return _hits(kinds, rows)
 
-    return top(left.cogroup(right).applyInArrow(best, schema), limit)
+    return top(_crossed(held, SHARD, asks, DENSE_BLOCK, best, schema), limit)
 
 
 def fuse(dense_hits: DataFrame, sparse_hits: DataFrame, limit: int = CANDIDATES, k: int = RRF) -> DataFrame:

@@ -2,6 +2,7 @@ import random
 import re
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -427,6 +428,66 @@ def test_questions_meet_only_bands_that_may_hold_a_best(spark):
     assert {r.qid: r.b for r in met.collect()} == {1: [2, 3, 3], 2: [1, 2, 3, 3], 3: [1, 2, 3, 3]}
 
 
+def shuffled(spark) -> int:
+    """Bytes that all stages so far wrote for a shuffle."""
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+@pytest.mark.parametrize("mode", ["sparse", "dense"])
+def test_points_are_not_shuffled_again_for_each_block_of_questions(spark, monkeypatch, mode):
+    rng = random.Random(3)
+    meta = "allowed_groups array<string>, is_latest boolean, release_min int, release_max int, category string"
+    points = spark.createDataFrame([(i, [rng.random() for _ in range(50)], ["all"], True, 0, 9999, "c") for i in range(400)], f"chunk_id long, vector array<double>, {meta}")
+    lists = spark.createDataFrame([(i, [f"w{j}" for j in rng.sample(range(500), 60)], [float(rng.randint(1, 9)) for _ in range(60)]) for i in range(400)], "chunk_id long, tokens array<string>, weights array<double>")
+    asked = spark.createDataFrame([(q, [rng.random() for _ in range(50)], ["a"], None, None) for q in range(24)], "qid long, vector array<double>, groups array<string>, release int, category string")
+    terms = spark.createDataFrame([(q, f"w{j}", 1.0) for q in range(24) for j in range(q, 500, 24)], "qid long, token string, qweight double")
+    monkeypatch.setattr(search, "FIRST", 40)
+    moved, found = [], []
+    for size in (1000, 1):
+        monkeypatch.setattr(search, "BLOCK", size)
+        monkeypatch.setattr(search, "DENSE_BLOCK", size)
+        before = shuffled(spark)
+        hits = search.sparse(lists, points, terms, asked, 5) if mode == "sparse" else search.dense(points, asked, 5)
+        found.append(sorted(map(tuple, hits.select("qid", "rank", "chunk_id", "score").collect())))
+        moved.append(shuffled(spark) - before)
+    assert found[0] == found[1] and len(found[0]) == 24 * 5
+    assert moved[1] < 2 * moved[0]
+
+
+def test_tokens_are_numbered_or_stay_with_the_same_hits(spark, monkeypatch):
+    rng = random.Random(4)
+    post = [(i, f"w{j}", rng.choice([1.0, 0.1, 3.7])) for i in range(90) for j in rng.sample(range(40), 9)]
+    rows = spark.createDataFrame(post, "chunk_id long, token string, weight double")
+    lists = rows.groupBy("chunk_id").agg(F.collect_list("token").alias("tokens"), F.collect_list("weight").alias("weights"))
+    points = spark.createDataFrame([(i, ["all"], True, 0, 9999, "c") for i in range(90)], "chunk_id long, allowed_groups array<string>, is_latest boolean, release_min int, release_max int, category string")
+    asked = spark.createDataFrame([(q, ["a"], None, None) for q in range(6)], "qid long, groups array<string>, release int, category string")
+    terms = spark.createDataFrame([(q, f"w{j}", rng.choice([1.0, 0.3])) for q in range(6) for j in range(q, 20, 3)], "qid long, token string, qweight double")
+    found = []
+    for given in (rows, lists):
+        for many in (0, 1000):
+            monkeypatch.setattr(search, "ASKED", many)
+            found.append(sorted((r.qid, r["rank"], r.chunk_id, round(r.score, 9)) for r in search.sparse(given, points, terms, asked, 7).collect()))
+    assert len(found[0]) == 42 and all(x == found[0] for x in found)
+    numbered = search._numbered(lists, pa.array(["w0", "w7"]))
+    assert {(r.chunk_id, t, w) for r in numbered.collect() for t, w in zip(r.tokens, r.weights)} == {(i, t == "w7", w) for i, t, w in post if t in ("w0", "w7")}
+    assert numbered.count() == 90 and search.sparse(lists, points, terms.where("false"), asked, 7).count() == 0
+
+
+def test_rows_are_sliced_by_number_band_and_bytes(spark, monkeypatch):
+    rows = spark.range(0, 100, 1, 1).select("id", (F.col("id") / 30).cast("int").alias("band"))
+    sizes = lambda df, most: [len(r.p) for r in search._sliced(df, most).collect()]
+    assert sizes(rows, 20) == [20, 10, 20, 10, 20, 10, 10] and sizes(rows.drop("band"), 40) == [40, 40, 20]
+    assert sorted(x.id for r in search._sliced(rows, 7).collect() for x in r.p) == list(range(100))
+    monkeypatch.setattr(search, "SHARD_BYTES", 1)
+    monkeypatch.setattr(search.tables, "bounded_batches", lambda _: None)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
+    try:
+        assert sizes(rows, 100)[:4] == [8, 8, 8, 6]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_term_lists_are_term_counts(spark):
     docs = spark.createDataFrame([(1, "A b aK İx 7"), (2, None), (3, ""), (1, "b B")], "doc_id long, text string")
     lists = search.term_lists(docs).select("doc_id", F.explode(F.arrays_zip("tokens", "weights")).alias("x")).groupBy("doc_id", "x.tokens").agg(F.sum("x.weights").alias("n"))
