@@ -106,8 +106,10 @@ def _crossed(points: DataFrame, most: int, asks: DataFrame, size: int, best: Cal
     """What best(points, asks) finds for each shard of at most `most` points and each block of about `size` asks.
 
     Every pair of a shard and a block is read where both lie: no point is shuffled, however many blocks there are, and each
-    ask is shuffled once, into its block. Blocks are written down.
+    ask is shuffled once, into its block. Blocks are written down. Points lie in at most two parts for each core, as
+    every part has its own best of a question to hand on.
     """
+    width = 2 * points.sparkSession.sparkContext.defaultParallelism
     blocks = _parts(asks, size)
     dealt = asks.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks)))
     packed = tables.cut(dealt.groupBy("block").agg(F.collect_list(F.struct(*asks.columns)).alias("r")).select("r")).coalesce(blocks)
@@ -120,7 +122,7 @@ def _crossed(points: DataFrame, most: int, asks: DataFrame, size: int, best: Cal
             for i in range(len(b)):
                 yield from best(rows(b["p"], i), rows(b["r"], i)).combine_chunks().to_batches()
 
-    return _sliced(points, most).hint("shuffle_replicate_nl").crossJoin(packed).mapInArrow(run, schema)
+    return _sliced(points.coalesce(width), most).hint("shuffle_replicate_nl").crossJoin(packed).mapInArrow(run, schema)
 
 
 def _seen_by(points: pd.DataFrame) -> Callable[..., np.ndarray]:

@@ -455,6 +455,14 @@ def test_points_are_not_shuffled_again_for_each_block_of_questions(spark, monkey
     assert moved[1] < 2 * moved[0]
 
 
+def test_parts_of_points_do_not_grow_with_the_points(spark):
+    points = spark.range(0, 640, 1, 64).withColumnRenamed("id", "chunk_id")
+    asks = spark.range(5).withColumnRenamed("id", "qid")
+    pairs = search._crossed(points, 7, asks, 1000, lambda p, r: pa.table({"n": [len(p)], "asks": [len(r)]}), "n long, asks long")
+    assert pairs.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism
+    assert [tuple(r) for r in pairs.agg(F.sum("n"), F.max("n"), F.min("asks")).collect()] == [(640, 7, 5)]
+
+
 def test_tokens_are_numbered_or_stay_with_the_same_hits(spark, monkeypatch):
     rng = random.Random(4)
     post = [(i, f"w{j}", rng.choice([1.0, 0.1, 3.7])) for i in range(90) for j in rng.sample(range(40), 9)]
