@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, frugal
+from .common import Scratch, frugal, give_back
 from .components import components, forest
 from .vectors import distinct, finite, matrix
 
@@ -20,11 +20,15 @@ RECALL = 0.97
 #: The codebooks and the length of the traversal are fitted on at most so many vectors; every vector is indexed.
 SAMPLE, PROBES = 16_384, 1_500
 PER_CELL, LEAST_WORDS, MOST_WORDS = 48, 4, 1_024
-#: Candidates and visitors that a task compares at once.
-CHUNK, VISITORS = 4_096, 20_000
+#: Candidates and visitors that a task compares at once, if a row takes at most ROW_BYTES; of longer rows fewer.
+CHUNK, VISITORS, ROW_BYTES = 4_096, 20_000, 1_024
+#: Cosines, and so pairs, that a task holds at once, however many there are in a crowd of near copies.
+PAIRS = 1 << 19
+#: Bytes that are dealt out at once, and shares of a chunk that lie in one partition: the candidates are repeated there, which compresses.
+DEALT_BYTES, TOGETHER = 16 << 20, 4
 #: Vectors travel as bytes of the kind their components came in: nothing is lost, and floats take half of what doubles do.
 _PLACED = "rep long, m long, v binary, home int, cells binary"
-_DEALT = "chunk int, part int, side int, rep long, m long, v binary, home int, cells binary"
+_DEALT = "chunk int, shelf int, part int, side int, rep long, m long, v binary, home int, cells binary"
 
 
 def codebook(x: np.ndarray, words: int, seed: int, rounds: int = 12) -> np.ndarray:
@@ -101,9 +105,10 @@ def _place(shared, width: int, reach: int, kind: type):
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
+        step = max(1, min(1_024, PAIRS // reach))
         for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                b = whole.slice(at, 1024)
+            for at in range(0, whole.num_rows, step):
+                b = whole.slice(at, step)
                 x = matrix(b.column("v"), width)
                 cells = index.visits(_unit(x), reach)
                 raw = pa.array([r.tobytes() for r in x.astype(kind)], pa.binary())
@@ -130,36 +135,39 @@ class Chunks:
     """Cells dealt to chunks of at most about CHUNK candidates: neighbours share one, a larger cell has several.
 
     first[cell] and pieces[cell] name a cell's chunks; parts[chunk] is into how many shares its visitors go.
+    row: a row's bytes; of rows over ROW_BYTES a chunk and a share have fewer.
     """
 
-    def __init__(self, homes: np.ndarray, visits: np.ndarray):
+    def __init__(self, homes: np.ndarray, visits: np.ndarray, row: int = ROW_BYTES):
+        most, visitors = (max(1, n * ROW_BYTES // max(row, ROW_BYTES)) for n in (CHUNK, VISITORS))
         self.first, self.pieces = np.zeros(len(homes), np.int64), np.ones(len(homes), np.int64)
         now, held, chunk_visits = 0, 0, [0]
         for cell, n in enumerate(homes.tolist()):
-            if held and held + n > CHUNK:
+            if held and held + n > most:
                 now, held = now + 1, 0
                 chunk_visits.append(0)
             self.first[cell] = now
-            if n > CHUNK:
-                self.pieces[cell] = -(-n // CHUNK)
+            if n > most:
+                self.pieces[cell] = -(-n // most)
                 chunk_visits[now] += int(visits[cell])
                 chunk_visits += [int(visits[cell])] * (int(self.pieces[cell]) - 1) + [0]
                 now, held = now + int(self.pieces[cell]), 0
             else:
                 held += n
                 chunk_visits[now] += int(visits[cell])
-        self.parts = np.maximum(1, -(-np.array(chunk_visits) // VISITORS))
+        self.parts = np.maximum(1, -(-np.array(chunk_visits) // visitors))
 
 
-def _deal(shared):
-    """A row for each chunk and share a vector goes to: as a candidate (side 0) or as a visitor (side 1)."""
+def _deal(shared, row_bytes: int, reach: int, together: int):
+    """A row for each chunk and share a vector goes to: as a candidate (side 0) or as a visitor (side 1). Shelf: of so many shares."""
 
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks = shared.value
+        step = max(1, min(512, DEALT_BYTES // (row_bytes * (reach + int(chunks.parts.max())))))
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                b = whole.slice(at, 512)
+            for at in range(0, whole.num_rows, step):
+                b = whole.slice(at, step)
                 reps, homes = b.column("rep").to_numpy(), b.column("home").to_numpy()
                 spread = (reps.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
                 out = []
@@ -175,68 +183,91 @@ def _deal(shared):
                 chunk, part, side, row, told = zip(*out)
                 row = pa.array(row, pa.int64())
                 take = lambda c: b.column(c).take(row)  # noqa: B023,E731
-                yield pa.RecordBatch.from_arrays([pa.array(chunk, pa.int32()), pa.array(part, pa.int32()), pa.array(side, pa.int32()), take("rep"), take("m"), take("v"), take("home"), pa.array(told, pa.binary())], ["chunk", "part", "side", "rep", "m", "v", "home", "cells"])
+                yield pa.RecordBatch.from_arrays([pa.array(chunk, pa.int32()), pa.array(np.array(part, np.int32) // together), pa.array(part, pa.int32()), pa.array(side, pa.int32()), take("rep"), take("m"), take("v"), take("home"), pa.array(told, pa.binary())], ["chunk", "shelf", "part", "side", "rep", "m", "v", "home", "cells"])
 
     return run
 
 
+def _joined(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary column's rows, one after the other, and how many each has."""
+    whole = column.combine_chunks().cast(pa.binary())
+    ends = np.frombuffer(whole.buffers()[1], np.int32)[whole.offset : whole.offset + len(whole) + 1]
+    return np.frombuffer(whole.buffers()[2], np.uint8)[ends[0] : ends[-1]], np.diff(ends)
+
+
 def _compare(width: int, cosine: float, kind: type):
     """What one chunk's candidates and one share of its visitors link: numbers of links, and a forest of them.
 
     A pair is met when either visits the other's cell. The visitor counts it for itself; for the
     candidate it counts it only if the candidate does not visit the visitor's cell, so each end gets it once.
+
+    A crowd of near copies has pairs with the square of its size. They are counted and joined in blocks
+    of at most PAIRS and forgotten, so memory follows the rows alone. Floats tell every cosine but those
+    as near to the threshold as they may be off; these are taken in doubles.
     """
+    slack = max(1e-4, (width + 4) * 2.0**-24)
 
     def run(table: pa.Table) -> pa.Table:
-        side = table["side"].to_numpy()
-        x = np.frombuffer(b"".join(table["v"].to_pylist()), kind).reshape(-1, width).astype(float)
-        unit, norm = _unit(x), np.linalg.norm(x, axis=1)
-        rep, m, home = (table[c].to_numpy() for c in ("rep", "m", "home"))
-        cells = [np.frombuffer(c, np.int32) for c in table["cells"].to_pylist()]
-        mine, them = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        goes = [set(cells[i].tolist()) for i in mine]
-        size = np.array([len(cells[i]) for i in them], np.int64)
-        to = np.concatenate([cells[i] for i in them]) if len(them) else np.zeros(0, np.int32)
-        who = np.repeat(them, size)
+        side, rep, m, home = (table[c].to_numpy() for c in ("side", "rep", "m", "home"))
+        x = _joined(table["v"])[0].view(kind).reshape(-1, width)
+        small, norm = np.empty(x.shape, np.float32), np.empty(len(x))
+        for at in range(0, len(x), 1_024):
+            some = x[at : at + 1_024].astype(float)
+            small[at : at + 1_024], norm[at : at + 1_024] = _unit(some), np.linalg.norm(some, axis=1)
+        cells, size = _joined(table["cells"])
+        cells, size = cells.view(np.int32), size // 4
+        start = np.cumsum(size) - size
+        nodes, node = np.unique(rep, return_inverse=True)
+        links, root = np.zeros(len(nodes), np.int64), np.arange(len(nodes))
+        visiting = np.repeat(side == 1, size)
+        to, who = cells[visiting], np.repeat(np.arange(len(x), dtype=np.int32), size)[visiting]
         order = np.argsort(to, kind="stable")
         to, who = to[order], who[order]
-        counts: dict[int, int] = {}
-        ends_a, ends_b = [], []
-        small = unit.astype(np.float32)
-        for cell in np.unique(home[mine]):
-            a, b = np.searchsorted(to, cell), np.searchsorted(to, cell, "right")
-            v, near = who[a:b], np.flatnonzero(home[mine] == cell)
-            u = mine[near]
-            for s in range(0, len(v), 2_048):
-                some = v[s : s + 2_048]
-                i, j = np.nonzero(small[some] @ small[u].T >= cosine - 1e-4)
-                p, q, k = some[i], u[j], near[j]
-                exact = np.einsum("ij,ij->i", x[p], x[q]) / (norm[p] * norm[q])
-                yes = (exact >= cosine) & (rep[p] != rep[q])
-                p, q, k = p[yes], q[yes], k[yes]
-                for r, n in zip(*_sum(rep[p], m[q])):
-                    counts[r] = counts.get(r, 0) + n
-                back = np.array([home_p not in goes[x_] for home_p, x_ in zip(home[p].tolist(), k.tolist())], bool)
-                for r, n in zip(*_sum(rep[q[back]], m[p[back]])):
-                    counts[r] = counts.get(r, 0) + n
-                ends_a.append(rep[p])
-                ends_b.append(rep[q])
-        a, b = forest(np.concatenate(ends_a), np.concatenate(ends_b)) if ends_a else (np.zeros(0, np.int64),) * 2
-        n = np.array(list(counts.values()), np.int64)
-        return pa.table({"a": pa.array(np.concatenate([np.array(list(counts), np.int64), a]), pa.int64()), "b": pa.array(np.concatenate([np.zeros(len(n), np.int64), b]), pa.int64()), "n": pa.array(np.concatenate([n, np.zeros(len(a), np.int64)]), pa.int64())})
+        mine = np.flatnonzero(side == 0)
+        mine = mine[np.argsort(home[mine], kind="stable")]
+        here, at = np.unique(home[mine], return_index=True)
+        for cell, u in zip(here.tolist(), np.split(mine, at[1:])):
+            v = who[np.searchsorted(to, cell) : np.searchsorted(to, cell, "right")]
+            goer = np.repeat(np.arange(len(u)), size[u])
+            goes = cells[np.arange(len(goer)) + np.repeat(start[u] - (np.cumsum(size[u]) - size[u]), size[u])]
+            step = max(1, PAIRS // len(u))
+            for s in range(0, len(v), step):
+                some = v[s : s + step]
+                near = small[some] @ small[u].T
+                i, j = np.nonzero(near >= cosine - slack)
+                yes = node[some[i]] != node[u[j]]
+                unsure = np.flatnonzero(yes & (near[i, j] < cosine + slack))
+                for t in range(0, len(unsure), max(1, PAIRS // width)):
+                    k = unsure[t : t + max(1, PAIRS // width)]
+                    p, q = some[i[k]], u[j[k]]
+                    yes[k] = np.einsum("ij,ij->i", x[p].astype(float), x[q].astype(float)) / (norm[p] * norm[q]) >= cosine
+                i, j = i[yes], j[yes]
+                if not len(i):
+                    continue
+                p, q = some[i], u[j]
+                np.add.at(links, node[p], m[q])
+                homes, h = np.unique(home[p], return_inverse=True)
+                back = np.ones((len(u), len(homes)), bool)
+                k = np.minimum(np.searchsorted(homes, goes), len(homes) - 1)
+                met = homes[k] == goes
+                back[goer[met], k[met]] = False
+                back = back[j, h]
+                np.add.at(links, node[q[back]], m[p[back]])
+                a, b = root[node[p]], root[node[q]]
+                if (a != b).any():
+                    now = np.arange(len(nodes))
+                    a, b = forest(a[a != b], b[a != b])
+                    now[a] = b
+                    root = now[root]
+        some, moved = np.flatnonzero(links), np.flatnonzero(root != np.arange(len(nodes)))
+        none = np.zeros(len(some) + len(moved), np.int64)
+        out = pa.table({"a": np.concatenate([nodes[some], nodes[moved]]), "b": np.concatenate([none[: len(some)], nodes[root[moved]]]), "n": np.concatenate([links[some], none[len(some) :]])})
+        give_back()
+        return out
 
     return run
 
 
-def _sum(key: np.ndarray, value: np.ndarray) -> tuple[list[int], list[int]]:
-    if not len(key):
-        return [], []
-    at, inverse = np.unique(key, return_inverse=True)
-    total = np.zeros(len(at), np.int64)
-    np.add.at(total, inverse, value)
-    return at.tolist(), total.tolist()
-
-
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, recall: float = RECALL) -> DataFrame:
     """vec_id, n_links, component_id (smallest id reachable by links), kept (vec_id = component_id).
 
@@ -275,9 +306,12 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, recall: float =
     homes, visits = np.zeros(cells, np.int64), np.zeros(cells, np.int64)
     for cell, h, v in tally:
         homes[cell], visits[cell] = h, v
-    chunks = spark.sparkContext.broadcast(Chunks(homes, visits))
-    dealt = placed.mapInArrow(_deal(chunks), _DEALT)
-    found = scratch.keep(dealt.groupBy("chunk", "part").applyInArrow(_compare(width, cosine, kind), "a long, b long, n long"), "found")
+    row = width * np.dtype(kind).itemsize + 4 * reach
+    chunks = Chunks(homes, visits, row)
+    together = int(np.clip(chunks.parts.sum() // (4 * spark.sparkContext.defaultParallelism), 1, TOGETHER))
+    shelves = int((-(-chunks.parts // together)).sum())
+    dealt = placed.mapInArrow(_deal(spark.sparkContext.broadcast(chunks), row, reach, together), _DEALT).repartition(max(tasks, -(-shelves // 2)), "chunk", "shelf")
+    found = scratch.keep(dealt.groupBy("chunk", "shelf", "part").applyInArrow(_compare(width, cosine, kind), "a long, b long, n long"), "found")
     links = found.where("n > 0").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     labels = components(found.where("n = 0"), scratch).withColumnsRenamed({"node": "rep", "component": "c"})
     counted = classes.join(links, "rep", "left").join(labels, "rep", "left")

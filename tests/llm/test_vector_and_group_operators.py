@@ -1,6 +1,10 @@
 """SimHash, embeddings, top-k, mixing and the pipeline against brute force."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -164,6 +168,53 @@ class TestNearDuplicates:
         monkeypatch.setattr(neardup, "VISITORS", 60)
         assert sorted(map(tuple, neardup.near_duplicates(rows).collect())) == want
 
+    def crowd(self, n):
+        """n near copies and 50 others; each visits its own cell and the next of three, so some pairs are met by one end, some by both."""
+        rng = np.random.default_rng(6)
+        x = np.concatenate([rng.standard_normal(64) + 0.25 * rng.standard_normal((n, 64)), rng.standard_normal((50, 64))]).astype(np.float32)
+        home = np.arange(len(x)) % 3
+        row = {"rep": np.arange(len(x)) * 5, "m": 1 + np.arange(len(x)) % 2, "home": home.astype(np.int32)}
+        t = pa.table(row | {"v": [v.tobytes() for v in x], "cells": [np.array([h, (h + 1) % 3], np.int32).tobytes() for h in home]})
+        both = pa.concat_tables([t.append_column("side", pa.array(np.full(len(x), s, np.int32))) for s in (0, 1)])
+        u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+        linked = (u @ u.T >= 0.9) & ~np.eye(len(x), dtype=bool)
+        return both, linked, linked @ row["m"]
+
+    def linked_by(self, found, n):
+        rows = found.to_pylist()
+        counts = np.zeros(n, np.int64)
+        for r in rows:
+            counts[r["a"] // 5] += r["n"]
+        edges = {(r["a"] // 5, r["b"] // 5) for r in rows if not r["n"]}
+        return counts, groups(list(range(n)), np.array([[i == j or (i, j) in edges or (j, i) in edges for j in range(n)] for i in range(n)]))
+
+    def test_pairs_of_a_crowd_are_not_held_at_once(self):
+        both, linked, want = self.crowd(1_000)
+        tracemalloc.start()
+        found = neardup._compare(64, 0.9, np.float32)(both)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert linked.sum() > 900_000 and most < 150e6  # holding a cell's pairs took 250 MB, and four times as much for twice the crowd
+        assert sum(r["n"] for r in found.to_pylist()) == want.sum()
+        assert [x.as_py() for x in pa.compute.unique(found.filter(pa.compute.equal(found["n"], 0))["b"])] == [0]
+
+    @pytest.mark.parametrize("pairs", [1, 70, 1 << 19])
+    def test_blocks_of_pairs_give_what_brute_force_gives(self, monkeypatch, pairs):
+        both, linked, want = self.crowd(90)
+        monkeypatch.setattr(neardup, "PAIRS", pairs)
+        counts, root = self.linked_by(neardup._compare(64, 0.9, np.float32)(both), len(want))
+        assert (counts == want).all() and 0 < linked[:90, :90].sum() < 90 * 89 and root == groups(list(range(len(want))), linked | np.eye(len(want), dtype=bool))
+
+    def test_long_rows_come_in_fewer(self):
+        homes, visits = np.full(64, 1_000), np.full(64, 30_000)
+        short, long = neardup.Chunks(homes, visits), neardup.Chunks(homes, visits, 8 * neardup.ROW_BYTES)
+        for c, most, visitors in ((short, neardup.CHUNK, neardup.VISITORS), (long, neardup.CHUNK // 8, neardup.VISITORS // 8)):
+            held, seen = np.zeros(len(c.parts)), np.zeros(len(c.parts))
+            for first, pieces in zip(c.first, c.pieces):
+                held[first : first + pieces] += 1_000 / pieces
+                seen[first : first + pieces] += 30_000
+            assert held.max() <= most and (seen / c.parts).max() <= visitors
+
     def test_multi_sequence_order(self):
         rng = np.random.default_rng(3)
         index = neardup.MultiIndex(rng.standard_normal((500, 16)), 8)
